@@ -96,16 +96,17 @@ def time_delta_ratio(df: DataFrame, names: Sequence[str], scales: Sequence[float
 
 def bucket_time_deltas(df: DataFrame, triples: Sequence[str], names: Sequence[str],
                        specs: Mapping[str, Sequence[float]], skip_shadow: bool = False,
+                       scales: Sequence[float] = (1.0, 3.0, 7.0),
                        mode: str = "corrected") -> tuple[DataFrame, list[str], list[str]]:
-    """Consecutive triples of 1/3/7-unit columns through P13 with scales
-    1, 3, 7, then bucketized with ``specs``. Returns (frame with ``b_<name>``
+    """Consecutive triples of 1/3/7-unit columns through P13 with
+    ``scales`` (1, 3, 7 in the reference), then bucketized with ``specs``. Returns (frame with ``b_<name>``
     bucket columns, kept names, names skipped for containing 'shadow')."""
     if len(triples) % 3 != 0 or len(triples) // 3 != len(names):
         raise ValueError("need 3 columns per name")
     cur = df
     made: list[str] = []
     for k, nm in enumerate(names):
-        cur, m = time_delta_ratio(cur, triples[3 * k:3 * k + 3], [1.0, 3.0, 7.0], nm, mode)
+        cur, m = time_delta_ratio(cur, triples[3 * k:3 * k + 3], list(scales), nm, mode)
         made += m
     kept = [n for n in made if not (skip_shadow and "shadow" in n)]
     skipped = [n for n in made if n not in kept]

@@ -67,7 +67,7 @@ def epoch_micros(ts: Column | str) -> Column:
     Independent of the session time zone, unlike ``date_trunc`` on NTZ values.
     """
     c = F.col(ts) if isinstance(ts, str) else ts
-    return F.timestampdiff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"),
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"),
                            c.cast("timestamp_ntz"))
 
 
