@@ -25,7 +25,7 @@ def bucket(x: str, bounds: Sequence[float]) -> str:
 
 
 def r6(x: str) -> str:
-    return f"(round(({x})::DOUBLE, 6) + 0.0::DOUBLE)"
+    return f"(round(({x})::DOUBLE * 1048576.0, 0) / 1048576.0 + 0.0::DOUBLE)"
 
 
 def signed_delta(v1: str, v2: str, mode: str = "reference") -> str:
