@@ -219,7 +219,7 @@ def evaluation_report(df: DataFrame, tasks: Mapping[str, tuple[str, str]], n: in
         "pos": F.when(ypos, 1.0).otherwise(0.0), "neg": F.when(ypos, 0.0).otherwise(1.0),
     }
     for t in SWEEP_THRESHOLDS:
-        sums[f"acc_{t}"] = F.when(F.when(p >= F.lit(float(t)), 1.0).otherwise(0.0) == y, 1.0).otherwise(0.0)
+        sums[f"acc_{t.replace('.', '_')}"] = F.when(F.when(p >= F.lit(float(t)), 1.0).otherwise(0.0) == y, 1.0).otherwise(0.0)
     grids = F.array(F.struct(F.lit("roc").alias("grid"), roc_bin(p, n).alias("bin")),
                     F.struct(F.lit("grid4").alias("grid"), grid_bin(p, grid).alias("bin")))
     stacked = st.select("task", F.explode(grids).alias("g"), *[c.alias(k) for k, c in sums.items()])
@@ -230,7 +230,7 @@ def evaluation_report(df: DataFrame, tasks: Mapping[str, tuple[str, str]], n: in
     tot = per_bin.filter(F.col("grid") == "roc").groupBy("task").agg(*[F.sum(k).alias(k) for k in sums])
     wide = tot.join(auc_wide, "task").select(
         "task",
-        *[(F.col(f"acc_{t}") / F.col("n")).alias(f"acc_threshold_{t}") for t in SWEEP_THRESHOLDS],
+        *[(F.col(f"acc_{t.replace('.', '_')}") / F.col("n")).alias(f"acc_threshold_{t}") for t in SWEEP_THRESHOLDS],
         F.col("tp").alias("TP"), F.col("fp").alias("FP"), F.col("tn").alias("TN"), F.col("fn").alias("FN"),
         (F.col("sq") / F.col("n")).alias("mse"),
         F.col("roc").alias("auc"), F.col("grid4").alias("auc_grid4"),
@@ -242,7 +242,7 @@ def evaluation_report(df: DataFrame, tasks: Mapping[str, tuple[str, str]], n: in
         (F.col("task_label") / F.col("n")).alias("label_mean"),
         (F.col("binary_pred") / F.col("n")).alias("score_mean"))
     metrics = [c for c in wide.columns if c != "task"]
-    return wide.unpivot("task", metrics, "metric", "value")
+    return wide.unpivot("task", [F.col(f"`{c}`") for c in metrics], "metric", "value")
 
 
 REPORT_METRICS = ([f"acc_threshold_{t}" for t in SWEEP_THRESHOLDS]
