@@ -1 +1,116 @@
-"""Registered queries."""
+"""Multi-horizon counters (X1-X5) and running statistics."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quiver.catalog import sqlbits as Q
+from quiver.catalog.registry import query
+from quiver.functions.transforms import compress
+from quiver.operators import horizons as H
+from quiver.plans.running import exact_quantiles, running_stats
+from quiver.session import round6, table
+from quiver.sources import fixtures as X
+
+HS = X.HORIZONS
+
+
+def _x1_sql() -> str:
+    cols = []
+    for h in HS:
+        frame = (f"OVER (PARTITION BY user_id ORDER BY epoch_us(ts) "
+                 f"RANGE BETWEEN {h * 3_600_000_000} PRECEDING AND CURRENT ROW)")
+        cols.append(f"count(*) {frame} AS cnt_{h}h")
+        cols.append(f"{Q.r6(f'sum(value) {frame}')} AS value_sum_{h}h")
+    return "SELECT event_id, user_id, " + ", ".join(cols) + " FROM events"
+
+
+@query("X1_multi_horizon", _x1_sql())
+def x1(spark, d):
+    ev = table(spark, d, "events").select("event_id", "user_id", "ts", "value")
+    h = H.multi_horizon(ev, "user_id", "ts", HS, value_cols=["value"])
+    out = [F.col("event_id"), F.col("user_id")]
+    for hh in HS:
+        out += [F.col(f"cnt_{hh}h"), round6(F.col(f"value_sum_{hh}h")).alias(f"value_sum_{hh}h")]
+    return h.select(*out)
+
+
+@query("X1_multi_horizon_6h_buckets", _x1_sql())
+def x1_fine(spark, d):
+    """Same counters with 6-hour partitions (a hot user split 4x finer)."""
+    ev = table(spark, d, "events").select("event_id", "user_id", "ts", "value")
+    h = H.multi_horizon(ev, "user_id", "ts", HS, value_cols=["value"], bucket_hours=6)
+    out = [F.col("event_id"), F.col("user_id")]
+    for hh in HS:
+        out += [F.col(f"cnt_{hh}h"), round6(F.col(f"value_sum_{hh}h")).alias(f"value_sum_{hh}h")]
+    return h.select(*out)
+
+
+@query("X2_cumulative_in_day", f"""
+SELECT event_id, count(*) OVER w AS cum_cnt_day, {Q.r6('sum(value) OVER w')} AS cum_value_day
+FROM events WINDOW w AS (PARTITION BY user_id, epoch_us(ts) // 86400000000 ORDER BY epoch_us(ts)
+                         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+def x2(spark, d):
+    ev = table(spark, d, "events").select("event_id", "user_id", "ts", "value")
+    out = H.cumulative_in_day(ev, "user_id", "ts", ["value"])
+    return out.select("event_id", "cum_cnt_day", round6(F.col("cum_value_day")).alias("cum_value_day"))
+
+
+@query("X3_entities_per_hour", """
+SELECT epoch_us(ts) // 3600000000 AS hour_id, count(DISTINCT user_id) AS n_entities FROM events GROUP BY 1""")
+def x3(spark, d):
+    return H.entities_per_hour(table(spark, d, "events"), "ts", "user_id")
+
+
+X4_PROBS = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
+
+
+@query("X4_fit_bounds", X.with_ctes(X.SAMPLES_SQL) + f"""
+SELECT unnest([{', '.join(repr(p) for p in X4_PROBS)}]::DOUBLE[]) AS prob,
+       unnest(list_transform(quantile_cont({Q.compress('l_extendedprice')}, [{', '.join(repr(p) for p in X4_PROBS)}]::DOUBLE[]),
+                             lambda v: {Q.r6('v')})) AS value
+FROM samples""")
+def x4(spark, d):
+    s = X.samples(spark, d).select(compress("l_extendedprice").alias("x"))
+    q = exact_quantiles(s, "x", X4_PROBS)
+    return q.select("prob", round6(F.col("value")).alias("value"))
+
+
+@query("X5_previous_value", """
+SELECT event_id, lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS value_last,
+       lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS event_type_last FROM events""")
+def x5(spark, d):
+    ev = table(spark, d, "events")
+    out = H.previous_value(ev, "user_id", "event_id", ["value", "event_type"], ts="ts")
+    return out.select("event_id", "value_last", "event_type_last")
+
+
+DECAY = 0.99
+
+
+@query("A17_running_stats", X.with_ctes(X.EVENTS_HOURLY_SQL) + f"""
+SELECT step, {Q.r6('v')} AS v, {Q.r6('avg(v) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)')} AS v_mean,
+       {Q.r6(f'(1 - {DECAY}) * pow({DECAY}, step) * sum(v * pow({DECAY}, -step)) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)')} AS v_ema
+FROM events_hourly""")
+def a17(spark, d):
+    h = X.events_hourly(spark, d).select("step", "v")
+    r = running_stats(h, "step", ["v"], decay=DECAY)
+    return r.select("step", round6(F.col("v")).alias("v"), round6(F.col("v_mean")).alias("v_mean"),
+                    round6(F.col("v_ema")).alias("v_ema"))
+
+
+FAST_DECAY = 0.3
+
+
+@query("A17_running_stats_multi_block", (X.with_ctes(X.EVENTS_HOURLY_SQL) + f"""
+, rec(step, e) AS (
+    SELECT step, (1 - {FAST_DECAY}) * v FROM events_hourly WHERE step = 1
+    UNION ALL
+    SELECT h.step, {FAST_DECAY} * rec.e + (1 - {FAST_DECAY}) * h.v FROM rec JOIN events_hourly h ON h.step = rec.step + 1)
+SELECT step, {Q.r6('e')} AS v_ema FROM rec""").replace("WITH events_hourly", "WITH RECURSIVE events_hourly"))
+def a17_multi(spark, d):
+    """A17 with a fast decay (0.3): blocks of 498 steps, so the EMA carry
+    crosses block boundaries; checked against the plain recurrence."""
+    h = X.events_hourly(spark, d).select("step", "v")
+    r = running_stats(h, "step", ["v"], decay=FAST_DECAY)
+    return r.select("step", round6(F.col("v_ema")).alias("v_ema"))

@@ -1 +1,97 @@
-"""Registered queries."""
+"""Model jobs (M1-M3, S12) and the streaming running stats."""
+
+from __future__ import annotations
+
+import uuid
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from quiver.catalog import sqlbits as Q
+from quiver.catalog.registry import query
+from quiver.functions import labels as L
+from quiver.functions.transforms import bucketize, compress
+from quiver.plans import model as MD
+from quiver.session import ensure_checkpoint_dir, round6
+from quiver.sources import fixtures as X
+from quiver.streaming.running_stats import running_stats_stream, run_to_table
+
+KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+KS = ", ".join(KEYS)
+W1 = np.array([[0.3], [-0.5], [1.2]])
+B1 = np.array([-0.4])
+
+
+def _features(spark, d):
+    s = X.samples(spark, d)
+    return s.select(*KEYS, (compress("gmv") / 10.0).alias("x1"), (F.col("l_discount") * 10.0).alias("x2"),
+                    F.col("p").alias("x3"), "convert_label", "roi1",
+                    bucketize(compress("l_extendedprice"), (5.0, 8.0, 10.0, 10.5, 11.0)).alias("b_price"),
+                    bucketize(F.col("l_quantity"), (5.0, 10.0, 20.0, 30.0, 40.0)).alias("b_qty"),
+                    bucketize(F.col("l_discount"), (0.02, 0.05, 0.08)).alias("b_disc"),
+                    L.binarize("roi1", L.clip("roi1")).alias("roi1_bin"))
+
+
+@query("M1_score_dense_1layer", X.with_ctes(X.SAMPLES_SQL) + f"""
+SELECT {KS}, {Q.r6(f"1.0 / (1.0 + exp(-({Q.compress('gmv')} / 10.0 * 0.3 + l_discount * 10.0 * -0.5 + p * 1.2 + -0.4)))")} AS score
+FROM samples""")
+def m1_linear(spark, d):
+    f = _features(spark, d)
+    out = MD.score_dense(f, ["x1", "x2", "x3"], [(W1, B1)], keep=KEYS)
+    return out.select(*KEYS, round6(F.col("score")).alias("score"))
+
+
+@query("M1_score_dense_tower")
+def m1_tower(spark, d):
+    f = _features(spark, d)
+    layers = MD.init_weights(3, MD.TOWER, seed=9431)
+    out = MD.score_dense(f, ["x1", "x2", "x3"], layers, keep=KEYS)
+    return out.select(*KEYS, round6(F.col("score")).alias("score"))
+
+
+BUCKETS = ["b_price", "b_qty", "b_disc"]
+LABELS = {"convert": "convert_label", "roi1": "roi1_bin"}
+
+
+@query("M2_fit_two_tasks")
+def m2(spark, d):
+    """Fitted coefficients per task (one row per task and one-hot slot)."""
+    f = _features(spark, d)
+    model = MD.fit_two_tasks(f, BUCKETS, LABELS)
+    rows = []
+    for st in model.stages[2:]:
+        task = st.getPredictionCol().removeprefix("pred_")
+        rows += [(task, i, float(c)) for i, c in enumerate(st.coefficients.toArray())]
+        rows.append((task, -1, float(st.intercept)))
+    return spark.createDataFrame(rows, "task string, slot int, coefficient double")
+
+
+@query("M3_predict")
+def m3(spark, d):
+    f = _features(spark, d)
+    model = MD.fit_two_tasks(f, BUCKETS, LABELS)
+    return MD.predict(model, f, list(LABELS), keep=KEYS)
+
+
+@query("S12_save_load_model")
+def s12(spark, d):
+    f = _features(spark, d)
+    model = MD.fit_two_tasks(f, BUCKETS, LABELS)
+    path = f"{ensure_checkpoint_dir(spark)}/models/two-tasks-{uuid.uuid4().hex}"
+    MD.save_model(model, path)
+    return MD.predict(MD.load_model(path), f, list(LABELS), keep=KEYS)
+
+
+@query("T1_running_stats_stream")
+def t1(spark, d):
+    """A17 as a stream: hourly metrics land as Parquet files in the shared
+    folder, a file stream feeds the stateful operator, results append to a
+    Parquet table that is read back."""
+    base = f"{ensure_checkpoint_dir(spark)}/streams/running-{uuid.uuid4().hex}"
+    hourly = X.events_hourly(spark, d).select(F.lit("v").alias("metric"), "step", F.col("v").alias("value"))
+    hourly.write.mode("overwrite").parquet(f"{base}/in")
+    src = spark.readStream.schema("metric string, step long, value double").parquet(f"{base}/in")
+    run_to_table(running_stats_stream(src, decay=0.99), f"{base}/out", f"{base}/chk")
+    out = spark.read.parquet(f"{base}/out")
+    return out.select("metric", "step", round6(F.col("value")).alias("value"), round6(F.col("mean")).alias("mean"),
+                      round6(F.col("ema")).alias("ema"))

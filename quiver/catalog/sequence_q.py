@@ -1 +1,70 @@
-"""Registered queries."""
+"""Sequence operators: Q1-Q3."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from quiver.catalog import sqlbits as Q
+from quiver.catalog.registry import query
+from quiver.functions import arrays as A
+from quiver.session import round6, table
+from quiver.sources import fixtures as X
+
+EMB_DIM = 64
+SEQ = 20
+
+
+@query("Q1_masked_softmax", X.with_ctes(X.SEQ20_SQL) + f"""
+SELECT user_id, list_transform(ex, lambda e: {Q.r6('e / (list_sum(ex) + 1e-6)')}) AS weights
+FROM (SELECT user_id, list_transform(list_zip(value_seq, mask), lambda t: CASE WHEN t[2]
+             THEN exp(t[1] / 10.0 - list_max(value_seq) / 10.0) ELSE 0.0::DOUBLE END) AS ex FROM seq20)""")
+def q1(spark, d):
+    s = X.seq20(spark, d)
+    w = A.masked_softmax(F.transform("value_seq", lambda v: v / 10.0), "mask")
+    return s.select("user_id", F.transform(w, lambda e: round6(e)).alias("weights"))
+
+
+def emb_sequences(spark, d):
+    """Per label: the last 20 embeddings by vec_id as a zero-padded
+    array<array<double>> with its mask (top-k: partial limit before the
+    shuffle)."""
+    e = table(spark, d, "embeddings")
+    w = Window.partitionBy("label").orderBy(F.col("vec_id").desc())
+    top = e.select("label", "vec_id", "embedding", F.row_number().over(w).alias("_rn")).filter(F.col("_rn") <= SEQ)
+    g = top.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("vec_id", "embedding"))).alias("_s"))
+    zero = F.array_repeat(F.lit(0.0), EMB_DIM)
+    vecs = F.transform("_s", lambda s: F.transform(s["embedding"], lambda v: v.cast("double")))
+    padded = F.slice(F.concat(vecs, F.array_repeat(zero, SEQ)), 1, SEQ)
+    mask = F.transform(F.sequence(F.lit(0), F.lit(SEQ - 1)), lambda i: i < F.size("_s"))
+    return g.select("label", padded.alias("seq"), mask.alias("mask"))
+
+
+@query("Q2_masked_mean_pool", f"""
+WITH t AS (SELECT label, embedding FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) AS rn
+                                        FROM embeddings) WHERE rn <= {SEQ}),
+u AS (SELECT label, generate_subscripts(embedding, 1) - 1 AS dim, unnest(embedding)::DOUBLE AS x FROM t),
+n AS (SELECT label, count(*)::INTEGER AS n_valid FROM t GROUP BY label)
+SELECT u.label, dim::INTEGER AS dim, {Q.r6('avg(x)')} AS pooled, n.n_valid
+FROM u JOIN n ON u.label = n.label GROUP BY u.label, dim, n.n_valid""")
+def q2(spark, d):
+    s = emb_sequences(spark, d)
+    pooled, nv = A.masked_mean_pool(["seq"], ["mask"], [EMB_DIM])
+    return s.select("label", F.posexplode(pooled).alias("dim", "pooled"), nv.alias("n_valid")) \
+        .select("label", F.col("dim").cast("int").alias("dim"), round6(F.col("pooled")).alias("pooled"), "n_valid")
+
+
+@query("Q2_masked_mean_pool_seq20", X.with_ctes(X.SEQ20_SQL) + f"""
+SELECT user_id, {Q.r6('CASE WHEN n_valid > 0 THEN list_sum(list_transform(list_zip(value_seq, mask), lambda t: CASE WHEN t[2] THEN t[1] ELSE 0.0 END)) / n_valid ELSE 0.0 END')} AS pooled
+FROM seq20""")
+def q2s(spark, d):
+    s = X.seq20(spark, d)
+    seqs = F.transform("value_seq", lambda v: F.array(v))
+    return s.select("user_id", round6(F.element_at(A.masked_mean_pool_one(seqs, "mask", 1), 1)).alias("pooled"))
+
+
+@query("Q3_self_attention_pool")
+def q3(spark, d):
+    s = emb_sequences(spark, d)
+    out = A.self_attention_pool(s, "seq", "mask", keep=["label"])
+    return out.select("label", F.transform("pooled", lambda v: round6(v)).alias("pooled"))

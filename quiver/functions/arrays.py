@@ -77,30 +77,42 @@ def masked_mean_pool(seqs: Sequence[ColumnOrName], masks: Sequence[ColumnOrName]
     return F.concat(*pooled), valid_count(masks)
 
 
-def self_attention_pool(seq: ColumnOrName, mask: ColumnOrName, dim: int) -> Column:
-    """Q3: single-head self-attention without learned projections, then a
-    masked mean over slots.
-
-    logits[i][j] = x_i . x_j / sqrt(dim); row weights = Q1(logits[i], mask);
-    out_i = sum_j w_ij x_j; rows of invalid slots are zeroed; the sum over
-    slots is divided by the valid count (0 vector if none is valid)."""
-    s, mk = _c(seq), _c(mask)
-    scale = 1.0 / math.sqrt(dim)
-    n = F.size(s)
-
-    def dotv(a, b):
-        return F.aggregate(F.zip_with(a, b, lambda u, v: u * v), F.lit(0.0), lambda acc, v: acc + v)
-
-    def attend(xi):
-        logits = F.transform(s, lambda xj: dotv(xi, xj) * F.lit(scale))
-        w = masked_softmax(logits, mk)
-        return F.transform(F.sequence(F.lit(1), F.lit(dim)),
-                           lambda d: _sum(F.zip_with(w, s, lambda wj, xj: wj * F.element_at(xj, d))))
-
-    rows = F.transform(F.sequence(F.lit(1), n), lambda i: F.when(
-        F.element_at(mk, i), attend(F.element_at(s, i))).otherwise(F.array_repeat(F.lit(0.0), dim)))
-    n_valid = F.size(F.filter(mk, lambda v: v))
-    summed = F.transform(F.sequence(F.lit(1), F.lit(dim)),
-                         lambda d: _sum(F.transform(rows, lambda r: F.element_at(r, d))))
-    return F.when(n_valid > 0, F.transform(summed, lambda v: v / n_valid)).otherwise(
-        F.array_repeat(F.lit(0.0), dim))
+def self_attention_pool_np(seq, mask, eps: float = 1e-6):
+    """Q3 for one sequence with numpy: seq [slots, dim], mask [slots].
+
+    logits = x x^T / sqrt(dim); row weights = Q1 (max over all slots,
+    masked slots zeroed, / (sum + eps)); out = weights @ x; rows of invalid
+    slots are zeroed; the sum over slots is divided by the valid count
+    (0 vector if none is valid)."""
+    import numpy as np
+    x = np.asarray(seq, dtype=np.float64)
+    m = np.asarray(mask, dtype=bool)
+    dim = x.shape[1]
+    n_valid = int(m.sum())
+    if n_valid == 0:
+        return np.zeros(dim)
+    logits = x @ x.T / math.sqrt(dim)
+    ex = np.exp(logits - logits.max(axis=1, keepdims=True)) * m[None, :]
+    w = ex / (ex.sum(axis=1, keepdims=True) + eps)
+    out = (w @ x) * m[:, None]
+    return out.sum(axis=0) / n_valid
+
+
+def self_attention_pool(df, seq: str, mask: str, out: str = "pooled", keep: Sequence[str] = ()):
+    """Q3 over a DataFrame: Arrow-batched ``mapInPandas``, one numpy
+    computation per row (bounded: slots x slots x dim). The per-row work is a
+    small matrix product that has no built-in column expression."""
+    from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+
+    keep = list(keep)
+    schema = StructType([df.schema[k] for k in keep] + [StructField(out, ArrayType(DoubleType()))])
+
+    def run(batches):
+        import pandas as pd
+        for pdf in batches:
+            res = [self_attention_pool_np(list(s), list(mk)).tolist() for s, mk in zip(pdf[seq], pdf[mask])]
+            o = pdf[keep].copy() if keep else pd.DataFrame(index=pdf.index)
+            o[out] = res
+            yield o
+
+    return df.select(*keep, seq, mask).mapInPandas(run, schema)
