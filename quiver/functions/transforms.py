@@ -37,16 +37,30 @@ def compress(x: ColumnOrName, log: bool = True) -> Column:
 
 
 # --- P2 -------------------------------------------------------------------
-def bucketize(x: ColumnOrName, bounds: Sequence[float] | Column) -> Column:
+def bucketize(x: ColumnOrName, bounds: Sequence[float] | Column, max_len: int | None = None) -> Column:
     """Bucket id in 0..len(bounds) = number of bounds <= x (left-closed).
 
     NULL -> 0, NaN -> len(bounds) (NaN sorts above every number in Spark), a
-    value equal to a bound goes to the upper bucket. ``bounds`` may be a Python
-    list or an ``array<double>`` column (long-form layout, bounds joined from a
-    broadcast spec table)."""
-    arr = bounds if isinstance(bounds, Column) else bounds_literal(bounds)
+    value equal to a bound goes to the upper bucket.
+
+    With a literal list this is a sum of comparisons, which whole-stage
+    codegen compiles (a lambda ``filter`` would run interpreted). With an
+    ``array<double>`` column (long form, bounds joined from a broadcast spec)
+    pass ``max_len``, the longest bounds list, for the same compiled form;
+    without it a ``filter`` lambda is used."""
     xv = _dbl(x)
-    return F.size(F.filter(arr, lambda b: xv >= b)).cast("int")
+    if isinstance(bounds, Column):
+        if max_len is None:
+            return F.size(F.filter(bounds, lambda b: xv >= b)).cast("int")
+        terms = [F.when(xv >= F.try_element_at(bounds, F.lit(i)), 1).otherwise(0) for i in range(1, max_len + 1)]
+    else:
+        terms = [F.when(xv >= F.lit(float(b)), 1).otherwise(0) for b in bounds]
+    if not terms:
+        return F.lit(0)
+    out = terms[0]
+    for t in terms[1:]:
+        out = out + t
+    return out.cast("int")
 
 
 # --- P7 -------------------------------------------------------------------

@@ -126,7 +126,9 @@ def bucketize_long(long_df: DataFrame, spec: DataFrame) -> DataFrame:
     one compress + bucketize expression for every feature."""
     j = long_df.join(F.broadcast(spec), "feature")
     x = F.when(F.col("use_log"), compress("value")).otherwise(F.col("value").cast("float").cast("double"))
-    return j.select(*[c for c in long_df.columns], x.alias("x"), bucketize(x, F.col("bounds")).alias("bucket"))
+    longest = spec.agg(F.max(F.size("bounds"))).first()[0] or 0     # spec rows: one per feature
+    return j.select(*[c for c in long_df.columns], x.alias("x"),
+                    bucketize(x, F.col("bounds"), max_len=longest).alias("bucket"))
 
 
 def feature_summary(bucketed_long: DataFrame, sqrt_mean: bool = False) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from quiver.functions import labels as L
 from quiver.functions.transforms import ColumnOrName, _c, _dbl, bucketize, compress
 from quiver.plans.prefix import running_totals
+from quiver.session import spread
 
 # Fixed values of the reference's evaluation: accuracy thresholds 0.1 .. 0.9,
 # decision threshold 0.5, a 200-point ROC grid and the 4-point grid
@@ -203,7 +204,8 @@ def evaluation_report(df: DataFrame, tasks: Mapping[str, tuple[str, str]], n: in
     One scan: each row is stacked per task and per grid, every metric is a
     sum, and the partial aggregation before the shuffle leaves one row per
     (task, grid, bin)."""
-    st = scored_tasks(df, tasks)
+    cols = sorted({c for lab_score in tasks.values() for c in lab_score})
+    st = scored_tasks(spread(df.select(*cols)), tasks)
     p, y = F.col("score"), F.col("binary_label")
     pos_pred = p >= F.lit(DECISION_THRESHOLD)
     ypos = y > 0.5

@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from quiver.session import spread
+
 # Fixed value of the reference: hidden layers 512, 256, 64 and one output per task.
 TOWER = (512, 256, 64, 1)
 
@@ -62,7 +64,8 @@ def score_dense(df: DataFrame, features: Sequence[str], layers: Sequence[tuple[n
             o[out] = forward_np(x, ws, slope)
             yield o
 
-    return df.select(*keep, *[F.col(f).cast("double").alias(f) for f in feats]).mapInPandas(run, schema)
+    src = spread(df.select(*keep, *[F.col(f).cast("double").alias(f) for f in feats]))
+    return src.mapInPandas(run, schema)
 
 
 def fit_two_tasks(df: DataFrame, bucket_cols: Sequence[str], labels: Mapping[str, str],

@@ -31,14 +31,26 @@ def default_buckets(df: DataFrame) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def cuts_and_totals(df: DataFrame, key: str, n: int, totals: Sequence = (), accuracy: int = 10000
+                    ) -> tuple[list[float], list]:
+    """One aggregation job: approximate n-quantile cut points of ``key``
+    (``percentile_approx``, bounded memory) and any extra aggregates."""
+    qs = [i / n for i in range(1, n)] if n > 1 else [0.5]
+    row = df.agg(F.percentile_approx(F.col(key).cast("double"), qs, accuracy).alias("_q"), *totals).first()
+    cuts = sorted({float(c) for c in (row[0] or []) if c is not None}) if n > 1 else []
+    return cuts, list(row[1:])
+
+
 def running_totals(df: DataFrame, key: str, sum_cols: Sequence[str], n_buckets: int | None = None,
-                   prefix: str = "cum_", with_count: str | None = None) -> DataFrame:
+                   prefix: str = "cum_", with_count: str | None = None,
+                   cuts: Sequence[float] | None = None) -> DataFrame:
     """Add ``cum_<c>`` = sum of ``c`` over all rows whose key is <= this row's
     key (inclusive running sum). Keys must be unique (aggregate first).
 
     ``with_count`` additionally adds the running row count (a 1-based rank)."""
     n = n_buckets or default_buckets(df)
-    cuts = range_cuts(df, key, n)
+    if cuts is None:
+        cuts = range_cuts(df, key, n)
     cols = list(sum_cols)
     base = df.withColumn("_rb", bucketize(F.col(key), cuts) if cuts else F.lit(0))
     if with_count:

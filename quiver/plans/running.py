@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quiver.plans.prefix import running_totals
+from quiver.plans.prefix import cuts_and_totals, default_buckets, running_totals
 
 
 def ema_block_size(decay: float, max_block: int = 1_000_000) -> int:
@@ -84,9 +84,10 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], n_buckets:
     x = F.col(col).cast("double")
     g = df.select(x.alias("_x")).filter(F.col("_x").isNotNull()).groupBy("_x").agg(
         F.count(F.lit(1)).alias("_n"))
-    r = running_totals(g, "_x", ["_n"], n_buckets=n_buckets)
-    # the row count is one number on the driver; positions become literals
-    n_total = g.agg(F.sum("_n")).first()[0] or 0
+    # one job: range cut points and the row count (one number on the driver)
+    cuts, (n_total,) = cuts_and_totals(g, "_x", n_buckets or default_buckets(g), [F.sum("_n")])
+    n_total = n_total or 0
+    r = running_totals(g, "_x", ["_n"], cuts=cuts)
     pos = F.array(*[F.struct(F.lit(float(p)).alias("p"), F.lit(float(p) * (n_total - 1)).alias("pos"))
                     for p in probs])
     lo_start = F.col("cum__n") - F.col("_n")

@@ -61,6 +61,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin repartition when the input has fewer partitions than the
+    cluster has cores (e.g. one large unsplittable file). Used before
+    CPU-heavy stages only; on inputs with many splits it does nothing."""
+    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+
+
 def epoch_micros(ts: Column | str) -> Column:
     """Microseconds since 1970-01-01 for TIMESTAMP_NTZ (and TIMESTAMP) columns.
 
