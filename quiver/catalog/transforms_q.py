@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from quiver.catalog import sqlbits as Q
 from quiver.catalog.registry import query
 from quiver.functions import transforms as T
-from quiver.functions.arrays import fixed_length
 from quiver.operators import derive as DV
 from quiver.operators import features as FT
 from quiver.operators.horizons import previous_value
@@ -367,5 +366,3 @@ SELECT user_id, list_concat([n_valid::DOUBLE], value_seq) AS features FROM seq20
 def p23(spark, d):
     return FT.assemble_df(X.seq20(spark, d), ["n_valid", "value_seq"]).select("user_id", "features")
 
-
-_ = fixed_length

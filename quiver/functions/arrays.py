@@ -1,7 +1,10 @@
-"""Fixed-length array and sequence operators (S2 array normalisation, Q1-Q3)
-with Spark higher-order functions: they run inside the JVM, per row, with no
-Python worker. Sequences are ``array<array<double>>`` with an
-``array<boolean>`` validity mask of the same length."""
+"""Fixed-length array and sequence operators (S2 array normalisation, Q1-Q3).
+
+S2, Q1 and Q2 are Spark higher-order functions: they run inside the JVM, per
+row, with no Python worker. Q3 (attention pooling: a slots x slots matrix
+product per row) runs as an Arrow-batched ``mapInPandas`` with numpy.
+Sequences are ``array<array<double>>`` with an ``array<boolean>`` validity
+mask of the same length."""
 
 from __future__ import annotations
 

@@ -1,8 +1,9 @@
 """Scalar feature transforms as Column -> Column builders (P1, P2, P7, P11,
 P15, P18, P19, P21, P22).
 
-All arithmetic is in double. Every builder stays inside Catalyst (higher-order
-functions for arrays) so a projection of many of them is one codegen stage.
+All arithmetic is in double. Every builder stays inside Catalyst, so a
+projection of many of them is one stage; scalar builders are compiled by
+whole-stage codegen, array builders use higher-order functions.
 """
 
 from __future__ import annotations

@@ -72,7 +72,6 @@ def check_schema(df: DataFrame, contract: Sequence[Field]) -> DataFrame:
     spark = df.sparkSession
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     arrays = [f for f in contract if f.length is not None and f.name in types]
-    counts = {}
     if arrays:
         row = df.agg(*[F.count_if(F.coalesce(F.size(F.col(f.name)), F.lit(-1)) != f.length).alias(f.name)
                        for f in arrays])
@@ -84,6 +83,5 @@ def check_schema(df: DataFrame, contract: Sequence[Field]) -> DataFrame:
         want = f"array<{f.dtype}>" if f.length is not None else f.dtype
         rows.append((f.name, f.name in types, types.get(f.name) == want))
     meta = spark.createDataFrame(rows, "field string, present boolean, type_ok boolean")
-    del counts
     return meta.join(counts_df, "field", "left").select(
         "field", "present", "type_ok", F.coalesce("n_bad_length", F.lit(0)).cast("bigint").alias("n_bad_length"))
