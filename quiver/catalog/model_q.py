@@ -22,9 +22,9 @@ W1 = np.array([[0.3], [-0.5], [1.2]])
 B1 = np.array([-0.4])
 
 
-def _features(spark, d):
+def _features(spark, d, extra=()):
     s = X.samples(spark, d)
-    return s.select(*KEYS, (compress("gmv") / 10.0).alias("x1"), (F.col("l_discount") * 10.0).alias("x2"),
+    return s.select(*KEYS, *extra, (compress("gmv") / 10.0).alias("x1"), (F.col("l_discount") * 10.0).alias("x2"),
                     F.col("p").alias("x3"), "convert_label", "roi1",
                     bucketize(compress("l_extendedprice"), (5.0, 8.0, 10.0, 10.5, 11.0)).alias("b_price"),
                     bucketize(F.col("l_quantity"), (5.0, 10.0, 20.0, 30.0, 40.0)).alias("b_qty"),
@@ -95,3 +95,17 @@ def t1(spark, d):
     out = spark.read.parquet(f"{base}/out")
     return out.select("metric", "step", round6(F.col("value")).alias("value"), round6(F.col("mean")).alias("mean"),
                       round6(F.col("ema")).alias("ema"))
+
+
+@query("J1_train_evaluate")
+def j1(spark, d):
+    """Train on all years but the last, evaluate on the last (S8 by year):
+    the evaluation report (46 values) of the fitted per-task models."""
+    from quiver.operators.dataset import date_holdout
+    from quiver.plans import jobs
+    f = date_holdout(_features(spark, d, extra=["l_shipdate"]), "l_shipdate", unit="year")
+    tr, ev = f.filter(F.col("split") == "train"), f.filter(F.col("split") == "eval")
+    model = jobs.train(tr, BUCKETS, LABELS)
+    _, report = jobs.evaluate(model, ev, LABELS, {"convert": "convert_label", "roi1": "roi1"},
+                              KEYS, ["convert_label", "roi1"])
+    return report.select("task", "metric", round6(F.col("value")).alias("value"))

@@ -52,13 +52,19 @@ def assign_batch(df: DataFrame, size: int, dense_key: str | None = None, hash_ke
     return df.withColumn("batch_id", F.pmod(F.xxhash64(*[F.col(c) for c in hash_key]), F.lit(n_batches)))
 
 
-def date_holdout(df: DataFrame, date_col: str) -> DataFrame:
-    """S8 on a table: the last date is the eval split, earlier dates train.
-    With a single date, train is the day before it (no rows of that day are
-    present in the table, so all rows are eval). The max is a scalar subquery
-    (partition-pruned when the table is partitioned by date)."""
-    d = F.to_date(F.col(date_col))
-    last = df.select(F.max(F.to_date(F.col(date_col)))).scalar()
+def date_holdout(df: DataFrame, date_col: str, unit: str = "day") -> DataFrame:
+    """S8 on a table: the last date (or year, ``unit='year'``) is the eval
+    split, earlier ones train. With a single date, train is the day before it
+    (no rows of that day are present in the table, so all rows are eval). The
+    max is a scalar subquery (partition-pruned when the table is partitioned
+    by date)."""
+    if unit == "day":
+        d = F.to_date(F.col(date_col))
+    elif unit == "year":
+        d = F.year(F.col(date_col))
+    else:
+        raise ValueError(f"unknown unit: {unit}")
+    last = df.select(F.max(d)).scalar()
     return df.withColumn("split", F.when(d == last, F.lit("eval")).otherwise(F.lit("train")))
 
 

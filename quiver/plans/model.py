@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, VectorAssembler
@@ -76,13 +77,19 @@ def fit_two_tasks(df: DataFrame, bucket_cols: Sequence[str], labels: Mapping[str
     stages = [OneHotEncoder(inputCols=list(bucket_cols), outputCols=[f"{c}_oh" for c in bucket_cols],
                             handleInvalid="keep"),
               VectorAssembler(inputCols=[f"{c}_oh" for c in bucket_cols], outputCol="features")]
-    data = df
+    data = df.select(*bucket_cols, *labels.values())
     for task, lab in labels.items():
         data = data.withColumn(f"_w_{task}", F.when(F.col(lab) > 0, F.lit(pos_weight)).otherwise(F.lit(1.0)))
         stages.append(LogisticRegression(featuresCol="features", labelCol=lab, weightCol=f"_w_{task}",
                                          predictionCol=f"pred_{task}", probabilityCol=f"prob_{task}",
                                          rawPredictionCol=f"raw_{task}", maxIter=max_iter, regParam=reg))
-    return Pipeline(stages=stages).fit(data)
+    # the encoder and both models read the same narrow frame: compute it once
+    # (memory, spilling to disk; lost blocks are recomputed from the lineage)
+    data = data.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return Pipeline(stages=stages).fit(data)
+    finally:
+        data.unpersist()
 
 
 def predict(model: PipelineModel, df: DataFrame, tasks: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
