@@ -114,3 +114,9 @@ def a17_multi(spark, d):
     h = X.events_hourly(spark, d).select("step", "v")
     r = running_stats(h, "step", ["v"], decay=FAST_DECAY)
     return r.select("step", round6(F.col("v_ema")).alias("v_ema"))
+
+
+@query("X3_entities_per_hour_approx")
+def x3_approx(spark, d):
+    """X3 with HyperLogLog++ (bounded memory per hour, about 5% error)."""
+    return H.entities_per_hour(table(spark, d, "events"), "ts", "user_id", approx=True)

@@ -296,3 +296,14 @@ def a18(spark, d):
 SELECT feature, bucket, count(*) AS n FROM lg GROUP BY feature, bucket""")
 def a18h(spark, d):
     return FT.bucket_histogram(_long_bucketed(spark, d))
+
+
+@query("A18_feature_summary_sqrt", X.with_ctes(_a18_long_sql()) + f"""
+SELECT feature, {Q.r6('CASE WHEN avg(x) >= 0 THEN sqrt(avg(x)) END')} AS value_mean,
+       {Q.r6('avg(bucket::DOUBLE)')} AS bucket_mean, count(*) AS n
+FROM lg GROUP BY feature""")
+def a18s(spark, d):
+    """A18 as the reference logs 1-D features: square root of the mean."""
+    out = FT.feature_summary(_long_bucketed(spark, d), sqrt_mean=True)
+    return out.select("feature", round6(F.col("value_mean")).alias("value_mean"),
+                      round6(F.col("bucket_mean")).alias("bucket_mean"), "n")

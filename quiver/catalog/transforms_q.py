@@ -366,3 +366,31 @@ SELECT user_id, list_concat([n_valid::DOUBLE], value_seq) AS features FROM seq20
 def p23(spark, d):
     return FT.assemble_df(X.seq20(spark, d), ["n_valid", "value_seq"]).select("user_id", "features")
 
+
+
+LONG_SPECS = {"l_quantity": QTY_BOUNDS, "l_extendedprice": PRICE_BOUNDS, "l_discount": DISC_BOUNDS,
+              "l_tax": TAX_BOUNDS, "o_totalprice": (8.0, 10.0, 11.0, 12.0, 13.0)}
+LONG_LOG = ("l_extendedprice", "o_totalprice")
+
+
+def _p5_long_sql() -> str:
+    sel = []
+    for f, b in LONG_SPECS.items():
+        x = Q.compress(f) if f in LONG_LOG else f"{f}::FLOAT::DOUBLE"
+        sel.append(f"SELECT l_orderkey, l_linenumber, '{f}' AS feature, {Q.bucket(x, b)} AS bucket FROM w")
+    return ("WITH w AS (SELECT l.l_orderkey, l.l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, "
+            "o_totalprice FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey)\n" + " UNION ALL ".join(sel))
+
+
+@query("P5_bucket_features_long", _p5_long_sql())
+def p5_long(spark, d):
+    """P5 in long form, the layout for very wide feature sets: features of
+    lineitem and its order unpivoted to (keys, feature, value), bounds joined
+    from the broadcast spec, one bucketize expression for all features."""
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice",
+                                           "l_discount", "l_tax")
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_totalprice")
+    wide = li.join(o, "l_orderkey")
+    long = FT.to_long(wide, ["l_orderkey", "l_linenumber"], list(LONG_SPECS))
+    spec = FT.spec_table(spark, LONG_SPECS, log_names=LONG_LOG)
+    return FT.bucketize_long(long, spec).select("l_orderkey", "l_linenumber", "feature", "bucket")

@@ -163,3 +163,15 @@ def test_sink_writes_partitioned(spark, tmp_path):
     assert back.count() == s.count() and back.select("dataset").distinct().first()[0] == "eval"
     k = sample_by_hash(s, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], 0.1).count()
     assert 0 < k < s.count()
+
+
+def test_serve_rejects_contract_violation(spark):
+    from quiver.catalog.model_q import BUCKETS, LABELS, _features
+    from quiver.plans import jobs
+    from quiver.sources.reader import Field
+    f = _features(spark, SF)
+    model = jobs.train(f, BUCKETS, LABELS)
+    ok = jobs.serve(model, f, [Field("b_price", "int"), Field("b_qty", "int")], list(LABELS))
+    assert ok.count() == f.count()
+    with pytest.raises(ValueError):
+        jobs.serve(model, f, [Field("b_price", "bigint")], list(LABELS))
