@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from quiver.functions import labels as L
 from quiver.functions.transforms import ColumnOrName, _c, _dbl, bucketize, compress
-from quiver.plans.prefix import running_totals
+from quiver.plans.prefix import cuts_and_totals, default_buckets, running_totals
 from quiver.session import spread
 
 # Fixed values of the reference's evaluation: accuracy thresholds 0.1 .. 0.9,
@@ -145,9 +145,13 @@ def pairwise_auc(df: DataFrame, pred: str, label: str, mask: str | None = None,
     if len(levels) < 2:
         return df.sparkSession.range(1).select(F.lit(1.0).alias("auc"))
     cnt = [F.count_if(F.col("_l") == F.lit(v)).cast("double").alias(f"c{i}") for i, v in enumerate(levels)]
-    g = src.filter(F.col("_p").isNotNull() & F.col("_l").isNotNull()).groupBy("_p").agg(*cnt)
+    valid = src.filter(F.col("_p").isNotNull() & F.col("_l").isNotNull())
+    # range cut points from a sketch over the raw scores (no shuffle), so the
+    # grouped table below is shuffled only once
+    cuts, _ = cuts_and_totals(valid, "_p", n_buckets or default_buckets(valid))
+    g = valid.groupBy("_p").agg(*cnt)
     names = [f"c{i}" for i in range(len(levels))]
-    r = running_totals(g, "_p", names, n_buckets=n_buckets)
+    r = running_totals(g, "_p", names, cuts=cuts)
     # rows of level a at this score pair with lower levels strictly below it,
     # and half of the lower-level rows at the same score
     conc = F.lit(0.0)

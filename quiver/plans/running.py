@@ -82,11 +82,12 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], n_buckets:
     (range buckets), then pick the values at the two ranks around each
     position. Output: (prob, value)."""
     x = F.col(col).cast("double")
-    g = df.select(x.alias("_x")).filter(F.col("_x").isNotNull()).groupBy("_x").agg(
-        F.count(F.lit(1)).alias("_n"))
-    # one job: range cut points and the row count (one number on the driver)
-    cuts, (n_total,) = cuts_and_totals(g, "_x", n_buckets or default_buckets(g), [F.sum("_n")])
+    raw = df.select(x.alias("_x")).filter(F.col("_x").isNotNull())
+    # one job over the raw column: range cut points (sketch) and the row
+    # count (one number on the driver); no shuffle
+    cuts, (n_total,) = cuts_and_totals(raw, "_x", n_buckets or default_buckets(raw), [F.count(F.lit(1))])
     n_total = n_total or 0
+    g = raw.groupBy("_x").agg(F.count(F.lit(1)).alias("_n"))
     r = running_totals(g, "_x", ["_n"], cuts=cuts)
     pos = F.array(*[F.struct(F.lit(float(p)).alias("p"), F.lit(float(p) * (n_total - 1)).alias("pos"))
                     for p in probs])
