@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quiver.plans.prefix import cuts_and_totals, default_buckets, running_totals
+from quiver.session import cut_lineage
 
 
 def ema_block_size(decay: float, max_block: int = 1_000_000) -> int:
@@ -39,6 +40,10 @@ def running_stats(df: DataFrame, step: str, values: Sequence[str], decay: float
     r = running_totals(df, step, list(values), n_buckets=n_buckets, with_count="_pos")
     r = r.withColumn("_blk", F.floor((F.col("_pos") - 1) / F.lit(B))) \
          .withColumn("_o", F.col("_pos") - F.col("_blk") * F.lit(B))
+    # the positioned steps feed both the per-block windows and the block
+    # totals: write them once to the shared checkpoint folder (cuts the
+    # lineage; survives the loss of executors)
+    r = cut_lineage(r)
     w = Window.partitionBy("_blk").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
     local = r.select("*", *[F.sum(F.col(v) * F.pow(F.lit(d), -F.col("_o"))).over(w).alias(f"_loc_{v}")
                             for v in values])
