@@ -124,10 +124,8 @@ def p6(spark, d):
     specs = {"value_seq": VALUE_BOUNDS, "c24": (0.0,), "ratio_1_3": RATIO_BOUNDS, "delta_1_3": DELTA_BOUNDS}
     out, kept = FT.bucket_features_2d(s, specs, {"c24": CNT_LOG_BOUNDS}, reduce="max",
                                       exempt=["ratio_1_3", "delta_1_3"])
-    mean_out, _ = FT.bucket_features_2d(s.select("user_id", "value_seq"), {"value_seq": VALUE_BOUNDS},
-                                        reduce="mean")
-    m = mean_out.select("user_id", F.col("b_value_seq").alias("mean_b_value_seq"))
-    return out.select("user_id", *[f"b_{k}" for k in kept]).join(m, "user_id")
+    out, _ = FT.bucket_features_2d(out, {"value_seq": VALUE_BOUNDS}, reduce="mean", prefix="mean_b_")
+    return out.select("user_id", *[f"b_{k}" for k in kept], "mean_b_value_seq")
 
 
 @query("P7_array_reduce", X.with_ctes(X.SEQ20_SQL) + f"""

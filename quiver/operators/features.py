@@ -82,7 +82,7 @@ def bucket_features_1d(df: DataFrame, specs: Mapping[str, Sequence[float]],
 def bucket_features_2d(df: DataFrame, specs: Mapping[str, Sequence[float]],
                        log_specs: Mapping[str, Sequence[float]] | None = None,
                        reduce: str = "max", need_log1p: bool = False,
-                       exempt: Sequence[str] = ()) -> tuple[DataFrame, list[str]]:
+                       exempt: Sequence[str] = (), prefix: str = BUCKET_PREFIX) -> tuple[DataFrame, list[str]]:
     """Per 2-D feature in name order: cast (compress first when
     ``need_log1p`` and the feature is not a ratio/delta output listed in
     ``exempt``), reduce the 20 slots by max or mean, compress if in the log
@@ -102,7 +102,7 @@ def bucket_features_2d(df: DataFrame, specs: Mapping[str, Sequence[float]],
         x = array_reduce(x, reduce) if is_arr else x.cast("double")
         if f in log_specs:
             x, bounds = compress(x), log_specs[f]
-        exprs.append(bucketize(x.cast("float"), bounds).alias(f"{BUCKET_PREFIX}{f}"))
+        exprs.append(bucketize(x.cast("float"), bounds).alias(f"{prefix}{f}"))
         kept.append(f)
     return df.select("*", *exprs), kept
 
