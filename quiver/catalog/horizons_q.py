@@ -120,3 +120,26 @@ def a17_multi(spark, d):
 def x3_approx(spark, d):
     """X3 with HyperLogLog++ (bounded memory per hour, about 5% error)."""
     return H.entities_per_hour(table(spark, d, "events"), "ts", "user_id", approx=True)
+
+
+@query("A17_batch_metric_stream", f"""
+WITH b AS (SELECT event_id // 512 AS batch_id, avg(value) AS value_mean,
+                  avg(CASE WHEN event_type = 'purchase' THEN 1.0 ELSE 0.0 END) AS purchase_rate
+           FROM events GROUP BY 1)
+SELECT batch_id,
+       {Q.r6('avg(value_mean) OVER w')} AS value_mean_mean,
+       {Q.r6(f'(1 - {DECAY}) * pow({DECAY}, batch_id + 1) * sum(value_mean * pow({DECAY}, -(batch_id + 1))) OVER w')} AS value_mean_ema,
+       {Q.r6('avg(purchase_rate) OVER w')} AS purchase_rate_mean,
+       {Q.r6(f'(1 - {DECAY}) * pow({DECAY}, batch_id + 1) * sum(purchase_rate * pow({DECAY}, -(batch_id + 1))) OVER w')} AS purchase_rate_ema
+FROM b WINDOW w AS (ORDER BY batch_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+def a17_batches(spark, d):
+    """The reference's metric hook: per-batch means (S7 batches of 512 over
+    the dense event id, A8 means) logged as running mean and EMA (A17)."""
+    from quiver.operators.dataset import assign_batch
+    ev = assign_batch(table(spark, d, "events"), 512, dense_key="event_id")
+    per_batch = ev.groupBy("batch_id").agg(
+        F.avg("value").alias("value_mean"),
+        F.avg(F.when(F.col("event_type") == "purchase", 1.0).otherwise(0.0)).alias("purchase_rate"))
+    r = running_stats(per_batch, "batch_id", ["value_mean", "purchase_rate"], decay=DECAY)
+    return r.select("batch_id", *[round6(F.col(c)).alias(c) for c in
+                                  ("value_mean_mean", "value_mean_ema", "purchase_rate_mean", "purchase_rate_ema")])
