@@ -4,14 +4,14 @@ features, over an event table keyed by entity and time.
 Skew: one entity may own a large share of all events. Range windows are
 therefore partitioned by (entity, time bucket), never by entity alone. Each
 event is also copied, as a read-only "halo" row, into the following buckets
-its longest horizon reaches, so every bucket holds the complete history its
-own rows need. With the bucket as wide as the longest horizon the copy
-factor is 2; narrower buckets cut a hot entity finer at a larger copy factor.
+its longest horizon reaches (and no others), so every bucket holds the
+complete history its own rows need. With the bucket as wide as the longest
+horizon the copy factor is at most 2; narrower buckets cut a hot entity
+finer at a larger copy factor, wider ones copy less.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -27,18 +27,20 @@ def multi_horizon(df: DataFrame, key: str, ts: str, horizons_hours: Sequence[int
                   value_cols: Sequence[str] = (), bucket_hours: int | None = None,
                   name: str = "{m}_{h}h") -> DataFrame:
     """Per event, count (and sum of each value column) of the same key's
-    events in ``(t - h, t]``... inclusive of ``t - h`` exactly like a SQL
-    ``RANGE BETWEEN h PRECEDING AND CURRENT ROW`` frame.
+    events in ``[t - h, t]``, like a SQL ``RANGE BETWEEN h PRECEDING AND
+    CURRENT ROW`` frame.
 
     Output: the input columns plus ``cnt_<h>h`` and ``<v>_sum_<h>h`` (names via
     ``name`` with m in {cnt, <v>_sum})."""
     hs = sorted(int(h) for h in horizons_hours)
     max_us = hs[-1] * HOUR_US
     b_us = (bucket_hours or hs[-1]) * HOUR_US
-    n_halo = math.ceil(max_us / b_us)
     cols = df.columns
     base = df.withColumn("_us", epoch_micros(ts)).withColumn("_b", F.floor(F.col("_us") / F.lit(b_us)))
-    copies = base.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_halo))).alias("_k")) \
+    # an event at t in bucket b is history for bucket b+k while that bucket
+    # starts no later than t + H: k <= floor((t + H) / B) - b
+    last_k = F.floor((F.col("_us") + F.lit(max_us)) / F.lit(b_us)) - F.col("_b")
+    copies = base.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), last_k)).alias("_k")) \
                  .withColumn("_pb", F.col("_b") + F.col("_k"))
     w = Window.partitionBy(key, "_pb").orderBy("_us")
     out = []
