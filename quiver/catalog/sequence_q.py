@@ -63,8 +63,28 @@ def q2s(spark, d):
     return s.select("user_id", round6(F.element_at(A.masked_mean_pool_one(seqs, "mask", 1), 1)).alias("pooled"))
 
 
-@query("Q3_self_attention_pool")
+Q3_SQL = f"""
+WITH t AS (SELECT label, vec_id, embedding,
+                  row_number() OVER (PARTITION BY label ORDER BY vec_id) AS i
+           FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) AS rn FROM embeddings)
+           WHERE rn <= {SEQ}),
+nv AS (SELECT label, count(*) AS n FROM t GROUP BY label),
+e AS (SELECT label, i, generate_subscripts(embedding, 1) AS d, unnest(embedding)::DOUBLE AS x FROM t),
+lg AS (SELECT a.label, a.i, b.i AS j, sum(a.x * b.x) / sqrt({EMB_DIM}.0) AS l
+       FROM e a JOIN e b ON a.label = b.label AND a.d = b.d GROUP BY a.label, a.i, b.i),
+mx AS (SELECT lg.label, i, CASE WHEN max(nv.n) < {SEQ} THEN greatest(max(l), 0.0) ELSE max(l) END AS m
+       FROM lg JOIN nv ON lg.label = nv.label GROUP BY lg.label, i),
+ex AS (SELECT lg.label, lg.i, j, exp(l - m) AS v FROM lg JOIN mx ON lg.label = mx.label AND lg.i = mx.i),
+w AS (SELECT label, i, j, v / (sum(v) OVER (PARTITION BY label, i) + 1e-6) AS w FROM ex),
+o AS (SELECT w.label, w.i, e.d, sum(w.w * e.x) AS y FROM w JOIN e ON w.label = e.label AND w.j = e.i
+      GROUP BY w.label, w.i, e.d)
+SELECT o.label, (o.d - 1)::INTEGER AS dim, {Q.r6('sum(y) / max(nv.n)')} AS pooled
+FROM o JOIN nv ON o.label = nv.label GROUP BY o.label, o.d"""
+
+
+@query("Q3_self_attention_pool", Q3_SQL)
 def q3(spark, d):
     s = emb_sequences(spark, d)
     out = A.self_attention_pool(s, "seq", "mask", keep=["label"])
-    return out.select("label", F.transform("pooled", lambda v: round6(v)).alias("pooled"))
+    return out.select("label", F.posexplode("pooled").alias("dim", "pooled")).select(
+        "label", F.col("dim").cast("int").alias("dim"), round6(F.col("pooled")).alias("pooled"))
