@@ -82,7 +82,14 @@ def s12(spark, d):
     return MD.predict(MD.load_model(path), f, list(LABELS), keep=KEYS)
 
 
-@query("T1_running_stats_stream")
+T1_SQL = X.with_ctes(X.EVENTS_HOURLY_SQL) + f"""
+SELECT 'v' AS metric, step, {Q.r6('v')} AS value,
+       {Q.r6('avg(v) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)')} AS mean,
+       {Q.r6('(1 - 0.99) * pow(0.99, step) * sum(v * pow(0.99, -step)) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)')} AS ema
+FROM events_hourly"""
+
+
+@query("T1_running_stats_stream", T1_SQL)
 def t1(spark, d):
     """A17 as a stream: hourly metrics land as Parquet files in the shared
     folder, a file stream feeds the stateful operator, results append to a
