@@ -22,6 +22,30 @@ DEFAULT_CONF = {
 }
 
 
+def cluster_conf(input_tb: float = 100.0, executors: int = 1000, cores_per_executor: int = 8) -> dict:
+    """Settings for a large cluster (defaults: ~100 TB input, 1,000
+    executors). Shuffle partitions start high and AQE coalesces them to
+    ~256 MiB each, so a stage never holds more than that per task; skewed
+    join partitions above 1 GiB (and 5x the median) are split; scan splits of
+    256 MiB keep ~400k scan tasks for 100 TB."""
+    slots = executors * cores_per_executor
+    initial = max(slots * 3, int(input_tb * 1024 * 1024 / 512))   # ~512 MiB of input per shuffle partition
+    return {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(initial),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * 1024 * 1024),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(1024 * 1024 * 1024),
+        "spark.sql.shuffle.partitions": str(initial),
+        "spark.sql.files.maxPartitionBytes": str(256 * 1024 * 1024),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
+        "spark.sql.session.timeZone": "UTC",
+    }
+
+
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
                   app: str = "quiver", extra: dict | None = None) -> SparkSession:
     """A local[N] session with the defaults above (tests, bench)."""
