@@ -20,6 +20,7 @@ from quiver.functions.transforms import bucketize
 
 def range_cuts(df: DataFrame, key: str, n: int, rel_err: float = 1e-3) -> list[float]:
     """Sorted, distinct cut points splitting ``key`` into about n ranges."""
+    n = min(n, MAX_BUCKETS)
     if n <= 1:
         return []
     qs = [i / n for i in range(1, n)]
@@ -27,16 +28,38 @@ def range_cuts(df: DataFrame, key: str, n: int, rel_err: float = 1e-3) -> list[f
     return sorted({float(c) for c in cuts if c is not None})
 
 
+MAX_BUCKETS = 8192      # bounds the cut list on the driver and the offsets table
+COMPARE_LIMIT = 64      # up to this many cuts: compiled comparisons; above: binary search
+
+
 def default_buckets(df: DataFrame) -> int:
-    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return max(1, min(MAX_BUCKETS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def range_bucket(df: DataFrame, key: str, cuts: Sequence[float], out: str = "_rb") -> DataFrame:
+    """Add the range bucket of ``key``: the number of cuts <= key. Few cuts:
+    a compiled sum of comparisons; many: Spark ML's ``Bucketizer`` (a binary
+    search in the JVM)."""
+    if not cuts:
+        return df.withColumn(out, F.lit(0))
+    if len(cuts) <= COMPARE_LIMIT:
+        return df.withColumn(out, bucketize(F.col(key), cuts))
+    from pyspark.ml.feature import Bucketizer
+    tmp = f"{out}_x"
+    b = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol=tmp, outputCol=f"{out}_d",
+                   handleInvalid="keep")
+    res = b.transform(df.withColumn(tmp, F.col(key).cast("double")))
+    return res.withColumn(out, F.col(f"{out}_d").cast("int")).drop(tmp, f"{out}_d")
 
 
 def cuts_and_totals(df: DataFrame, key: str, n: int, totals: Sequence = (), accuracy: int = 10000
                     ) -> tuple[list[float], list]:
     """One aggregation job: approximate n-quantile cut points of ``key``
     (``percentile_approx``, bounded memory) and any extra aggregates."""
+    n = min(n, MAX_BUCKETS)
     qs = [i / n for i in range(1, n)] if n > 1 else [0.5]
-    row = df.agg(F.percentile_approx(F.col(key).cast("double"), qs, accuracy).alias("_q"), *totals).first()
+    acc = max(accuracy, 10 * n)
+    row = df.agg(F.percentile_approx(F.col(key).cast("double"), qs, acc).alias("_q"), *totals).first()
     cuts = sorted({float(c) for c in (row[0] or []) if c is not None}) if n > 1 else []
     return cuts, list(row[1:])
 
@@ -52,7 +75,7 @@ def running_totals(df: DataFrame, key: str, sum_cols: Sequence[str], n_buckets:
     if cuts is None:
         cuts = range_cuts(df, key, n)
     cols = list(sum_cols)
-    base = df.withColumn("_rb", bucketize(F.col(key), cuts) if cuts else F.lit(0))
+    base = range_bucket(df, key, cuts)
     if with_count:
         base = base.withColumn("_one", F.lit(1).cast("long"))
         cols = cols + ["_one"]

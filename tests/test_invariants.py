@@ -33,6 +33,16 @@ def test_running_totals_many_buckets(spark):
     assert np.allclose([r.cum_v for r in got], np.cumsum(vals[order]))
 
 
+def test_running_totals_binary_search_buckets(spark):
+    rng = np.random.default_rng(6)
+    vals = rng.normal(size=3000)
+    keys = rng.permutation(3000).astype(float)
+    df = spark.createDataFrame([(float(k), float(v)) for k, v in zip(keys, vals)], "k double, v double")
+    got = running_totals(df, "k", ["v"], n_buckets=300).orderBy("k").collect()     # > 64 cuts
+    order = np.argsort(keys)
+    assert np.allclose([r.cum_v for r in got], np.cumsum(vals[order]))
+
+
 def test_pairwise_auc_matches_brute_force_and_symmetry(spark):
     rng = np.random.default_rng(2)
     p = np.round(rng.random(400), 2)           # many ties
