@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 from quiver.functions.transforms import ColumnOrName, _c
 
+# Fixed value of the reference: the masked softmax adds 1e-6 to its sum.
+SOFTMAX_EPS = 1e-6
+
 
 def fixed_length(a: ColumnOrName, n: int, pad=0) -> Column:
     """Truncate or right-pad an array to exactly n slots (NULL -> all pad)."""
@@ -39,7 +42,7 @@ def _sum(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
 
 
-def masked_softmax(logits: ColumnOrName, mask: ColumnOrName, eps: float = 1e-6) -> Column:
+def masked_softmax(logits: ColumnOrName, mask: ColumnOrName, eps: float = SOFTMAX_EPS) -> Column:
     """Q1: exp(l - max l), zeroed where the mask is false, divided by
     (sum + eps). The max runs over all slots, masked ones included."""
     lg = F.transform(_c(logits), lambda v: v.cast("double"))
@@ -80,7 +83,7 @@ def masked_mean_pool(seqs: Sequence[ColumnOrName], masks: Sequence[ColumnOrName]
     return F.concat(*pooled), valid_count(masks)
 
 
-def self_attention_pool_np(seq, mask, eps: float = 1e-6):
+def self_attention_pool_np(seq, mask, eps: float = SOFTMAX_EPS):
     """Q3 for one sequence with numpy: seq [slots, dim], mask [slots].
 
     logits = x x^T / sqrt(dim); row weights = Q1 (max over all slots,

@@ -15,6 +15,12 @@ from pyspark.sql import functions as F
 
 ColumnOrName = Column | str
 
+# Fixed values of the reference: soft buckets use temperature 0.8 and bucket
+# centers between 0.0 and 70.1; the hourly-rate "mean" divides by 0.2.
+SOFT_TEMP = 0.8
+CENTER_RANGE = (0.0, 70.1)
+PAIR_MEAN_DIVISOR_REFERENCE = 0.2
+
 
 def _c(x: ColumnOrName) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -116,7 +122,7 @@ def column_or_default(df: DataFrame, name: str, default: float | int = 0) -> Col
 # --- P18 ------------------------------------------------------------------
 def step_pair_mean(cur: ColumnOrName, last: ColumnOrName, divisor: float = 2.0) -> Column:
     """``(cur + last) / divisor``. The reference divides by 0.2; pass
-    ``divisor=0.2`` for parity."""
+    ``divisor=PAIR_MEAN_DIVISOR_REFERENCE`` for parity."""
     return (_dbl(cur) + _dbl(last)) / F.lit(float(divisor))
 
 
@@ -128,13 +134,13 @@ def cast_int(x: ColumnOrName, first_slot: bool = False) -> Column:
 
 
 # --- P21 ------------------------------------------------------------------
-def bucket_centers(bounds: Sequence[float], lo: float = 0.0, hi: float = 70.1) -> list[float]:
+def bucket_centers(bounds: Sequence[float], lo: float = CENTER_RANGE[0], hi: float = CENTER_RANGE[1]) -> list[float]:
     """P21 on a literal list: midpoints of [lo] + bounds + [hi]."""
     pts = [float(lo)] + [float(b) for b in bounds] + [float(hi)]
     return [(pts[i] + pts[i + 1]) / 2.0 for i in range(len(pts) - 1)]
 
 
-def bucket_centers_col(bounds: Column, lo: float = 0.0, hi: float = 70.1) -> Column:
+def bucket_centers_col(bounds: Column, lo: float = CENTER_RANGE[0], hi: float = CENTER_RANGE[1]) -> Column:
     """P21 on an ``array<double>`` column (bounds fitted per feature)."""
     pts = F.concat(F.array(F.lit(float(lo))), bounds, F.array(F.lit(float(hi))))
     return F.transform(F.sequence(F.lit(1), F.size(pts) - 1),
@@ -142,7 +148,7 @@ def bucket_centers_col(bounds: Column, lo: float = 0.0, hi: float = 70.1) -> Col
 
 
 # --- P22 ------------------------------------------------------------------
-def soft_bucket_weights(x: ColumnOrName, centers: Column, temp: float = 0.8) -> Column:
+def soft_bucket_weights(x: ColumnOrName, centers: Column, temp: float = SOFT_TEMP) -> Column:
     """softmax(-|x - center| / temp) over the centers (max-subtracted)."""
     xv = _dbl(x)
     logits = F.transform(centers, lambda c: -F.abs(xv - c) / F.lit(float(temp)))
@@ -157,6 +163,6 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda u, v: u * v), F.lit(0.0), lambda s, v: s + v)
 
 
-def soft_bucket(x: ColumnOrName, centers: Column, table: Column, temp: float = 0.8) -> Column:
+def soft_bucket(x: ColumnOrName, centers: Column, table: Column, temp: float = SOFT_TEMP) -> Column:
     """Soft-bucket weights dotted with a per-bucket value table."""
     return dot(soft_bucket_weights(x, centers, temp), table)

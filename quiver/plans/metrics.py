@@ -20,7 +20,7 @@ from quiver.session import spread
 
 # Fixed values of the reference's evaluation: accuracy thresholds 0.1 .. 0.9,
 # decision threshold 0.5, a 200-point ROC grid and the 4-point grid
-# 0.08, 0.1, 0.2, 0.5.
+# 0.08, 0.1, 0.2, 0.5; accuracy/precision/recall denominators floored at 1e-5.
 SWEEP_THRESHOLDS = ("0.1", "0.2", "0.3", "0.4", "0.5", "0.6", "0.7", "0.8", "0.9")
 DECISION_THRESHOLD = 0.5
 ROC_POINTS = 200

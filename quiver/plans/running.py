@@ -22,6 +22,10 @@ from pyspark.sql import functions as F
 from quiver.plans.prefix import cuts_and_totals, default_buckets, running_totals
 from quiver.session import cut_lineage
 
+# Fixed values of the reference: EMA decay 0.999 by default, 0.99 from its flag.
+EMA_DECAY_DEFAULT = 0.999
+EMA_DECAY_FLAG = 0.99
+
 
 def ema_block_size(decay: float, max_block: int = 1_000_000) -> int:
     """Largest B with d^(-B) <= e^600 (finite double), capped."""
@@ -30,7 +34,7 @@ def ema_block_size(decay: float, max_block: int = 1_000_000) -> int:
     return max(1, min(max_block, int(600.0 / -math.log(decay))))
 
 
-def running_stats(df: DataFrame, step: str, values: Sequence[str], decay: float = 0.999,
+def running_stats(df: DataFrame, step: str, values: Sequence[str], decay: float = EMA_DECAY_DEFAULT,
                   n_buckets: int | None = None, block: int | None = None) -> DataFrame:
     """For each value column v adds ``<v>_mean`` (running mean) and
     ``<v>_ema``. ``step`` orders the rows and must be unique."""

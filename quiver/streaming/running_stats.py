@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from quiver.plans.running import EMA_DECAY_DEFAULT
+
 OUTPUT_SCHEMA = "metric string, step long, value double, mean double, ema double"
 STATE_SCHEMA = "n long, total double, ema double, last_step long"
 
@@ -44,7 +46,7 @@ def _update(decay: float):
     return fn
 
 
-def running_stats_stream(stream: DataFrame, decay: float = 0.999) -> DataFrame:
+def running_stats_stream(stream: DataFrame, decay: float = EMA_DECAY_DEFAULT) -> DataFrame:
     """``stream`` has columns (metric, step, value); returns a stream of
     (metric, step, value, mean, ema) in append mode."""
     return stream.select("metric", "step", "value").groupBy("metric").applyInPandasWithState(
