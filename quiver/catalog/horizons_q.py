@@ -56,6 +56,17 @@ def x2(spark, d):
     return out.select("event_id", "cum_cnt_day", round6(F.col("cum_value_day")).alias("cum_value_day"))
 
 
+@query("X2_cumulative_in_day_5min_slices", f"""
+SELECT event_id, count(*) OVER w AS cum_cnt_day, {Q.r6('sum(value) OVER w')} AS cum_value_day
+FROM events WINDOW w AS (PARTITION BY user_id, epoch_us(ts) // 86400000000 ORDER BY epoch_us(ts)
+                         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+def x2_fine(spark, d):
+    """X2 with a hot key-day cut into 5-minute slices (same result)."""
+    ev = table(spark, d, "events").select("event_id", "user_id", "ts", "value")
+    out = H.cumulative_in_day(ev, "user_id", "ts", ["value"], slice_minutes=5)
+    return out.select("event_id", "cum_cnt_day", round6(F.col("cum_value_day")).alias("cum_value_day"))
+
+
 @query("X3_entities_per_hour", """
 SELECT epoch_us(ts) // 3600000000 AS hour_id, count(DISTINCT user_id) AS n_entities FROM events GROUP BY 1""")
 def x3(spark, d):
@@ -76,6 +87,15 @@ def x4(spark, d):
     return q.select("prob", round6(F.col("value")).alias("value"))
 
 
+@query("X5_previous_value_hour_slices", """
+SELECT event_id, lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS value_last FROM events""")
+def x5_fine(spark, d):
+    """X5 with a hot key cut into one-hour slices (same result)."""
+    ev = table(spark, d, "events")
+    out = H.previous_value(ev, "user_id", "event_id", ["value"], ts="ts", slice_minutes=60)
+    return out.select("event_id", "value_last")
+
+
 @query("X5_previous_value", """
 SELECT event_id, lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS value_last,
        lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS event_type_last FROM events""")

@@ -52,26 +52,31 @@ def multi_horizon(df: DataFrame, key: str, ts: str, horizons_hours: Sequence[int
     return copies.select(*cols, "_k", *out).filter(F.col("_k") == 0).drop("_k")
 
 
-def cumulative_in_day(df: DataFrame, key: str, ts: str, value_cols: Sequence[str] = ()) -> DataFrame:
+def cumulative_in_day(df: DataFrame, key: str, ts: str, value_cols: Sequence[str] = (),
+                      slice_minutes: int = 60) -> DataFrame:
     """Running count (and sums) of the key's events since the start of the
     event's day (UTC), current row included.
 
-    A hot (key, day) is split by hour: the running total inside each hour is a
-    window on (key, day, hour); earlier hours of the same day come from a table
-    with one row per (key, day, hour), run over at most 24 rows per (key, day)."""
+    A hot (key, day) is split into time slices (``slice_minutes``, default one
+    hour): the running total inside each slice is a window on (key, day,
+    slice); earlier slices of the same day come from a table with one row per
+    (key, day, slice), run over at most 1440 / slice_minutes rows per key-day."""
+    if DAY_US % (slice_minutes * 60_000_000) != 0:
+        raise ValueError("slice_minutes must divide a day")
+    slice_us = slice_minutes * 60_000_000
     cols = df.columns
     base = (df.withColumn("_us", epoch_micros(ts))
               .withColumn("_day", F.floor(F.col("_us") / F.lit(DAY_US)))
-              .withColumn("_hr", F.floor((F.col("_us") % F.lit(DAY_US)) / F.lit(HOUR_US))))
+              .withColumn("_sl", F.floor((F.col("_us") % F.lit(DAY_US)) / F.lit(slice_us))))
     sums = ["_one"] + list(value_cols)
     base = base.withColumn("_one", F.lit(1).cast("long"))
-    w = Window.partitionBy(key, "_day", "_hr").orderBy("_us").rowsBetween(Window.unboundedPreceding, 0)
-    local = base.select(*cols, "_day", "_hr", *[F.sum(c).over(w).alias(f"_l_{c}") for c in sums])
-    tot = base.groupBy(key, "_day", "_hr").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
-    wo = Window.partitionBy(key, "_day").orderBy("_hr").rowsBetween(Window.unboundedPreceding, -1)
-    off = tot.select(key, "_day", "_hr", *[F.coalesce(F.sum(f"_t_{c}").over(wo), F.lit(0)).alias(f"_o_{c}")
+    w = Window.partitionBy(key, "_day", "_sl").orderBy("_us").rowsBetween(Window.unboundedPreceding, 0)
+    local = base.select(*cols, "_day", "_sl", *[F.sum(c).over(w).alias(f"_l_{c}") for c in sums])
+    tot = base.groupBy(key, "_day", "_sl").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
+    wo = Window.partitionBy(key, "_day").orderBy("_sl").rowsBetween(Window.unboundedPreceding, -1)
+    off = tot.select(key, "_day", "_sl", *[F.coalesce(F.sum(f"_t_{c}").over(wo), F.lit(0)).alias(f"_o_{c}")
                                            for c in sums])
-    j = local.join(off, [key, "_day", "_hr"])
+    j = local.join(off, [key, "_day", "_sl"])
     names = {"_one": "cum_cnt_day"}
     names.update({v: f"cum_{v}_day" for v in value_cols})
     return j.select(*cols, *[(F.col(f"_l_{c}") + F.col(f"_o_{c}")).alias(names[c]) for c in sums])
@@ -86,24 +91,25 @@ def entities_per_hour(df: DataFrame, ts: str, entity: str, approx: bool = False)
 
 
 def previous_value(df: DataFrame, key: str, order: str, cols: Sequence[str],
-                   suffix: str = "_last", ts: str | None = None) -> DataFrame:
+                   suffix: str = "_last", ts: str | None = None, slice_minutes: int = 1440) -> DataFrame:
     """The key's previous value of each column (``lag``), NULL for the
     key's first event.
 
-    With ``ts`` the window runs per (key, day), so a hot key is split by day;
-    the first event of a day takes the last event of the key's previous
-    non-empty day from a table with one row per (key, day)."""
+    With ``ts`` the window runs per (key, time slice) -- a day by default --
+    so a hot key is split; the first event of a slice takes the last event of
+    the key's previous non-empty slice from a table with one row per (key,
+    slice). ``order`` must increase with ``ts``."""
     if ts is None:
         w = Window.partitionBy(key).orderBy(order)
         return df.select("*", *[F.lag(c).over(w).alias(f"{c}{suffix}") for c in cols])
-    base = df.withColumn("_day", F.floor(epoch_micros(ts) / F.lit(DAY_US)))
-    w = Window.partitionBy(key, "_day").orderBy(order)
+    base = df.withColumn("_sl", F.floor(epoch_micros(ts) / F.lit(slice_minutes * 60_000_000)))
+    w = Window.partitionBy(key, "_sl").orderBy(order)
     local = base.select("*", F.row_number().over(w).alias("_rn"),
                         *[F.lag(c).over(w).alias(f"_lag_{c}") for c in cols])
-    tail = base.groupBy(key, "_day").agg(F.max_by(F.struct(*cols), F.col(order)).alias("_tail"))
-    wd = Window.partitionBy(key).orderBy("_day")
-    prev = tail.select(key, "_day", F.lag("_tail").over(wd).alias("_prev"))
-    j = local.join(prev, [key, "_day"])
+    tail = base.groupBy(key, "_sl").agg(F.max_by(F.struct(*cols), F.col(order)).alias("_tail"))
+    wd = Window.partitionBy(key).orderBy("_sl")
+    prev = tail.select(key, "_sl", F.lag("_tail").over(wd).alias("_prev"))
+    j = local.join(prev, [key, "_sl"])
     return j.select(*df.columns, *[
         F.when(F.col("_rn") == 1, F.col(f"_prev.{c}")).otherwise(F.col(f"_lag_{c}")).alias(f"{c}{suffix}")
         for c in cols])
