@@ -15,8 +15,9 @@ ORACLE: dict[str, str] = {}
 
 def query(key: str, sql: str | None = None):
     def deco(fn: QueryFn) -> QueryFn:
-        if key in QUERIES:
-            raise ValueError(f"duplicate query key {key}")
+        old = QUERIES.get(key)
+        if old is not None and (old.__module__, old.__qualname__) != (fn.__module__, fn.__qualname__):
+            raise ValueError(f"duplicate query key {key}")   # a module reload re-registers silently
         QUERIES[key] = fn
         if sql is not None:
             ORACLE[key] = sql
