@@ -62,6 +62,13 @@ def s5(spark, d):
     return D.shuffle_rows(table(spark, d, "lineitem").select(*LI_KEYS), LI_KEYS, seed=7)
 
 
+@query("S5_shuffle_approximate", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem")
+def s5_approx(spark, d):
+    """S5 like a shuffle buffer: random partitions, random order inside each;
+    the row multiset is unchanged."""
+    return D.shuffle_partitions(table(spark, d, "lineitem").select(*LI_KEYS), 8, seed=7)
+
+
 @query("S6_repeat", """
 SELECT l_orderkey, l_linenumber, l_quantity, e.range AS epoch FROM lineitem CROSS JOIN range(2) e""")
 def s6(spark, d):
@@ -105,6 +112,15 @@ def s10(spark, d):
                        ["gmv", "cost"], with_clock=False)
 
 
+@query("S10_scored_rows_sampled")
+def s10_sampled(spark, d):
+    """S10 with the service's 10% deterministic hash sample of rows."""
+    from quiver.sources.sink import sample_by_hash
+    rows = scored_rows(X.samples(spark, d), TASKS, "eval", ["l_orderkey", "l_linenumber"],
+                       ["gmv", "cost"], with_clock=False)
+    return sample_by_hash(rows, ["l_orderkey", "l_linenumber", "gmv", "cost"], 0.1)
+
+
 CONTRACT = [Field("user_id", "bigint"), Field("value_raw", "double", 0.0, 20), Field("missing_seq", "bigint", 0, 20)]
 
 
