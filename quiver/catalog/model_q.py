@@ -41,6 +41,30 @@ def m1_linear(spark, d):
     return out.select(*KEYS, round6(F.col("score")).alias("score"))
 
 
+W2A = np.array([[0.5, -0.3], [-0.8, 0.6], [1.1, 0.4]])
+B2A = np.array([0.1, -0.2])
+W2B = np.array([[0.7], [-1.3]])
+B2B = np.array([0.05])
+
+
+def _m1_two_layer_sql() -> str:
+    xs = [f"({Q.compress('gmv')} / 10.0)", "(l_discount * 10.0)", "p"]
+    hid = []
+    for k in range(2):
+        z = " + ".join(f"{x} * {float(W2A[i, k])!r}" for i, x in enumerate(xs)) + f" + {float(B2A[k])!r}"
+        hid.append(f"CASE WHEN ({z}) > 0 THEN ({z}) ELSE 0.2 * ({z}) END")
+    out = " + ".join(f"({h}) * {float(W2B[k, 0])!r}" for k, h in enumerate(hid)) + f" + {float(B2B[0])!r}"
+    return X.with_ctes(X.SAMPLES_SQL) + f"SELECT {KS}, {Q.r6(f'1.0 / (1.0 + exp(-({out})))')} AS score FROM samples"
+
+
+@query("M1_score_dense_2layer", _m1_two_layer_sql())
+def m1_two(spark, d):
+    """M1 with one leaky-ReLU hidden layer (slope 0.2) and a sigmoid output."""
+    f = _features(spark, d)
+    out = MD.score_dense(f, ["x1", "x2", "x3"], [(W2A, B2A), (W2B, B2B)], keep=KEYS)
+    return out.select(*KEYS, round6(F.col("score")).alias("score"))
+
+
 @query("M1_score_dense_tower")
 def m1_tower(spark, d):
     f = _features(spark, d)
