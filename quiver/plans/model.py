@@ -73,7 +73,11 @@ def fit_two_tasks(df: DataFrame, bucket_cols: Sequence[str], labels: Mapping[str
                   pos_weight: float = 2.0, max_iter: int = 50, reg: float = 0.0) -> PipelineModel:
     """M2: one-hot bucket ids -> one vector -> a logistic model per task, with
     positive rows weighted ``pos_weight`` (the reference's cross-entropy
-    weight). ``labels`` maps task -> binary label column."""
+    weight). ``labels`` maps task -> binary label column.
+
+    This is the reference's training step re-aimed at Spark ML: a linear
+    model on one-hot buckets, not the reference's 512-256-64 network, so it
+    does not reach the same optimum."""
     stages = [OneHotEncoder(inputCols=list(bucket_cols), outputCols=[f"{c}_oh" for c in bucket_cols],
                             handleInvalid="keep"),
               VectorAssembler(inputCols=[f"{c}_oh" for c in bucket_cols], outputCol="features")]
