@@ -142,6 +142,22 @@ def a7b(spark, d):
     return out.select("batch_id", round6(F.col("auc")).alias("auc"))
 
 
+@query("A7_pairwise_auc_in_batches_graded", SD + f"""
+, g AS (SELECT doc_id // 64 AS batch_id, p, 2.0 * label + toxic AS gr, p > 0.05 AS m FROM scored_docs),
+bs AS (SELECT DISTINCT batch_id FROM g),
+pr AS (SELECT a.batch_id, sum({PAIR_SQL}) AS conc, count(*) AS pairs
+       FROM g a JOIN g b ON a.batch_id = b.batch_id AND a.gr > b.gr WHERE a.m AND b.m GROUP BY 1)
+SELECT bs.batch_id, {Q.r6('coalesce(conc / pairs, 1.0)')} AS auc FROM bs LEFT JOIN pr ON bs.batch_id = pr.batch_id""")
+def a7bg(spark, d):
+    """A7 in batches of 64 documents with graded labels (2 * quality + toxic)
+    and a mask (score above 0.05) -- the reference's in-batch form."""
+    s = X.scored_docs(spark, d).select(F.floor(F.col("doc_id") / 64).cast("bigint").alias("batch_id"), "p",
+                                      (F.col("label") * 2.0 + F.col("toxic")).alias("graded"),
+                                      F.when(F.col("p") > 0.05, 1.0).otherwise(0.0).alias("mask"))
+    out = M.pairwise_auc_in_batches(s, "p", "graded", "batch_id", mask="mask")
+    return out.select("batch_id", round6(F.col("auc")).alias("auc"))
+
+
 @query("A8_mean_metrics", S + f"""
 SELECT {Q.r6('avg(gmv)')} AS mean_gmv, {Q.r6('avg(cost)')} AS mean_cost, {Q.r6('avg(roi1)')} AS mean_roi1,
        {Q.r6('avg(p)')} AS mean_p FROM samples""")

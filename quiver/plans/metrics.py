@@ -138,10 +138,7 @@ def pairwise_auc(df: DataFrame, pred: str, label: str, mask: str | None = None,
     levels is read from the data and must stay small (<= 64)."""
     src = df if mask is None else df.filter(_dbl(mask) > 0)
     src = src.select(_dbl(pred).alias("_p"), _dbl(label).alias("_l"))
-    levels = [r[0] for r in src.select("_l").distinct().orderBy("_l").limit(65).collect()]
-    levels = [v for v in levels if v is not None]
-    if len(levels) > 64:
-        raise ValueError("pairwise_auc: more than 64 label levels")
+    levels = _label_levels(src)
     if len(levels) < 2:
         return df.sparkSession.range(1).select(F.lit(1.0).alias("auc"))
     cnt = [F.count_if(F.col("_l") == F.lit(v)).cast("double").alias(f"c{i}") for i, v in enumerate(levels)]
@@ -166,15 +163,45 @@ def pairwise_auc(df: DataFrame, pred: str, label: str, mask: str | None = None,
     return tot.select(F.when(pairs > 0.5, F.col("conc") / pairs).otherwise(F.lit(1.0)).alias("auc"))
 
 
-def pairwise_auc_in_batches(df: DataFrame, pred: str, label: str, batch: str) -> DataFrame:
-    """A7 per batch, as the reference computes it (batches have a bounded
-    size, e.g. 512 rows, so a window per batch is bounded too). Binary labels."""
-    y = _dbl(label) > 0.5
-    g = (df.select(batch, _dbl(pred).alias("_p"), y.alias("_y"))
-         .groupBy(batch, "_p").agg(F.count_if("_y").cast("double").alias("pos"),
-                                   F.count_if(~F.col("_y")).cast("double").alias("neg")))
-    return _auc_from_bins(g.withColumnRenamed("_p", "bin"), [batch]).select(
-        batch, F.coalesce("auc", F.lit(1.0)).alias("auc"))
+def _label_levels(src: DataFrame) -> list:
+    levels = [r[0] for r in src.select("_l").distinct().orderBy("_l").limit(65).collect()]
+    levels = [v for v in levels if v is not None]
+    if len(levels) > 64:
+        raise ValueError("pairwise_auc: more than 64 label levels")
+    return levels
+
+
+def pairwise_auc_in_batches(df: DataFrame, pred: str, label: str, batch: str, mask: str | None = None
+                            ) -> DataFrame:
+    """A7 per batch, as the reference computes it: within each batch, over
+    ordered pairs with label_i > label_j (graded labels allowed), the share
+    with pred_i > pred_j plus half the ties; 1.0 for a batch without pairs;
+    rows with mask <= 0 take no part. Batches have a bounded size (e.g. 512
+    rows), so a window per batch is bounded too."""
+    src = df if mask is None else df.filter(_dbl(mask) > 0)
+    src = src.select(batch, _dbl(pred).alias("_p"), _dbl(label).alias("_l")).filter(
+        F.col("_p").isNotNull() & F.col("_l").isNotNull())
+    batches = df.select(batch).distinct()
+    levels = _label_levels(src)
+    if len(levels) < 2:
+        return batches.select(batch, F.lit(1.0).alias("auc"))
+    cnt = [F.count_if(F.col("_l") == F.lit(v)).cast("double").alias(f"c{i}") for i, v in enumerate(levels)]
+    g = src.groupBy(batch, "_p").agg(*cnt)
+    w = Window.partitionBy(batch).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    below = g.select("*", *[F.coalesce(F.sum(f"c{i}").over(w), F.lit(0.0)).alias(f"b{i}")
+                            for i in range(len(levels))])
+    conc = F.lit(0.0)
+    for a in range(1, len(levels)):
+        lower_below = sum((F.col(f"b{b}") for b in range(a)), F.lit(0.0))
+        lower_tie = sum((F.col(f"c{b}") for b in range(a)), F.lit(0.0))
+        conc = conc + F.col(f"c{a}") * (lower_below + lower_tie / 2.0)
+    per = below.groupBy(batch).agg(F.sum(conc).alias("conc"), *[F.sum(f"c{i}").alias(f"n{i}")
+                                                               for i in range(len(levels))])
+    pairs = F.lit(0.0)
+    for a in range(1, len(levels)):
+        pairs = pairs + F.col(f"n{a}") * sum((F.col(f"n{b}") for b in range(a)), F.lit(0.0))
+    res = per.select(batch, F.when(pairs > 0.5, F.col("conc") / pairs).alias("auc"))
+    return batches.join(res, batch, "left").select(batch, F.coalesce("auc", F.lit(1.0)).alias("auc"))
 
 
 # --- A16 --------------------------------------------------------------------
