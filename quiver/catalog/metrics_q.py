@@ -172,9 +172,12 @@ def _roi_frame(spark, d):
                     L.log_tail("roi1").alias("reg_label"), L.log_tail(F.greatest(F.col("p"), F.lit(0.0))).alias("reg_pred"))
 
 
+def _acc_sql(t: str, y: str) -> str:
+    return Q.r6(f"avg(CASE WHEN (CASE WHEN p >= {t} THEN 1.0 ELSE 0.0 END) = ({y}) THEN 1.0 ELSE 0.0 END)")
+
+
 @query("A9_accuracy_sweep", S + "SELECT " + ", ".join(
-    f"{Q.r6(f'avg(CASE WHEN (CASE WHEN p >= {t} THEN 1.0 ELSE 0.0 END) = ({BIN_SQL[chr(114) + chr(111) + chr(105) + chr(49)]}) THEN 1.0 ELSE 0.0 END)')} AS \"acc_threshold_{t}\""
-    for t in M.SWEEP_THRESHOLDS) + " FROM samples")
+    f'{_acc_sql(t, BIN_SQL["roi1"])} AS "acc_threshold_{t}"' for t in M.SWEEP_THRESHOLDS) + " FROM samples")
 def a9(spark, d):
     r = _roi_frame(spark, d)
     out = r.agg(*M.accuracy_sweep("p", "y"))
@@ -207,8 +210,15 @@ c AS (SELECT pos, neg, coalesce(sum(neg) OVER (ORDER BY bin ROWS BETWEEN UNBOUND
 SELECT {Q.r6('sum(pos * (nb + neg / 2.0)) / (sum(pos) * sum(neg))')} AS auc FROM c"""
 
 
-ROC_BIN_SQL = "least(greatest(ceil(p * 199.0), 0), 200)::INTEGER"
-GRID4_BIN_SQL = "(" + " + ".join(f"CASE WHEN p > {t} THEN 1 ELSE 0 END" for t in M.GRID4) + ")"
+def roc_bin_sql(p: str) -> str:
+    return f"least(greatest(ceil({p} * 199.0), 0), 200)::INTEGER"
+
+
+def grid4_bin_sql(p: str) -> str:
+    return "(" + " + ".join(f"CASE WHEN {p} > {t} THEN 1 ELSE 0 END" for t in M.GRID4) + ")"
+
+
+ROC_BIN_SQL, GRID4_BIN_SQL = roc_bin_sql("p"), grid4_bin_sql("p")
 
 
 @query("A12_binned_auc", _auc_sql(ROC_BIN_SQL, BIN_SQL["roi1"]))
@@ -261,8 +271,7 @@ def _a16_sql() -> str:
         FROM t GROUP BY task)"""
 
     def auc_cte(name, bin_expr):
-        b = bin_expr.replace("p ", "score ").replace("p *", "score *")
-        return f"""{name}_b AS (SELECT task, {b} AS bin, sum(CASE WHEN binary_label > 0.5 THEN 1.0 ELSE 0.0 END) AS pos,
+        return f"""{name}_b AS (SELECT task, {bin_expr} AS bin, sum(CASE WHEN binary_label > 0.5 THEN 1.0 ELSE 0.0 END) AS pos,
                  sum(CASE WHEN binary_label > 0.5 THEN 0.0 ELSE 1.0 END) AS neg FROM t GROUP BY task, bin),
 {name}_c AS (SELECT task, pos, neg, coalesce(sum(neg) OVER (PARTITION BY task ORDER BY bin
              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS nb FROM {name}_b),
@@ -271,8 +280,8 @@ def _a16_sql() -> str:
          FROM m JOIN roc ON m.task = roc.task JOIN grid4 ON m.task = grid4.task)"""
     sel = " UNION ALL ".join(f"SELECT task, '{k}' AS metric, {Q.r6(chr(34) + k + chr(34))} AS value FROM w"
                              for k in M.REPORT_METRICS)
-    return (S + ", " + t + ",\n" + m + ",\n" + auc_cte("roc", ROC_BIN_SQL) + ",\n" +
-            auc_cte("grid4", GRID4_BIN_SQL) + ",\n" + w + "\n" + sel)
+    return (S + ", " + t + ",\n" + m + ",\n" + auc_cte("roc", roc_bin_sql("score")) + ",\n" +
+            auc_cte("grid4", grid4_bin_sql("score")) + ",\n" + w + "\n" + sel)
 
 
 @query("A16_evaluation_report", _a16_sql())

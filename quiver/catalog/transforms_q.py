@@ -71,7 +71,7 @@ LOG_1D = {"l_extendedprice": PRICE_BOUNDS}
 
 @query("P5_bucket_features_1d", f"""
 SELECT {KEYS_SQL},
-       {Q.bucket(Q.compress('l_discount'), DISC_BOUNDS).replace(Q.compress('l_discount'), 'l_discount::FLOAT::DOUBLE')} AS b_l_discount,
+       {Q.bucket('l_discount::FLOAT::DOUBLE', DISC_BOUNDS)} AS b_l_discount,
        {Q.bucket(Q.compress('l_extendedprice'), PRICE_BOUNDS)} AS b_l_extendedprice,
        {Q.bucket('l_quantity::FLOAT::DOUBLE', QTY_BOUNDS)} AS b_l_quantity
 FROM lineitem""")
