@@ -71,7 +71,11 @@ def date_holdout(df: DataFrame, date_col: str, unit: str = "day") -> DataFrame:
 def holdout_paths(paths: str) -> tuple[str, str]:
     """S8 on path lists: per ``|``-separated entry ``base/{d1,d2,..}/part-*``
     (or ``/*``), the last date becomes the eval glob and earlier dates (or the
-    day before, with one date) the train glob."""
+    day before, with one date) the train glob.
+
+    The file pattern is kept as given; the reference rewrites every pattern
+    other than ``/*`` to ``part-*`` and strips it with a character-set
+    ``rstrip`` that mis-parses patterns such as ``part-0000*``."""
     train, evals = [], []
     for p in paths.split("|"):
         parts = p.rstrip("/").split("/")
