@@ -163,3 +163,26 @@ def a17_batches(spark, d):
     r = running_stats(per_batch, "batch_id", ["value_mean", "purchase_rate"], decay=DECAY)
     return r.select("batch_id", *[round6(F.col(c)).alias(c) for c in
                                   ("value_mean_mean", "value_mean_ema", "purchase_rate_mean", "purchase_rate_ema")])
+
+
+X4_FEATURES = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+
+
+def _x4_by_sql() -> str:
+    probs = ", ".join(repr(p) for p in X4_PROBS)
+    parts = " UNION ALL ".join(f"SELECT '{f}' AS feature, {f}::DOUBLE AS value FROM lineitem" for f in X4_FEATURES)
+    return (f"WITH lg AS ({parts}),\nq AS (SELECT feature, quantile_cont(value, [{probs}]::DOUBLE[]) AS qs "
+            f"FROM lg GROUP BY feature)\n"
+            f"SELECT feature, unnest([{probs}]::DOUBLE[]) AS prob, unnest(list_transform(qs, lambda v: {Q.r6('v')})) "
+            f"AS value FROM q")
+
+
+@query("X4_fit_bounds_per_feature", _x4_by_sql())
+def x4_by(spark, d):
+    """X4 for several features in one job, on the long-form table (the way
+    bounds for a wide feature set are fitted)."""
+    from quiver.operators.features import to_long
+    from quiver.plans.running import exact_quantiles_by
+    long = to_long(table(spark, d, "lineitem"), [], list(X4_FEATURES))
+    q = exact_quantiles_by(long, "feature", "value", X4_PROBS, n_buckets=8)
+    return q.select("feature", "prob", round6(F.col("value")).alias("value"))

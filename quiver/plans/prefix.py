@@ -93,3 +93,34 @@ def running_totals(df: DataFrame, key: str, sum_cols: Sequence[str], n_buckets:
     sel = [F.col(c) for c in df.columns] + [
         (F.col(f"_loc_{c}") + F.col(f"_off_{c}")).alias(names[c]) for c in cols]
     return out.select(*sel)
+
+
+def running_totals_by(df: DataFrame, group: str, key: str, sum_cols: Sequence[str], n_buckets: int = 16,
+                      prefix: str = "cum_", accuracy: int = 10000) -> DataFrame:
+    """``running_totals`` restarted per ``group`` (e.g. per feature).
+
+    Each group gets its own range cut points (``percentile_approx`` grouped
+    by ``group``: one pass, bounded memory per group), so a large group is
+    spread over up to ``n_buckets`` windows; the offsets of earlier buckets
+    come from a table with one row per (group, bucket). ``key`` must be
+    unique within a group (aggregate first)."""
+    n = max(1, min(n_buckets, COMPARE_LIMIT + 1))
+    cols = list(sum_cols)
+    if n > 1:
+        qs = [i / n for i in range(1, n)]
+        cuts = df.groupBy(group).agg(
+            F.array_sort(F.array_distinct(F.percentile_approx(F.col(key).cast("double"), qs, accuracy)))
+            .alias("_cuts"))
+        base = df.join(cuts, group).withColumn("_rb", bucketize(F.col(key), F.col("_cuts"), max_len=n - 1)) \
+                 .drop("_cuts")
+    else:
+        base = df.withColumn("_rb", F.lit(0))
+    w = Window.partitionBy(group, "_rb").orderBy(key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = base.select(*base.columns, *[F.sum(c).over(w).alias(f"_loc_{c}") for c in cols])
+    totals = base.groupBy(group, "_rb").agg(*[F.sum(c).alias(f"_tot_{c}") for c in cols])
+    wo = Window.partitionBy(group).orderBy("_rb").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(group, "_rb", *[F.coalesce(F.sum(f"_tot_{c}").over(wo), F.lit(0)).alias(f"_off_{c}")
+                                            for c in cols])
+    out = local.join(offsets, [group, "_rb"])
+    return out.select(*[F.col(c) for c in df.columns],
+                      *[(F.col(f"_loc_{c}") + F.col(f"_off_{c}")).alias(f"{prefix}{c}") for c in cols])

@@ -185,3 +185,19 @@ def test_serve_rejects_contract_violation(spark):
     assert ok.count() == f.count()
     with pytest.raises(ValueError):
         jobs.serve(model, f, [Field("b_price", "bigint")], list(LABELS))
+
+
+def test_running_totals_by_group_with_a_hot_group(spark):
+    from quiver.plans.prefix import running_totals_by
+    rng = np.random.default_rng(7)
+    groups = np.where(rng.random(2000) < 0.7, "hot", rng.choice(["a", "b", "c"], 2000))
+    keys = rng.permutation(2000).astype(float)
+    vals = rng.normal(size=2000)
+    df = spark.createDataFrame([(str(g), float(k), float(v)) for g, k, v in zip(groups, keys, vals)],
+                               "g string, k double, v double")
+    got = {(r.g, r.k): r.cum_v for r in running_totals_by(df, "g", "k", ["v"], n_buckets=9).collect()}
+    for g in set(groups):
+        idx = np.where(groups == g)[0]
+        order = idx[np.argsort(keys[idx])]
+        expect = np.cumsum(vals[order])
+        assert np.allclose([got[(g, keys[i])] for i in order], expect)
