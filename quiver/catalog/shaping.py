@@ -81,6 +81,14 @@ def s7(spark, d):
     return D.assign_batch(table(spark, d, "events").select("event_id"), 512, dense_key="event_id")
 
 
+@query("S7_assign_batch_by_rank", """
+SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 64 AS batch_id FROM labels""")
+def s7_rank(spark, d):
+    """S7 on a unique but sparse key (labelled documents): consecutive
+    batches of 64 by rank, ranks from distributed running counts."""
+    return D.assign_batch(table(spark, d, "labels").select("doc_id"), 64, order_key="doc_id")
+
+
 @query("S8_date_holdout", """
 SELECT l_orderkey, l_linenumber, l_partkey,
        CASE WHEN l_shipdate::DATE = (SELECT max(l_shipdate::DATE) FROM lineitem) THEN 'eval' ELSE 'train' END AS split

@@ -41,12 +41,19 @@ def repeat(df: DataFrame, n: int | None) -> DataFrame:
 
 
 def assign_batch(df: DataFrame, size: int, dense_key: str | None = None, hash_key: list[str] | None = None,
-                 n_batches: int | None = None) -> DataFrame:
+                 n_batches: int | None = None, order_key: str | None = None) -> DataFrame:
     """Batch ids. With a dense 0-based key: floor(key / size), i.e.
-    consecutive groups of ``size`` with a short last one. Without one: a hash
+    consecutive groups of ``size`` with a short last one. With a unique
+    (not necessarily dense) numeric ``order_key``: the same on its rank, which
+    comes from distributed running counts over range buckets. Otherwise a hash
     of the key into ``n_batches``. Never a global row_number."""
     if dense_key is not None:
         return df.withColumn("batch_id", F.floor(F.col(dense_key) / F.lit(size)).cast("bigint"))
+    if order_key is not None:
+        from quiver.plans.prefix import running_totals
+        ranked = running_totals(df, order_key, [], with_count="_rank")
+        return ranked.withColumn("batch_id", F.floor((F.col("_rank") - 1) / F.lit(size)).cast("bigint")) \
+                     .drop("_rank")
     if not hash_key or not n_batches:
         raise ValueError("need dense_key, or hash_key and n_batches")
     return df.withColumn("batch_id", F.pmod(F.xxhash64(*[F.col(c) for c in hash_key]), F.lit(n_batches)))

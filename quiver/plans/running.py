@@ -35,9 +35,11 @@ def ema_block_size(decay: float, max_block: int = 1_000_000) -> int:
 
 
 def running_stats(df: DataFrame, step: str, values: Sequence[str], decay: float = EMA_DECAY_DEFAULT,
-                  n_buckets: int | None = None, block: int | None = None) -> DataFrame:
+                  n_buckets: int | None = None, block: int | None = None, log_every: int = 1) -> DataFrame:
     """For each value column v adds ``<v>_mean`` (running mean) and
-    ``<v>_ema``. ``step`` orders the rows and must be unique."""
+    ``<v>_ema``. ``step`` orders the rows and must be unique. ``log_every``
+    keeps every k-th step only (the hook's logging interval); the statistics
+    still run over all steps."""
     d = float(decay)
     B = block or ema_block_size(d)
     # positions 1..N and running sums, distributed over range buckets
@@ -66,6 +68,8 @@ def running_stats(df: DataFrame, step: str, values: Sequence[str], decay: float
         do = F.pow(F.lit(d), F.col("_o"))
         out.append((F.col(f"cum_{v}") / F.col("_pos")).alias(f"{v}_mean"))
         out.append((do * F.col(f"_c_{v}") + F.lit(1.0 - d) * do * F.col(f"_loc_{v}")).alias(f"{v}_ema"))
+    if log_every > 1:
+        j = j.filter(F.col("_pos") % F.lit(log_every) == 0)
     return j.select(*out)
 
 

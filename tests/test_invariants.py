@@ -201,3 +201,18 @@ def test_running_totals_by_group_with_a_hot_group(spark):
         order = idx[np.argsort(keys[idx])]
         expect = np.cumsum(vals[order])
         assert np.allclose([got[(g, keys[i])] for i in order], expect)
+
+
+def test_running_stats_log_every_keeps_full_statistics(spark):
+    df = spark.createDataFrame([(i + 1, float(i % 7)) for i in range(100)], "step long, v double")
+    full = {r.step: r.v_ema for r in running_stats(df, "step", ["v"], decay=0.9).collect()}
+    logged = {r.step: r.v_ema for r in running_stats(df, "step", ["v"], decay=0.9, log_every=10).collect()}
+    assert sorted(logged) == list(range(10, 101, 10))
+    assert all(abs(logged[k] - full[k]) < 1e-12 for k in logged)
+
+
+def test_assign_batch_by_rank(spark):
+    from quiver.operators.dataset import assign_batch
+    df = spark.createDataFrame([(k,) for k in [5, 9, 40, 41, 100, 101, 300]], "k long")
+    got = {r.k: r.batch_id for r in assign_batch(df, 3, order_key="k").collect()}
+    assert got == {5: 0, 9: 0, 40: 0, 41: 1, 100: 1, 101: 1, 300: 2}
