@@ -68,8 +68,12 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
     On a cluster ``spark.checkpoint.dir`` points at shared storage and is used
     as is. Only when it is unset (local tests) a scratch folder is set.
     """
-    sc = spark.sparkContext
-    d = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 -- a Spark Connect session has no SparkContext
+        return conf_dir or fallback or ""
+    d = sc.getCheckpointDir() or conf_dir
     if not d:
         import tempfile
         d = fallback or tempfile.mkdtemp(prefix="quiver-ckpt-")
@@ -89,8 +93,12 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Round-robin repartition when the input has fewer partitions than the
     cluster has cores (e.g. one large unsplittable file). Used before
     CPU-heavy stages only; on inputs with many splits it does nothing."""
-    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+    try:
+        want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 -- no RDD view (Spark Connect): leave the plan as is
+        return df
+    return df.repartition(want) if have < want else df
 
 
 def epoch_micros(ts: Column | str) -> Column:
