@@ -216,3 +216,17 @@ def test_assign_batch_by_rank(spark):
     df = spark.createDataFrame([(k,) for k in [5, 9, 40, 41, 100, 101, 300]], "k long")
     got = {r.k: r.batch_id for r in assign_batch(df, 3, order_key="k").collect()}
     assert got == {5: 0, 9: 0, 40: 0, 41: 1, 100: 1, 101: 1, 300: 2}
+
+
+def test_date_partitions_are_pruned(spark, tmp_path):
+    from quiver.operators.dataset import date_holdout
+    from quiver.sources.reader import read_samples
+    s = X.samples(spark, SF).withColumn("p_date", F.date_format("l_shipdate", "yyyyMMdd"))
+    s.filter("l_shipdate >= '2001-10-01'").write.partitionBy("p_date").parquet(str(tmp_path / "daily"))
+    df = read_samples(spark, str(tmp_path / "daily"))
+    picked = df.filter(F.col("p_date") == "20011015")
+    plan = picked._sc._jvm.PythonSQLUtils.explainString(picked._jdf.queryExecution(), "formatted")
+    assert "PartitionFilters: [isnotnull(p_date" in plan and "20011015" in plan
+    held = date_holdout(df, "l_shipdate")
+    last = s.filter("l_shipdate >= '2001-10-01'").agg(F.max(F.to_date("l_shipdate"))).first()[0]
+    assert held.filter("split = 'eval'").count() == df.filter(F.to_date("l_shipdate") == F.lit(last)).count()
