@@ -8,6 +8,7 @@ model; S12 saves and loads it."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 import numpy as np
@@ -70,20 +71,34 @@ def score_dense(df: DataFrame, features: Sequence[str], layers: Sequence[tuple[n
 
 
 def fit_two_tasks(df: DataFrame, bucket_cols: Sequence[str], labels: Mapping[str, str],
-                  pos_weight: float = 2.0, max_iter: int = 50, reg: float = 0.0) -> PipelineModel:
+                  pos_weight: float = 2.0, max_iter: int = 50, reg: float = 0.0,
+                  aggregate: bool = True) -> PipelineModel:
     """M2: one-hot bucket ids -> one vector -> a logistic model per task, with
     positive rows weighted ``pos_weight`` (the reference's cross-entropy
     weight). ``labels`` maps task -> binary label column.
 
     This is the reference's training step re-aimed at Spark ML: a linear
     model on one-hot buckets, not the reference's 512-256-64 network, so it
-    does not reach the same optimum."""
+    does not reach the same optimum.
+
+    ``aggregate``: rows with the same bucket ids and labels are the same
+    input to the model, so they are merged into one row whose weight is
+    their summed weight -- the weighted log-likelihood, hence the optimum, is
+    unchanged. The fit then reads one row per distinct (buckets, labels)
+    combination, bounded by the bucket counts, instead of every sample on
+    every optimizer iteration."""
+    label_cols = list(dict.fromkeys(labels.values()))
+    data = df.select(*bucket_cols, *label_cols)
+    if aggregate:
+        data = data.groupBy(*bucket_cols, *label_cols).agg(F.count(F.lit(1)).cast("double").alias("_rows"))
+    else:
+        data = data.withColumn("_rows", F.lit(1.0))
     stages = [OneHotEncoder(inputCols=list(bucket_cols), outputCols=[f"{c}_oh" for c in bucket_cols],
                             handleInvalid="keep"),
               VectorAssembler(inputCols=[f"{c}_oh" for c in bucket_cols], outputCol="features")]
-    data = df.select(*bucket_cols, *labels.values())
     for task, lab in labels.items():
-        data = data.withColumn(f"_w_{task}", F.when(F.col(lab) > 0, F.lit(pos_weight)).otherwise(F.lit(1.0)))
+        data = data.withColumn(f"_w_{task}", F.col("_rows") * F.when(F.col(lab) > 0, F.lit(pos_weight))
+                               .otherwise(F.lit(1.0)))
         stages.append(LogisticRegression(featuresCol="features", labelCol=lab, weightCol=f"_w_{task}",
                                          predictionCol=f"pred_{task}", probabilityCol=f"prob_{task}",
                                          rawPredictionCol=f"raw_{task}", maxIter=max_iter, regParam=reg))
@@ -91,7 +106,15 @@ def fit_two_tasks(df: DataFrame, bucket_cols: Sequence[str], labels: Mapping[str
     # (memory, spilling to disk; lost blocks are recomputed from the lineage)
     data = data.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return Pipeline(stages=stages).fit(data)
+        fit_input = data
+        if aggregate:
+            # every optimizer iteration is a job over this table: size its
+            # partitions by its measured row count (~1M rows each), one task
+            # when the combinations are few, many when nearly every row is
+            # distinct (e.g. with hundreds of features)
+            want = max(1, math.ceil(data.count() / 1_000_000))
+            fit_input = data.coalesce(want)
+        return Pipeline(stages=stages).fit(fit_input)
     finally:
         data.unpersist()
 

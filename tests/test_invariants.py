@@ -230,3 +230,14 @@ def test_date_partitions_are_pruned(spark, tmp_path):
     held = date_holdout(df, "l_shipdate")
     last = s.filter("l_shipdate >= '2001-10-01'").agg(F.max(F.to_date("l_shipdate"))).first()[0]
     assert held.filter("split = 'eval'").count() == df.filter(F.to_date("l_shipdate") == F.lit(last)).count()
+
+
+def test_fit_on_aggregated_rows_matches_row_level_fit(spark):
+    from quiver.catalog.model_q import BUCKETS, LABELS, _features
+    from quiver.plans.model import fit_two_tasks
+    f = _features(spark, SF)
+    agg = fit_two_tasks(f, BUCKETS, LABELS, max_iter=200)
+    row = fit_two_tasks(f, BUCKETS, LABELS, max_iter=200, aggregate=False)
+    for a, b in zip(agg.stages[2:], row.stages[2:]):
+        assert np.allclose(a.coefficients.toArray(), b.coefficients.toArray(), atol=2e-3)
+        assert abs(a.intercept - b.intercept) < 2e-3
