@@ -32,6 +32,8 @@ def absorb(spark: SparkSession, ledger_path: str, checkpoint: str, schema, bytes
     own = spark.newSession()
     own.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     own.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+    own.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")  # many small stores: no space set aside
+    own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))  # a new session has the default
     rows = own.readStream.schema(schema).option("maxBytesPerTrigger", bytes_per_batch).parquet(ledger_path)
     state = rows.groupBy("digest").agg(
         F.max(F.struct("doc_id", "row", "file")).alias("keeper"), F.count(F.lit(1)).alias("n"))
