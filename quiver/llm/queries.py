@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quiver.llm import exact_dedup, nearest, packing, piece_codec, sharding
+from quiver.llm import exact_dedup, near_dedup, nearest, packing, piece_codec, sharding
 from quiver.llm.common import documents
 
 
@@ -32,8 +32,12 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(documents(spark, sf_dir))
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_packing, op6_sharding, op7_piece_codec, op8_nearest, op9_exact_dedup)}
+    f.__name__: f for f in (op4_packing, op6_sharding, op7_piece_codec, op8_nearest, op9_exact_dedup, op10_near_dedup)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
