@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quiver.llm import exact_dedup, near_dedup, nearest, packing, piece_codec, sharding
+from quiver.llm import exact_dedup, near_dedup, nearest, packing, piece_codec, quality, sharding, toxicity
 from quiver.llm.common import documents
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
@@ -37,7 +45,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_packing, op6_sharding, op7_piece_codec, op8_nearest, op9_exact_dedup, op10_near_dedup)}
+    f.__name__: f for f in (op2_quality, op3_toxicity, op4_packing, op6_sharding, op7_piece_codec, op8_nearest, op9_exact_dedup, op10_near_dedup)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
