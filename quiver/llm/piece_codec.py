@@ -47,7 +47,7 @@ class Codec:
     def lookup(self, chunks: list[str]) -> list[tuple[str, int, str]]:
         if self.chars > TABLE_CHARS:
             self.table, self.chars = {}, 0
-        new = list(set(chunks) - self.table.keys())
+        new = [c for c in set(chunks) if c not in self.table]
         keep, found = {}, self.segment(new)
         for c, x in zip(new, found):
             if len(c) <= LONG_CHUNK:
