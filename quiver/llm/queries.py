@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quiver.llm import exact_dedup, near_dedup, nearest, packing, piece_codec, quality, sharding, toxicity
+from quiver.llm import exact_dedup, html_extract, near_dedup, nearest, packing, piece_codec, quality, sharding, toxicity
 from quiver.llm.common import documents
 
 
@@ -23,6 +23,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir))
 
@@ -45,7 +49,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_quality, op3_toxicity, op4_packing, op6_sharding, op7_piece_codec, op8_nearest, op9_exact_dedup, op10_near_dedup)}
+    f.__name__: f for f in (op2_quality, op3_toxicity, op4_packing, op5_html_extract, op6_sharding, op7_piece_codec, op8_nearest, op9_exact_dedup, op10_near_dedup)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
