@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quiver.llm.common import spread_out
+
 
 def fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
@@ -39,3 +41,33 @@ def fit_in_one_task(sample: DataFrame, fit: Callable[[list[bytes], list[int]], d
 
     found = sample.repartition(1).mapInArrow(run, "model binary").collect()
     return pickle.loads(bytes(found[0].model)) if found else None
+
+
+def scored(docs: DataFrame, scorer: Callable, model: dict | None, threshold: float, folds: int, held: int) -> DataFrame:
+    """doc_id, held_out, score, predicted of every row; a row without an id is not held out."""
+    model_everywhere = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = scorer(model_everywhere.value)
+        for b in batches:
+            s = score([t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64()), pa.array((s >= threshold).astype("int32"), pa.int32())],
+                                             ["doc_id", "score", "predicted"])
+
+    src = spread_out(docs).select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
+    out = src.mapInArrow(run, "doc_id long, score double, predicted int")
+    return out.select("doc_id", F.coalesce(fold(F.col("doc_id"), folds) == held, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def passing(docs: DataFrame, scorer: Callable, model: dict | None, keep: Callable) -> DataFrame:
+    """The rows of ``docs`` whose score passes, with all their columns, in one scan."""
+    model_everywhere = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = scorer(model_everywhere.value)
+        for b in batches:
+            s = score([t or b"" for t in b.column(at).cast(pa.binary()).to_pylist()])
+            yield b.filter(pa.array(keep(s), pa.bool_()))
+
+    return spread_out(docs).mapInArrow(run, docs.schema)

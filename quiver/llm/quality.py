@@ -12,16 +12,12 @@ numpy on three quarters of the sample; the rest sets the temperature."""
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from quiver.llm.common import spread_out
-from quiver.llm.fitting import fit_in_one_task, fold, labelled_sample
+from quiver.llm.fitting import fit_in_one_task, labelled_sample, passing, scored
 
 BUCKETS, DIM, NONZERO, REACH, SEGMENT, HIDDEN = 1 << 14, 40, 4, 2, 64, 24
 FIT_ROWS, WORD_TABLE, BLOCK_WORDS = 4000, 200_000, 1 << 18
@@ -214,28 +210,33 @@ def fit(texts: list[bytes], y: list[int]) -> dict:
     return {"vectors": vectors, "net": p}
 
 
-def score(docs: DataFrame, model: dict | None, threshold: float = 0.7) -> DataFrame:
-    """doc_id, score, predicted. Null and empty texts, and texts of white space, score 0: there is
-    nothing of quality in them. Without any labels every other text scores 0.5."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+class Scorer:
+    """Scores of texts under a model. Null and empty texts, and texts of white space, score 0: there is
+    nothing of quality in them. Without any labels to learn from, every other text scores 0.5."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = held.value
-        pooler = Pooler(m["vectors"]) if m else None
-        for b in batches:
-            texts = [t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()]
-            some = np.array([bool(t.strip()) for t in texts], bool)
-            s = np.where(some, 0.5, 0.0)
-            if m and len(texts):
-                x = np.stack([pooler.features(t) for t in texts]).astype(np.float64)
-                s = np.where(some, sigmoid(network(m["net"], x) / m["net"]["temperature"]), 0.0)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))],
-                                             ["doc_id", "score", "predicted"])
+    def __init__(self, model: dict | None):
+        self.model, self.pooler = model, Pooler(model["vectors"]) if model else None
 
-    src = spread_out(docs).select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
-    return src.mapInArrow(run, "doc_id long, score double, predicted int")
+    def __call__(self, texts: list[bytes]) -> np.ndarray:
+        some = np.array([bool(t.strip()) for t in texts], bool)
+        if not self.model or not len(texts):
+            return np.where(some, 0.5, 0.0)
+        x = np.stack([self.pooler.features(t) for t in texts]).astype(np.float64)
+        return np.where(some, sigmoid(network(self.model["net"], x) / self.model["net"]["temperature"]), 0.0)
+
+
+THRESHOLD = 0.7
+
+
+def learn(docs: DataFrame, labels: DataFrame, fit_rows: int, folds: int, held: int) -> dict | None:
+    return fit_in_one_task(labelled_sample(docs, labels, "quality", folds, held, fit_rows), fit)
 
 
 def classify(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, folds: int = 4, held: int = 2) -> DataFrame:
-    model = fit_in_one_task(labelled_sample(docs, labels, "quality", folds, held, fit_rows), fit)
-    return score(docs, model).select("doc_id", F.coalesce(fold(F.col("doc_id"), folds) == held, F.lit(False)).alias("held_out"), "score", "predicted")
+    """doc_id, held_out, score, predicted of every row."""
+    return scored(docs, Scorer, learn(docs, labels, fit_rows, folds, held), THRESHOLD, folds, held)
+
+
+def accepted(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, folds: int = 4, held: int = 2) -> DataFrame:
+    """The rows whose score reaches the threshold, with all their columns."""
+    return passing(docs, Scorer, learn(docs, labels, fit_rows, folds, held), lambda s: s >= THRESHOLD)

@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quiver.llm import exact_dedup, html_extract, near_dedup, nearest, packing, piece_codec, quality, sharding, toxicity
+import corpus_pipeline
+from quiver.llm import exact_dedup, html_extract, katz, near_dedup, nearest, packing, piece_codec, quality, sharding, toxicity
 from quiver.llm.common import documents
 
 
+def op1_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(documents(spark, sf_dir))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -49,7 +54,14 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_quality, op3_toxicity, op4_packing, op5_html_extract, op6_sharding, op7_piece_codec, op8_nearest, op9_exact_dedup, op10_near_dedup)}
+    f.__name__: f for f in (op1_katz, op2_quality, op3_toxicity, op4_packing, op5_html_extract, op6_sharding, op7_piece_codec, op8_nearest, op9_exact_dedup, op10_near_dedup)}
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES["pipeline"] = pipeline
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -57,4 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    sql = {}
+    if corpus_pipeline.ORACLE_SQL:
+        sql["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return sql

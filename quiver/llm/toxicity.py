@@ -11,15 +11,11 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from quiver.llm.common import spread_out
-from quiver.llm.fitting import fit_in_one_task, fold, labelled_sample
+from quiver.llm.fitting import fit_in_one_task, labelled_sample, passing, scored
 
 WINDOW, STRIDE, HIDDEN, ATTENTION = 32, 16, 8, 8
 WORD_DIM, CHAR_DIM, GRAMS, VOCABULARY, LEAST_TEXTS = 6, 6, 1 << 12, 20_000, 10
@@ -304,23 +300,29 @@ def fit(texts: list[bytes], labels: list[int], epochs: int | None = None, rate:
     return m
 
 
-def score(docs: DataFrame, model: dict | None, threshold: float = 0.5) -> DataFrame:
-    """doc_id, score, predicted. Null texts and texts without words score 0, and so does every text where no labels exist to learn from."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+class Scorer:
+    """Scores of texts under a model. Null texts and texts without words score 0, and so does every text where no labels exist to learn from."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(held.value) if held.value else None
-        for b in batches:
-            texts = [t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()]
-            logit = reader.score(texts) if reader else np.full(len(texts), -np.inf)
-            s = np.where(np.isneginf(logit), 0.0, sigmoid(logit))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))],
-                                             ["doc_id", "score", "predicted"])
+    def __init__(self, model: dict | None):
+        self.reader = Reader(model) if model else None
 
-    src = spread_out(docs).select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
-    return src.mapInArrow(run, "doc_id long, score double, predicted int")
+    def __call__(self, texts: list[bytes]) -> np.ndarray:
+        logit = self.reader.score(texts) if self.reader else np.full(len(texts), -np.inf)
+        return np.where(np.isneginf(logit), 0.0, sigmoid(logit))
+
+
+THRESHOLD = 0.5
+
+
+def learn(docs: DataFrame, labels: DataFrame, fit_rows: int, folds: int, held: int) -> dict | None:
+    return fit_in_one_task(labelled_sample(docs, labels, "toxic", folds, held, fit_rows), fit)
 
 
 def classify(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, folds: int = 5, held: int = 0) -> DataFrame:
-    model = fit_in_one_task(labelled_sample(docs, labels, "toxic", folds, held, fit_rows), fit)
-    return score(docs, model).select("doc_id", F.coalesce(fold(F.col("doc_id"), folds) == held, F.lit(False)).alias("held_out"), "score", "predicted")
+    """doc_id, held_out, score, predicted of every row."""
+    return scored(docs, Scorer, learn(docs, labels, fit_rows, folds, held), THRESHOLD, folds, held)
+
+
+def accepted(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, folds: int = 5, held: int = 0) -> DataFrame:
+    """The rows that are not toxic, with all their columns."""
+    return passing(docs, Scorer, learn(docs, labels, fit_rows, folds, held), lambda s: s < THRESHOLD)
