@@ -157,8 +157,10 @@ def merge_tile(nodes: np.ndarray, comps: np.ndarray, sig: np.ndarray, side: np.n
 
 
 def residual(posted: DataFrame, comp: DataFrame, sigs: DataFrame, sets: DataFrame, match: int, share: tuple[int, int]) -> DataFrame:
-    """Links (a, b) between different components: at least one between any two that have one."""
-    rows = posted.join(comp, "node")
+    """Links (a, b) between different components: at least one between any two that have one. Lists with
+    the same head are merged as one, since the same classes mostly meet in several of them."""
+    rows = posted.select(F.col("head").alias("key"), "node").unionByName(
+        posted.select(F.col("head").alias("key"), F.col("head").alias("node"))).distinct().join(comp, "node")
     lists = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("c")).filter(
         "lo != hi").select("key", F.ceil(F.col("c") / TILE).cast("int").alias("nb"))
     lists = saved(lists, "open-lists")
@@ -201,15 +203,31 @@ def residual(posted: DataFrame, comp: DataFrame, sigs: DataFrame, sets: DataFram
             yield pa.RecordBatch.from_arrays([pa.array([int(p[0, 0]) for p in parts], pa.int64()), pa.array([int(p[0, 1]) for p in parts], pa.int64()),
                                               pa.array([p[:, 2].tolist() for p in parts], pa.list_(pa.int64()))], ["block", "x", "ys"])
 
-    asked = found.mapInArrow(by_block, "block long, x long, ys array<long>")
+    asked = found.mapInArrow(by_block, "block long, x long, ys array<long>").groupBy("block", "x").agg(
+        F.array_distinct(F.flatten(F.collect_list("ys"))).alias("ys"))
     sets_c = sets.join(comp, "node")
     asked = asked.join(sets_c.select(F.col("node").alias("x"), F.col("comp").alias("cx"), F.col("shingles").alias("sx")), "x")
     held = sets_c.withColumn("block", F.pmod("node", F.lit(nblocks)))
 
     def check(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        own = {n: (c, np.frombuffer(s, np.uint64)) for n, c, s in zip(right["node"], right["comp"], right["shingles"])}
+        place = {n: i for i, n in enumerate(right["node"])}
+        comps, sizes = right["comp"].to_numpy(), right["n"].to_numpy()
+        sets = [np.frombuffer(s, np.uint64) for s in right["shingles"]]
+        flat = np.concatenate(sets)
+        order = np.argsort(flat, kind="stable")
+        values, starts, counts = np.unique(flat[order], return_index=True, return_counts=True)
+        holders = np.repeat(np.arange(len(sets)), sizes)[order]
         root: dict[int, int] = {}
 
+        def shared(s: np.ndarray) -> np.ndarray:
+            """Sizes of the intersections of ``s`` with all sets of the block, from the block's inverted lists."""
+            at = np.minimum(np.searchsorted(values, s), len(values) - 1)
+            at = at[values[at] == s]
+            n = counts[at]
+            ends = np.cumsum(n)
+            index = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[at] - ends + n, n)
+            return np.bincount(holders[index], minlength=len(sets))
+
         def find(c: int) -> int:
             while root.get(c, c) != c:
                 root[c] = root.get(root[c], root[c])
@@ -218,16 +236,20 @@ def residual(posted: DataFrame, comp: DataFrame, sigs: DataFrame, sets: DataFram
 
         out = []
         for x, cx, sx, ys in zip(left["x"], left["cx"], left["sx"], left["ys"]):
+            at = np.array([place[y] for y in ys])
+            at = at[[find(cx) != find(c) for c in comps[at]]]
+            if not len(at):
+                continue
             sx = np.frombuffer(sx, np.uint64)
-            for y in ys:
-                cy, sy = own[y]
-                rx, ry = find(cx), find(cy)
-                if rx != ry and linked(sx, sy, share):
+            both = shared(sx)[at]
+            for i in at[share[1] * both >= share[0] * (len(sx) + sizes[at] - both)]:
+                rx, ry = find(cx), find(comps[i])
+                if rx != ry:
                     root[max(rx, ry)] = min(rx, ry)
-                    out.append((x, y))
+                    out.append((x, int(right["node"].iat[i])))
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
-    return asked.groupBy("block").cogroup(held.select("block", "node", "comp", "shingles").groupBy("block")).applyInPandas(check, "a long, b long")
+    return asked.groupBy("block").cogroup(held.select("block", "node", "comp", "n", "shingles").groupBy("block")).applyInPandas(check, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, share: tuple[int, int] = SHARE, coords: int = COORDS,
@@ -260,7 +282,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, share: tuple[int, int]
     links = saved(confirm(first, sigs, sets, match, share), "links")
     comp = saved(mine.select("node").join(components(links), "node", "left").select(
         "node", F.coalesce("root", "node").alias("comp")), "components")
-    more = saved(residual(posted.select("node", "key"), comp, sigs, sets, match, share), "more-links")
+    more = saved(residual(posted, comp, sigs, sets, match, share), "more-links")
     if not more.isEmpty():
         of = lambda side: comp.select(F.col("node").alias(side), F.col("comp").alias(f"c{side}"))
         joined = components(more.join(of("a"), "a").join(of("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
@@ -281,7 +303,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, share: tuple[int, int]
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """The documents that stay, with all their columns: one of each component."""
+    """The documents that stay, with all their columns: one of each component. An id goes if none of its rows stays."""
     found = saved(near_duplicates(docs, **how).select("doc_id", "kept"), "near-members")
-    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
+    gone = found.groupBy("doc_id").agg(F.max("kept").alias("stays")).filter(~F.col("stays")).select(F.col("doc_id").alias("__gone"))
     return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")

@@ -29,8 +29,9 @@ class Words:
         if len(self.table) > TABLE_ENTRIES:
             self.table = {}
         table = self.table
-        for w in set(words) - table.keys():
-            table[w] = xxhash.xxh3_64_intdigest(w)
+        for w in set(words):
+            if w not in table:
+                table[w] = xxhash.xxh3_64_intdigest(w)
         return np.fromiter(map(table.__getitem__, words), np.uint64, len(words))
 
 

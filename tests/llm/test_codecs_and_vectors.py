@@ -114,3 +114,15 @@ def test_nearest_against_brute_force(spark, blocks):
 def test_fewer_candidates_than_asked(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.1]), (2, [0.1, 3.0])], "vec_id long, embedding array<float>")
     assert [(r.query_id, r.rank, r.vec_id) for r in N.nearest(df, F.col("vec_id") % 20 == 0).collect()] == [(0, 1, 1), (0, 2, 2)]
+
+
+def test_plain_words_equal_the_library(spark):
+    """Every distinct chunk of the documents, and odd ones, against the library."""
+    enc = P.Encoder(vocabulary("word_bpe_49k.json"))
+    real = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").selectExpr("explode(split(text, '[ \\n\\t]+')) as w").distinct().collect()
+    odd = ["İstanbul", "I'm", "don't", "a_b", "x<|endoftext|>y", "<|startoftext|>", "ǅ", "ªº", "...", "!!!", "Ünïcödé,", "é", "Å", "ß", "foo'", "K", "a1b2",
+           "aaaa", "the,.", "(x)", "x)", "''", "–", "µ", "\x00", "a\x1cb", "ŉ", "ŀ", "ſ", "x" * 64, "x" * 65, "é" * 40, "東京", "👍🏽"]
+    words = sorted({r.w for r in real if r.w} | set(odd))
+    got = enc.batch([w.encode() for w in words])
+    want = enc.tok.encode_batch(words, add_special_tokens=False)
+    assert [w for w, g, e in zip(words, got, want) if g != np.array(e.ids, "<u4").tobytes()] == []
