@@ -13,6 +13,7 @@ per (chunk, length), so no pass holds all documents of a length in one task."""
 
 from __future__ import annotations
 
+import functools
 import os
 import zlib
 from collections.abc import Iterator
@@ -22,49 +23,76 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quiver.llm.bytepair import PLAIN, WordMerger
 from quiver.llm.common import saved, spread_out, vocabulary
 
 WINDOW, END_ID = 2048, 1
-TABLE_ENTRIES, LONG_CHUNK = 600_000, 64
+TABLE_ENTRIES, LONG_CHUNK, BATCH_TEXTS = 900_000, 64, 512
 FILTER_SLOTS = 1 << 18
 
 
 class Encoder:
     """Token ids as little-endian bytes. White space (ASCII) always ends a token of
-    this vocabulary, so each distinct chunk between it is encoded once a task; the table is emptied at a bound."""
+    this vocabulary, so each distinct chunk between it is encoded once; the table is emptied at a bound."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        self.merger = WordMerger(path)
         self.table: dict[bytes, bytes] = {}
 
-    def ids(self, text: bytes) -> bytes:
-        chunks = text.split()
-        new = list(set(chunks) - self.table.keys())
-        extra = {}
-        if new:
-            if len(self.table) > TABLE_ENTRIES:
-                self.table = {}
-                new = list(set(chunks))
-            for c, e in zip(new, self.tok.encode_batch([c.decode() for c in new], add_special_tokens=False)):
-                (self.table if len(c) <= LONG_CHUNK else extra)[c] = np.array(e.ids, "<u4").tobytes()
-        if extra:
-            return b"".join([self.table[c] if c in self.table else extra[c] for c in chunks])
-        return b"".join(map(self.table.__getitem__, chunks))
+    def batch(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each text. New chunks of all texts are learnt together, which is cheaper."""
+        if len(self.table) > TABLE_ENTRIES:
+            self.table = {}
+        split = [t.split() for t in texts]
+        table = self.table
+        long = self.learn([c for c in set().union(*split) if c not in table])
+        if long:
+            return [b"".join([table[c] if c in table else long[c] for c in chunks]) for chunks in split]
+        return [b"".join(map(table.__getitem__, chunks)) for chunks in split]
+
+    def learn(self, new: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of new chunks: plain ones from their letters and the symbols behind these, others from the library.
+        Those of long chunks are returned instead of kept."""
+        plain, other, long = [], [], {}
+        for c in new:
+            if c.isalpha() and len(c) <= LONG_CHUNK:  # ASCII letters
+                plain.append((c, c.lower(), b""))
+            elif c[:-1].isalpha() and c[-1:] in b".,!" and len(c) <= LONG_CHUNK:
+                plain.append((c, c[:-1].lower(), c[-1:]))
+            else:
+                s = c.decode().lower()
+                m = PLAIN.fullmatch(s)
+                if m and len(c) <= LONG_CHUNK and (s.isascii() or max(s) < "\u0300"):
+                    plain.append((c, m.group(1).encode(), m.group(2).encode()))
+                else:
+                    other.append(c)
+        parts = self.merger.ids(list({x[1] for x in plain} | {x[2] for x in plain}))
+        self.table.update((c, parts[word] + parts[symbols]) for c, word, symbols in plain)
+        for c, e in zip(other, self.tok.encode_batch([c.decode() for c in other], add_special_tokens=False)):
+            (self.table if len(c) <= LONG_CHUNK else long)[c] = np.array(e.ids, "<u4").tobytes()
+        return long
+
+    @staticmethod
+    @functools.cache
+    def here(path: str) -> "Encoder":
+        """This worker's encoder: its table serves the worker's next tasks too."""
+        return Encoder(path)
 
 
 def encoded(docs: DataFrame, path: str, window: int, end_id: int) -> DataFrame:
     """doc_id, n (ids with the end), crcs of the whole windows and of the remainder,
     and the remainder's ids (16 bits each where the vocabulary allows)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = Encoder(path), np.array([end_id], "<u4").tobytes()
+        enc, end = Encoder.here(path), np.array([end_id], "<u4").tobytes()
         wide = enc.tok.get_vocab_size() > 1 << 16
         for b in batches:
             n, crcs, rest, left = [], [], [], []
-            for t in b.column(1).cast(pa.binary()).to_pylist():
-                ids = enc.ids(t or b"") + end
+            texts = [t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()]
+            for ids in (x + end for i in range(0, len(texts), BATCH_TEXTS) for x in enc.batch(texts[i:i + BATCH_TEXTS])):
                 size = len(ids) // 4
                 whole = size // window
                 n.append(size)
