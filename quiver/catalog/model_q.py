@@ -116,12 +116,14 @@ FROM events_hourly"""
 @query("T1_running_stats_stream", T1_SQL)
 def t1(spark, d):
     """A17 as a stream: hourly metrics land as Parquet files in the shared
-    folder, a file stream feeds the stateful operator, results append to a
-    Parquet table that is read back."""
+    folder, with the steps dealt over the files, a file stream feeds the
+    stateful operator one file a batch, results append to a Parquet table that
+    is read back."""
     base = f"{ensure_checkpoint_dir(spark)}/streams/running-{uuid.uuid4().hex}"
     hourly = X.events_hourly(spark, d).select(F.lit("v").alias("metric"), "step", F.col("v").alias("value"))
-    hourly.write.mode("overwrite").parquet(f"{base}/in")
-    src = spark.readStream.schema("metric string, step long, value double").parquet(f"{base}/in")
+    hourly.repartition(4, "step").write.mode("overwrite").parquet(f"{base}/in")
+    src = (spark.readStream.schema("metric string, step long, value double")
+           .option("maxFilesPerTrigger", 1).parquet(f"{base}/in"))
     run_to_table(running_stats_stream(src, decay=0.99), f"{base}/out", f"{base}/chk")
     out = spark.read.parquet(f"{base}/out")
     return out.select("metric", "step", round6(F.col("value")).alias("value"), round6(F.col("mean")).alias("mean"),

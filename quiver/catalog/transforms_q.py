@@ -82,10 +82,10 @@ def p5(spark, d):
 
 
 def _seq2d(spark, d):
-    """2-D features per user: the last 20 events' value and 24h count."""
-    from quiver.operators.sequence import last_k
+    """2-D features per user: values and counts of all events, 20 a sequence."""
+    from quiver.operators.sequence import consecutive
     h = X.horizons(spark, d)
-    return last_k(h, "user_id", "event_id", ["value", X.hcol("cnt", 24), X.hcol("cnt", 1), X.hcol("cnt", 3)], 20)
+    return consecutive(h, "user_id", "event_id", ["value", X.hcol("cnt", 24), X.hcol("cnt", 1), X.hcol("cnt", 3)], 20)
 
 
 SEQ2D_SQL = f"""seq2d AS (
@@ -94,8 +94,8 @@ SEQ2D_SQL = f"""seq2d AS (
          list_resize(list({X.hcol('cnt', 24)} ORDER BY event_id), 20, 0::BIGINT) AS c24,
          list_resize(list({X.hcol('cnt', 1)} ORDER BY event_id), 20, 0::BIGINT) AS c1,
          list_resize(list({X.hcol('cnt', 3)} ORDER BY event_id), 20, 0::BIGINT) AS c3
-  FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM horizons)
-  WHERE rn <= 20 GROUP BY user_id)"""
+  FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM horizons)
+  GROUP BY user_id, (rn - 1) // 20)"""
 VALUE_BOUNDS = (1.0, 10.0, 25.0, 50.0, 75.0, 100.0)
 CNT_LOG_BOUNDS = (0.5, 1.0, 1.5, 2.0, 2.5, 3.0)
 RATIO_BOUNDS = (-3.0, -1.0, -0.5, 0.0, 0.5, 1.0)

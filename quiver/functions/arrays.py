@@ -20,9 +20,10 @@ from quiver.functions.transforms import ColumnOrName, _c
 SOFTMAX_EPS = 1e-6
 
 
-def fixed_length(a: ColumnOrName, n: int, pad=0) -> Column:
-    """Truncate or right-pad an array to exactly n slots (NULL -> all pad)."""
-    t = _sql_type(pad)
+def fixed_length(a: ColumnOrName, n: int, pad=0, dtype: str | None = None) -> Column:
+    """Truncate or right-pad an array to exactly n slots (NULL -> all pad).
+    ``dtype`` is the element type; without it, the pad value's."""
+    t = dtype or _sql_type(pad)
     arr = _c(a).cast(f"array<{t}>")
     filler = F.array_repeat(F.lit(pad).cast(t), n)
     return F.slice(F.concat(F.coalesce(arr, F.array().cast(f"array<{t}>")), filler), 1, n)
@@ -83,42 +84,44 @@ def masked_mean_pool(seqs: Sequence[ColumnOrName], masks: Sequence[ColumnOrName]
     return F.concat(*pooled), valid_count(masks)
 
 
-def self_attention_pool_np(seq, mask, eps: float = SOFTMAX_EPS):
-    """Q3 for one sequence with numpy: seq [slots, dim], mask [slots].
+def self_attention_pool_np(x, mask, eps: float = SOFTMAX_EPS):
+    """Q3 for a batch with numpy: x [rows, slots, dim], mask [rows, slots].
 
     logits = x x^T / sqrt(dim); row weights = Q1 (max over all slots,
     masked slots zeroed, / (sum + eps)); out = weights @ x; rows of invalid
     slots are zeroed; the sum over slots is divided by the valid count
     (0 vector if none is valid)."""
     import numpy as np
-    x = np.asarray(seq, dtype=np.float64)
-    m = np.asarray(mask, dtype=bool)
-    dim = x.shape[1]
-    n_valid = int(m.sum())
-    if n_valid == 0:
-        return np.zeros(dim)
-    logits = x @ x.T / math.sqrt(dim)
-    ex = np.exp(logits - logits.max(axis=1, keepdims=True)) * m[None, :]
-    w = ex / (ex.sum(axis=1, keepdims=True) + eps)
-    out = (w @ x) * m[:, None]
-    return out.sum(axis=0) / n_valid
+    logits = x @ x.transpose(0, 2, 1) / math.sqrt(x.shape[2])
+    ex = np.exp(logits - logits.max(axis=2, keepdims=True)) * mask[:, None, :]
+    w = ex / (ex.sum(axis=2, keepdims=True) + eps)
+    out = (w @ x) * mask[:, :, None]
+    return out.sum(axis=1) / np.maximum(mask.sum(axis=1), 1)[:, None]
 
 
 def self_attention_pool(df, seq: str, mask: str, out: str = "pooled", keep: Sequence[str] = ()):
-    """Q3 over a DataFrame: Arrow-batched ``mapInPandas``, one numpy
-    computation per row (bounded: slots x slots x dim). The per-row work is a
-    small matrix product that has no built-in column expression."""
+    """Q3 over a DataFrame of fixed-length sequences: ``mapInArrow``, the
+    lists' own buffers as one [rows, slots, dim] array, batched matrix
+    products. The slots x slots product has no built-in column expression."""
     from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
     keep = list(keep)
     schema = StructType([df.schema[k] for k in keep] + [StructField(out, ArrayType(DoubleType()))])
 
     def run(batches):
-        import pandas as pd
-        for pdf in batches:
-            res = [self_attention_pool_np(list(s), list(mk)).tolist() for s, mk in zip(pdf[seq], pdf[mask])]
-            o = pdf[keep].copy() if keep else pd.DataFrame(index=pdf.index)
-            o[out] = res
-            yield o
-
-    return df.select(*keep, seq, mask).mapInPandas(run, schema)
+        import numpy as np
+        import pyarrow as pa
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rows = b.num_rows
+            m = b.column(len(keep) + 1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows, -1)
+            flat = b.column(len(keep)).flatten().flatten().to_numpy(zero_copy_only=False)
+            x = flat.astype(np.float64).reshape(rows, m.shape[1], -1)
+            parts = [self_attention_pool_np(x[i:i + 512], m[i:i + 512]) for i in range(0, rows, 512)]
+            res = np.concatenate(parts)
+            pooled = pa.ListArray.from_arrays(np.arange(rows + 1, dtype=np.int32) * res.shape[1], res.ravel())
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pooled], schema.names)
+
+    double = F.transform(F.col(seq), lambda v: v.cast("array<double>"))
+    return df.select(*keep, double.alias("_seq"), F.col(mask).alias("_mask")).mapInArrow(run, schema)

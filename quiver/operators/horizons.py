@@ -28,7 +28,8 @@ def multi_horizon(df: DataFrame, key: str, ts: str, horizons_hours: Sequence[int
                   name: str = "{m}_{h}h") -> DataFrame:
     """Per event, count (and sum of each value column) of the same key's
     events in ``[t - h, t]``, like a SQL ``RANGE BETWEEN h PRECEDING AND
-    CURRENT ROW`` frame.
+    CURRENT ROW`` frame. Rows without a key are a key of their own; rows
+    without a time are kept and have NULL counters.
 
     Output: the input columns plus ``cnt_<h>h`` and ``<v>_sum_<h>h`` (names via
     ``name`` with m in {cnt, <v>_sum})."""
@@ -40,22 +41,25 @@ def multi_horizon(df: DataFrame, key: str, ts: str, horizons_hours: Sequence[int
     # an event at t in bucket b is history for bucket b+k while that bucket
     # starts no later than t + H: k <= floor((t + H) / B) - b
     last_k = F.floor((F.col("_us") + F.lit(max_us)) / F.lit(b_us)) - F.col("_b")
-    copies = base.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), last_k)).alias("_k")) \
+    copies = base.select("*", F.explode_outer(F.sequence(F.lit(0).cast("bigint"), last_k)).alias("_k")) \
                  .withColumn("_pb", F.col("_b") + F.col("_k"))
     w = Window.partitionBy(key, "_pb").orderBy("_us")
     out = []
     for h in hs:
         frame = w.rangeBetween(-h * HOUR_US, 0)
-        out.append(F.count(F.lit(1)).over(frame).alias(name.format(m="cnt", h=h)))
+        timed = F.col("_us").isNotNull()
+        out.append(F.when(timed, F.count(F.lit(1)).over(frame)).alias(name.format(m="cnt", h=h)))
         for v in value_cols:
-            out.append(F.coalesce(F.sum(v).over(frame), F.lit(0.0)).alias(name.format(m=f"{v}_sum", h=h)))
-    return copies.select(*cols, "_k", *out).filter(F.col("_k") == 0).drop("_k")
+            out.append(F.when(timed, F.coalesce(F.sum(v).over(frame), F.lit(0.0))).alias(name.format(m=f"{v}_sum", h=h)))
+    return copies.select(*cols, "_k", *out).filter(F.coalesce("_k", F.lit(0)) == 0).drop("_k")
 
 
 def cumulative_in_day(df: DataFrame, key: str, ts: str, value_cols: Sequence[str] = (),
                       slice_minutes: int = 60) -> DataFrame:
     """Running count (and sums) of the key's events since the start of the
-    event's day (UTC), current row included.
+    event's day (UTC), current row included, and with it all events of the
+    same time, whose order nothing tells. Rows without a key are a key of
+    their own; rows without a time are kept and have NULL totals.
 
     A hot (key, day) is split into time slices (``slice_minutes``, default one
     hour): the running total inside each slice is a window on (key, day,
@@ -70,16 +74,19 @@ def cumulative_in_day(df: DataFrame, key: str, ts: str, value_cols: Sequence[str
               .withColumn("_sl", F.floor((F.col("_us") % F.lit(DAY_US)) / F.lit(slice_us))))
     sums = ["_one"] + list(value_cols)
     base = base.withColumn("_one", F.lit(1).cast("long"))
-    w = Window.partitionBy(key, "_day", "_sl").orderBy("_us").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(key, "_day", "_sl").orderBy("_us").rangeBetween(Window.unboundedPreceding, 0)
     local = base.select(*cols, "_day", "_sl", *[F.sum(c).over(w).alias(f"_l_{c}") for c in sums])
     tot = base.groupBy(key, "_day", "_sl").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
     wo = Window.partitionBy(key, "_day").orderBy("_sl").rowsBetween(Window.unboundedPreceding, -1)
     off = tot.select(key, "_day", "_sl", *[F.coalesce(F.sum(f"_t_{c}").over(wo), F.lit(0)).alias(f"_o_{c}")
                                            for c in sums])
-    j = local.join(off, [key, "_day", "_sl"])
+    off = off.withColumnsRenamed({key: "_ok", "_day": "_od", "_sl": "_os"})
+    j = local.join(off, F.col(key).eqNullSafe(F.col("_ok")) & F.col("_day").eqNullSafe(F.col("_od"))
+                   & F.col("_sl").eqNullSafe(F.col("_os")))
     names = {"_one": "cum_cnt_day"}
     names.update({v: f"cum_{v}_day" for v in value_cols})
-    return j.select(*cols, *[(F.col(f"_l_{c}") + F.col(f"_o_{c}")).alias(names[c]) for c in sums])
+    return j.select(*cols, *[F.when(F.col("_day").isNotNull(), F.col(f"_l_{c}") + F.col(f"_o_{c}")).alias(names[c])
+                             for c in sums])
 
 
 def entities_per_hour(df: DataFrame, ts: str, entity: str, approx: bool = False) -> DataFrame:
@@ -95,21 +102,22 @@ def previous_value(df: DataFrame, key: str, order: str, cols: Sequence[str],
     """The key's previous value of each column (``lag``), NULL for the
     key's first event.
 
-    With ``ts`` the window runs per (key, time slice) -- a day by default --
-    so a hot key is split; the first event of a slice takes the last event of
-    the key's previous non-empty slice from a table with one row per (key,
-    slice). ``order`` must increase with ``ts``."""
+    With ``ts`` events follow each other by (ts, order), and the window runs
+    per (key, time slice) -- a day by default -- so a hot key is split; the
+    first event of a slice takes the last event of the key's previous
+    non-empty slice from a table with one row per (key, slice). Events without
+    a time come before all others of their key; NULL keys are a key."""
     if ts is None:
         w = Window.partitionBy(key).orderBy(order)
         return df.select("*", *[F.lag(c).over(w).alias(f"{c}{suffix}") for c in cols])
     base = df.withColumn("_sl", F.floor(epoch_micros(ts) / F.lit(slice_minutes * 60_000_000)))
-    w = Window.partitionBy(key, "_sl").orderBy(order)
+    w = Window.partitionBy(key, "_sl").orderBy(ts, order)
     local = base.select("*", F.row_number().over(w).alias("_rn"),
                         *[F.lag(c).over(w).alias(f"_lag_{c}") for c in cols])
-    tail = base.groupBy(key, "_sl").agg(F.max_by(F.struct(*cols), F.col(order)).alias("_tail"))
+    tail = base.groupBy(key, "_sl").agg(F.max_by(F.struct(*cols), F.struct(ts, order)).alias("_tail"))
     wd = Window.partitionBy(key).orderBy("_sl")
-    prev = tail.select(key, "_sl", F.lag("_tail").over(wd).alias("_prev"))
-    j = local.join(prev, [key, "_sl"])
+    prev = tail.select(F.col(key).alias("_pk"), F.col("_sl").alias("_ps"), F.lag("_tail").over(wd).alias("_prev"))
+    j = local.join(prev, F.col(key).eqNullSafe(F.col("_pk")) & F.col("_sl").eqNullSafe(F.col("_ps")))
     return j.select(*df.columns, *[
         F.when(F.col("_rn") == 1, F.col(f"_prev.{c}")).otherwise(F.col(f"_lag_{c}")).alias(f"{c}{suffix}")
         for c in cols])

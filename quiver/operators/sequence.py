@@ -34,9 +34,26 @@ def last_k(df: DataFrame, key: str, order: str, value_cols: Sequence[str], k: in
     return g.select(*out)
 
 
-def last_k_raw(df: DataFrame, key: str, order: str, value_col: str, k: int) -> DataFrame:
-    """Per key: the last ``k`` values by ``order`` (ascending), unpadded."""
-    w = Window.partitionBy(key).orderBy(F.col(order).desc())
-    top = df.select(key, order, value_col, F.row_number().over(w).alias("_rn")).filter(F.col("_rn") <= k)
-    g = top.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(order, value_col))).alias("_s"))
-    return g.select(key, F.transform("_s", lambda s: s[value_col]).alias(f"{value_col}_raw"))
+def consecutive(df: DataFrame, key: str, order: str, value_cols: Sequence[str], k: int,
+                pad_value=0.0, raw: bool = False) -> DataFrame:
+    """All rows of each key as consecutive sequences of ``k``: the first k by
+    ``order``, the next k, and so on; the last one is right-padded. Columns:
+    key, ``chunk`` (from 0), ``<v>_seq``, ``mask``, ``n_valid``; with ``raw``
+    the arrays stay as long as they are.
+
+    ``order`` must be unique within a key. Ranks come from ``running_totals_by``,
+    so the rows of a hot key are spread over range buckets, and each collect
+    is bounded by k."""
+    from quiver.plans.prefix import running_totals_by
+
+    rows = df.select(key, order, *value_cols).withColumn("_one", F.lit(1).cast("long"))
+    ranked = running_totals_by(rows, key, order, ["_one"]).withColumn(
+        "chunk", F.floor((F.col("cum__one") - 1) / F.lit(k)).cast("long"))
+    g = ranked.groupBy(key, "chunk").agg(F.sort_array(F.collect_list(F.struct(order, *value_cols))).alias("_s"))
+    out = [F.col(key), F.col("chunk")]
+    for v in value_cols:
+        values = F.transform("_s", lambda s: s[v])
+        out.append((values if raw else fixed_length(values, k, pad_value)).alias(f"{v}_seq"))
+    out.append(F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: i < F.size("_s")).alias("mask"))
+    out.append(F.size("_s").cast("int").alias("n_valid"))
+    return g.select(*out)

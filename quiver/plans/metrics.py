@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from quiver.functions import labels as L
 from quiver.functions.transforms import ColumnOrName, _c, _dbl, bucketize, compress
-from quiver.plans.prefix import cuts_and_totals, default_buckets, running_totals
+from quiver.plans.prefix import cuts_and_totals, default_buckets, range_bucket, running_totals
 from quiver.session import spread
 
 # Fixed values of the reference's evaluation: accuracy thresholds 0.1 .. 0.9,
@@ -130,44 +130,103 @@ def binned_auc(df: DataFrame, pred: str, binary_label: str, n: int = ROC_POINTS,
 def pairwise_auc(df: DataFrame, pred: str, label: str, mask: str | None = None,
                  n_buckets: int | None = None) -> DataFrame:
     """Over ordered pairs with label_i > label_j, (#pred_i > pred_j + half
-    the ties) / #pairs; 1.0 without pairs. Labels may be graded.
+    the ties) / #pairs; 1.0 without pairs. Labels may be graded, with any
+    number of levels. Rows without a score or label take no part.
 
-    Exact and pair-free: group by score with a count per label level, run
-    the per-level counts over score order (``running_totals``), then each
-    level's rows add the rows of lower levels ranked below them. The number of
-    levels is read from the data and must stay small (<= 64)."""
+    Exact and pair-free. Equal (score, label) rows are first counted. With two
+    levels, running counts over score order (``running_totals``) suffice.
+    With more, ``_graded_counts`` is used; both give the same value."""
     src = df if mask is None else df.filter(_dbl(mask) > 0)
     src = src.select(_dbl(pred).alias("_p"), _dbl(label).alias("_l"))
-    levels = _label_levels(src)
-    if len(levels) < 2:
-        return df.sparkSession.range(1).select(F.lit(1.0).alias("auc"))
-    cnt = [F.count_if(F.col("_l") == F.lit(v)).cast("double").alias(f"c{i}") for i, v in enumerate(levels)]
     valid = src.filter(F.col("_p").isNotNull() & F.col("_l").isNotNull())
-    # range cut points from a sketch over the raw scores (no shuffle), so the
-    # grouped table below is shuffled only once
-    cuts, _ = cuts_and_totals(valid, "_p", n_buckets or default_buckets(valid))
-    g = valid.groupBy("_p").agg(*cnt)
-    names = [f"c{i}" for i in range(len(levels))]
-    r = running_totals(g, "_p", names, cuts=cuts)
-    # rows of level a at this score pair with lower levels strictly below it,
-    # and half of the lower-level rows at the same score
-    conc = F.lit(0.0)
-    pairs = F.lit(0.0)
-    for a in range(1, len(levels)):
-        lower_below = sum((F.col(f"cum_c{b}") - F.col(f"c{b}") for b in range(a)), F.lit(0.0))
-        lower_tie = sum((F.col(f"c{b}") for b in range(a)), F.lit(0.0))
-        conc = conc + F.col(f"c{a}") * (lower_below + lower_tie / 2.0)
-    tot = r.agg(F.sum(conc).alias("conc"), *[F.sum(n).alias(f"n_{n}") for n in names])
-    for a in range(1, len(levels)):
-        pairs = pairs + F.col(f"n_c{a}") * sum((F.col(f"n_c{b}") for b in range(a)), F.lit(0.0))
-    return tot.select(F.when(pairs > 0.5, F.col("conc") / pairs).otherwise(F.lit(1.0)).alias("auc"))
+    n = n_buckets or default_buckets(valid)
+    # cut points from a sketch over the raw scores (no shuffle), so the grouped
+    # table below is shuffled only once; the extremes of the labels tell two levels from more
+    lo, hi = F.min("_l"), F.max("_l")
+    cuts, (lo, hi) = cuts_and_totals(valid, "_p", n, [lo, hi])
+    if lo is None or lo == hi:
+        return df.sparkSession.range(1).select(F.lit(1.0).alias("auc"))
+    if not valid.filter((F.col("_l") != lo) & (F.col("_l") != hi)).isEmpty():
+        tot = _graded_counts(valid.groupBy("_p", "_l").agg(F.count(F.lit(1)).cast("double").alias("_n")), cuts, n)
+    else:
+        g = valid.groupBy("_p").agg(F.count_if(F.col("_l") == lo).cast("double").alias("c0"),
+                                    F.count_if(F.col("_l") == hi).cast("double").alias("c1"))
+        r = running_totals(g, "_p", ["c0"], cuts=cuts)
+        tot = r.agg(F.sum(F.col("c1") * (F.col("cum_c0") - F.col("c0") / 2.0)).alias("conc"),
+                    (F.sum("c0") * F.sum("c1")).alias("pairs"))
+    return tot.select(F.when(F.col("pairs") > 0.5, F.col("conc") / F.col("pairs")).otherwise(F.lit(1.0)).alias("auc"))
+
+
+def concordance(p, l, w) -> float:
+    """Sum of w_i w_j over l_i > l_j, whole where p_i > p_j and half where they
+    are equal. One cumulative sum per bit of the labels' ranks: two rows with
+    different labels first differ in exactly one bit."""
+    import numpy as np
+    if len(p) < 2:
+        return 0.0
+    rank = np.unique(l, return_inverse=True)[1]
+    order = np.argsort(p, kind="stable")
+    p, rank, w = p[order], rank[order], w[order]
+    total = 0.0
+    for bit in range(int(rank.max()).bit_length()):
+        high = (rank >> bit) & 1
+        group = rank >> (bit + 1)
+        o = np.argsort(group, kind="stable")          # rows stay in score order within a group
+        g, q, h, v = group[o], p[o], high[o], w[o]
+        below = np.concatenate([[0.0], np.cumsum(np.where(h == 0, v, 0.0))])
+        new_group = np.concatenate([[True], g[1:] != g[:-1]])
+        new_score = new_group | np.concatenate([[True], q[1:] != q[:-1]])
+        first = np.nonzero(new_score)[0]
+        run = np.cumsum(new_score) - 1
+        start = np.nonzero(new_group)[0][np.cumsum(new_group) - 1]
+        lower = below[first][run] - below[start]
+        tie = below[np.append(first[1:], len(g))][run] - below[first][run]
+        total += float((np.where(h == 1, v, 0.0) * (lower + tie / 2)).sum())
+    return total
+
+
+def _graded_counts(g: DataFrame, cuts: Sequence[float], n: int) -> DataFrame:
+    """(conc, pairs) of rows (_p, _l, _n) for any number of label levels.
+
+    Scores and labels are cut into ranges. A pair in different score ranges and
+    different label ranges is counted on the bounded table of range pairs; a
+    pair within one score range in that range, by ``concordance``; a pair
+    within one label range but not one score range in the label range. No
+    task sees more than one range; equal rows count once."""
+    l_cuts, _ = cuts_and_totals(g, "_l", n)
+    rows = range_bucket(range_bucket(g, "_p", cuts, "_pb"), "_l", l_cuts, "_lb")
+
+    def within_scores(key, pdf):
+        import pandas as pd
+        return pd.DataFrame({"conc": [concordance(pdf["_p"].to_numpy(), pdf["_l"].to_numpy(), pdf["_n"].to_numpy())]})
+
+    def within_labels(key, pdf):
+        import pandas as pd
+        p, l, w = pdf["_pb"].to_numpy(), pdf["_l"].to_numpy(), pdf["_n"].to_numpy()
+        same = sum(concordance(x["_pb"].to_numpy(), x["_l"].to_numpy(), x["_n"].to_numpy()) for _, x in pdf.groupby("_pb"))
+        return pd.DataFrame({"conc": [concordance(p, l, w) - same]})    # pairs of one score range are not counted here
+
+    inner = rows.groupBy("_pb").applyInPandas(within_scores, "conc double").unionByName(
+        rows.groupBy("_lb").applyInPandas(within_labels, "conc double"))
+    cells = rows.groupBy("_pb", "_lb").agg(F.sum("_n").alias("_n"))     # at most ranges x ranges
+    by_label = Window.partitionBy("_lb").orderBy("_pb").rowsBetween(Window.unboundedPreceding, -1)
+    labels = F.array(*[F.lit(i) for i in range(len(l_cuts) + 1)])
+    full = cells.select("_pb").distinct().withColumn("_lb", F.explode(labels)).join(cells, ["_pb", "_lb"], "left").fillna(0.0, ["_n"])
+    left = full.withColumn("_left", F.coalesce(F.sum("_n").over(by_label), F.lit(0.0)))
+    under = Window.partitionBy("_pb").orderBy("_lb").rowsBetween(Window.unboundedPreceding, -1)
+    outer = left.withColumn("_below", F.coalesce(F.sum("_left").over(under), F.lit(0.0))).agg(
+        F.sum(F.col("_n") * F.col("_below")).alias("conc"))
+    conc = inner.unionByName(outer).agg(F.sum("conc").alias("conc"))
+    per_level = g.groupBy("_l").agg(F.sum("_n").alias("_n"))
+    pairs = per_level.agg(((F.pow(F.sum("_n"), 2) - F.sum(F.col("_n") * F.col("_n"))) / 2).alias("pairs"))
+    return conc.join(pairs)
 
 
 def _label_levels(src: DataFrame) -> list:
+    """The label levels of batches: few, since the columns of the plan grow with them."""
     levels = [r[0] for r in src.select("_l").distinct().orderBy("_l").limit(65).collect()]
-    levels = [v for v in levels if v is not None]
     if len(levels) > 64:
-        raise ValueError("pairwise_auc: more than 64 label levels")
+        raise ValueError("pairwise_auc_in_batches: more than 64 label levels")
     return levels
 
 
@@ -181,10 +240,10 @@ def pairwise_auc_in_batches(df: DataFrame, pred: str, label: str, batch: str, ma
     src = df if mask is None else df.filter(_dbl(mask) > 0)
     src = src.select(batch, _dbl(pred).alias("_p"), _dbl(label).alias("_l")).filter(
         F.col("_p").isNotNull() & F.col("_l").isNotNull())
-    batches = df.select(batch).distinct()
+    batches = df.select(F.col(batch).alias("_batch")).distinct()
     levels = _label_levels(src)
     if len(levels) < 2:
-        return batches.select(batch, F.lit(1.0).alias("auc"))
+        return batches.select(F.col("_batch").alias(batch), F.lit(1.0).alias("auc"))
     cnt = [F.count_if(F.col("_l") == F.lit(v)).cast("double").alias(f"c{i}") for i, v in enumerate(levels)]
     g = src.groupBy(batch, "_p").agg(*cnt)
     w = Window.partitionBy(batch).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
@@ -201,7 +260,8 @@ def pairwise_auc_in_batches(df: DataFrame, pred: str, label: str, batch: str, ma
     for a in range(1, len(levels)):
         pairs = pairs + F.col(f"n{a}") * sum((F.col(f"n{b}") for b in range(a)), F.lit(0.0))
     res = per.select(batch, F.when(pairs > 0.5, F.col("conc") / pairs).alias("auc"))
-    return batches.join(res, batch, "left").select(batch, F.coalesce("auc", F.lit(1.0)).alias("auc"))
+    return batches.join(res, F.col("_batch").eqNullSafe(F.col(batch)), "left").select(
+        F.col("_batch").alias(batch), F.coalesce("auc", F.lit(1.0)).alias("auc"))
 
 
 # --- A16 --------------------------------------------------------------------
@@ -230,13 +290,14 @@ def evaluation_report(df: DataFrame, tasks: Mapping[str, tuple[str, str]], n: in
     (task, metric, value): accuracy at 0.1..0.9, TP/FP/TN/FN at 0.5, mse on
     log-tail values, 200-point ROC AUC, 4-point-grid AUC, recall at 0.5,
     means of reg_pred, binary_pred, reg_label, binary_label, and the clipped
-    label and raw score means (46 values for two tasks).
+    label and raw score means (46 values for two tasks). A row without a score
+    or label takes no part in any metric of its task.
 
     One scan: each row is stacked per task and per grid, every metric is a
     sum, and the partial aggregation before the shuffle leaves one row per
     (task, grid, bin)."""
     cols = sorted({c for lab_score in tasks.values() for c in lab_score})
-    st = scored_tasks(spread(df.select(*cols)), tasks)
+    st = scored_tasks(spread(df.select(*cols)), tasks).filter(F.col("score").isNotNull() & F.col("task_label").isNotNull())
     p, y = F.col("score"), F.col("binary_label")
     pos_pred = p >= F.lit(DECISION_THRESHOLD)
     ypos = y > 0.5

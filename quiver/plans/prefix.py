@@ -39,16 +39,18 @@ def default_buckets(df: DataFrame) -> int:
 def range_bucket(df: DataFrame, key: str, cuts: Sequence[float], out: str = "_rb") -> DataFrame:
     """Add the range bucket of ``key``: the number of cuts <= key. Few cuts:
     a compiled sum of comparisons; many: Spark ML's ``Bucketizer`` (a binary
-    search in the JVM)."""
+    search in the JVM). Both forms put a NULL key into the first bucket and NaN
+    into the last, where an ascending sort has them, so results do not depend
+    on the number of cuts."""
     if not cuts:
         return df.withColumn(out, F.lit(0))
     if len(cuts) <= COMPARE_LIMIT:
-        return df.withColumn(out, bucketize(F.col(key), cuts))
+        return df.withColumn(out, F.coalesce(bucketize(F.col(key), cuts), F.lit(0)))
     from pyspark.ml.feature import Bucketizer
     tmp = f"{out}_x"
     b = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol=tmp, outputCol=f"{out}_d",
                    handleInvalid="keep")
-    res = b.transform(df.withColumn(tmp, F.col(key).cast("double")))
+    res = b.transform(df.withColumn(tmp, F.coalesce(F.col(key).cast("double"), F.lit(float("-inf")))))
     return res.withColumn(out, F.col(f"{out}_d").cast("int")).drop(tmp, f"{out}_d")
 
 
@@ -103,16 +105,19 @@ def running_totals_by(df: DataFrame, group: str, key: str, sum_cols: Sequence[st
     by ``group``: one pass, bounded memory per group), so a large group is
     spread over up to ``n_buckets`` windows; the offsets of earlier buckets
     come from a table with one row per (group, bucket). ``key`` must be
-    unique within a group (aggregate first)."""
-    n = max(1, min(n_buckets, COMPARE_LIMIT + 1))
+    unique within a group (aggregate first). NULL groups are a group like any
+    other; NULL keys come first."""
+    n = max(1, min(n_buckets, MAX_BUCKETS))
     cols = list(sum_cols)
     if n > 1:
         qs = [i / n for i in range(1, n)]
         cuts = df.groupBy(group).agg(
             F.array_sort(F.array_distinct(F.percentile_approx(F.col(key).cast("double"), qs, accuracy)))
             .alias("_cuts"))
-        base = df.join(cuts, group).withColumn("_rb", bucketize(F.col(key), F.col("_cuts"), max_len=n - 1)) \
-                 .drop("_cuts")
+        cuts = cuts.withColumnRenamed(group, "_cg")
+        below = F.size(F.filter("_cuts", lambda c: c <= F.col(key)))
+        base = df.join(cuts, F.col(group).eqNullSafe(F.col("_cg"))).drop("_cg").withColumn(
+            "_rb", F.when(F.col(key).isNull(), 0).otherwise(below)).drop("_cuts")
     else:
         base = df.withColumn("_rb", F.lit(0))
     w = Window.partitionBy(group, "_rb").orderBy(key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -121,6 +126,7 @@ def running_totals_by(df: DataFrame, group: str, key: str, sum_cols: Sequence[st
     wo = Window.partitionBy(group).orderBy("_rb").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(group, "_rb", *[F.coalesce(F.sum(f"_tot_{c}").over(wo), F.lit(0)).alias(f"_off_{c}")
                                             for c in cols])
-    out = local.join(offsets, [group, "_rb"])
+    offsets = offsets.withColumnsRenamed({group: "_og", "_rb": "_orb"})
+    out = local.join(offsets, F.col(group).eqNullSafe(F.col("_og")) & (F.col("_rb") == F.col("_orb")))
     return out.select(*[F.col(c) for c in df.columns],
                       *[(F.col(f"_loc_{c}") + F.col(f"_off_{c}")).alias(f"{prefix}{c}") for c in cols])

@@ -63,20 +63,25 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
-    """Return the checkpoint folder named by the cluster.
+    """The checkpoint folder named by the cluster in ``spark.checkpoint.dir``.
 
-    On a cluster ``spark.checkpoint.dir`` points at shared storage and is used
-    as is. Only when it is unset (local tests) a scratch folder is set.
+    Where it is unset, ``fallback`` is used, and a local session gets a scratch
+    folder. On a cluster without either this raises: a folder of the driver's
+    machine would be invisible to the executors.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     try:
         sc = spark.sparkContext
     except Exception:  # noqa: BLE001 -- a Spark Connect session has no SparkContext
-        return conf_dir or fallback or ""
-    d = sc.getCheckpointDir() or conf_dir
+        if not (conf_dir or fallback):
+            raise ValueError("set spark.checkpoint.dir to shared storage") from None
+        return conf_dir or fallback
+    d = sc.getCheckpointDir() or conf_dir or fallback
     if not d:
+        if not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to shared storage")
         import tempfile
-        d = fallback or tempfile.mkdtemp(prefix="quiver-ckpt-")
+        d = tempfile.mkdtemp(prefix="quiver-ckpt-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
@@ -90,15 +95,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin repartition when the input has fewer partitions than the
-    cluster has cores (e.g. one large unsplittable file). Used before
-    CPU-heavy stages only; on inputs with many splits it does nothing."""
+    """Round-robin repartition when the input has fewer files than the cluster
+    has cores (the test tables are one file with one row group each). Used
+    before CPU-heavy stages only; on inputs of many files it does nothing. The
+    files are known from the plan; no stage runs to count partitions."""
     try:
         want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-        have = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 -- no RDD view (Spark Connect): leave the plan as is
+    except Exception:  # noqa: BLE001 -- a Spark Connect session: leave the plan as is
         return df
-    return df.repartition(want) if have < want else df
+    return df.repartition(want) if 0 < len(df.inputFiles()) < want else df
 
 
 def epoch_micros(ts: Column | str) -> Column:

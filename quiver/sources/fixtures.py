@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quiver.operators.horizons import multi_horizon
-from quiver.operators.sequence import last_k
-from quiver.plans.prefix import running_totals
+from quiver.operators.sequence import consecutive
+from quiver.plans.prefix import running_totals, running_totals_by
 from quiver.session import epoch_micros, table
 
 HORIZONS = (1, 3, 6, 12, 24, 48, 72)
@@ -107,36 +107,36 @@ def _horizons_sql() -> str:
 HORIZONS_SQL = _horizons_sql()
 
 
-# --- last 20 values per user -------------------------------------------------------
+# --- all values per user, in consecutive sequences of 20 -------------------------------------------------------
 def seq20(spark: SparkSession, d: str) -> DataFrame:
     ev = table(spark, d, "events")
-    return last_k(ev, "user_id", "event_id", ["value"], SEQ_LEN)
+    return consecutive(ev, "user_id", "event_id", ["value"], SEQ_LEN)
 
 
 SEQ20_SQL = f"""seq20 AS (
-  SELECT user_id, list_resize(vals, {SEQ_LEN}, 0.0::DOUBLE) AS value_seq,
+  SELECT user_id, chunk, list_resize(vals, {SEQ_LEN}, 0.0::DOUBLE) AS value_seq,
          list_transform(range({SEQ_LEN}), lambda i: i < len(vals)) AS mask, len(vals)::INTEGER AS n_valid
-  FROM (SELECT user_id, list(value ORDER BY event_id) AS vals
+  FROM (SELECT user_id, (rn - 1) // {SEQ_LEN} AS chunk, list(value ORDER BY event_id) AS vals
         FROM (SELECT user_id, event_id, value,
-                     row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events)
-        WHERE rn <= {SEQ_LEN} GROUP BY user_id))"""
+                     row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events)
+        GROUP BY 1, 2))"""
 
 
-# --- variable-length raw sequences (5..34 values per user) ---------------------------
+# --- variable-length raw sequences: consecutive runs of 5..34 values, by user ---------------------------
 def seq_var(spark: SparkSession, d: str) -> DataFrame:
-    ev = table(spark, d, "events")
-    s = last_k(ev, "user_id", "event_id", ["value"], 34)
-    k = (F.col("user_id") % 30 + 5).cast("int")
-    # keep the newest k of the (up to) 34 collected values
-    vals = F.slice("value_seq", F.greatest(F.col("n_valid") - k + 1, F.lit(1)), k)
-    return s.select("user_id", F.slice(vals, 1, F.least(k, F.col("n_valid"))).alias("value_raw"))
+    """Every value of every user, cut into runs of user_id % 30 + 5 values."""
+    ev = table(spark, d, "events").withColumn("_one", F.lit(1).cast("long"))
+    ranked = running_totals_by(ev.select("user_id", "event_id", "value", "_one"), "user_id", "event_id", ["_one"])
+    run = F.floor((F.col("cum__one") - 1) / (F.col("user_id") % 30 + 5)).cast("long")
+    g = ranked.groupBy("user_id", run.alias("chunk")).agg(F.sort_array(F.collect_list(F.struct("event_id", "value"))).alias("_s"))
+    return g.select("user_id", F.transform("_s", lambda s: s["value"]).alias("value_raw"))
 
 
 SEQ_VAR_SQL = """seq_var AS (
   SELECT user_id, list(value ORDER BY event_id) AS value_raw
   FROM (SELECT user_id, event_id, value,
-               row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events)
-  WHERE rn <= user_id % 30 + 5 GROUP BY user_id)"""
+               row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events)
+  GROUP BY user_id, (rn - 1) // (user_id % 30 + 5))"""
 
 
 # --- feature names that follow the reference's name grammar ------------------------

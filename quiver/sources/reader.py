@@ -53,7 +53,7 @@ def conform(df: DataFrame, spec: Sequence[Field], keep: Sequence[str] = ()) -> D
                                   lambda v: F.coalesce(v, F.lit(f.default).cast(et)))
             else:
                 arr = F.lit(None).cast(f"array<{et}>")
-            out.append(fixed_length(arr, f.length, f.default).alias(f.name))
+            out.append(fixed_length(arr, f.length, f.default, et).alias(f.name))
     return df.select(*out)
 
 

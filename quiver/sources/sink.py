@@ -36,5 +36,7 @@ def sample_by_hash(df: DataFrame, key_cols: Sequence[str], ratio: float) -> Data
 
 
 def write_scored(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """S10 sink: Parquet partitioned by ``dataset`` (train / eval)."""
-    df.write.mode(mode).partitionBy("dataset").parquet(path)
+    """S10 sink: Parquet partitioned by ``dataset`` (train / eval). Overwriting
+    replaces the partitions that ``df`` holds and leaves the others, so the
+    train and the eval run can write one after the other."""
+    df.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("dataset").parquet(path)

@@ -1,10 +1,15 @@
 """Running statistics over a stream of step metrics.
 
 The reference's hook keeps every value of every metric in a growing list to
-print a running mean. Here the state per metric is three numbers (count, sum,
-EMA) plus the last step, held by ``applyInPandasWithState``; each micro-batch
-updates it in step order. The batch version is ``plans.running.running_stats``
-and both give the same values."""
+print a running mean. Here the state per metric is the count, sum and EMA up
+to the last step in order, held by ``applyInPandasWithState``, and the steps
+that came early: files need not arrive in step order, so a step waits in the
+state until all before it are there, and results equal the batch version
+(``plans.running.running_stats``) whatever the batches. Steps count up from
+``first_step`` by one. A gap that stays open while more than ``max_waiting``
+steps wait is given up; a step that arrives after its place was passed, and
+a step that comes again, is put out with ``late`` true and no statistics, so
+nothing vanishes."""
 
 from __future__ import annotations
 
@@ -17,40 +22,58 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quiver.plans.running import EMA_DECAY_DEFAULT
 
-OUTPUT_SCHEMA = "metric string, step long, value double, mean double, ema double"
-STATE_SCHEMA = "n long, total double, ema double, last_step long"
+OUTPUT_SCHEMA = "metric string, step long, value double, mean double, ema double, late boolean"
+STATE_SCHEMA = ("n long, total double, ema double, next_step long, "
+                "waiting_steps array<long>, waiting_values array<double>")
 
 
-def _update(decay: float):
+def _rows(metric, step, value, mean, ema, late) -> pd.DataFrame:
+    return pd.DataFrame({"metric": metric, "step": np.asarray(step, np.int64), "value": np.asarray(value, float),
+                         "mean": mean, "ema": ema, "late": late})
+
+
+def _update(decay: float, first_step: int, max_waiting: int):
     def fn(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         (metric,) = key
-        n, total, ema, last = state.get if state.exists else (0, 0.0, 0.0, -1)
-        frames = [p for p in pdfs if len(p)]
-        if not frames:
-            return
-        pdf = pd.concat(frames).sort_values("step")
-        pdf = pdf[pdf["step"] > last]          # replays of old steps are ignored
-        if pdf.empty:
-            return
-        v = pdf["value"].to_numpy(dtype=np.float64)
-        cnt = n + np.arange(1, len(v) + 1)
-        sums = total + np.cumsum(v)
-        emas = np.empty(len(v))
-        e = ema
-        for i, x in enumerate(v):             # bounded by the steps in one micro-batch
-            e = decay * e + (1.0 - decay) * x
-            emas[i] = e
-        state.update((int(cnt[-1]), float(sums[-1]), float(e), int(pdf["step"].iloc[-1])))
-        yield pd.DataFrame({"metric": metric, "step": pdf["step"].to_numpy(dtype=np.int64), "value": v,
-                            "mean": sums / cnt, "ema": emas})
+        n, total, ema, nxt, steps, values = state.get if state.exists else (0, 0.0, 0.0, first_step, [], [])
+        waiting = dict(zip(steps, values))
+        late: list[tuple[int, float]] = []
+        for pdf in pdfs:
+            ready: list[float] = []
+            start = nxt
+            for step, value in zip(pdf["step"].tolist(), pdf["value"].tolist()):
+                if step < nxt or step in waiting:
+                    late.append((step, value))
+                else:
+                    waiting[step] = value
+            while waiting:
+                if nxt not in waiting:
+                    if ready or len(waiting) <= max_waiting:
+                        break
+                    start = nxt = min(waiting)        # the gap is given up
+                ready.append(waiting.pop(nxt))
+                nxt += 1
+            if ready:
+                v = np.array(ready)
+                sums = total + np.cumsum(v)
+                counts = n + np.arange(1, len(v) + 1)
+                # the recursion e = decay * e + (1 - decay) * v, from the last value on
+                emas = pd.Series(np.concatenate([[ema], v])).ewm(alpha=1 - decay, adjust=False).mean().to_numpy()[1:]
+                n, total, ema = int(counts[-1]), float(sums[-1]), float(emas[-1])
+                yield _rows(metric, start + np.arange(len(v)), v, sums / counts, emas, False)
+        if late:
+            yield _rows(metric, [s for s, _ in late], [v for _, v in late], None, None, True).astype(
+                {"mean": float, "ema": float})
+        state.update((n, total, ema, nxt, list(waiting), list(waiting.values())))
     return fn
 
 
-def running_stats_stream(stream: DataFrame, decay: float = EMA_DECAY_DEFAULT) -> DataFrame:
+def running_stats_stream(stream: DataFrame, decay: float = EMA_DECAY_DEFAULT, first_step: int = 1,
+                         max_waiting: int = 100_000) -> DataFrame:
     """``stream`` has columns (metric, step, value); returns a stream of
-    (metric, step, value, mean, ema) in append mode."""
+    (metric, step, value, mean, ema, late) in append mode."""
     return stream.select("metric", "step", "value").groupBy("metric").applyInPandasWithState(
-        _update(decay), OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+        _update(decay, first_step, max_waiting), OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
 
 
 def run_to_table(stream_out: DataFrame, out_path: str, checkpoint: str) -> None:
