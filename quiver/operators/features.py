@@ -172,11 +172,15 @@ def bucket_encode(df: DataFrame, feature: str, bucket_col: str, weights: DataFra
 
 
 # --- P20, P23 -----------------------------------------------------------------
-def hash_slot(x: Column | str, size: int, identity: bool = False) -> Column:
+def hash_slot(x: Column | str, size: int, identity: bool = False, portable: bool = False) -> Column:
     """P20: categorical value -> slot in [0, size). ``identity`` keeps integer
-    ids (x mod size); otherwise a 64-bit xxhash. The reference's hash is not
+    ids (x mod size); otherwise a 64-bit xxhash, or with ``portable`` the first
+    32 bits of the MD5 of the value's text, which other engines can compute too. The reference's hash is not
     available, so slot ids differ from it; collision statistics do not."""
     c = F.col(x) if isinstance(x, str) else x
+    if portable:
+        first = F.conv(F.substring(F.md5(c.cast("string").cast("binary")), 1, 8), 16, 10)
+        return F.pmod(first.cast("bigint"), F.lit(size)).cast("bigint")
     return (F.pmod(c.cast("bigint"), F.lit(size)) if identity else F.pmod(F.xxhash64(c), F.lit(size))).cast("bigint")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quiver.functions.labels import LABEL_CAP, clip
+from quiver.operators.features import hash_slot
 
 
 def scored_rows(df: DataFrame, tasks: Mapping[str, tuple[str, str]], split: str,
@@ -28,10 +29,13 @@ def scored_rows(df: DataFrame, tasks: Mapping[str, tuple[str, str]], split: str,
     return df.select(*out)
 
 
-def sample_by_hash(df: DataFrame, key_cols: Sequence[str], ratio: float) -> DataFrame:
+def sample_by_hash(df: DataFrame, key_cols: Sequence[str], ratio: float, portable: bool = False) -> DataFrame:
     """Deterministic row sample (the service's sampling ratio): keep rows whose
-    key hash falls in the first ``ratio`` share of 1000 slots."""
+    key hash falls in the first ``ratio`` share of 1000 slots. ``portable``
+    hashes the keys' texts, joined by ``|``, by MD5."""
     k = int(round(ratio * 1000))
+    if portable:
+        return df.filter(hash_slot(F.concat_ws("|", *key_cols), 1000, portable=True) < k)
     return df.filter(F.pmod(F.xxhash64(*[F.col(c) for c in key_cols]), F.lit(1000)) < k)
 
 
