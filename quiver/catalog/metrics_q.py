@@ -69,6 +69,31 @@ def a2(spark, d):
     return out.select("feature", "bucket", *[round6(F.col(c)).alias(c) for c in out.columns[2:]])
 
 
+A2_MANY = {"l_extendedprice": (PRICE_BOUNDS, A2_IDS, True), "big_label": ((10.0, 50.0, 100.0), [0, 1, 3, 5], False),
+           "l_linenumber": ((2.0, 4.0, 6.0), [1, 2], False)}
+
+
+def _a2_many_sql() -> str:
+    parts = []
+    for f, (bounds, ids, log) in A2_MANY.items():
+        src = {"big_label": "reward * 5.0"}.get(f, f)
+        b = Q.bucket(Q.compress(src) if log else f"({src})::DOUBLE", bounds)
+        parts.append(f"""SELECT '{f}' AS feature, ids.bucket, {Q.r6('pred_mean')} AS pred_mean, {Q.r6('reg_loss_mean')} AS reg_loss_mean,
+       {Q.r6('ideal_loss_mean')} AS ideal_loss_mean, {Q.r6('coalesce(n::DOUBLE / (SELECT count(*) FROM x), 0.0)')} AS share,
+       {Q.r6('reward_mean')} AS reward_mean, {Q.r6('bias_mean')} AS bias_mean
+FROM (SELECT unnest({ids})::INTEGER AS bucket) ids LEFT JOIN (
+  SELECT {b} AS bucket, count(*) AS n, avg(p) AS pred_mean, avg(reg_loss) AS reg_loss_mean, avg(ideal_loss) AS ideal_loss_mean,
+         avg(reward) AS reward_mean, avg(bias) AS bias_mean FROM x GROUP BY 1) g ON ids.bucket = g.bucket""")
+    return X.with_ctes(X.SAMPLES_SQL, A2_CTE) + " UNION ALL ".join(parts)
+
+
+@query("A2_stats_by_buckets_of_many_features", _a2_many_sql())
+def a2_many(spark, d):
+    x = _a2_frame(spark, d).withColumn("big_label", F.col("reward") * 5.0)
+    out = M.stats_by_buckets(x, A2_MANY, "p", "reg_loss", "ideal_loss", "reward", "bias")
+    return out.select("feature", "bucket", *[round6(F.col(c)).alias(c) for c in out.columns[2:]])
+
+
 @query("A3_stats_by_segment", X.with_ctes(X.SAMPLES_SQL, A2_CTE) + f"""
 , g AS (SELECT l_linenumber::BIGINT AS segment, count(*) AS n, avg(p) AS pred_mean, avg(reg_loss) AS reg_loss_mean,
                avg(ideal_loss) AS ideal_loss_mean, avg(reward) AS reward_mean FROM x GROUP BY 1),

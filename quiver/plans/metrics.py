@@ -345,43 +345,52 @@ REPORT_METRICS = ([f"acc_threshold_{t}" for t in SWEEP_THRESHOLDS]
 
 
 # --- A2, A3 -----------------------------------------------------------------
-def _share_table(agg: DataFrame, key: str, ids: Sequence, id_type: str) -> DataFrame:
-    spark = agg.sparkSession
-    listed = spark.createDataFrame([(v,) for v in ids], f"{key} {id_type}")
-    tot = F.sum("n").over(Window.partitionBy())  # one row per bucket/segment: bounded
-    with_share = agg.withColumn("share", F.col("n") / tot)
-    return F.broadcast(listed).join(with_share, key, "left")
+def _listed_stats(rows: DataFrame, keys: Sequence[str], listed: DataFrame, is_listed: Column, means: Sequence[str]) -> DataFrame:
+    """Means and row share per listed group in one aggregation. Rows of other
+    groups are merged before it, so it makes one row per listed group and
+    feature, plus one: their share's total is a window over these few rows."""
+    *outer, last = keys
+    kept = rows.withColumn(last, F.when(is_listed, F.col(last)))
+    agg = kept.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"{c}_mean") for c in means])
+    share = agg.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*outer)))
+    return listed.join(share, list(keys), "left").withColumn("share", F.coalesce("share", F.lit(0.0)))
+
+
+def stats_by_buckets(df: DataFrame, specs: Mapping[str, tuple[Sequence[float], Sequence[int], bool]],
+                     pred: str, reg_loss: str, ideal_loss: str, reward: str, bias: str) -> DataFrame:
+    """A2 over many features in one pass: ``specs`` maps a feature to (bounds,
+    listed buckets, compress first). Per feature and listed bucket: mean
+    prediction, mean regression loss, mean ideal loss, row share, mean reward,
+    mean bias output. Listed buckets without rows keep NULL means and a 0 share."""
+    spark = df.sparkSession
+    parts = [F.struct(F.lit(f).alias("feature"), bucketize(compress(f) if log else _dbl(f), bounds).alias("bucket"),
+                      bucketize(compress(f) if log else _dbl(f), bounds).isin(*[int(i) for i in ids]).alias("listed"))
+             for f, (bounds, ids, log) in specs.items()]
+    values = [F.col(c).alias(n) for c, n in ((pred, "pred"), (reg_loss, "reg_loss"), (ideal_loss, "ideal_loss"),
+                                             (reward, "reward"), (bias, "bias"))]
+    rows = df.select(F.explode(F.array(*parts)).alias("_f"), *values).select("_f.*", *[v for v in (
+        "pred", "reg_loss", "ideal_loss", "reward", "bias")])
+    listed = spark.createDataFrame([(f, int(i)) for f, (_, ids, _log) in specs.items() for i in ids], "feature string, bucket int")
+    out = _listed_stats(rows, ["feature", "bucket"], listed, F.col("listed"), ["pred", "reg_loss", "ideal_loss", "reward", "bias"])
+    return out.select("feature", "bucket", "pred_mean", "reg_loss_mean", "ideal_loss_mean", "share", "reward_mean", "bias_mean")
 
 
 def stats_by_bucket(df: DataFrame, feature: str, bounds: Sequence[float], bucket_ids: Sequence[int],
                     pred: str, reg_loss: str, ideal_loss: str, reward: str, bias: str,
                     need_log1p: bool = True) -> DataFrame:
-    """A2: per listed bucket of ``feature``: mean prediction, mean regression
-    loss, mean ideal loss, row share, mean reward, mean bias output. Listed
-    buckets without rows keep NULL means and a 0 share."""
-    x = compress(feature) if need_log1p else _dbl(feature)
-    agg = (df.select(bucketize(x, bounds).alias("bucket"), pred, reg_loss, ideal_loss, reward, bias)
-           .groupBy("bucket")
-           .agg(F.count(F.lit(1)).alias("n"), F.avg(pred).alias("pred_mean"),
-                F.avg(reg_loss).alias("reg_loss_mean"), F.avg(ideal_loss).alias("ideal_loss_mean"),
-                F.avg(reward).alias("reward_mean"), F.avg(bias).alias("bias_mean")))
-    out = _share_table(agg, "bucket", bucket_ids, "int")
-    return out.select(F.lit(feature).alias("feature"), "bucket", "pred_mean", "reg_loss_mean",
-                      "ideal_loss_mean", F.coalesce("share", F.lit(0.0)).alias("share"),
-                      "reward_mean", "bias_mean")
+    """A2 of one feature (see ``stats_by_buckets``)."""
+    return stats_by_buckets(df, {feature: (bounds, bucket_ids, need_log1p)}, pred, reg_loss, ideal_loss, reward, bias)
 
 
 def stats_by_segment(df: DataFrame, segment: str, segments: Sequence[int], pred: str, reg_loss: str,
                      ideal_loss: str, reward: str) -> DataFrame:
     """A3: A2 per listed category of ``segment`` (no bias output)."""
-    agg = (df.select(F.col(segment).cast("bigint").alias("segment"), pred, reg_loss, ideal_loss, reward)
-           .groupBy("segment")
-           .agg(F.count(F.lit(1)).alias("n"), F.avg(pred).alias("pred_mean"),
-                F.avg(reg_loss).alias("reg_loss_mean"), F.avg(ideal_loss).alias("ideal_loss_mean"),
-                F.avg(reward).alias("reward_mean")))
-    out = _share_table(agg, "segment", segments, "bigint")
-    return out.select("segment", "pred_mean", "reg_loss_mean", "ideal_loss_mean",
-                      F.coalesce("share", F.lit(0.0)).alias("share"), "reward_mean")
+    rows = df.select(F.col(segment).cast("bigint").alias("segment"), F.col(pred).alias("pred"), F.col(reg_loss).alias("reg_loss"),
+                     F.col(ideal_loss).alias("ideal_loss"), F.col(reward).alias("reward"))
+    listed = df.sparkSession.createDataFrame([(int(v),) for v in segments], "segment bigint")
+    out = _listed_stats(rows, ["segment"], listed, F.col("segment").isin(*[int(v) for v in segments]),
+                        ["pred", "reg_loss", "ideal_loss", "reward"])
+    return out.select("segment", "pred_mean", "reg_loss_mean", "ideal_loss_mean", "share", "reward_mean")
 
 
 # --- E7 ---------------------------------------------------------------------
