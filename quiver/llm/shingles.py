@@ -7,7 +7,7 @@ import xxhash
 
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 FOLD = np.uint64(0x9E3779B97F4A7C15)
-TABLE_ENTRIES = 1_500_000
+TABLE_ENTRIES = 800_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
