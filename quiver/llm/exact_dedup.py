@@ -19,6 +19,7 @@ from quiver.llm.common import lower_az, new_path, saved
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Rows of the filter that keeps texts without a hit out of the shuffle: a fixed bound for the broadcast.
 FILTER_SLOTS = 1 << 18
+HEAVY = 1000
 
 
 def sha256(normalised: Column) -> Column:
@@ -57,7 +58,11 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                                F.monotonically_increasing_id().alias("row"), F.input_file_name().alias("file")),
                    "ledger", ledger_path)
     state = saved(absorb(spark, ledger_path, new_path(spark, "dedup-state"), ledger.schema), "dedup-groups")
-    member = ledger.join(state, "digest")
+    # Digests with more than 1/HEAVY of all rows are fewer than HEAVY: their rows meet them where they are, without a shuffle.
+    large = F.col("n") > ledger.count() / HEAVY
+    heavy = F.broadcast(state.filter(large))
+    member = ledger.join(heavy.select("digest"), "digest", "left_anti").join(state.filter(~large), "digest").unionByName(
+        ledger.join(heavy, "digest"))
     hits = member.filter(F.col("n") > 1).select("digest", "doc_id").distinct()
 
     # Full bytes of the hits only. Ids go through a fixed number of slots first, so that most texts without a hit stay put.
