@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quiver.llm import exact_dedup, html_extract, katz, near_dedup, nearest, packing, piece_codec, quality, sharding, toxicity
+from quiver.llm import exact_dedup, html_extract, katz, near_dedup, nearest, oracle, packing, piece_codec, quality, sharding, toxicity
 from quiver.llm.common import documents
 
 
@@ -69,7 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    sql = {}
+    sql = dict(oracle.SQL)
     if corpus_pipeline.ORACLE_SQL:
         sql["pipeline"] = corpus_pipeline.ORACLE_SQL
     return sql
