@@ -359,6 +359,49 @@ def p22(spark, d):
     return s.select(*KEYS, round6(T.dot(w, c)).alias("soft_value"), round6(F.array_max(w)).alias("top_weight"))
 
 
+VECTORS = [[c, c * c, 1.0] for c in CENTERS]
+
+
+@query("P22_soft_bucket_vector", X.with_ctes(X.SAMPLES_SQL) + f"""
+, a AS (SELECT {KEYS_SQL}, list_transform({Q.arr(CENTERS)}, lambda c: -abs({Q.compress('l_extendedprice')} - c) / 0.8) AS lg
+        FROM samples),
+e AS (SELECT {KEYS_SQL}, list_transform(lg, lambda z: exp(z - list_max(lg))) AS ex FROM a)
+SELECT {KEYS_SQL}, {Q.r6(f"list_sum(list_transform(list_zip(ex, {Q.arr(CENTERS)}), lambda t: t[1] / list_sum(ex) * t[2]))")} AS v1,
+       {Q.r6(f"list_sum(list_transform(list_zip(ex, {Q.arr(CENTERS)}), lambda t: t[1] / list_sum(ex) * t[2] * t[2]))")} AS v2,
+       1.0::DOUBLE AS v3 FROM e""")
+def p22_vector(spark, d):
+    s = X.samples(spark, d)
+    table = F.array(*[T.bounds_literal(v) for v in VECTORS])
+    v = T.soft_bucket_vector(T.compress("l_extendedprice"), T.bounds_literal(CENTERS), table, 3, 0.8)
+    return s.select(*KEYS, v.alias("v")).select(*KEYS, *[round6(F.element_at("v", i + 1)).alias(f"v{i + 1}") for i in range(3)])
+
+
+@query("P3_vector_encode", X.with_ctes(X.SAMPLES_SQL) + f"""
+, b AS (SELECT {KEYS_SQL}, convert_label, big_label, {PRICE_BUCKET_SQL} AS bucket FROM samples),
+t AS (SELECT bucket, (sum(convert_label) + 10.0 * (SELECT avg(convert_label) FROM b)) / (count(*) + 10.0) AS x,
+             (sum(big_label) + 10.0 * (SELECT avg(big_label) FROM b)) / (count(*) + 10.0) AS y FROM b GROUP BY bucket)
+SELECT {KEYS_SQL}, {Q.r6('x')} AS x, {Q.r6('y')} AS y FROM b JOIN t ON b.bucket = t.bucket""")
+def p3_vector(spark, d):
+    """Two label means per bucket as a two wide table, looked up per row."""
+    s = X.samples(spark, d).select(*KEYS, "convert_label", "big_label", _price_bucket())
+    table = FT.bucket_target_vectors(s, "price", "bucket", ["convert_label", "big_label"])
+    out = FT.vector_encode(s, "price", "bucket", table, 2, size=len(PRICE_BOUNDS) + 1)
+    return out.select(*KEYS, round6(F.element_at("vector", 1)).alias("x"), round6(F.element_at("vector", 2)).alias("y"))
+
+
+@query("P20_slot_vectors", """
+WITH c AS (SELECT c_custkey, c_acctbal, ('0x' || substr(md5(c_mktsegment), 1, 8))::BIGINT % 97 AS slot FROM customer),
+t AS (SELECT slot, min(c_acctbal) AS lo, max(c_acctbal) AS hi FROM c WHERE slot % 2 = 0 GROUP BY slot)
+SELECT c_custkey, coalesce(lo, 0.0) AS lo, coalesce(hi, 0.0) AS hi FROM c LEFT JOIN t ON c.slot = t.slot""")
+def p20_vectors(spark, d):
+    """Hash slots looked up in a two wide table that lacks every other slot."""
+    c = table(spark, d, "customer").select("c_custkey", "c_acctbal", FT.hash_slot("c_mktsegment", 97, portable=True).alias("slot"))
+    t = c.filter("slot % 2 = 0").groupBy(F.lit("segment").alias("feature"), F.col("slot").alias("bucket")).agg(
+        F.array(F.min("c_acctbal"), F.max("c_acctbal")).alias("vector"))
+    out = FT.vector_encode(c, "segment", "slot", t, 2, size=97)
+    return out.select("c_custkey", F.element_at("vector", 1).alias("lo"), F.element_at("vector", 2).alias("hi"))
+
+
 @query("P23_assemble", X.with_ctes(X.SEQ20_SQL) + """
 SELECT user_id, list_concat([n_valid::DOUBLE], value_seq) AS features FROM seq20""")
 def p23(spark, d):

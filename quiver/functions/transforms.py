@@ -166,3 +166,10 @@ def dot(a: Column, b: Column) -> Column:
 def soft_bucket(x: ColumnOrName, centers: Column, table: Column, temp: float = SOFT_TEMP) -> Column:
     """Soft-bucket weights dotted with a per-bucket value table."""
     return dot(soft_bucket_weights(x, centers, temp), table)
+
+
+def soft_bucket_vector(x: ColumnOrName, centers: Column, table: Column, dim: int, temp: float = SOFT_TEMP) -> Column:
+    """P22 with a ``dim`` wide table (array of one vector per bucket): the
+    vectors' mean under the soft-bucket weights."""
+    w = soft_bucket_weights(x, centers, temp)
+    return F.transform(F.sequence(F.lit(1), F.lit(dim)), lambda j: dot(w, F.transform(table, lambda v: F.element_at(v, j))))

@@ -171,6 +171,33 @@ def bucket_encode(df: DataFrame, feature: str, bucket_col: str, weights: DataFra
     return df.join(F.broadcast(w), bucket_col, "left")
 
 
+#: Rows up to which a lookup table is broadcast: at 16 values of 8 bytes each, some 16 MB.
+BROADCAST_ROWS = 100_000
+
+
+def bucket_target_vectors(df: DataFrame, feature: str, bucket_col: str, labels: Sequence[str],
+                          smoothing: float = 10.0) -> DataFrame:
+    """P4 with one value per label: (feature, bucket, vector), usable as the
+    ``dim`` = len(labels) wide table of ``vector_encode``."""
+    a = F.lit(float(smoothing))
+    g = df.groupBy(bucket_col).agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col(y).cast("double")).alias(f"s{i}") for i, y in enumerate(labels)])
+    whole = Window.partitionBy()  # one row per bucket: bounded by the bounds list
+    values = [(F.col(f"s{i}") + a * F.sum(f"s{i}").over(whole) / F.sum("n").over(whole)) / (F.col("n") + a) for i in range(len(labels))]
+    return g.select(F.lit(feature).alias("feature"), F.col(bucket_col).alias("bucket"), F.array(*values).alias("vector"))
+
+
+def vector_encode(df: DataFrame, feature: str, slot_col: str, table: DataFrame, dim: int, out: str = "vector",
+                  size: int | None = None) -> DataFrame:
+    """Look up the ``dim`` wide vector of a bucket or hash slot in
+    ``table`` (feature, bucket, vector). Slots without a vector, and NULL slots,
+    get zeros. ``size`` is the number of slots the table can have; up to
+    ``BROADCAST_ROWS`` it is broadcast, else (or unsized) the join is left to the planner."""
+    t = table.filter(F.col("feature") == feature).select(F.col("bucket").alias(slot_col), F.col("vector").alias(out))
+    t = F.broadcast(t) if size is not None and size <= BROADCAST_ROWS else t
+    zeros = F.array_repeat(F.lit(0.0), dim)
+    return df.join(t, slot_col, "left").withColumn(out, F.coalesce(out, zeros))
+
+
 # --- P20, P23 -----------------------------------------------------------------
 def hash_slot(x: Column | str, size: int, identity: bool = False, portable: bool = False) -> Column:
     """P20: categorical value -> slot in [0, size). ``identity`` keeps integer
