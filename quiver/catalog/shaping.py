@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quiver.catalog.registry import query
 from quiver.operators import dataset as D
 from quiver.sources import fixtures as X
 from quiver.sources.reader import Field, check_schema, conform, read_samples, split_label
-from quiver.sources.sink import scored_rows
-from quiver.session import table
+from quiver.sources.sink import scored_rows, write_scored
+from quiver.session import ensure_checkpoint_dir, table
 
 LI_KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
@@ -129,6 +131,18 @@ def s10_sampled(spark, d):
     return sample_by_hash(rows, ["l_orderkey", "l_linenumber", "gmv", "cost"], 0.1)
 
 
+@query("S10_train_then_eval_files", X.with_ctes(X.SAMPLES_SQL) + """
+SELECT CASE WHEN l_orderkey % 2 = 0 THEN 'train' ELSE 'eval' END AS dataset, l_orderkey, l_linenumber,
+       p AS score_roi1, roi1 AS label_roi1, least(greatest(roi1, 0.0::DOUBLE), 300.0::DOUBLE) AS label_roi1_cap, gmv FROM samples""")
+def s10_files(spark, d):
+    """The train run's rows and then the eval run's rows, written to one folder and read back."""
+    path = f"{ensure_checkpoint_dir(spark)}/scored/{uuid.uuid4().hex}"
+    for split, half in (("train", 0), ("eval", 1)):
+        part = X.samples(spark, d).filter(F.col("l_orderkey") % 2 == half)
+        write_scored(scored_rows(part, TASKS, split, ["l_orderkey", "l_linenumber"], ["gmv"]), path)
+    return spark.read.parquet(path).select("dataset", "l_orderkey", "l_linenumber", "score_roi1", "label_roi1", "label_roi1_cap", "gmv")
+
+
 CONTRACT = [Field("user_id", "bigint"), Field("value_raw", "double", 0.0, 20), Field("missing_seq", "bigint", 0, 20)]
 
 

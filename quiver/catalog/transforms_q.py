@@ -117,15 +117,14 @@ SELECT user_id,
 FROM r""")
 def p6(spark, d):
     s = _seq2d(spark, d).select("user_id", "value_seq", F.col(f"{X.hcol('cnt', 24)}_seq").alias("c24"),
-                                F.col(f"{X.hcol('cnt', 1)}_seq").alias("c1"),
-                                F.col(f"{X.hcol('cnt', 3)}_seq").alias("c3"))
-    s, _ = DV.apply_log_ratios(s, [("c1", "c3", "ratio_1_3")])
-    s = s.select("*", F.zip_with("c1", "c3", DV._delta_fn(1, 3, "reference")).alias("delta_1_3"))
-    specs = {"value_seq": VALUE_BOUNDS, "c24": (0.0,), "ratio_1_3": RATIO_BOUNDS, "delta_1_3": DELTA_BOUNDS}
-    out, kept = FT.bucket_features_2d(s, specs, {"c24": CNT_LOG_BOUNDS}, reduce="max",
-                                      exempt=["ratio_1_3", "delta_1_3"])
+                                F.col(f"{X.hcol('cnt', 1)}_seq").alias("c_1h_user_all"),
+                                F.col(f"{X.hcol('cnt', 3)}_seq").alias("c_3h_user_all"))
+    delta = "c_1_3h_user_all"
+    specs = {"value_seq": VALUE_BOUNDS, "c24": (0.0,), "ratio_1_3": RATIO_BOUNDS, delta: DELTA_BOUNDS}
+    out, kept = DV.features_2d(s, specs, {"c24": CNT_LOG_BOUNDS}, ratios=[("c_1h_user_all", "c_3h_user_all", "ratio_1_3")],
+                               ladders={"c": (1, 3)}, key="user")
     out, _ = FT.bucket_features_2d(out, {"value_seq": VALUE_BOUNDS}, reduce="mean", prefix="mean_b_")
-    return out.select("user_id", *[f"b_{k}" for k in kept], "mean_b_value_seq")
+    return out.select("user_id", *[F.col(f"b_{k}").alias("b_delta_1_3" if k == delta else f"b_{k}") for k in kept], "mean_b_value_seq")
 
 
 @query("P7_array_reduce", X.with_ctes(X.SEQ20_SQL) + f"""

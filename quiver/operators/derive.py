@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
 from quiver.functions.transforms import bucketize, log_ratio, signed_delta
+from quiver.operators.features import BUCKET_PREFIX, bucket_features_2d
 
 
 def _is_array(df: DataFrame, name: str) -> bool:
@@ -72,6 +73,22 @@ def horizon_deltas(df: DataFrame, ladders: Mapping[str, Sequence[int]], key: str
     return df.select("*", *exprs), made
 
 
+def features_2d(df: DataFrame, specs: Mapping[str, Sequence[float]],
+                log_specs: Mapping[str, Sequence[float]] | None = None,
+                ratios: Sequence[tuple[str, str, str]] = (), ladders: Mapping[str, Sequence[int]] | None = None,
+                key: str = "", reduce: str = "max", need_log1p: bool = False, mode: str = "reference",
+                prefix: str = BUCKET_PREFIX) -> tuple[DataFrame, list[str]]:
+    """P6 whole: ratio features (P10) and horizon deltas (P12) of the array
+    columns, elementwise, then bucket ids of these and of all listed features
+    (``bucket_features_2d``). Ratios and deltas are exempt from the first
+    compression. Returns the frame and the bucketized names."""
+    out, made = apply_log_ratios(df, ratios)
+    more: list[str] = []
+    if ladders:
+        out, more = horizon_deltas(out, ladders, key, specs, mode)
+    return bucket_features_2d(out, specs, log_specs, reduce=reduce, need_log1p=need_log1p, exempt=[*made, *more], prefix=prefix)
+
+
 def time_delta_ratio(df: DataFrame, names: Sequence[str], scales: Sequence[float], name: str,
                      mode: str = "corrected") -> tuple[DataFrame, list[str]]:
     """For adjacent pairs i, i+1:
