@@ -10,6 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from quiver.llm import exact_dedup, near_dedup, packing, quality, toxicity
 from quiver.llm.common import documents, saved
 
+#: The stage's own contract, looser than op10's: sets of five words with a similarity of 0.8 or more are linked. A pair at
+#: exactly 0.8 agrees in fewer than 32 of 64 coordinates with a chance of 2.0e-8.
+NEAR_WORDS, NEAR_SHARE, NEAR_MATCH = 5, (80, 100), 32
+
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -32,7 +36,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates, the one with the smallest id."""
-    return near_dedup.keep_one(docs)
+    return near_dedup.keep_one(docs, words=NEAR_WORDS, share=NEAR_SHARE, match=NEAR_MATCH)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
