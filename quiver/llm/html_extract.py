@@ -40,6 +40,7 @@ GOOD_TOKENS = ["article", "content", "main", "post", "story", "entry", "body", "
 BAD_TOKENS = ["ad", "ads", "advert", "advertisement", "sponsor", "promo", "banner", "nav", "menu", "breadcrumb", "header", "footer", "sidebar",
               "aside", "comment", "comments", "reply", "notice", "cookie", "consent", "popup", "modal", "newsletter", "subscribe", "share",
               "social", "related", "widget", "form", "login", "search", "copyright"]
+HEAD_TAGS = {"title", "meta", "link", "base", "script", "style", "noscript", "template", "basefont", "bgsound", "noframes"}
 SKIP_TAGS = {"nav", "menu", "header", "footer", "aside", "form", "dialog"}
 TOKEN = re.compile(r"[a-z]+")
 
@@ -54,7 +55,7 @@ class Node:
 
 
 class Tree(HTMLParser):
-    """A forgiving tree: void elements, implied ends of p, li, dt, dd, tr, td and option, stray end tags ignored."""
+    """A forgiving tree: void elements, implied ends of head, p, li, dt, dd, tr, td and option, stray end tags ignored."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -69,6 +70,13 @@ class Tree(HTMLParser):
             n = n.parent
         return None
 
+    def open_head(self, tag: str) -> "Node | None":
+        """The head that ``tag`` ends: one it stands in itself, or for body one it stands anywhere in."""
+        n = self.at
+        while tag == "body" and n.parent is not None and n.tag not in ("head", "template"):
+            n = n.parent
+        return n if n.tag == "head" else None
+
     def handle_starttag(self, tag, attrs):
         if tag in CLOSES_P and (p := self.open_p()) is not None:
             self.at = p.parent
@@ -77,6 +85,8 @@ class Tree(HTMLParser):
             self.at = self.at.parent
         if tag in ("html", "body") and self.at.depth < 2 and any(n.tag == tag for n in self.nodes[:64]):
             return
+        if tag not in HEAD_TAGS and (head := self.open_head(tag)) is not None:
+            self.at = head.parent
         tokens = frozenset(t for k, v in attrs if k in ("class", "id", "role", "itemprop") and v for t in TOKEN.findall(v.lower()))
         node = Node(tag, tokens, self.at)
         self.at.children.append(node)
@@ -97,6 +107,8 @@ class Tree(HTMLParser):
             self.at = n.parent
 
     def handle_data(self, data):
+        if self.at.tag == "head" and data.strip():
+            self.at = self.at.parent
         if data:
             self.at.children.append(data)
 

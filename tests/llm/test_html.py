@@ -87,6 +87,16 @@ def test_text_blocks_white_space_and_references():
     assert H.text_of(nodes, np.ones(len(nodes), bool)) == "a <b> cde f g 'h' &amp; i j"
 
 
+@pytest.mark.parametrize("start", ["<html><head><meta charset=utf-8><title>T</title><noscript><img src=a></noscript>{}<body>",
+                                   "<head><script>a</script>{}<header><p>Site</p></header>", "<head><title>T</title>\n{}Hello "])
+def test_a_head_without_an_end_tag_ends_before_the_body(model, start):
+    shape = lambda nodes: [(x.tag, x.depth, [c.strip() for c in x.children if isinstance(c, str) and c.strip()]) for x in nodes]
+    rest = "<article>" + "".join(f"<p>{LONG * 3}{i}</p>" for i in range(6)) + "</article>"
+    with_end, without = H.parse(start.format("</head>") + rest), H.parse(start.format("") + rest)
+    assert shape(without) == shape(with_end) and H.truth(without) is not None
+    assert H.main_text(model, start.format("") + rest).endswith(" ".join((LONG * 3).strip() + f" {i}" for i in range(6)))
+
+
 def test_odd_pages(spark, model):
     deep = "<div>" * 3000 + "deep text" + "</div>" * 3000
     rows = [(1, None, None), (2, "u", ""), (3, "u", "plain words, no tags"), (4, "u", deep), (5, "u", "<p><b>unclosed <i>tags <a href="),
