@@ -19,7 +19,7 @@ from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from quiver.llm.common import spread_out
@@ -363,19 +363,34 @@ def main_text(model: dict, html: str) -> str:
 
 def extract(pages: DataFrame, fit_pages: int = FIT_PAGES) -> DataFrame:
     """page_id, url, text, n_chars of each page. Null and empty html, and pages without main text, give an empty text; so does
-    every page of a table in which no page marks its article. The model comes from the ``fit_pages`` pages whose hashed id comes first."""
+    every page of a table in which no page marks its article. The model comes from the ``fit_pages`` pages whose hashed id comes first,
+    of those that ``truth`` can use. Mostly these are among the first that hold such a tag; only if not, all pages with one are parsed."""
     spark = pages.sparkSession
-    order = F.xxhash64(pages["page_id"])
-    ids = pages.filter(pages["html"].isNotNull()).select(pages["page_id"].alias("id"), order.alias("o")).orderBy("o", "id").limit(fit_pages).distinct()
-    sample = pages.select(pages["page_id"].alias("id"), pages["html"].alias("html")).join(F.broadcast(ids), "id").dropDuplicates(["id"])
+    marked = pages.select(pages["page_id"].cast("long").alias("id"), F.xxhash64(pages["page_id"]).alias("o"), pages["html"].alias("html")).filter(
+        F.col("html").rlike(r"(?i)<(article|main)[\s/>]"))
 
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted((r for b in batches for r in zip(b.column(1).to_pylist(), b.column(0).to_pylist())))
-        if rows and (m := fit([h for _, h in rows])):
-            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(m)], pa.binary())], ["model"])
+    def usable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            html = [h if truth(parse(h)) is not None else None for h in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(html, pa.string())], ["id", "o", "html"])
 
-    found = sample.select("html", "o").repartition(1).mapInArrow(learn, "model binary").collect()
-    held = spark.sparkContext.broadcast(pickle.loads(bytes(found[0].model)) if found else None)
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))]
+        use = sorted((o, h) for h, o, _ in rows if h is not None)[:fit_pages]
+        m = fit([h for _, h in use]) if use else None
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(m) if m else None], pa.binary()), pa.array([len(use)], pa.int64()),
+                                          pa.array([sum(n for _, _, n in rows)], pa.int64())], ["model", "used", "seen"])
+
+    def model_of(some: DataFrame) -> Row:
+        ids = F.broadcast(some.select(F.col("id").alias("sid"), "o").orderBy("o", "sid").limit(fit_pages).select("sid"))
+        found = marked.join(ids, F.col("id").eqNullSafe(F.col("sid")), "left_semi").mapInArrow(usable, "id long, o long, html string")
+        found = found.groupBy("id", "o").agg(F.min("html").alias("html"), F.count(F.lit(1)).alias("n"))
+        return found.select("html", "o", "n").repartition(1).mapInArrow(learn, "model binary, used long, seen long").first()
+
+    found = model_of(marked)
+    if found and found.used < fit_pages <= found.seen:
+        found = model_of(spread_out(marked).mapInArrow(usable, "id long, o long, html string").filter("html is not null").select("id", "o").distinct())
+    held = spark.sparkContext.broadcast(pickle.loads(bytes(found.model)) if found and found.model else None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value

@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quiver.llm import html_extract as H
 
@@ -109,3 +110,12 @@ def test_odd_pages(spark, model):
     same = H.extract(pages.unionByName(pages).filter("page_id = 2 or page_id is null")).collect()
     assert len(same) == 4
     assert [r.text for r in H.extract(pages.filter("page_id in (2, 3)")).collect()] == ["", ""]
+
+
+@pytest.mark.parametrize("other", ["<div><p>plain</p></div>", "<article class='ad'><p>plain</p></article><!-- <main> -->"])
+def test_a_table_where_one_page_in_two_thousand_marks_its_article(spark, other):
+    real = spark.read.parquet(f"{SF}/pages.parquet").orderBy("page_id").limit(12).select("page_id", "url", "html")
+    rest = spark.range(10**6, 10**6 + 24_000, numPartitions=4).select(
+        F.col("id").alias("page_id"), F.lit("u").alias("url"), F.concat(F.lit("<body>"), F.lit(other), F.col("id").cast("string")).alias("html"))
+    got = {r.page_id: r.text for r in H.extract(real.unionByName(rest)).filter("page_id < 1000000").collect()}
+    assert got == {r.page_id: article_text(r.html) for r in real.collect()}
