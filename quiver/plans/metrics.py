@@ -191,8 +191,10 @@ def _graded_counts(g: DataFrame, cuts: Sequence[float], n: int) -> DataFrame:
     Scores and labels are cut into ranges. A pair in different score ranges and
     different label ranges is counted on the bounded table of range pairs; a
     pair within one score range in that range, by ``concordance``; a pair
-    within one label range but not one score range in the label range. No
-    task sees more than one range; equal rows count once."""
+    within one label range but not one score range in the label range, on the
+    sums per (score range, label): a range with a single label has no such pair
+    and is left out, so a task holds at most score ranges x labels of one range
+    with several, however many rows share a label. Equal rows count once."""
     l_cuts, _ = cuts_and_totals(g, "_l", n)
     rows = range_bucket(range_bucket(g, "_p", cuts, "_pb"), "_l", l_cuts, "_lb")
 
@@ -206,8 +208,10 @@ def _graded_counts(g: DataFrame, cuts: Sequence[float], n: int) -> DataFrame:
         same = sum(concordance(x["_pb"].to_numpy(), x["_l"].to_numpy(), x["_n"].to_numpy()) for _, x in pdf.groupby("_pb"))
         return pd.DataFrame({"conc": [concordance(p, l, w) - same]})    # pairs of one score range are not counted here
 
+    sums = rows.groupBy("_pb", "_lb", "_l").agg(F.sum("_n").alias("_n"))
+    several = sums.groupBy("_lb").agg(F.min("_l").alias("_lo"), F.max("_l").alias("_hi")).filter("_lo < _hi").select("_lb")
     inner = rows.groupBy("_pb").applyInPandas(within_scores, "conc double").unionByName(
-        rows.groupBy("_lb").applyInPandas(within_labels, "conc double"))
+        sums.join(several, "_lb", "left_semi").groupBy("_lb").applyInPandas(within_labels, "conc double"))
     cells = rows.groupBy("_pb", "_lb").agg(F.sum("_n").alias("_n"))     # at most ranges x ranges
     by_label = Window.partitionBy("_lb").orderBy("_pb").rowsBetween(Window.unboundedPreceding, -1)
     labels = F.array(*[F.lit(i) for i in range(len(l_cuts) + 1)])

@@ -49,6 +49,20 @@ def test_auc_of_continuous_labels(spark, n):
     assert abs(pairwise_auc(df, "p", "y", n_buckets=n).first().auc - want) < 1e-12
 
 
+def test_no_task_of_a_graded_auc_holds_all_scores_of_a_label(spark, monkeypatch):
+    def bounded(p, l, w):
+        assert len(p) <= 1200, f"{len(p)} rows in one group"
+        return concordance(p, l, w)
+
+    monkeypatch.setattr("quiver.plans.metrics.concordance", bounded)
+    rng = np.random.default_rng(5)
+    p, y = rng.random(6000), rng.choice([0.0, 0.0, 0.0, 1.0, 2.0], 6000)
+    higher = y[:, None] > y
+    want = (higher & (p[:, None] > p)).sum() / higher.sum()
+    df = spark.createDataFrame(list(zip(p.tolist(), y.tolist())), "p double, y double").repartition(3)
+    assert abs(pairwise_auc(df, "p", "y", n_buckets=8).first().auc - want) < 1e-12
+
+
 def test_rows_without_a_score_take_no_part(spark):
     rows = [(0.9, 1.0), (0.2, 0.0), (0.7, 0.0)]
     a = evaluation_report(spark.createDataFrame(rows, "p double, y double"), {"convert": ("y", "p")}).collect()
