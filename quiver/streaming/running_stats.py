@@ -2,12 +2,14 @@
 
 The reference's hook keeps every value of every metric in a growing list to
 print a running mean. Here the state per metric is the count, sum and EMA up
-to the last step in order, held by ``applyInPandasWithState``, and the steps
+to the last step in order, held by ``transformWithState``, and the steps
 that came early: files need not arrive in step order, so a step waits in the
 state until all before it are there, and results equal the batch version
-(``plans.running.running_stats``) whatever the batches. Steps count up from
-``first_step`` by one. A gap that stays open while more than ``max_waiting``
-steps wait is given up; a step that arrives after its place was passed, and
+(``plans.running.running_stats``) whatever the batches. Waiting steps lie in a
+map state in RocksDB, an entry for each ``CHUNK`` steps of a metric, so any number can
+wait and no task holds them all. Steps count up from ``first_step`` by one.
+A gap is never given up, unless ``max_waiting`` says to do so while more steps
+than that wait; a step that arrives after its place was passed, and
 a step that comes again, is put out with ``late`` true and no statistics, so
 nothing vanishes."""
 
@@ -18,13 +20,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from quiver.plans.running import EMA_DECAY_DEFAULT
 
 OUTPUT_SCHEMA = "metric string, step long, value double, mean double, ema double, late boolean"
-STATE_SCHEMA = ("n long, total double, ema double, next_step long, "
-                "waiting_steps array<long>, waiting_values array<double>")
+PLACE_SCHEMA = "n long, total double, ema double, next_step long, waiting long"
+CHUNK = 4096
+# map state needs RocksDB; many small stores: no space set aside
+STORE_CONF = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+              "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+              "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
 
 
 def _rows(metric, step, value, mean, ema, late) -> pd.DataFrame:
@@ -32,54 +38,97 @@ def _rows(metric, step, value, mean, ema, late) -> pd.DataFrame:
                          "mean": mean, "ema": ema, "late": late})
 
 
-def _update(decay: float, first_step: int, max_waiting: int):
-    def fn(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+class Running(StatefulProcessor):
+    def __init__(self, decay: float, first_step: int, max_waiting: int | None):
+        self.decay, self.first_step, self.max_waiting = decay, first_step, max_waiting
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.place = handle.getValueState("place", PLACE_SCHEMA)
+        self.chunks = handle.getMapState("waiting", "chunk long", "steps array<long>, vals array<double>")
+
+    def chunk(self, seen: dict[int, dict[int, float]], c: int) -> dict[int, float]:
+        """The waiting steps of chunk ``c``, read from the state once for each batch of rows."""
+        if c not in seen:
+            held = self.chunks.getValue((c,)) if self.chunks.containsKey((c,)) else None
+            seen[c] = dict(zip(held[0], held[1])) if held else {}
+        return seen[c]
+
+    def put(self, seen: dict[int, dict[int, float]], c: int) -> None:
+        if steps := seen.pop(c):
+            self.chunks.updateValue((c,), (list(steps), list(steps.values())))
+        elif self.chunks.containsKey((c,)):
+            self.chunks.removeKey((c,))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         (metric,) = key
-        n, total, ema, nxt, steps, values = state.get if state.exists else (0, 0.0, 0.0, first_step, [], [])
-        waiting = dict(zip(steps, values))
-        late: list[tuple[int, float]] = []
-        for pdf in pdfs:
-            ready: list[float] = []
-            start = nxt
+        n, total, ema, nxt, waiting = self.place.get() if self.place.exists() else (0, 0.0, 0.0, self.first_step, 0)
+        for pdf in rows:
+            seen: dict[int, dict[int, float]] = {}
+            late: list[tuple[int, float]] = []
             for step, value in zip(pdf["step"].tolist(), pdf["value"].tolist()):
-                if step < nxt or step in waiting:
+                if step < nxt or step in (at := self.chunk(seen, step // CHUNK)):
                     late.append((step, value))
                 else:
-                    waiting[step] = value
+                    at[step] = value
+                    waiting += 1
+            moved = False
             while waiting:
-                if nxt not in waiting:
-                    if ready or len(waiting) <= max_waiting:
+                c = nxt // CHUNK
+                at = self.chunk(seen, c)
+                if nxt not in at:
+                    if moved or self.max_waiting is None or waiting <= self.max_waiting:
                         break
-                    start = nxt = min(waiting)        # the gap is given up
-                ready.append(waiting.pop(nxt))
-                nxt += 1
-            if ready:
+                    for k in list(seen):
+                        self.put(seen, k)
+                    c = min(k for (k,) in self.chunks.keys())
+                    nxt = min(self.chunk(seen, c))        # the gap is given up
+                    continue
+                start, ready = nxt, []
+                while nxt // CHUNK == c and nxt in at:
+                    ready.append(at.pop(nxt))
+                    nxt += 1
+                if not at:
+                    self.put(seen, c)
+                moved, waiting = True, waiting - len(ready)
                 v = np.array(ready)
                 sums = total + np.cumsum(v)
                 counts = n + np.arange(1, len(v) + 1)
                 # the recursion e = decay * e + (1 - decay) * v, from the last value on
-                emas = pd.Series(np.concatenate([[ema], v])).ewm(alpha=1 - decay, adjust=False).mean().to_numpy()[1:]
+                emas = pd.Series(np.concatenate([[ema], v])).ewm(alpha=1 - self.decay, adjust=False).mean().to_numpy()[1:]
                 n, total, ema = int(counts[-1]), float(sums[-1]), float(emas[-1])
                 yield _rows(metric, start + np.arange(len(v)), v, sums / counts, emas, False)
-        if late:
-            yield _rows(metric, [s for s, _ in late], [v for _, v in late], None, None, True).astype(
-                {"mean": float, "ema": float})
-        state.update((n, total, ema, nxt, list(waiting), list(waiting.values())))
-    return fn
+            for k in list(seen):
+                self.put(seen, k)
+            if late:
+                yield _rows(metric, [s for s, _ in late], [v for _, v in late], None, None, True).astype(
+                    {"mean": float, "ema": float})
+        self.place.update((n, total, ema, nxt, waiting))
+
+    def close(self) -> None:
+        pass
 
 
 def running_stats_stream(stream: DataFrame, decay: float = EMA_DECAY_DEFAULT, first_step: int = 1,
-                         max_waiting: int = 100_000) -> DataFrame:
+                         max_waiting: int | None = None) -> DataFrame:
     """``stream`` has columns (metric, step, value); returns a stream of
-    (metric, step, value, mean, ema, late) in append mode."""
-    return stream.select("metric", "step", "value").groupBy("metric").applyInPandasWithState(
-        _update(decay, first_step, max_waiting), OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+    (metric, step, value, mean, ema, late) in append mode. The query that
+    writes it must start under ``STORE_CONF``, as ``run_to_table`` does."""
+    return stream.select("metric", "step", "value").groupBy("metric").transformWithStateInPandas(
+        Running(decay, first_step, max_waiting), OUTPUT_SCHEMA, "append", "none")
 
 
 def run_to_table(stream_out: DataFrame, out_path: str, checkpoint: str) -> None:
     """Run until all available input is processed, appending to Parquet
     (exactly once through the checkpoint)."""
-    q = (stream_out.writeStream.format("parquet").option("path", out_path)
-         .option("checkpointLocation", checkpoint).outputMode("append")
-         .trigger(availableNow=True).start())
+    conf = stream_out.sparkSession.conf
+    before = {k: conf.get(k, None) for k in STORE_CONF}
+    for k, v in STORE_CONF.items():
+        conf.set(k, v)
+    try:    # a query keeps the settings it starts with
+        q = (stream_out.writeStream.format("parquet").option("path", out_path)
+             .option("checkpointLocation", checkpoint).outputMode("append")
+             .trigger(availableNow=True).start())
+    finally:
+        for k, v in before.items():
+            conf.unset(k) if v is None else conf.set(k, v)
     q.awaitTermination()

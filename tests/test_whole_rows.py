@@ -96,6 +96,25 @@ def test_a_gap_that_stays_open_is_given_up_and_its_steps_come_out_late(spark, tm
     assert sorted(r.step for r in out) == [1, 2, 3, 4, 5, 6]
 
 
+def test_more_than_a_hundred_thousand_steps_wait(spark, tmp_path):
+    n = 240_000
+    for i in (2, 1, 0):    # dealt over the files, so that two of three steps are missing after the first
+        spark.range(1 + i, n + 1, 3, numPartitions=1).selectExpr("if(id > 200000, null, 'm') as metric", "if(id > 200000, id - 200000, id) as step",
+                                                               "cast(id % 7 as double) as value").write.parquet(str(tmp_path / "in" / f"f{i}"))
+    src = spark.readStream.schema("metric string, step long, value double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    run_to_table(running_stats_stream(src, decay=0.9), str(tmp_path / "out"), str(tmp_path / "chk"))
+    out = spark.read.parquet(str(tmp_path / "out")).toPandas()
+    assert len(out) == n and not out["late"].any()
+    for m, first, last in (("m", 1, 200_000), (None, 200_001, n)):
+        got = out[out["metric"].isna() if m is None else out["metric"] == m].sort_values("step")
+        v = np.arange(first, last + 1) % 7 * 1.0
+        ema = np.zeros(len(v) + 1)
+        for k, x in enumerate(v):
+            ema[k + 1] = 0.9 * ema[k] + 0.1 * x
+        assert got["step"].tolist() == list(range(1, len(v) + 1))
+        assert np.allclose(got["mean"], np.cumsum(v) / np.arange(1, len(v) + 1)) and np.allclose(got["ema"], ema[1:])
+
+
 def test_train_and_eval_written_one_after_the_other(spark, tmp_path):
     path = str(tmp_path / "scored")
     for split, n in (("train", 3), ("eval", 2), ("eval", 4)):
