@@ -5,7 +5,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,3 +74,34 @@ def spread_out(df: DataFrame) -> DataFrame:
     files = len(df.inputFiles())
     cores = spark.sparkContext.defaultParallelism
     return df.repartition(cores) if 0 < files < cores // 2 else df
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Rows in sequence that agree in the first ``keys`` columns (never null), as one table each.
+    Of rows sorted by these it holds one group at a time, so a task's memory is that of its largest group."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        new = np.zeros(b.num_rows - 1, bool)
+        for k in range(keys):
+            c = b.column(k)
+            new |= pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.nonzero(new)[0] + 1).tolist(), b.num_rows]
+        if held and last != [b.column(k)[0].as_py() for k in range(keys)]:
+            yield pa.Table.from_batches(held)
+            held = []
+        for s, e in zip(cuts[:-1], cuts[1:]):
+            if s:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(b.slice(s, e - s))
+        last = [b.column(k)[-1].as_py() for k in range(keys)]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def in_runs(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt and sorted by its key columns, as ``runs`` wants it."""
+    return df.repartition(*keys).sortWithinPartitions(*keys)

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quiver.llm import exact_dedup, html_extract, katz, near_dedup, nearest, oracle, packing, piece_codec, quality, sharding, toxicity
+from quiver.llm import (alignment, exact_dedup, filter_audit, html_extract, katz, near_dedup, nearest, ngram_join, oracle, packing, piece_codec,
+                        quality, sharding, toxicity)
 from quiver.llm.common import documents
 
 
@@ -53,8 +54,21 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(documents(spark, sf_dir))
+
+
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_similar(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_katz, op2_quality, op3_toxicity, op4_packing, op5_html_extract, op6_sharding, op7_piece_codec, op8_nearest, op9_exact_dedup, op10_near_dedup)}
+    f.__name__: f for f in (op1_katz, op2_quality, op3_toxicity, op4_packing, op5_html_extract, op6_sharding, op7_piece_codec, op8_nearest, op9_exact_dedup,
+                            op10_near_dedup, op11_alignment, op12_ngram_join, op13_filter_audit)}
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
