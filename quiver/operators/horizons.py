@@ -1,57 +1,155 @@
 """Multi-horizon counters (X1-X5): the producer side of the ratio and delta
 features, over an event table keyed by entity and time.
 
-Skew: one entity may own a large share of all events. Range windows are
+Skew: one entity may own a large share of all events. Windows are
 therefore partitioned by (entity, time bucket), never by entity alone. Each
 event is also copied, as a read-only "halo" row, into the following buckets
 its longest horizon reaches (and no others), so every bucket holds the
 complete history its own rows need. With the bucket as wide as the longest
 horizon the copy factor is at most 2; narrower buckets cut a hot entity
-finer at a larger copy factor, wider ones copy less.
+finer at a larger copy factor, wider ones copy less. An entity with very many
+events within one bucket is cut by minutes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quiver.session import epoch_micros
+from quiver.session import cut_lineage, epoch_micros
 
 HOUR_US = 3_600_000_000
 DAY_US = 24 * HOUR_US
 
 
+#: Events of one key within one longest horizon above which the key is worked off in panes of a minute.
+HOT_ROWS = 4_000_000
+PANE_US = 60_000_000
+
+
 def multi_horizon(df: DataFrame, key: str, ts: str, horizons_hours: Sequence[int],
                   value_cols: Sequence[str] = (), bucket_hours: int | None = None,
-                  name: str = "{m}_{h}h") -> DataFrame:
+                  name: str = "{m}_{h}h", hot_rows: int = HOT_ROWS) -> DataFrame:
     """Per event, count (and sum of each value column) of the same key's
     events in ``[t - h, t]``, like a SQL ``RANGE BETWEEN h PRECEDING AND
     CURRENT ROW`` frame. Rows without a key are a key of their own; rows
-    without a time are kept and have NULL counters.
+    without a time are kept and have NULL counters. NULL values add nothing;
+    NaN and infinities count in the windows that hold them and in no others.
+
+    No frame slides: every event marks its own time and, per horizon, the time
+    t - h. Running totals over the marks in time order, then a counter is the
+    total at t less the total before t - h, so the work is that of one sort
+    whatever a window holds. Totals start anew in each bucket, which
+    keeps them small. A key with more than ``hot_rows`` events in a bucket (one
+    count per key and bucket decides) is dealt out by minutes instead: totals
+    inside a minute, totals over its minutes, and a join of both.
 
     Output: the input columns plus ``cnt_<h>h`` and ``<v>_sum_<h>h`` (names via
     ``name`` with m in {cnt, <v>_sum})."""
     hs = sorted(int(h) for h in horizons_hours)
-    max_us = hs[-1] * HOUR_US
     b_us = (bucket_hours or hs[-1]) * HOUR_US
-    cols = df.columns
-    base = df.withColumn("_us", epoch_micros(ts)).withColumn("_b", F.floor(F.col("_us") / F.lit(b_us)))
+    base = df.select(F.struct(*df.columns).alias("_row"), F.col(key).alias("_key"), epoch_micros(ts).alias("_us"),
+                     *[F.col(v).cast("double").alias(f"_v{i}") for i, v in enumerate(value_cols)])
+    base = base.withColumn("_b", F.floor(F.col("_us") / F.lit(b_us)))
+    if hot_rows < 1:
+        raise ValueError("hot_rows must be positive")
+    full = base.groupBy("_key", "_b").agg(F.count(F.lit(1)).alias("_n")).filter((F.col("_n") > hot_rows) & F.col("_b").isNotNull())
+    full = full.select(F.col("_key").alias("_hot")).distinct()
+    if full.isEmpty():
+        out = _in_buckets(base, hs, len(value_cols), b_us)
+    else:   # fewer keys than rows / hot_rows; the planner broadcasts them by their measured size
+        is_hot = F.col("_key").eqNullSafe(F.col("_hot")) & F.col("_us").isNotNull()
+        out = _in_buckets(base.join(full, is_hot, "left_anti"), hs, len(value_cols), b_us).unionByName(
+            _in_panes(base.join(full, is_hot, "left_semi"), hs, len(value_cols)))
+    cols = []
+    for i, h in enumerate(hs):
+        cols.append(F.col(f"_c{i}").alias(name.format(m="cnt", h=h)))
+        cols += [F.col(f"_s{k}_{i}").alias(name.format(m=f"{v}_sum", h=h)) for k, v in enumerate(value_cols)]
+    return out.select("_row.*", *cols)
+
+
+def _marks(rows: DataFrame, hs: Sequence[int], own: Column) -> DataFrame:
+    """A row per mark: the event's (_i = -1) and, for own events, one at t - h for each horizon, ahead of the events of that time."""
+    mark = lambda i, t: F.struct(F.lit(i).alias("_i"), t.alias("_t"))
+    event = mark(-1, F.col("_us"))
+    probes = [mark(i, F.col("_us") - F.lit(h * HOUR_US)) for i, h in enumerate(hs)]
+    return rows.withColumn("_m", F.explode(F.when(own, F.array(event, *probes)).otherwise(F.array(event)))).select(
+        *rows.columns, "_m.*").withColumn("_at", (F.col("_i") < 0).cast("int"))
+
+
+def _parts(n_values: int) -> dict[str, Column]:
+    """What is totalled over the marks: events, finite values, and how many add +inf and -inf (NaN: both)."""
+    event, inf = F.col("_i") < 0, F.lit(float("inf"))
+    out = {"n": F.when(event, 1).otherwise(0).cast("long")}
+    for k in range(n_values):
+        v = F.col(f"_v{k}")
+        odd = F.isnan(v) | (v == inf) | (v == -inf)
+        out[f"v{k}"] = F.when(event & ~odd, v).otherwise(0.0)
+        for tag, is_it in (("pos", v == inf), ("neg", v == -inf)):
+            out[f"{tag}{k}"] = F.when(event & (is_it | F.isnan(v)), 1).otherwise(0).cast("long")
+    return out
+
+
+def _counters(hs: Sequence[int], n_values: int, upto: Callable[[str, int], Column]) -> list[Column]:
+    """The counters, from ``upto(part, i)``: a part's total in the window of horizon i."""
+    timed = F.col("_row_us").isNotNull()
+    out = []
+    for i in range(len(hs)):
+        out.append(F.when(timed, upto("n", i)).alias(f"_c{i}"))
+        for k in range(n_values):
+            pos, neg = upto(f"pos{k}", i) > 0, upto(f"neg{k}", i) > 0
+            total = F.when(pos & neg, F.lit(float("nan"))).when(pos, F.lit(float("inf"))).when(neg, F.lit(float("-inf"))).otherwise(upto(f"v{k}", i))
+            out.append(F.when(timed, total).alias(f"_s{k}_{i}"))
+    return out
+
+
+def _in_buckets(base: DataFrame, hs: Sequence[int], n_values: int, b_us: int) -> DataFrame:
+    """One shuffle: events dealt by key and bucket with their halo copies; all marks are made and totalled where they then are."""
+    parts = _parts(n_values)
     # an event at t in bucket b is history for bucket b+k while that bucket
     # starts no later than t + H: k <= floor((t + H) / B) - b
-    last_k = F.floor((F.col("_us") + F.lit(max_us)) / F.lit(b_us)) - F.col("_b")
-    copies = base.select("*", F.explode_outer(F.sequence(F.lit(0).cast("bigint"), last_k)).alias("_k")) \
-                 .withColumn("_pb", F.col("_b") + F.col("_k"))
-    w = Window.partitionBy(key, "_pb").orderBy("_us")
-    out = []
-    for h in hs:
-        frame = w.rangeBetween(-h * HOUR_US, 0)
-        timed = F.col("_us").isNotNull()
-        out.append(F.when(timed, F.count(F.lit(1)).over(frame)).alias(name.format(m="cnt", h=h)))
-        for v in value_cols:
-            out.append(F.when(timed, F.coalesce(F.sum(v).over(frame), F.lit(0.0))).alias(name.format(m=f"{v}_sum", h=h)))
-    return copies.select(*cols, "_k", *out).filter(F.coalesce("_k", F.lit(0)) == 0).drop("_k")
+    last_k = F.floor((F.col("_us") + F.lit(hs[-1] * HOUR_US)) / F.lit(b_us)) - F.col("_b")
+    copies = base.withColumn("_uid", F.monotonically_increasing_id()).withColumn(
+        "_k", F.explode_outer(F.sequence(F.lit(0).cast("bigint"), last_k)))
+    # rows without a time are alone in a bucket each
+    copies = copies.withColumn("_pb", F.coalesce(F.col("_b") + F.col("_k"), -1 - F.col("_uid"))).withColumn(
+        "_row", F.when(F.coalesce("_k", F.lit(0)) == 0, F.col("_row"))).repartition("_key", "_pb")
+    own = F.coalesce("_k", F.lit(0)) == 0
+    w = Window.partitionBy("_key", "_pb").orderBy("_t", "_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    run = _marks(copies, hs, own).select("_key", "_pb", "_uid", "_us", "_i", "_row", own.alias("_own"), *[F.sum(c).over(w).alias(p) for p, c in parts.items()])
+    at = lambda p, i: F.max(F.when(F.col("_i") == i, F.col(p)))
+    per = run.filter("_own").groupBy("_key", "_pb", "_uid").agg(
+        F.first(F.when(F.col("_i") < 0, F.col("_row")), ignorenulls=True).alias("_row"), F.max("_us").alias("_row_us"),
+        *[at(p, i).alias(f"{p}@{i}") for p in parts for i in range(-1, len(hs))])
+    return per.select("_row", *_counters(hs, n_values, lambda p, i: F.col(f"`{p}@-1`") - F.col(f"`{p}@{i}`")))
+
+
+def _in_panes(base: DataFrame, hs: Sequence[int], n_values: int) -> DataFrame:
+    """Marks dealt by key and minute. A total is that of the minutes before it in its bucket plus that
+    inside its minute; a window that reaches into the bucket before takes that one's rest."""
+    parts = _parts(n_values)
+    b_us = hs[-1] * HOUR_US
+    base = cut_lineage(base.drop("_b").withColumn("_uid", F.monotonically_increasing_id()))  # ids that a repeated task can't change
+    marks = _marks(base, hs, F.lit(True)).withColumn("_pane", F.floor(F.col("_t") / F.lit(PANE_US)))
+    inside = Window.partitionBy("_key", "_pane").orderBy("_t", "_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    run = marks.select("_key", "_pane", "_uid", "_i", *[F.sum(c).over(inside).alias(p) for p, c in parts.items()])
+    panes = marks.groupBy("_key", "_pane").agg(*[F.sum(c).alias(p) for p, c in parts.items()]).withColumn(
+        "_b", F.floor(F.col("_pane") * F.lit(PANE_US) / F.lit(b_us)))
+    before = Window.partitionBy("_key", "_b").orderBy("_pane").rowsBetween(Window.unboundedPreceding, -1)  # at most the minutes of a bucket
+    panes = panes.select(F.col("_key").alias("_pk"), F.col("_pane").alias("_pp"), "_b",
+                         *[F.coalesce(F.sum(p).over(before), F.lit(0)).alias(f"{p}<") for p in parts],
+                         *[F.sum(p).over(Window.partitionBy("_key", "_b")).alias(f"{p}=") for p in parts])
+    placed = run.join(panes, F.col("_key").eqNullSafe(F.col("_pk")) & (F.col("_pane") == F.col("_pp"))).select(
+        "_uid", "_i", F.struct("_b", *[F.struct((F.col(f"`{p}<`") + F.col(p)).alias("upto"), F.col(f"`{p}=`").alias("all")).alias(p) for p in parts]).alias("_x"))
+    per = placed.groupBy("_uid").agg(*[F.first(F.when(F.col("_i") == i, F.col("_x")), ignorenulls=True).alias(f"@{i}") for i in range(-1, len(hs))])
+
+    def upto(p: str, i: int) -> Column:
+        own, then = F.col("`@-1`"), F.col(f"`@{i}`")
+        return own[p]["upto"] - then[p]["upto"] + F.when(own["_b"] == then["_b"], F.lit(0)).otherwise(then[p]["all"])
+
+    return base.select("_uid", "_row", F.col("_us").alias("_row_us")).join(per, "_uid").select("_row", *_counters(hs, n_values, upto))
 
 
 def cumulative_in_day(df: DataFrame, key: str, ts: str, value_cols: Sequence[str] = (),
