@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quiver.catalog import sqlbits as Q
@@ -9,8 +11,10 @@ from quiver.catalog.registry import query
 from quiver.functions.transforms import compress
 from quiver.operators import horizons as H
 from quiver.plans.running import exact_quantiles, running_stats
-from quiver.session import round6, table
+from quiver.session import ensure_checkpoint_dir, round6, table
 from quiver.sources import fixtures as X
+from quiver.streaming.horizon_counters import multi_horizon_stream
+from quiver.streaming.running_stats import run_to_table
 
 HS = X.HORIZONS
 
@@ -46,6 +50,24 @@ def x1_fine(spark, d):
     return h.select(*out)
 
 
+@query("X1_multi_horizon_stream", _x1_sql())
+def x1_stream(spark, d):
+    """X1 as a stream: the events land in files in no order of time, a file a batch, then an event far
+    ahead moves the watermark past all others. The finished counters are appended to a table that is read back."""
+    base = f"{ensure_checkpoint_dir(spark)}/streams/horizons-{uuid.uuid4().hex}"
+    ev = table(spark, d, "events").select("event_id", "user_id", "ts", "value")
+    ev.repartition(3, F.xxhash64("event_id")).write.mode("overwrite").parquet(f"{base}/in")
+    ahead = ev.agg((F.max("ts") + F.expr("interval 4000 days")).alias("ts")).select(*[F.col(c) if c == "ts" else F.lit(None).cast(ev.schema[c].dataType).alias(c) for c in ev.columns])
+    ahead.coalesce(1).write.mode("append").parquet(f"{base}/in")
+    src = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    run_to_table(multi_horizon_stream(src, "user_id", "ts", HS, ["value"], delay="2000 days"), f"{base}/out", f"{base}/chk")
+    h = spark.read.parquet(f"{base}/out").filter("not late")
+    out = [F.col("event_id"), F.col("user_id")]
+    for hh in HS:
+        out += [F.col(f"cnt_{hh}h"), round6(F.col(f"value_sum_{hh}h")).alias(f"value_sum_{hh}h")]
+    return h.select(*out)
+
+
 @query("X2_cumulative_in_day", f"""
 SELECT event_id, count(*) OVER w AS cum_cnt_day, {Q.r6('sum(value) OVER w')} AS cum_value_day
 FROM events WINDOW w AS (PARTITION BY user_id, epoch_us(ts) // 86400000000 ORDER BY epoch_us(ts)
