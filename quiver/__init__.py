@@ -26,6 +26,7 @@ from quiver.plans.metrics import (accuracy, accuracy_sweep, binned_auc, confusio
                                   masked_mean, mean_metrics, mse, pairwise_auc, precision, recall, recall_at,
                                   stats_by_bucket, stats_by_segment, total_loss)
 from quiver.plans.prefix import running_totals, running_totals_by
-from quiver.plans.running import exact_quantiles, exact_quantiles_by, fit_bounds, fit_bounds_by, running_stats
+from quiver.plans.quantiles import exact_quantiles, exact_quantiles_by, fit_bounds, fit_bounds_by
+from quiver.plans.running import running_stats
 from quiver.sources.reader import Field, check_schema, conform, read_samples, split_label
 from quiver.sources.sink import sample_by_hash, scored_rows, write_scored

@@ -10,7 +10,8 @@ from quiver.catalog import sqlbits as Q
 from quiver.catalog.registry import query
 from quiver.functions.transforms import compress
 from quiver.operators import horizons as H
-from quiver.plans.running import exact_quantiles, running_stats
+from quiver.plans.quantiles import exact_quantiles, exact_quantiles_by
+from quiver.plans.running import running_stats
 from quiver.session import ensure_checkpoint_dir, round6, table
 from quiver.sources import fixtures as X
 from quiver.streaming.horizon_counters import multi_horizon_stream
@@ -204,7 +205,6 @@ def x4_by(spark, d):
     """X4 for several features in one job, on the long-form table (the way
     bounds for a wide feature set are fitted)."""
     from quiver.operators.features import to_long
-    from quiver.plans.running import exact_quantiles_by
     long = to_long(table(spark, d, "lineitem"), [], list(X4_FEATURES))
-    q = exact_quantiles_by(long, "feature", "value", X4_PROBS, n_buckets=8)
+    q = exact_quantiles_by(long, "feature", "value", X4_PROBS)
     return q.select("feature", "prob", round6(F.col("value")).alias("value"))

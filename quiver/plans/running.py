@@ -1,6 +1,6 @@
-"""Running statistics over steps (A17) and exact quantiles.
+"""Running statistics over steps.
 
-A17: per step, the value, the mean of all values so far, and the EMA
+Per step, the value, the mean of all values so far, and the EMA
 ``e_n = d * e_(n-1) + (1 - d) * v_n`` from e_0 = 0 (no bias correction).
 
 The EMA is computed in closed form, block by block, with no sequential loop:
@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quiver.plans.prefix import cuts_and_totals, default_buckets, running_totals, running_totals_by
+from quiver.plans.prefix import running_totals
 from quiver.session import cut_lineage
 
 # Fixed values of the reference: EMA decay 0.999 by default, 0.99 from its flag.
@@ -86,78 +86,3 @@ def _carry(tot: DataFrame, values: Sequence[str], d: float, B: int, m: int) -> D
             terms = t if terms is None else terms + t
         cols.append(terms.alias(f"_c_{v}"))
     return tot.select("_blk", *cols)
-
-
-def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], n_buckets: int | None = None) -> DataFrame:
-    """Exact quantiles with linear interpolation at position p * (N - 1)
-    (same as ``percentile`` / ``quantile_cont``) without gathering a column in
-    one task: count per distinct value, running counts over value order
-    (range buckets), then pick the values at the two ranks around each
-    position. Output: (prob, value)."""
-    x = F.col(col).cast("double")
-    raw = df.select(x.alias("_x")).filter(F.col("_x").isNotNull())
-    # one job over the raw column: range cut points (sketch) and the row
-    # count (one number on the driver); no shuffle
-    cuts, (n_total,) = cuts_and_totals(raw, "_x", n_buckets or default_buckets(raw), [F.count(F.lit(1))])
-    n_total = n_total or 0
-    g = raw.groupBy("_x").agg(F.count(F.lit(1)).alias("_n"))
-    r = running_totals(g, "_x", ["_n"], cuts=cuts)
-    pos = F.array(*[F.struct(F.lit(float(p)).alias("p"), F.lit(float(p) * (n_total - 1)).alias("pos"))
-                    for p in probs])
-    lo_start = F.col("cum__n") - F.col("_n")
-    hits = r.select("_x", F.explode(F.filter(pos, lambda s: (
-        ((F.floor(s["pos"]) >= lo_start) & (F.floor(s["pos"]) < F.col("cum__n")))
-        | ((F.ceil(s["pos"]) >= lo_start) & (F.ceil(s["pos"]) < F.col("cum__n")))))).alias("h"),
-        lo_start.alias("_s"), F.col("cum__n").alias("_e"))
-    sel = hits.select(F.col("h.p").alias("prob"), F.col("h.pos").alias("pos"), "_x",
-                      ((F.floor("h.pos") >= F.col("_s")) & (F.floor("h.pos") < F.col("_e"))).alias("_is_lo"),
-                      ((F.ceil("h.pos") >= F.col("_s")) & (F.ceil("h.pos") < F.col("_e"))).alias("_is_hi"))
-    agg = sel.groupBy("prob").agg(F.max(F.when(F.col("_is_lo"), F.col("_x"))).alias("_lo"),
-                                  F.max(F.when(F.col("_is_hi"), F.col("_x"))).alias("_hi"), F.first("pos").alias("pos"))
-    frac = F.col("pos") - F.floor("pos")
-    return agg.select("prob", (F.col("_lo") + frac * (F.col("_hi") - F.col("_lo"))).alias("value"))
-
-
-def exact_quantiles_by(df: DataFrame, group: str, col: str, probs: Sequence[float],
-                       n_buckets: int = 16) -> DataFrame:
-    """X4 per group (e.g. per feature of a long-form table): exact quantiles
-    with ``percentile`` interpolation, one job for all groups. Counts per
-    (group, value), running counts per group over per-group range buckets,
-    then the values at the ranks around p * (N_group - 1).
-    Output: (group, prob, value)."""
-    x = F.col(col).cast("double")
-    g = (df.select(group, x.alias("_x")).filter(F.col("_x").isNotNull())
-           .groupBy(group, "_x").agg(F.count(F.lit(1)).alias("_n")))
-    r = running_totals_by(g, group, "_x", ["_n"], n_buckets=n_buckets)
-    sizes = g.groupBy(group).agg(F.sum("_n").alias("_gn"))          # one row per group
-    r = r.join(sizes, group)
-    pos = F.array(*[F.struct(F.lit(float(p)).alias("p"), (F.lit(float(p)) * (F.col("_gn") - 1)).alias("pos"))
-                    for p in probs])
-    start = F.col("cum__n") - F.col("_n")
-
-    def inside(v):
-        return (v >= start) & (v < F.col("cum__n"))
-    hits = r.select(group, "_x", F.explode(F.filter(pos, lambda s: inside(F.floor(s["pos"])) |
-                                                    inside(F.ceil(s["pos"])))).alias("h"),
-                    start.alias("_s"), F.col("cum__n").alias("_e"))
-    sel = hits.select(group, F.col("h.p").alias("prob"), F.col("h.pos").alias("pos"), "_x",
-                      ((F.floor("h.pos") >= F.col("_s")) & (F.floor("h.pos") < F.col("_e"))).alias("_is_lo"),
-                      ((F.ceil("h.pos") >= F.col("_s")) & (F.ceil("h.pos") < F.col("_e"))).alias("_is_hi"))
-    agg = sel.groupBy(group, "prob").agg(F.max(F.when(F.col("_is_lo"), F.col("_x"))).alias("_lo"),
-                                         F.max(F.when(F.col("_is_hi"), F.col("_x"))).alias("_hi"),
-                                         F.first("pos").alias("pos"))
-    frac = F.col("pos") - F.floor("pos")
-    return agg.select(group, "prob", (F.col("_lo") + frac * (F.col("_hi") - F.col("_lo"))).alias("value"))
-
-
-def fit_bounds_by(df: DataFrame, group: str, col: str, probs: Sequence[float]) -> DataFrame:
-    """X4 for many features at once: (group, bounds) with the sorted distinct
-    exact quantiles of each group -- a spec table for ``bucketize_long``."""
-    q = exact_quantiles_by(df, group, col, probs)
-    return q.groupBy(group).agg(F.array_sort(F.collect_set("value")).alias("bounds"))
-
-
-def fit_bounds(df: DataFrame, col: str, probs: Sequence[float]) -> DataFrame:
-    """Bucket bounds as the sorted distinct exact quantiles (one row)."""
-    q = exact_quantiles(df, col, probs)
-    return q.agg(F.array_sort(F.collect_set("value")).alias("bounds"))
