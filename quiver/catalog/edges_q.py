@@ -82,6 +82,42 @@ def a7(spark, d):
     return M.pairwise_auc(s, "p", "label").select(round6(F.col("auc")).alias("auc"))
 
 
+@query("A7_pairwise_auc_hot_score", f"""
+WITH s AS (SELECT CASE WHEN event_id % 5 < 2 THEN 0.25 ELSE (event_id * 7919 % 1009) / 1009.0 END::DOUBLE AS p, value AS label FROM events WHERE value IS NOT NULL)
+SELECT {Q.r6(f"sum({PAIR_SQL}) / count(*)")} AS auc FROM s a JOIN s b ON a.label > b.label""")
+def a7hot(spark, d):
+    """Two fifths of the rows share a score and have labels of nearly as many levels."""
+    p = F.when(F.col("event_id") % 5 < 2, F.lit(0.25)).otherwise(F.col("event_id") * 7919 % 1009 / F.lit(1009.0))
+    s = table(spark, d, "events").select(p.alias("p"), F.col("value").alias("label"))
+    return M.pairwise_auc(s, "p", "label").select(round6(F.col("auc")).alias("auc"))
+
+
+BATCH_SQL = f"""
+WITH s AS (SELECT event_id // 512 AS batch_id, (event_id * 7919 % 1009) / 1009.0::DOUBLE AS p, value AS label FROM events),
+bs AS (SELECT DISTINCT batch_id FROM s),
+pr AS (SELECT a.batch_id, sum({PAIR_SQL}) AS conc, count(*) AS pairs FROM s a JOIN s b ON a.batch_id = b.batch_id AND a.label > b.label GROUP BY 1)
+SELECT bs.batch_id, {Q.r6('coalesce(conc / pairs, 1.0)')} AS auc FROM bs LEFT JOIN pr ON bs.batch_id = pr.batch_id"""
+
+
+def _event_batches(spark, d):
+    p = F.col("event_id") * 7919 % 1009 / F.lit(1009.0)
+    return table(spark, d, "events").select(F.floor(F.col("event_id") / 512).cast("bigint").alias("batch_id"), p.alias("p"), F.col("value").alias("label"))
+
+
+@query("A7_pairwise_auc_in_batches_continuous", BATCH_SQL)
+def a7bc(spark, d):
+    """Batches of 512 rows whose labels have nearly as many levels as rows."""
+    out = M.pairwise_auc_in_batches(_event_batches(spark, d), "p", "label", "batch_id")
+    return out.select("batch_id", round6(F.col("auc")).alias("auc"))
+
+
+@query("A7_pairwise_auc_in_large_batches", BATCH_SQL)
+def a7bl(spark, d):
+    """The same batches counted in ranges of scores and labels, as those too large for a task are."""
+    out = M.pairwise_auc_in_batches(_event_batches(spark, d), "p", "label", "batch_id", batch_rows=100)
+    return out.select("batch_id", round6(F.col("auc")).alias("auc"))
+
+
 @query("A7_pairwise_auc_null_batch", SD + f"""
 , s AS (SELECT CASE WHEN doc_id % 5 = 0 THEN NULL ELSE doc_id // 64 END AS batch_id, p, label FROM scored_docs),
 bs AS (SELECT DISTINCT batch_id FROM s),

@@ -8,6 +8,8 @@ exact form runs that sum with ``plans.prefix.running_totals``.
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -157,114 +159,142 @@ def pairwise_auc(df: DataFrame, pred: str, label: str, mask: str | None = None,
     return tot.select(F.when(F.col("pairs") > 0.5, F.col("conc") / F.col("pairs")).otherwise(F.lit(1.0)).alias("auc"))
 
 
-def concordance(p, l, w) -> float:
+def concordance(p, l, w, group=None):
     """Sum of w_i w_j over l_i > l_j, whole where p_i > p_j and half where they
     are equal. One cumulative sum per bit of the labels' ranks: two rows with
-    different labels first differ in exactly one bit."""
+    different labels first differ in exactly one bit. With ``group`` (0, 1, ...)
+    only pairs within a group count, and the result is an array of a sum each."""
     import numpy as np
-    if len(p) < 2:
-        return 0.0
-    rank = np.unique(l, return_inverse=True)[1]
-    order = np.argsort(p, kind="stable")
-    p, rank, w = p[order], rank[order], w[order]
-    total = 0.0
-    for bit in range(int(rank.max()).bit_length()):
-        high = (rank >> bit) & 1
-        group = rank >> (bit + 1)
-        o = np.argsort(group, kind="stable")          # rows stay in score order within a group
-        g, q, h, v = group[o], p[o], high[o], w[o]
-        below = np.concatenate([[0.0], np.cumsum(np.where(h == 0, v, 0.0))])
-        new_group = np.concatenate([[True], g[1:] != g[:-1]])
-        new_score = new_group | np.concatenate([[True], q[1:] != q[:-1]])
-        first = np.nonzero(new_score)[0]
-        run = np.cumsum(new_score) - 1
-        start = np.nonzero(new_group)[0][np.cumsum(new_group) - 1]
-        lower = below[first][run] - below[start]
-        tie = below[np.append(first[1:], len(g))][run] - below[first][run]
-        total += float((np.where(h == 1, v, 0.0) * (lower + tie / 2)).sum())
-    return total
-
-
-def _graded_counts(g: DataFrame, cuts: Sequence[float], n: int) -> DataFrame:
-    """(conc, pairs) of rows (_p, _l, _n) for any number of label levels.
+    gid = np.zeros(len(p), np.int64) if group is None else np.asarray(group, np.int64)
+    total = np.zeros(int(gid.max()) + 1 if len(p) else 1)
+    if len(p):
+        rank = np.unique(l, return_inverse=True)[1]
+        order = np.argsort(p, kind="stable")
+        p, rank, w, gid = p[order], rank[order], w[order], gid[order]
+        for bit in range(int(rank.max()).bit_length()):
+            high = (rank >> bit) & 1
+            part = gid * (int(rank.max()) + 2) + (rank >> (bit + 1))
+            o = np.argsort(part, kind="stable")          # rows stay in score order within a part
+            g, q, h, v = part[o], p[o], high[o], w[o]
+            below = np.concatenate([[0.0], np.cumsum(np.where(h == 0, v, 0.0))])
+            new_part = np.concatenate([[True], g[1:] != g[:-1]])
+            new_score = new_part | np.concatenate([[True], q[1:] != q[:-1]])
+            first = np.nonzero(new_score)[0]
+            run = np.cumsum(new_score) - 1
+            start = np.nonzero(new_part)[0][np.cumsum(new_part) - 1]
+            lower = below[first][run] - below[start]
+            tie = below[np.append(first[1:], len(g))][run] - below[first][run]
+            total += np.bincount(gid[o], weights=np.where(h == 1, v, 0.0) * (lower + tie / 2), minlength=len(total))
+    return float(total[0]) if group is None else total
+
+
+def _graded_counts(g: DataFrame, cuts: Sequence[float], n: int, by: Sequence[str] = ()) -> DataFrame:
+    """(*by, conc, pairs) of rows (*by, _p, _l, _n) for any number of label levels, per ``by``.
 
     Scores and labels are cut into ranges. A pair in different score ranges and
     different label ranges is counted on the bounded table of range pairs; a
     pair within one score range in that range, by ``concordance``; a pair
     within one label range but not one score range in the label range, on the
-    sums per (score range, label): a range with a single label has no such pair
-    and is left out, so a task holds at most score ranges x labels of one range
-    with several, however many rows share a label. Equal rows count once."""
+    sums per (score range, label). A range with a single score has ties alone,
+    half of (S^2 - the sum of squares per label) / 2, and a range with a single
+    label has no such pair, so neither goes to a task whole, however many rows
+    share a score or a label. Equal rows count once."""
+    by = list(by)
     l_cuts, _ = cuts_and_totals(g, "_l", n)
     rows = range_bucket(range_bucket(g, "_p", cuts, "_pb"), "_l", l_cuts, "_lb")
+    one = concordance
+    schema = ", ".join([*(f"{c.name} {c.dataType.simpleString()}" for c in g.schema if c.name in by), "conc double"])
 
-    def within_scores(key, pdf):
+    def keyed(key, conc):
         import pandas as pd
-        return pd.DataFrame({"conc": [concordance(pdf["_p"].to_numpy(), pdf["_l"].to_numpy(), pdf["_n"].to_numpy())]})
+        return pd.DataFrame([[*key[:len(by)], conc]], columns=[*by, "conc"])
+
+    def within_scores(key, pdf):
+        return keyed(key, one(pdf["_p"].to_numpy(), pdf["_l"].to_numpy(), pdf["_n"].to_numpy()))
 
     def within_labels(key, pdf):
-        import pandas as pd
         p, l, w = pdf["_pb"].to_numpy(), pdf["_l"].to_numpy(), pdf["_n"].to_numpy()
-        same = sum(concordance(x["_pb"].to_numpy(), x["_l"].to_numpy(), x["_n"].to_numpy()) for _, x in pdf.groupby("_pb"))
-        return pd.DataFrame({"conc": [concordance(p, l, w) - same]})    # pairs of one score range are not counted here
-
-    sums = rows.groupBy("_pb", "_lb", "_l").agg(F.sum("_n").alias("_n"))
-    several = sums.groupBy("_lb").agg(F.min("_l").alias("_lo"), F.max("_l").alias("_hi")).filter("_lo < _hi").select("_lb")
-    inner = rows.groupBy("_pb").applyInPandas(within_scores, "conc double").unionByName(
-        sums.join(several, "_lb", "left_semi").groupBy("_lb").applyInPandas(within_labels, "conc double"))
-    cells = rows.groupBy("_pb", "_lb").agg(F.sum("_n").alias("_n"))     # at most ranges x ranges
-    by_label = Window.partitionBy("_lb").orderBy("_pb").rowsBetween(Window.unboundedPreceding, -1)
-    labels = F.array(*[F.lit(i) for i in range(len(l_cuts) + 1)])
-    full = cells.select("_pb").distinct().withColumn("_lb", F.explode(labels)).join(cells, ["_pb", "_lb"], "left").fillna(0.0, ["_n"])
+        same = sum(one(x["_pb"].to_numpy(), x["_l"].to_numpy(), x["_n"].to_numpy()) for _, x in pdf.groupby("_pb"))
+        return keyed(key, one(p, l, w) - same)    # pairs of one score range are not counted here
+
+    ends = rows.groupBy(*by, "_pb").agg(F.min("_p").alias("_first"), F.max("_p").alias("_last"))
+    ends = ends.filter("_first < _last").select(*[F.col(c).alias(f"_of_{c}") for c in by], F.col("_pb").alias("_of"))
+    alike = lambda own: [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by] + [F.col(own) == F.col("_of")]
+    every = lambda own: functools.reduce(operator.and_, alike(own))
+    many = rows.join(ends, every("_pb"), "left_semi").groupBy(*by, "_pb").applyInPandas(within_scores, schema)
+    ties = rows.join(ends, every("_pb"), "left_anti").groupBy(*by, "_pb", "_l").agg(F.sum("_n").alias("_n")).groupBy(*by, "_pb").agg(
+        ((F.pow(F.sum("_n"), 2) - F.sum(F.col("_n") * F.col("_n"))) / 4).alias("conc")).select(*by, "conc")
+    sums = rows.groupBy(*by, "_pb", "_lb", "_l").agg(F.sum("_n").alias("_n"))
+    several = sums.groupBy(*by, "_lb").agg(F.min("_l").alias("_lo"), F.max("_l").alias("_hi")).filter("_lo < _hi").select(
+        *[F.col(c).alias(f"_of_{c}") for c in by], F.col("_lb").alias("_of"))
+    labels = sums.join(several, every("_lb"), "left_semi").groupBy(*by, "_lb").applyInPandas(within_labels, schema)
+    cells = sums.groupBy(*by, "_pb", "_lb").agg(F.sum("_n").alias("_n"))     # at most ranges x ranges
+    every_label = F.explode(F.array(*[F.lit(i) for i in range(len(l_cuts) + 1)]))
+    none = cells.select(*by, "_pb").distinct().select(*by, "_pb", every_label.alias("_lb"), F.lit(0.0).alias("_n"))
+    full = cells.unionByName(none).groupBy(*by, "_pb", "_lb").agg(F.sum("_n").alias("_n"))
+    by_label = Window.partitionBy(*by, "_lb").orderBy("_pb").rowsBetween(Window.unboundedPreceding, -1)
     left = full.withColumn("_left", F.coalesce(F.sum("_n").over(by_label), F.lit(0.0)))
-    under = Window.partitionBy("_pb").orderBy("_lb").rowsBetween(Window.unboundedPreceding, -1)
-    outer = left.withColumn("_below", F.coalesce(F.sum("_left").over(under), F.lit(0.0))).agg(
-        F.sum(F.col("_n") * F.col("_below")).alias("conc"))
-    conc = inner.unionByName(outer).agg(F.sum("conc").alias("conc"))
-    per_level = g.groupBy("_l").agg(F.sum("_n").alias("_n"))
-    pairs = per_level.agg(((F.pow(F.sum("_n"), 2) - F.sum(F.col("_n") * F.col("_n"))) / 2).alias("pairs"))
-    return conc.join(pairs)
+    under = Window.partitionBy(*by, "_pb").orderBy("_lb").rowsBetween(Window.unboundedPreceding, -1)
+    outer = left.withColumn("_below", F.coalesce(F.sum("_left").over(under), F.lit(0.0))).select(*by, (F.col("_n") * F.col("_below")).alias("conc"))
+    per_level = g.groupBy(*by, "_l").agg(F.sum("_n").alias("_n"))
+    pairs = per_level.groupBy(*by).agg(((F.pow(F.sum("_n"), 2) - F.sum(F.col("_n") * F.col("_n"))) / 2).alias("pairs"))
+    nothing = lambda c: F.lit(0.0).alias(c)
+    both = functools.reduce(DataFrame.unionByName, (x.select(*by, "conc", nothing("pairs")) for x in (many, ties, labels, outer))).unionByName(
+        pairs.select(*by, nothing("conc"), "pairs"))
+    return both.groupBy(*by).agg(F.sum("conc").alias("conc"), F.sum("pairs").alias("pairs"))
 
 
-def _label_levels(src: DataFrame) -> list:
-    """The label levels of batches: few, since the columns of the plan grow with them."""
-    levels = [r[0] for r in src.select("_l").distinct().orderBy("_l").limit(65).collect()]
-    if len(levels) > 64:
-        raise ValueError("pairwise_auc_in_batches: more than 64 label levels")
-    return levels
+#: Rows of batches that a task works off together, and rows of one batch beyond which its scores are cut into ranges.
+TASK_ROWS, BATCH_ROWS = 500_000, 200_000
 
 
-def pairwise_auc_in_batches(df: DataFrame, pred: str, label: str, batch: str, mask: str | None = None
-                            ) -> DataFrame:
+def pairwise_auc_in_batches(df: DataFrame, pred: str, label: str, batch: str, mask: str | None = None,
+                            batch_rows: int = BATCH_ROWS) -> DataFrame:
     """A7 per batch, as the reference computes it: within each batch, over
-    ordered pairs with label_i > label_j (graded labels allowed), the share
-    with pred_i > pred_j plus half the ties; 1.0 for a batch without pairs;
-    rows with mask <= 0 take no part. Batches have a bounded size (e.g. 512
-    rows), so a window per batch is bounded too."""
+    ordered pairs with label_i > label_j (graded labels of any number of levels),
+    the share with pred_i > pred_j plus half the ties; 1.0 for a batch without
+    pairs; rows with mask <= 0, without a score or without a label take no part.
+
+    Batches are dealt to tasks by hash, as many tasks as the counted rows ask
+    for, and a task works off all its batches at once. A batch with more than ``batch_rows``
+    different rows is counted in ranges of scores and labels instead."""
     src = df if mask is None else df.filter(_dbl(mask) > 0)
-    src = src.select(batch, _dbl(pred).alias("_p"), _dbl(label).alias("_l")).filter(
-        F.col("_p").isNotNull() & F.col("_l").isNotNull())
+    src = src.select(F.col(batch).alias("_batch"), _dbl(pred).alias("_p"), _dbl(label).alias("_l"))
+    src = src.filter(F.col("_p").isNotNull() & F.col("_l").isNotNull())
+    g = src.groupBy("_batch", "_p", "_l").agg(F.count(F.lit(1)).cast("double").alias("_n"))
     batches = df.select(F.col(batch).alias("_batch")).distinct()
-    levels = _label_levels(src)
-    if len(levels) < 2:
-        return batches.select(F.col("_batch").alias(batch), F.lit(1.0).alias("auc"))
-    cnt = [F.count_if(F.col("_l") == F.lit(v)).cast("double").alias(f"c{i}") for i, v in enumerate(levels)]
-    g = src.groupBy(batch, "_p").agg(*cnt)
-    w = Window.partitionBy(batch).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    below = g.select("*", *[F.coalesce(F.sum(f"c{i}").over(w), F.lit(0.0)).alias(f"b{i}")
-                            for i in range(len(levels))])
-    conc = F.lit(0.0)
-    for a in range(1, len(levels)):
-        lower_below = sum((F.col(f"b{b}") for b in range(a)), F.lit(0.0))
-        lower_tie = sum((F.col(f"c{b}") for b in range(a)), F.lit(0.0))
-        conc = conc + F.col(f"c{a}") * (lower_below + lower_tie / 2.0)
-    per = below.groupBy(batch).agg(F.sum(conc).alias("conc"), *[F.sum(f"c{i}").alias(f"n{i}")
-                                                               for i in range(len(levels))])
-    pairs = F.lit(0.0)
-    for a in range(1, len(levels)):
-        pairs = pairs + F.col(f"n{a}") * sum((F.col(f"n{b}") for b in range(a)), F.lit(0.0))
-    res = per.select(batch, F.when(pairs > 0.5, F.col("conc") / pairs).alias("auc"))
-    return batches.join(res, F.col("_batch").eqNullSafe(F.col(batch)), "left").select(
+    sizes = g.groupBy("_batch").agg(F.count(F.lit(1)).alias("_rows"))
+    total, most = sizes.agg(F.sum("_rows"), F.max("_rows")).first()
+    tasks = max(1, -(-(total or 0) // TASK_ROWS))
+    kind = g.schema["_batch"].dataType.simpleString()
+
+    def counted(pdf):
+        import numpy as np
+        import pandas as pd
+        where, names = pd.factorize(pdf["_batch"], use_na_sentinel=False)
+        l, w = pdf["_l"].to_numpy(), pdf["_n"].to_numpy()
+        conc = concordance(pdf["_p"].to_numpy(), l, w, where)
+        n = np.bincount(where, weights=w)
+        level = where * (np.unique(l).size + 1) + np.unique(l, return_inverse=True)[1]
+        per_level = np.bincount(np.unique(level, return_inverse=True)[1], weights=w)
+        owner = np.unique(level) // (np.unique(l).size + 1)
+        squares = np.bincount(owner, weights=per_level**2, minlength=len(n))
+        return pd.DataFrame({"_batch": names, "conc": conc, "pairs": (n * n - squares) / 2})
+
+    def in_tasks(rows):
+        deal = F.pmod(F.xxhash64("_batch"), F.lit(tasks)).alias("_task")
+        return rows.groupBy(deal).applyInPandas(lambda pdf: counted(pdf), f"_batch {kind}, conc double, pairs double")
+
+    if (most or 0) <= batch_rows:
+        res = in_tasks(g)
+    else:
+        big = sizes.filter(F.col("_rows") > batch_rows).select(F.col("_batch").alias("_of"))
+        own = F.col("_batch").eqNullSafe(F.col("_of"))
+        large = g.join(big, own, "left_semi")
+        cuts, _ = cuts_and_totals(large, "_p", default_buckets(large))
+        res = in_tasks(g.join(big, own, "left_anti")).unionByName(_graded_counts(large, cuts, default_buckets(large), ["_batch"]))
+    res = res.select(F.col("_batch").alias("_of"), F.when(F.col("pairs") > 0.5, F.col("conc") / F.col("pairs")).alias("auc"))
+    return batches.join(res, F.col("_batch").eqNullSafe(F.col("_of")), "left").select(
         F.col("_batch").alias(batch), F.coalesce("auc", F.lit(1.0)).alias("auc"))
 
 
@@ -297,9 +327,10 @@ def evaluation_report(df: DataFrame, tasks: Mapping[str, tuple[str, str]], n: in
     label and raw score means (46 values for two tasks). A row without a score
     or label takes no part in any metric of its task.
 
-    One scan: each row is stacked per task and per grid, every metric is a
-    sum, and the partial aggregation before the shuffle leaves one row per
-    (task, grid, bin)."""
+    One scan and one aggregation of rows: each row is stacked per task, every
+    metric is a sum, and the partial aggregation before the shuffle leaves one
+    row per (task, ROC bin, grid bin). Both areas come from these cells, whose
+    number the grids bound."""
     cols = sorted({c for lab_score in tasks.values() for c in lab_score})
     st = scored_tasks(spread(df.select(*cols)), tasks).filter(F.col("score").isNotNull() & F.col("task_label").isNotNull())
     p, y = F.col("score"), F.col("binary_label")
@@ -318,20 +349,31 @@ def evaluation_report(df: DataFrame, tasks: Mapping[str, tuple[str, str]], n: in
     }
     for t in SWEEP_THRESHOLDS:
         sums[f"acc_{t.replace('.', '_')}"] = F.when(F.when(p >= F.lit(float(t)), 1.0).otherwise(0.0) == y, 1.0).otherwise(0.0)
-    grids = F.array(F.struct(F.lit("roc").alias("grid"), roc_bin(p, n).alias("bin")),
-                    F.struct(F.lit("grid4").alias("grid"), grid_bin(p, grid).alias("bin")))
-    stacked = st.select("task", F.explode(grids).alias("g"), *[c.alias(k) for k, c in sums.items()])
-    per_bin = (stacked.groupBy("task", F.col("g.grid").alias("grid"), F.col("g.bin").alias("bin"))
-               .agg(*[F.sum(k).alias(k) for k in sums]))
-    auc = _auc_from_bins(per_bin.select("task", "grid", "bin", "pos", "neg"), ["task", "grid"])
-    auc_wide = auc.groupBy("task").pivot("grid", ["roc", "grid4"]).agg(F.first("auc"))
-    tot = per_bin.filter(F.col("grid") == "roc").groupBy("task").agg(*[F.sum(k).alias(k) for k in sums])
-    wide = tot.join(auc_wide, "task").select(
+    stacked = st.select("task", roc_bin(p, n).alias("roc"), grid_bin(p, grid).alias("grid4"), *[c.alias(k) for k, c in sums.items()])
+    per_bin = stacked.groupBy("task", "roc", "grid4").agg(*[F.sum(k).alias(k) for k in sums])
+    tot = per_bin.groupBy("task").agg(*[F.sum(k).alias(k) for k in sums], F.collect_list(F.struct("roc", "grid4", "pos", "neg")).alias("cells"))
+
+    def area(bin_col: str) -> Column:
+        """Trapezoid ROC area over the cells in order of a bin: negatives of lower bins, and half of those of the own one."""
+        cells = F.array_sort(F.transform("cells", lambda c: F.struct(c[bin_col].alias("b"), c["pos"].alias("pos"), c["neg"].alias("neg"))))
+        zero = F.struct(F.lit(-1).alias("b"), *[F.lit(0.0).alias(c) for c in ("below", "own", "pos", "conc")])
+
+        def step(s, c):
+            same = s["b"] == c["b"]
+            below = F.when(same, s["below"]).otherwise(s["below"] + s["own"])
+            own, pos = F.when(same, s["own"]).otherwise(0.0), F.when(same, s["pos"]).otherwise(0.0)
+            # the cell's pairs with the negatives below its bin, and ties with those of its bin seen so far, on either side
+            more = c["pos"] * (below + own / 2 + c["neg"] / 2) + pos * c["neg"] / 2
+            return F.struct(c["b"].alias("b"), below.alias("below"), (own + c["neg"]).alias("own"), (pos + c["pos"]).alias("pos"), (s["conc"] + more).alias("conc"))
+
+        return F.aggregate(cells, zero, step, lambda s: s["conc"]) / F.nullif(F.col("pos") * F.col("neg"), F.lit(0.0))
+
+    wide = tot.select(
         "task",
         *[(F.col(f"acc_{t.replace('.', '_')}") / F.col("n")).alias(f"acc_threshold_{t}") for t in SWEEP_THRESHOLDS],
         F.col("tp").alias("TP"), F.col("fp").alias("FP"), F.col("tn").alias("TN"), F.col("fn").alias("FN"),
         (F.col("sq") / F.col("n")).alias("mse"),
-        F.col("roc").alias("auc"), F.col("grid4").alias("auc_grid4"),
+        area("roc").alias("auc"), area("grid4").alias("auc_grid4"),
         (F.col("tp") / F.nullif(F.col("tp") + F.col("fn"), F.lit(0.0))).alias("recall"),
         (F.col("reg_pred") / F.col("n")).alias("reg_pred_mean"),
         (F.col("binary_pred") / F.col("n")).alias("binary_pred_mean"),

@@ -10,6 +10,8 @@ by n, not by the data).
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -57,13 +59,15 @@ def range_bucket(df: DataFrame, key: str, cuts: Sequence[float], out: str = "_rb
 def cuts_and_totals(df: DataFrame, key: str, n: int, totals: Sequence = (), accuracy: int = 10000
                     ) -> tuple[list[float], list]:
     """One aggregation job: approximate n-quantile cut points of ``key``
-    (``percentile_approx``, bounded memory) and any extra aggregates."""
+    (``percentile_approx``, bounded memory) and any extra aggregates. A value that
+    is several of the quantiles gets a range of its own: the next number is a cut too."""
     n = min(n, MAX_BUCKETS)
     qs = [i / n for i in range(1, n)] if n > 1 else [0.5]
     acc = max(accuracy, 10 * n)
     row = df.agg(F.percentile_approx(F.col(key).cast("double"), qs, acc).alias("_q"), *totals).first()
-    cuts = sorted({float(c) for c in (row[0] or []) if c is not None}) if n > 1 else []
-    return cuts, list(row[1:])
+    seen = Counter(float(c) for c in (row[0] or []) if c is not None)
+    hot = [math.nextafter(c, math.inf) for c, k in seen.items() if k > 1 and math.isfinite(c)]
+    return sorted({*seen, *hot}) if n > 1 else [], list(row[1:])
 
 
 def running_totals(df: DataFrame, key: str, sum_cols: Sequence[str], n_buckets: int | None = None,

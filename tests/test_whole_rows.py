@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quiver.functions.arrays import self_attention_pool
 from quiver.operators.sequence import consecutive
-from quiver.plans.metrics import concordance, evaluation_report, pairwise_auc
+from quiver.plans.metrics import concordance, evaluation_report, pairwise_auc, pairwise_auc_in_batches
 from quiver.plans.prefix import running_totals, running_totals_by
 from quiver.session import ensure_checkpoint_dir
 from quiver.sources.sink import write_scored
@@ -150,3 +150,44 @@ def test_no_scratch_folder_on_a_cluster():
 
     with pytest.raises(ValueError):
         ensure_checkpoint_dir(Session())
+
+
+def test_no_task_holds_all_labels_of_a_score(spark, monkeypatch):
+    """A third of the rows share one score and differ in their labels: ties are counted without bringing them together."""
+    def bounded(p, l, w, group=None):
+        assert len(p) <= 1800, f"{len(p)} rows in one group"
+        return concordance(p, l, w, group)
+
+    monkeypatch.setattr("quiver.plans.metrics.concordance", bounded)
+    rng = np.random.default_rng(6)
+    p = np.where(rng.random(6000) < 0.4, 0.25, rng.random(6000))
+    y = rng.random(6000)
+    higher = y[:, None] > y
+    want = (higher * ((p[:, None] > p) + 0.5 * (p[:, None] == p))).sum() / higher.sum()
+    df = spark.createDataFrame(list(zip(p.tolist(), y.tolist())), "p double, y double").repartition(3)
+    assert abs(pairwise_auc(df, "p", "y", n_buckets=8).first().auc - want) < 1e-12
+
+
+@pytest.mark.parametrize("batch_rows", [200_000, 90, 1])
+def test_batches_with_any_number_of_levels(spark, batch_rows):
+    """Continuous labels, a batch that holds most rows, ties, batches without pairs, a NULL batch; counted in tasks or in ranges."""
+    rng = random.Random(9)
+    rows = []
+    for i in range(900):
+        b = rng.choice(["hot", "hot", "hot", "a", "b", None])
+        rows.append((b, rng.choice([0.5, rng.random()]), rng.choice([0.0, rng.random()]), 1.0 if i % 11 else 0.0))
+    rows += [("single", 0.1, 0.3, 1.0), ("level", 0.1, 2.0, 1.0), ("level", 0.2, 2.0, 1.0), ("none", None, 1.0, 1.0), ("b", 0.4, None, 1.0)]
+    df = spark.createDataFrame(rows, "k string, p double, y double, m double").repartition(3)
+    got = {r.k: r.auc for r in pairwise_auc_in_batches(df, "p", "y", "k", mask="m", batch_rows=batch_rows).collect()}
+    assert set(got) == {r[0] for r in rows}
+    for k, auc in got.items():
+        own = [r for r in rows if r[0] == k and r[3] > 0 and None not in r[1:3]]
+        pairs = [(a, b) for a in own for b in own if a[2] > b[2]]
+        want = sum((a[1] > b[1]) + 0.5 * (a[1] == b[1]) for a, b in pairs) / len(pairs) if pairs else 1.0
+        assert abs(auc - want) < 1e-12, k
+
+
+def test_concordance_by_groups():
+    rng = np.random.default_rng(3)
+    p, l, w, g = rng.integers(0, 9, 500) / 9, rng.integers(0, 40, 500) / 7, rng.integers(1, 4, 500).astype(float), rng.integers(0, 6, 500)
+    assert np.allclose(concordance(p, l, w, g), [concordance(p[g == k], l[g == k], w[g == k]) for k in range(6)])
