@@ -404,7 +404,7 @@ def p20_vectors(spark, d):
 @query("P23_assemble", X.with_ctes(X.SEQ20_SQL) + """
 SELECT user_id, list_concat([n_valid::DOUBLE], value_seq) AS features FROM seq20""")
 def p23(spark, d):
-    return FT.assemble_df(X.seq20(spark, d), ["n_valid", "value_seq"]).select("user_id", "features")
+    return FT.assemble_df(X.seq20(spark, d), ["n_valid", "value_seq"], lengths={"value_seq": 20}).select("user_id", "features")
 
 
 

@@ -163,12 +163,14 @@ def bucket_target_mean(df: DataFrame, feature: str, bucket_col: str, label: str,
 
 def bucket_encode(df: DataFrame, feature: str, bucket_col: str, weights: DataFrame,
                   out: str = "encoded") -> DataFrame:
-    """Look up the per-bucket weight of ``feature``. ``weights`` (feature,
-    bucket, weight) has one row per feature bucket, so it is broadcast.
-    Buckets without a weight get NULL."""
+    """Look up the per-bucket weight of ``feature`` in ``weights`` (feature,
+    bucket, weight). Up to ``BROADCAST_ROWS`` buckets, counted first, it is
+    broadcast; a larger table is joined by shuffle, where the planner splits hot
+    buckets. Buckets without a weight get NULL."""
     w = weights.filter(F.col("feature") == feature).select(
         F.col("bucket").alias(bucket_col), F.col("weight").alias(out))
-    return df.join(F.broadcast(w), bucket_col, "left")
+    small = w.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return df.join(F.broadcast(w) if small else w, bucket_col, "left")
 
 
 #: Rows up to which a lookup table is broadcast: at 16 values of 8 bytes each, some 16 MB.
@@ -211,12 +213,22 @@ def hash_slot(x: Column | str, size: int, identity: bool = False, portable: bool
     return (F.pmod(c.cast("bigint"), F.lit(size)) if identity else F.pmod(F.xxhash64(c), F.lit(size))).cast("bigint")
 
 
-def assemble_df(df: DataFrame, cols: Sequence[str], out: str = "features") -> DataFrame:
-    """P23 with a length check: scalars become 1-slot arrays."""
+def assemble_df(df: DataFrame, cols: Sequence[str], out: str = "features", lengths: Mapping[str, int] | None = None) -> DataFrame:
+    """One vector from scalars (a slot each) and arrays, in the order of
+    ``cols``. An array listed in ``lengths`` must have that many slots in every
+    row: another length, or no array, ends the job with the column's name, since
+    all slots behind it would mean other features."""
+    lengths = lengths or {}
+    if unknown := set(lengths) - {c for c in cols if isinstance(df.schema[c].dataType, ArrayType)}:
+        raise ValueError(f"lengths of columns that are no assembled arrays: {sorted(unknown)}")
     parts = []
     for c in cols:
         if isinstance(df.schema[c].dataType, ArrayType):
-            parts.append(F.transform(F.col(c), lambda v: v.cast("double")))
+            x = F.transform(F.col(c), lambda v: v.cast("double"))
+            if c in lengths:
+                found = F.coalesce(F.size(c).cast("string"), F.lit("no"))
+                x = F.when(F.size(c) == lengths[c], x).otherwise(F.raise_error(F.concat(F.lit(f"{c}: {lengths[c]} slots expected, found "), found)))
+            parts.append(x)
         else:
             parts.append(F.array(F.col(c).cast("double")))
     return df.withColumn(out, F.concat(*parts))

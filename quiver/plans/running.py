@@ -41,9 +41,10 @@ def running_stats(df: DataFrame, step: str, values: Sequence[str], decay: float
     keeps every k-th step only (the hook's logging interval); the statistics
     still run over all steps."""
     d = float(decay)
-    B = block or ema_block_size(d)
+    B = min(block or ema_block_size(d), ema_block_size(d))
     # positions 1..N and running sums, distributed over range buckets
-    r = running_totals(df, step, list(values), n_buckets=n_buckets, with_count="_pos")
+    filled = df.select("*", *[F.coalesce(F.col(v).cast("double"), F.lit(0.0)).alias(f"_z_{v}") for v in values])
+    r = running_totals(filled, step, [f"_z_{v}" for v in values], n_buckets=n_buckets, with_count="_pos")
     r = r.withColumn("_blk", F.floor((F.col("_pos") - 1) / F.lit(B))) \
          .withColumn("_o", F.col("_pos") - F.col("_blk") * F.lit(B))
     # the positioned steps feed both the per-block windows and the block
@@ -51,38 +52,42 @@ def running_stats(df: DataFrame, step: str, values: Sequence[str], decay: float
     # lineage; survives the loss of executors)
     r = cut_lineage(r)
     w = Window.partitionBy("_blk").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
-    local = r.select("*", *[F.sum(F.col(v) * F.pow(F.lit(d), -F.col("_o"))).over(w).alias(f"_loc_{v}")
+    local = r.select("*", *[F.sum(F.col(f"_z_{v}") * F.pow(F.lit(d), -F.col("_o"))).over(w).alias(f"_loc_{v}")
                             for v in values])
     # per block: its contribution to the EMA at the block's last position
     # (full blocks have length B), then the carry from the previous blocks
-    tot = r.groupBy("_blk").agg(*[F.sum(F.col(v) * F.pow(F.lit(d), F.lit(B) - F.col("_o"))).alias(f"_t_{v}")
+    tot = r.groupBy("_blk").agg(*[F.sum(F.col(f"_z_{v}") * F.pow(F.lit(d), F.lit(B) - F.col("_o"))).alias(f"_t_{v}")
                                   for v in values])
-    m = max(1, math.ceil(700.0 / (B * -math.log(d))))   # older blocks underflow to 0
-    if m > 8:
-        raise ValueError(f"block {B} too small for decay {d}: use at least {ema_block_size(d) // 4}")
-    carry = _carry(tot, values, d, B, m)
+    carry = _carry(tot, values, d, B)
     # one row per block: AQE broadcasts it when its measured size is small
     j = local.join(carry, "_blk")
     out = [F.col(c) for c in df.columns]
     for v in values:
         do = F.pow(F.lit(d), F.col("_o"))
-        out.append((F.col(f"cum_{v}") / F.col("_pos")).alias(f"{v}_mean"))
+        out.append((F.col(f"cum__z_{v}") / F.col("_pos")).alias(f"{v}_mean"))
         out.append((do * F.col(f"_c_{v}") + F.lit(1.0 - d) * do * F.col(f"_loc_{v}")).alias(f"{v}_ema"))
     if log_every > 1:
         j = j.filter(F.col("_pos") % F.lit(log_every) == 0)
     return j.select(*out)
 
 
-def _carry(tot: DataFrame, values: Sequence[str], d: float, B: int, m: int) -> DataFrame:
-    """EMA value at the end of the previous block: sum over the last m blocks
-    j < k of (1-d) * T_j * d^(B * (k-1-j)). The block table has one row per B
-    steps, so its single-task window is bounded by steps / B."""
-    cols = []
-    for v in values:
-        terms = None
-        for lag in range(1, m + 1):
-            t = F.coalesce(F.lag(f"_t_{v}", lag).over(Window.orderBy("_blk")), F.lit(0.0)) \
-                * F.lit((1.0 - d) * d ** (B * (lag - 1)))
-            terms = t if terms is None else terms + t
-        cols.append(terms.alias(f"_c_{v}"))
-    return tot.select("_blk", *cols)
+def _carry(tot: DataFrame, values: Sequence[str], d: float, B: int) -> DataFrame:
+    """EMA value before each block. A block maps the EMA e to d^B * e + t (an affine map); maps compose, so blocks are to
+    the EMA what steps are, with the decay D = d^B. They are grouped into
+    super-blocks: inside one a window composes the maps before a block in closed form, and a super-block takes the totals
+    of the few before it (older ones underflow) by a join, so no window holds the whole block table, whatever the block size."""
+    x = -math.log(d) * B                                  # -ln D
+    size = max(1, int(600.0 / x))                         # D^-size stays finite
+    reach = max(1, math.ceil(700.0 / (size * x)))
+    D = lambda n: F.exp(F.lit(-x) * n)
+    j = F.col("_blk") - F.col("_sup") * F.lit(size)       # place in the super-block
+    blocks = tot.withColumn("_sup", F.floor(F.col("_blk") / F.lit(size)))
+    before = Window.partitionBy("_sup").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    t = {v: F.lit(1.0 - d) * F.col(f"_t_{v}") for v in values}
+    inside = blocks.select("_blk", "_sup", *[(D(j - 1) * F.coalesce(F.sum(t[v] * D(-j)).over(before), F.lit(0.0))).alias(f"_in_{v}") for v in values])
+    whole = blocks.groupBy("_sup").agg(*[F.sum(t[v] * D(F.lit(size - 1) - j)).alias(f"_T_{v}") for v in values])
+    lag = F.explode(F.array(*[F.lit(k) for k in range(1, reach + 1)]))
+    later = whole.withColumn("_lag", lag).groupBy((F.col("_sup") + F.col("_lag")).alias("_to")).agg(
+        *[F.sum(F.col(f"_T_{v}") * D(F.lit(size) * (F.col("_lag") - 1))).alias(f"_C_{v}") for v in values])
+    return inside.join(later, F.col("_sup") == F.col("_to"), "left").select(
+        "_blk", *[(F.col(f"_in_{v}") + D(j) * F.coalesce(f"_C_{v}", F.lit(0.0))).alias(f"_c_{v}") for v in values])

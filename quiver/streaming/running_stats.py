@@ -10,8 +10,8 @@ map state in RocksDB, an entry for each ``CHUNK`` steps of a metric, so any numb
 wait and no task holds them all. Steps count up from ``first_step`` by one.
 A gap is never given up, unless ``max_waiting`` says to do so while more steps
 than that wait; a step that arrives after its place was passed, and
-a step that comes again, is put out with ``late`` true and no statistics, so
-nothing vanishes."""
+a step that comes again, is put out with ``late`` true and no statistics, and so is a row without a step, so
+nothing vanishes. A NULL value adds nothing, as in the batch version: its step counts, and the EMA decays."""
 
 from __future__ import annotations
 
@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from quiver.plans.running import EMA_DECAY_DEFAULT
@@ -34,7 +35,7 @@ STORE_CONF = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.
 
 
 def _rows(metric, step, value, mean, ema, late) -> pd.DataFrame:
-    return pd.DataFrame({"metric": metric, "step": np.asarray(step, np.int64), "value": np.asarray(value, float),
+    return pd.DataFrame({"metric": metric, "step": pd.array(step, "Int64"), "value": pd.array(value, "object"),
                          "mean": mean, "ema": ema, "late": late})
 
 
@@ -64,8 +65,13 @@ class Running(StatefulProcessor):
         n, total, ema, nxt, waiting = self.place.get() if self.place.exists() else (0, 0.0, 0.0, self.first_step, 0)
         for pdf in rows:
             seen: dict[int, dict[int, float]] = {}
-            late: list[tuple[int, float]] = []
-            for step, value in zip(pdf["step"].tolist(), pdf["value"].tolist()):
+            late: list[tuple[int | None, float | None]] = []
+            values = pdf["value"].astype(object).where(~pdf["missing"], None)
+            for step, value in zip(pdf["step"].tolist(), values.tolist()):
+                if pd.isna(step):
+                    late.append((None, value))
+                    continue
+                step = int(step)
                 if step < nxt or step in (at := self.chunk(seen, step // CHUNK)):
                     late.append((step, value))
                 else:
@@ -90,13 +96,13 @@ class Running(StatefulProcessor):
                 if not at:
                     self.put(seen, c)
                 moved, waiting = True, waiting - len(ready)
-                v = np.array(ready)
+                v = np.array([0.0 if x is None else x for x in ready])
                 sums = total + np.cumsum(v)
                 counts = n + np.arange(1, len(v) + 1)
                 # the recursion e = decay * e + (1 - decay) * v, from the last value on
                 emas = pd.Series(np.concatenate([[ema], v])).ewm(alpha=1 - self.decay, adjust=False).mean().to_numpy()[1:]
                 n, total, ema = int(counts[-1]), float(sums[-1]), float(emas[-1])
-                yield _rows(metric, start + np.arange(len(v)), v, sums / counts, emas, False)
+                yield _rows(metric, start + np.arange(len(v)), ready, sums / counts, emas, False)
             for k in list(seen):
                 self.put(seen, k)
             if late:
@@ -113,7 +119,8 @@ def running_stats_stream(stream: DataFrame, decay: float = EMA_DECAY_DEFAULT, fi
     """``stream`` has columns (metric, step, value); returns a stream of
     (metric, step, value, mean, ema, late) in append mode. The query that
     writes it must start under ``STORE_CONF``, as ``run_to_table`` does."""
-    return stream.select("metric", "step", "value").groupBy("metric").transformWithStateInPandas(
+    missing = F.col("value").isNull()  # Python's frames can't tell a missing value from NaN
+    return stream.select("metric", "step", F.coalesce("value", F.lit(0.0)).alias("value"), missing.alias("missing")).groupBy("metric").transformWithStateInPandas(
         Running(decay, first_step, max_waiting), OUTPUT_SCHEMA, "append", "none")
 
 
