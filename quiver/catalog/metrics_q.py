@@ -275,12 +275,13 @@ def a15(spark, d):
                  round6(F.avg("reg_label")).alias("reg_label_mean"), round6(F.avg("y")).alias("binary_label_mean"))
 
 
-def _a16_sql() -> str:
+def _a16_sql(samples: str = S, score: str = "p") -> str:
+    """The report over a ``samples`` table; ``score`` is each task's score column, with ``{}`` for the task."""
     parts = []
     for task in ("convert", "roi1"):
-        lab = LABEL_SQL[task]
-        parts.append(f"SELECT '{task}' AS task, p AS score, {CLIP.format(x=lab)} AS task_label, "
-                     f"{BIN_SQL[task]} AS binary_label, {_lt(lab)} AS reg_label, {_lt('greatest(p, 0.0::DOUBLE)')} AS reg_pred "
+        lab, p = LABEL_SQL[task], score.format(task)
+        parts.append(f"SELECT '{task}' AS task, {p} AS score, {CLIP.format(x=lab)} AS task_label, "
+                     f"{BIN_SQL[task]} AS binary_label, {_lt(lab)} AS reg_label, {_lt(f'greatest({p}, 0.0::DOUBLE)')} AS reg_pred "
                      f"FROM samples")
     t = "t AS (" + " UNION ALL ".join(parts) + ")"
     accs = ", ".join(f"avg(CASE WHEN (CASE WHEN score >= {v} THEN 1.0 ELSE 0.0 END) = binary_label THEN 1.0 ELSE 0.0 END)"
@@ -305,7 +306,7 @@ def _a16_sql() -> str:
          FROM m JOIN roc ON m.task = roc.task JOIN grid4 ON m.task = grid4.task)"""
     sel = " UNION ALL ".join(f"SELECT task, '{k}' AS metric, {Q.r6(chr(34) + k + chr(34))} AS value FROM w"
                              for k in M.REPORT_METRICS)
-    return (S + ", " + t + ",\n" + m + ",\n" + auc_cte("roc", roc_bin_sql("score")) + ",\n" +
+    return (samples + ", " + t + ",\n" + m + ",\n" + auc_cte("roc", roc_bin_sql("score")) + ",\n" +
             auc_cte("grid4", grid4_bin_sql("score")) + ",\n" + w + "\n" + sel)
 
 
