@@ -3,9 +3,11 @@ handle to remove them, and the vocabulary files' place."""
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -67,6 +69,33 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def small_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Rows go to Python in Arrow batches of at most ``size``, unless the session asks for smaller ones: texts
+    are long, and a batch is held several times, as Arrow on both sides and as Python objects."""
+    key, units = "spark.sql.execution.arrow.maxBytesPerBatch", {"k": 10, "m": 20, "g": 30}
+    in_bytes = lambda x: int(x.rstrip("bkmg")) << units.get(x.rstrip("b")[-1:], 0)
+    now = spark.conf.get(key, "64m").lower()
+    if not 0 < in_bytes(now) <= in_bytes(size):
+        spark.conf.set(key, size)
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task's function after which its worker, which serves other tasks too, gives freed memory back to the system."""
+    def and_release(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+        if trim:
+            trim(0)
+
+    return and_release
+
+
+def first_part(table: dict, share: int = 4) -> dict:
+    """The entries that came first, to go on with when a table of words is full: what is frequent turns up early."""
+    return dict(islice(table.items(), len(table) // share))
+
+
 def spread_out(df: DataFrame) -> DataFrame:
     """Deal rows out evenly before a CPU-heavy stage when a small input sits in
     fewer files than there are cores. The plan's own partition count says so without running it."""

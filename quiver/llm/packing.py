@@ -24,16 +24,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quiver.llm.bytepair import PLAIN, WordMerger
-from quiver.llm.common import saved, spread_out, vocabulary
+from quiver.llm.common import first_part, saved, small_batches, spread_out, tidy, vocabulary
 
 WINDOW, END_ID = 2048, 1
-TABLE_ENTRIES, LONG_CHUNK, BATCH_TEXTS = 900_000, 64, 512
+TABLE_BYTES, ENTRY_BYTES, LONG_CHUNK, BATCH_TEXTS = 60_000_000, 190, 64, 512
 FILTER_SLOTS = 1 << 18
 
 
 class Encoder:
     """Token ids as little-endian bytes. White space (ASCII) always ends a token of
-    this vocabulary, so each distinct chunk between it is encoded once; the table is emptied at a bound."""
+    this vocabulary, so each distinct chunk between it is encoded once; the table is bounded in bytes."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -42,11 +42,16 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.merger = WordMerger(path)
         self.table: dict[bytes, bytes] = {}
+        self.size = 0
+
+    def forget(self, share: int) -> None:
+        self.table = first_part(self.table, share)
+        self.size = sum(ENTRY_BYTES + len(c) + len(x) for c, x in self.table.items())
 
     def batch(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text. New chunks of all texts are learnt together, which is cheaper."""
-        if len(self.table) > TABLE_ENTRIES:
-            self.table = {}
+        if self.size > TABLE_BYTES:
+            self.forget(4)
         split = [t.split() for t in texts]
         table = self.table
         long = self.learn([c for c in set().union(*split) if c not in table])
@@ -71,15 +76,22 @@ class Encoder:
                 else:
                     other.append(c)
         parts = self.merger.ids(list({x[1] for x in plain} | {x[2] for x in plain}))
-        self.table.update((c, parts[word] + parts[symbols]) for c, word, symbols in plain)
+        for c, word, symbols in plain:
+            self.table[c] = x = parts[word] + parts[symbols]
+            self.size += ENTRY_BYTES + len(c) + len(x)
         for c, e in zip(other, self.tok.encode_batch([c.decode() for c in other], add_special_tokens=False)):
-            (self.table if len(c) <= LONG_CHUNK else long)[c] = np.array(e.ids, "<u4").tobytes()
+            x = np.array(e.ids, "<u4").tobytes()
+            if len(c) <= LONG_CHUNK:
+                self.table[c] = x
+                self.size += ENTRY_BYTES + len(c) + len(x)
+            else:
+                long[c] = x
         return long
 
     @staticmethod
     @functools.cache
     def here(path: str) -> "Encoder":
-        """This worker's encoder: its table serves the worker's next tasks too."""
+        """This worker's encoder. Between tasks it keeps the vocabulary and the part of the table that came first."""
         return Encoder(path)
 
 
@@ -88,6 +100,7 @@ def encoded(docs: DataFrame, path: str, window: int, end_id: int) -> DataFrame:
     and the remainder's ids (16 bits each where the vocabulary allows)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = Encoder.here(path), np.array([end_id], "<u4").tobytes()
+        enc.forget(4)
         wide = enc.tok.get_vocab_size() > 1 << 16
         for b in batches:
             n, crcs, rest, left = [], [], [], []
@@ -105,7 +118,7 @@ def encoded(docs: DataFrame, path: str, window: int, end_id: int) -> DataFrame:
                  pa.array(left, pa.binary())], ["doc_id", "n", "crcs", "rest_crc", "rest"])
 
     src = spread_out(docs).select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
-    return src.mapInArrow(run, "doc_id long, n long, crcs array<long>, rest_crc long, rest binary")
+    return src.mapInArrow(tidy(run), "doc_id long, n long, crcs array<long>, rest_crc long, rest binary")
 
 
 def combinations(lengths: np.ndarray, window: int) -> np.ndarray:
@@ -209,6 +222,7 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, end_id:
     give the end id alone; rows that repeat an id are documents of their own; an empty table gives no rows."""
     spark = docs.sparkSession
     path = path or vocabulary("word_bpe_49k.json")
+    small_batches(spark)
     rows = saved(encoded(docs, path, window, end_id).withColumn("uid", F.monotonically_increasing_id()), "pack-ids")
     small = rows.select("uid", "doc_id", "n", "rest_crc", (F.col("n") % window).cast("int").alias("len"),
                         F.floor(F.col("n") / window).cast("long").alias("whole"), F.pmod(F.xxhash64("uid"), F.lit(chunks)).cast("int").alias("chunk"))

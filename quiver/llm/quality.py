@@ -20,7 +20,9 @@ from pyspark.sql import DataFrame
 from quiver.llm.fitting import fit_in_one_task, labelled_sample, passing, scored
 
 BUCKETS, DIM, NONZERO, REACH, SEGMENT, HIDDEN = 1 << 14, 40, 4, 2, 64, 24
-FIT_ROWS, WORD_TABLE, BLOCK_WORDS = 4000, 200_000, 1 << 18
+FIT_ROWS, BLOCK_WORDS = 4000, 1 << 18
+#: Bytes of the table of words, and what an entry takes besides its word (dictionary slot, tokens, summed vector).
+TABLE_BYTES, ENTRY_BYTES = 56_000_000, 450
 SYMBOLS = re.compile(rb"([!-/:-@\[-`{-~])\1*")
 REPEATED, DIGIT, CAPITALS, MARKS = 1, 2, 3, 4
 #: Tokens of a segment or text that count as neutral, so that a few tokens alone don't make an extreme.
@@ -53,6 +55,7 @@ class Lexicon:
     def __init__(self):
         self.number: dict[bytes, int] = {}
         self.tokens: list[list[int]] = []
+        self.size = 0
 
     def encode(self, text: bytes) -> np.ndarray:
         words = text.split()
@@ -61,6 +64,7 @@ class Lexicon:
             if w not in number:
                 number[w] = len(number)
                 self.tokens.append(tokens(w))
+                self.size += ENTRY_BYTES + len(w)
         return np.fromiter(map(number.__getitem__, words), np.int64, len(words))
 
 
@@ -133,7 +137,7 @@ class Pooler:
         self.done = n
 
     def features(self, text: bytes) -> np.ndarray:
-        if len(self.lex.tokens) > WORD_TABLE:
+        if self.lex.size > TABLE_BYTES:
             self.reset()
         words = self.lex.encode(text)
         if not len(words):

@@ -5,9 +5,12 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from quiver.llm.common import first_part
+
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 FOLD = np.uint64(0x9E3779B97F4A7C15)
-TABLE_ENTRIES = 800_000
+#: Bytes of the table of words, and what an entry takes besides its word (dictionary slot, object headers, the hash).
+TABLE_BYTES, ENTRY_BYTES = 40_000_000, 180
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -23,15 +26,18 @@ class Words:
 
     def __init__(self):
         self.table: dict[bytes, int] = {}
+        self.size = 0
 
     def hashes(self, text: bytes) -> np.ndarray:
         words = text.lower().split()
-        if len(self.table) > TABLE_ENTRIES:
-            self.table = {}
+        if self.size > TABLE_BYTES:
+            self.table = first_part(self.table)
+            self.size = sum(map(len, self.table)) + ENTRY_BYTES * len(self.table)
         table = self.table
         for w in set(words):
             if w not in table:
                 table[w] = xxhash.xxh3_64_intdigest(w)
+                self.size += ENTRY_BYTES + len(w)
         return np.fromiter(map(table.__getitem__, words), np.uint64, len(words))
 
 

@@ -20,7 +20,9 @@ from quiver.llm.fitting import fit_in_one_task, labelled_sample, passing, scored
 WINDOW, STRIDE, HIDDEN, ATTENTION = 32, 16, 8, 8
 WORD_DIM, CHAR_DIM, GRAMS, VOCABULARY, LEAST_TEXTS = 6, 6, 1 << 12, 20_000, 10
 STEPS, STEP_TEXTS, LEAST_EPOCHS, MOST_EPOCHS = 300, 64, 7, 50
-FIT_ROWS, WORD_TABLE, BATCH_WINDOWS = 4000, 250_000, 4096
+FIT_ROWS, BATCH_WINDOWS = 4000, 2048
+#: Bytes of the table of words, and what an entry takes besides its word (dictionary slot, gate inputs and room for growth).
+TABLE_BYTES, ENTRY_BYTES = 56_000_000, 450
 EDGES = re.compile(rb"^[!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+$")
 
 
@@ -131,6 +133,7 @@ class Reader:
 
     def reset(self) -> None:
         self.number: dict[bytes, int] = {}
+        self.size = 0
         self.px = np.zeros((1024, 6 * HIDDEN), np.float32)
 
     def encode(self, text: bytes) -> np.ndarray:
@@ -146,6 +149,7 @@ class Reader:
             self.px[first:need] = px
             for i, w in enumerate(new):
                 self.number[w] = first + i
+                self.size += ENTRY_BYTES + len(w)
         return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
 
     def score(self, texts: list[bytes]) -> np.ndarray:
@@ -166,7 +170,7 @@ class Reader:
             pend, owner, held = [], [], 0
 
         for i, t in enumerate(texts):
-            if len(self.number) > WORD_TABLE:
+            if self.size > TABLE_BYTES:
                 flush()
                 self.reset()
             w = self.encode(t)
@@ -226,7 +230,9 @@ def start(texts: list[list[bytes]], y: np.ndarray) -> dict:
     return {"vocabulary": {w: i + 1 for i, w in enumerate(vocab)}, "word": word, "char": char, "net": net}
 
 
-def fit(texts: list[bytes], labels: list[int], epochs: int | None = None, rate: float = 0.01) -> dict:
+def fit(texts: list[bytes], labels: list[int], epochs: int | None = None, rate: float = 0.01) -> dict | None:
+    if len(set(labels)) < 2 or not any(t.split() for t in texts):
+        return None
     y = np.array(labels, float)
     epochs = epochs or int(np.clip(STEPS * STEP_TEXTS // max(1, len(texts)), LEAST_EPOCHS, MOST_EPOCHS))
     words = [[normal(w) for w in t.split()] for t in texts]
@@ -245,8 +251,6 @@ def fit(texts: list[bytes], labels: list[int], epochs: int | None = None, rate:
         s = windows(len(ids[i]))
         wins.append(np.concatenate([ids[i], np.full(WINDOW, -1)])[s[:, None] + np.arange(WINDOW)])
         owner.append(np.full(len(s), i))
-    if not has or len(set(labels)) < 2:
-        return m
     wins, owner = np.concatenate(wins).astype(np.int32), np.concatenate(owner)
     weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum()) * len(y)
     word0 = m["word"].copy()
@@ -301,7 +305,8 @@ def fit(texts: list[bytes], labels: list[int], epochs: int | None = None, rate:
 
 
 class Scorer:
-    """Scores of texts under a model. Null texts and texts without words score 0, and so does every text where no labels exist to learn from."""
+    """Scores of texts under a model. Null texts and texts without words score 0, and so does every text where the labels are missing or of
+    one class only: there is no difference to learn from them."""
 
     def __init__(self, model: dict | None):
         self.reader = Reader(model) if model else None

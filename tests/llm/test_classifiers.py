@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import numpy as np
@@ -92,11 +93,89 @@ def test_word_tables_are_emptied_at_their_bound(tables, monkeypatch):
     texts = [r.text.encode() for r in tables[0].limit(30).collect()]
     model = quality.fit(texts, [i % 2 for i in range(30)])
     whole = [quality.Pooler(model["vectors"]).features(t) for t in texts]
-    monkeypatch.setattr(quality, "WORD_TABLE", 50)
+    monkeypatch.setattr(quality, "TABLE_BYTES", 50 * quality.ENTRY_BYTES)
     monkeypatch.setattr(quality, "BLOCK_WORDS", quality.SEGMENT * 2)
     one = quality.Pooler(model["vectors"])
     assert np.allclose(whole, [one.features(t) for t in texts], atol=1e-4)
     tox = toxicity.fit(texts, [i % 2 for i in range(30)], epochs=1)
     whole = toxicity.Reader(tox).score(texts)
-    monkeypatch.setattr(toxicity, "WORD_TABLE", 50)
+    monkeypatch.setattr(toxicity, "TABLE_BYTES", 50 * toxicity.ENTRY_BYTES)
     assert np.allclose(whole, toxicity.Reader(tox).score(texts), atol=1e-4)
+
+
+def plain_quality(model, text):
+    """The forward pass word by word: pooled vectors of the text and of its segments, then the two layers and the temperature."""
+    words = text.split()
+    if not words:
+        return 0.0
+    total, segments = [0.0] * (quality.DIM + 1), []
+    for at, w in enumerate(words):
+        if at % quality.SEGMENT == 0:
+            segments.append([0.0] * (quality.DIM + 1))
+        for t in quality.tokens(w) + ([quality.REPEATED] if at and words[at - 1] == w else []):
+            for k in range(quality.DIM):
+                segments[-1][k] += float(model["vectors"][t][k])
+            segments[-1][-1] += 1
+    for seg in segments:
+        total = [a + b for a, b in zip(total, seg)]
+    means = [[v / (quality.PRIOR + seg[-1]) for v in seg[:-1]] for seg in segments]
+    x = [v / (quality.PRIOR + total[-1]) for v in total[:-1]] + [max(c) for c in zip(*means)] + [min(c) for c in zip(*means)] + [math.log1p(len(words)) / 10]
+    net = model["net"]
+    z = [(v - m) / s for v, m, s in zip(x, net["mean"], net["scale"])]
+    hidden = [math.tanh(sum(v * net["w1"][i][j] for i, v in enumerate(z)) + net["b1"][j]) for j in range(quality.HIDDEN)]
+    logit = (sum(h * w for h, w in zip(hidden, net["w2"])) + float(net["b2"])) / net["temperature"]
+    return 1 / (1 + math.exp(-logit))
+
+
+def plain_toxicity(model, text):
+    """Every window on its own: gates of one word after the other in both directions, attention, and the highest logit."""
+    words = text.split()
+    if not words:
+        return 0.0
+    net, n = model["net"], toxicity.HIDDEN
+    sig = lambda v: 1 / (1 + np.exp(-v))
+
+    def direction(inputs, u):
+        h, out = np.zeros(n), []
+        for x in inputs:
+            z, r = sig(x[:n] + h @ u[:, :n]), sig(x[n:2 * n] + h @ u[:, n:2 * n])
+            h = z * h + (1 - z) * np.tanh(x[2 * n:] + r * (h @ u[:, 2 * n:]))
+            out.append(h)
+        return out
+
+    best = -math.inf
+    for start in range(0, max(1, len(words) - (toxicity.WINDOW - toxicity.STRIDE)), toxicity.STRIDE):
+        xs = []
+        for w in map(toxicity.normal, words[start:start + toxicity.WINDOW]):
+            marked = b"<" + w + b">" if w else b"<>>"
+            codes = [((marked[i] << 16 | marked[i + 1] << 8 | marked[i + 2]) * 2654435761 % (1 << 32)) >> 20 for i in range(len(marked) - 2)]
+            chars = sum(model["char"][c] for c in codes) / len(codes)
+            xs.append(np.concatenate([model["word"][model["vocabulary"].get(w, 0)], chars]) @ net["wx"] + net["bx"])
+        front, back = direction([x[:3 * n] for x in xs], net["uf"]), direction([x[3 * n:] for x in xs[::-1]], net["ub"])[::-1]
+        h = [np.concatenate(p) for p in zip(front, back)]
+        e = np.exp([np.tanh(v @ net["wa"] + net["ba"]) @ net["va"] for v in h])
+        best = max(best, float(sum(a * v for a, v in zip(e / e.sum(), h)) @ net["w"] + net["b"]))
+    return float(sig(best))
+
+
+@pytest.mark.parametrize("module,plain", [(quality, plain_quality), (toxicity, plain_toxicity)])
+def test_scores_against_a_plain_forward_pass(spark, tables, odd_docs, module, plain):
+    texts = [r.text.encode() for r in tables[0].filter("n_chars < 3000").limit(40).collect()]
+    model = module.fit(texts, [i % 2 for i in range(40)])
+    odd = [(r.text or "").encode() for r in odd_docs.filter("n_chars < 3100 or text is null").collect()]
+    got = module.Scorer(model)(texts + odd)
+    assert np.allclose(got, [plain(model, t) for t in texts + odd], atol=1e-3)
+
+
+def test_toxicity_has_nothing_to_learn_from_one_class(spark, odd_docs):
+    for y in (0, 1):
+        labels = spark.createDataFrame([(100 + i, y) for i in range(40)], "doc_id long, toxic int")
+        assert {r.score for r in toxicity.classify(odd_docs, labels).collect()} == {0.0}
+
+
+def test_contradicting_labels_and_repeated_ids(spark):
+    """An id labelled both ways says nothing; of several texts of an id the smallest is learnt from."""
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (2, "c"), (3, "d"), (4, None)], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (2, 1), (3, 0), (4, 1)], "doc_id long, quality int")
+    got = fitting.labelled_sample(docs, labels, "quality", 10**9, -1, 100)
+    assert sorted((r.text, r.y) for r in got.collect() if r.text) == [("a", 1), ("d", 0)] and got.count() == 3

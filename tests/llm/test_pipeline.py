@@ -18,7 +18,7 @@ def test_stages_in_order_with_the_columns_of_documents(spark):
         lambda d: {r.doc_id for r in quality.classify(d, labels).collect() if r.predicted == 1},
         lambda d: {r.doc_id for r in toxicity.classify(d, labels).collect() if r.predicted == 0},
         lambda d: {r.keep_id for r in exact_dedup.dedup(d).collect()},
-        lambda d: {r.component_id for r in near_dedup.near_duplicates(d).collect()}]
+        lambda d: {r.component_id for r in near_dedup.near_duplicates(d, words=C.NEAR_WORDS, share=C.NEAR_SHARE, match=C.NEAR_MATCH).collect()}]
     for (name, stage), want in zip(C.STAGES, expected):
         out = C.saved(stage(spark, now, SF), f"test-{name}")
         assert out.columns == docs.columns
@@ -31,7 +31,7 @@ def test_stages_in_order_with_the_columns_of_documents(spark):
 
 def test_registered():
     q = E.queries()
-    assert "pipeline" in q and all(any(k.startswith(f"op{n}_") for k in q) for n in range(1, 11))
+    assert "pipeline" in q and all(any(k.startswith(f"op{n}_") for k in q) for n in range(1, 14))
 
 
 def test_odd_and_empty_documents(spark, odd_docs, no_docs):
