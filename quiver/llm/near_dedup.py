@@ -10,8 +10,9 @@
    lists, the one with most collisions. The pairs that reach ``match`` coordinates are confirmed on the full sets.
 4. What is linked by now need not be compared again: lists whose classes are all in
    one component are skipped, and so are pairs within a component. The rest of each list is merged in tiles of
-   bounded size, which count equal coordinates; pairs above the threshold are confirmed on the full sets, block by block, skipping
-   pairs that became connected meanwhile. So no group of copies is ever written out as all its pairs, and no list or partner is capped.
+   two blocks bounded in bytes (``similar_sets.links_in_lists``), which count equal coordinates, skipping a pair once it can't reach the threshold,
+   and confirm the rest on the full sets they hold, skipping pairs that became connected meanwhile. Only links leave a tile,
+   fewer than it has classes, so no group is ever written out as its pairs, and no list or partner is capped.
 
 A pair with similarity s misses with the chance that a binomial(coords, s) variable stays
 below ``match``: for 64, 36 and 0.85 under 1e-7; all other steps are exact."""
@@ -21,19 +22,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quiver.llm.common import saved, spread_out
+from quiver.llm.common import saved, small_batches, spread_out, tidy
 from quiver.llm.components import components
 from quiver.llm.shingles import Words, set_digest, shingle_set
+from quiver.llm.similar_sets import confirmed, full_sets, links_in_lists
 
 WORDS, SHARE, COORDS, MATCH = 5, (85, 100), 64, 36
-TILE, BLOCK, STRIDE = 512, 256, 1 << 15
-FILTER_SLOTS = 1 << 18
+STRIDE = 1 << 15
 
 
 def permutations(coords: int) -> tuple[np.ndarray, np.ndarray]:
@@ -77,41 +76,7 @@ def read(docs: DataFrame, words: int, coords: int) -> DataFrame:
                 ["doc_id", "n", "lo", "hi", "sig"])
 
     src = spread_out(docs).select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
-    return src.mapInArrow(run, "doc_id long, n long, lo long, hi long, sig array<long>")
-
-
-def full_sets(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
-    """(node, n, shingles) of the given classes (node, text_id, lo, hi), from the text of the document that stands for each."""
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_SLOTS))
-    wanted = classes.select(F.col("text_id").alias("doc_id"), "node", "lo", "hi")
-    slots = F.broadcast(wanted.select(slot.alias("slot")).distinct())
-    src = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
-    src = src.withColumn("slot", slot).join(slots, "slot", "left_semi").drop("slot")
-    src = src.join(wanted.withColumnRenamed("doc_id", "text_id"), F.col("doc_id").eqNullSafe(F.col("text_id"))).select("node", "lo", "hi", "text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = Words()
-        for b in batches:
-            out = []
-            for node, lo, hi, t in zip(*(b.column(i).to_pylist() for i in range(3)), b.column(3).cast(pa.binary()).to_pylist()):
-                s = shingle_set(table.hashes(t or b""), words)
-                if len(s) and set_digest(s) == (lo, hi):  # rows that repeat an id may hold other texts
-                    out.append((node, len(s), s.tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()),
-                                              pa.array([o[2] for o in out], pa.binary())], ["node", "n", "shingles"])
-
-    return src.mapInArrow(run, "node long, n long, shingles binary").dropDuplicates(["node"])
-
-
-def linked(a: np.ndarray, b: np.ndarray, share: tuple[int, int]) -> bool:
-    """share[1] * intersection >= share[0] * union, on sorted distinct sets."""
-    if min(len(a), len(b)) * share[1] < max(len(a), len(b)) * share[0]:
-        return False
-    if len(a) > len(b):
-        a, b = b, a
-    at = np.searchsorted(b, a)
-    both = int((b[np.minimum(at, len(b) - 1)] == a).sum())
-    return share[1] * both >= share[0] * (len(a) + len(b) - both)
+    return src.mapInArrow(tidy(run), "doc_id long, n long, lo long, hi long, sig array<long>")
 
 
 def confirm(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, match: int, share: tuple[int, int]) -> DataFrame:
@@ -120,136 +85,16 @@ def confirm(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, match: int, shar
     right = sigs.select(F.col("node").alias("b"), F.col("sig").alias("sb"))
     agree = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
     near = saved(pairs.join(right, "b").join(left, "a").filter(agree >= match).select("a", "b"), "near-pairs")
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), share)
-                  for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
-            yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
-
-    return near.join(right, "b").join(left, "a").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
-
-
-def merge_tile(nodes: np.ndarray, comps: np.ndarray, sig: np.ndarray, side: np.ndarray, match: int) -> list[tuple[int, list[int]]]:
-    """(x, ys): pairs of a tile's two sides that agree in ``match`` coordinates and are in different components.
-    Coordinates are merged one after another; a row whose count can't reach the threshold any more is skipped."""
-    left, right = np.nonzero(side != 1)[0], np.nonzero(side != 0)[0]  # 2: the tile is one block against itself
-    own = bool((side == 2).all())
-    coords = sig.shape[1]
-    out = []
-    by_coord = np.ascontiguousarray(sig[right].T)
-    for i in left:
-        cand = np.nonzero(comps[right] != comps[i])[0]
-        if own:
-            cand = cand[nodes[right[cand]] > nodes[i]]
-        count = np.zeros(len(cand), np.int32)
-        for k in range(coords):
-            count += by_coord[k][cand] == sig[i, k]
-            if k % 16 == 15 and len(cand):
-                go = count + (coords - 1 - k) >= match
-                cand, count = cand[go], count[go]
-        ys = nodes[right[cand]]
-        if len(ys):
-            out.append((int(nodes[i]), ys.tolist()))
-    return out
+    return confirmed(near, sets, share)
 
 
 def residual(posted: DataFrame, comp: DataFrame, sigs: DataFrame, sets: DataFrame, match: int, share: tuple[int, int]) -> DataFrame:
     """Links (a, b) between different components: at least one between any two that have one. Lists with
     the same head are merged as one, since the same classes mostly meet in several of them."""
     rows = posted.select(F.col("head").alias("key"), "node").unionByName(
-        posted.select(F.col("head").alias("key"), F.col("head").alias("node"))).distinct().join(comp, "node")
-    lists = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("c")).filter(
-        "lo != hi").select("key", F.ceil(F.col("c") / TILE).cast("int").alias("nb"))
-    lists = saved(lists, "open-lists")
+        posted.select(F.col("head").alias("key"), F.col("head").alias("node"))).distinct()
     small = sigs.select("node", F.transform("sig", lambda x: F.shiftrightunsigned(x, 33).cast("int")).alias("sig"))
-    rows = rows.join(lists, "key").join(small, "node").withColumn("i", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
-    rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select(
-        "key", F.least("i", "j").alias("ti"), F.greatest("i", "j").alias("tj"),
-        F.struct("node", "comp", F.when(F.col("i") == F.col("j"), 2).when(F.col("i") < F.col("j"), 0).otherwise(1).alias("side"), "sig").alias("row"))
-    tiles = rows.groupBy("key", "ti", "tj").agg(F.collect_list("row").alias("rows"))
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            col = b.column(0)
-            xs, yss = [], []
-            flat = col.flatten()
-            nodes, comps = flat.field("node").to_numpy(), flat.field("comp").to_numpy()
-            side = flat.field("side").to_numpy()
-            sig = flat.field("sig").flatten().to_numpy().reshape(len(nodes), -1)
-            ends = col.offsets.to_numpy() - col.offsets[0].as_py()
-            for s, e in zip(ends[:-1], ends[1:]):
-                if len(np.unique(comps[s:e])) < 2:
-                    continue
-                for x, ys in merge_tile(nodes[s:e], comps[s:e], sig[s:e], side[s:e], match):
-                    xs.append(x)
-                    yss.append(ys)
-            yield pa.RecordBatch.from_arrays([pa.array(xs, pa.int64()), pa.array(yss, pa.list_(pa.int64()))], ["x", "ys"])
-
-    found = saved(tiles.select("rows").mapInArrow(merge, "x long, ys array<long>"), "open-pairs")
-    total = sets.count()
-    nblocks = max(1, -(-total // BLOCK))
-
-    def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each x once for every block that holds some of its ys."""
-        for b in batches:
-            x = np.repeat(b.column(0).to_numpy(), pc.list_value_length(b.column(1)).to_numpy())
-            y = b.column(1).flatten().to_numpy()
-            pair = np.unique(np.stack([y % nblocks, x, y], axis=1), axis=0) if len(x) else np.zeros((0, 3), np.int64)
-            cuts = np.nonzero((np.diff(pair[:, :2], axis=0) != 0).any(axis=1))[0] + 1
-            parts = np.split(pair, cuts) if len(pair) else []
-            yield pa.RecordBatch.from_arrays([pa.array([int(p[0, 0]) for p in parts], pa.int64()), pa.array([int(p[0, 1]) for p in parts], pa.int64()),
-                                              pa.array([p[:, 2].tolist() for p in parts], pa.list_(pa.int64()))], ["block", "x", "ys"])
-
-    asked = found.mapInArrow(by_block, "block long, x long, ys array<long>").groupBy("block", "x").agg(
-        F.array_distinct(F.flatten(F.collect_list("ys"))).alias("ys"))
-    sets_c = sets.join(comp, "node")
-    asked = asked.join(sets_c.select(F.col("node").alias("x"), F.col("comp").alias("cx"), F.col("shingles").alias("sx")), "x")
-    held = sets_c.withColumn("block", F.pmod("node", F.lit(nblocks)))
-
-    def check(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        place = {n: i for i, n in enumerate(right["node"])}
-        comps, sizes = right["comp"].to_numpy(), right["n"].to_numpy()
-        sets = [np.frombuffer(s, np.uint64) for s in right["shingles"]]
-        flat = np.concatenate(sets)
-        order = np.argsort(flat, kind="stable")
-        values, starts, counts = np.unique(flat[order], return_index=True, return_counts=True)
-        holders = np.repeat(np.arange(len(sets)), sizes)[order]
-        root: dict[int, int] = {}
-
-        def shared(s: np.ndarray) -> np.ndarray:
-            """Sizes of the intersections of ``s`` with all sets of the block, from the block's inverted lists."""
-            at = np.minimum(np.searchsorted(values, s), len(values) - 1)
-            at = at[values[at] == s]
-            n = counts[at]
-            ends = np.cumsum(n)
-            index = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[at] - ends + n, n)
-            return np.bincount(holders[index], minlength=len(sets))
-
-        def find(c: int) -> int:
-            while root.get(c, c) != c:
-                root[c] = root.get(root[c], root[c])
-                c = root[c]
-            return c
-
-        out = []
-        for x, cx, sx, ys in zip(left["x"], left["cx"], left["sx"], left["ys"]):
-            at = np.array([place[y] for y in ys])
-            at = at[[find(cx) != find(c) for c in comps[at]]]
-            if not len(at):
-                continue
-            sx = np.frombuffer(sx, np.uint64)
-            both = shared(sx)[at]
-            for i in at[share[1] * both >= share[0] * (len(sx) + sizes[at] - both)]:
-                rx, ry = find(cx), find(comps[i])
-                if rx != ry:
-                    root[max(rx, ry)] = min(rx, ry)
-                    out.append((x, int(right["node"].iat[i])))
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
-
-    return asked.groupBy("block").cogroup(held.select("block", "node", "comp", "n", "shingles").groupBy("block")).applyInPandas(check, "a long, b long")
+    return links_in_lists(rows, comp, sets.join(small, "node"), share, match)
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, share: tuple[int, int] = SHARE, coords: int = COORDS,
@@ -259,6 +104,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, share: tuple[int, int]
 
     Null and empty texts and texts without words have no shingles and no links: each row is its own
     component. A null id is never the smallest while its component has another."""
+    small_batches(docs.sparkSession)
     seen = saved(read(docs, words, coords).withColumn("uid", F.monotonically_increasing_id()), "signatures")
     classes = saved(seen.filter("n > 0").groupBy("lo", "hi", "n").agg(
         F.min("uid").alias("node"), F.min("doc_id").alias("least_id"), F.min_by("doc_id", "uid").alias("text_id"),

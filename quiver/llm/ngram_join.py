@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quiver.llm.common import saved, spread_out
+from quiver.llm.common import saved, small_batches, spread_out, tidy
 from quiver.llm.components import components
 from quiver.llm.shingles import Words, mix, set_digest, shingle_set
 from quiver.llm.similar_sets import confirmed, full_sets, links_in_lists
@@ -166,7 +166,7 @@ def read(docs: DataFrame, words: int, share: tuple[int, int], allocations: list[
                     ["doc_id", "n", "lo", "hi", "posts"])
 
     src = spread_out(docs).select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
-    return src.mapInArrow(run, READ)
+    return src.mapInArrow(tidy(run), READ)
 
 
 def postings(posts: DataFrame, allocations: list[Allocation | None]) -> DataFrame:
@@ -206,6 +206,7 @@ def join_similar(docs: DataFrame, words: int = WORDS, share: tuple[int, int] = S
 
     Null and empty texts and texts without words have no shingles and no links: each row is its own component. A null id is never the
     smallest while its component has another. Rows that repeat an id are sets of their own. Other columns are ignored."""
+    small_batches(docs.sparkSession)
     allocations = plan(docs, words, share) if allocations is None else allocations
     seen = saved(read(docs, words, share, allocations).withColumn("uid", F.monotonically_increasing_id()), "ngram-keys")
     classes = saved(seen.filter("n > 0").groupBy("lo", "hi", "n").agg(

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quiver.llm.common import in_runs, runs, saved
+from quiver.llm.common import in_runs, runs, saved, tidy
 from quiver.llm.shingles import Words, set_digest, shingle_set
 
 #: A block of a list holds at most so many bytes of shingles (more only if one set has more) and so many sets.
@@ -39,7 +39,7 @@ def full_sets(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()),
                                               pa.array([o[2] for o in out], pa.binary())], ["node", "n", "shingles"])
 
-    return src.mapInArrow(run, "node long, n long, shingles binary").dropDuplicates(["node"])
+    return src.mapInArrow(tidy(run), "node long, n long, shingles binary").dropDuplicates(["node"])
 
 
 def linked(a: np.ndarray, b: np.ndarray, share: tuple[int, int]) -> bool:
@@ -157,4 +157,4 @@ def links_in_lists(rows: DataFrame, comp: DataFrame, sets: DataFrame, share: tup
                 a, b = zip(*found)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return in_runs(rows, "key", "ti", "tj").mapInArrow(run, "a long, b long")
+    return in_runs(rows, "key", "ti", "tj").mapInArrow(tidy(run), "a long, b long")

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quiver.llm import near_dedup as D
+from quiver.llm import similar_sets
 from quiver.llm.components import components
 from quiver.llm.shingles import shingle_set
 
@@ -73,8 +74,7 @@ def families(spark):
 
 @pytest.mark.parametrize("tile", [512, 8])
 def test_components_against_brute_force(families, monkeypatch, tile):
-    monkeypatch.setattr(D, "TILE", tile)
-    monkeypatch.setattr(D, "BLOCK", tile)
+    monkeypatch.setattr(similar_sets, "BLOCK_SETS", tile)
     assert result(D.near_duplicates(families)) == brute(families.collect())
 
 
@@ -109,6 +109,6 @@ def test_prefixes_lose_no_pair_above_the_threshold():
         other = words.copy()
         other[rng.integers(0, 700, 9)] = rng.integers(0, 1 << 63, 9).astype(np.uint64)
         a, b = shingle_set(words, 5), shingle_set(other, 5)
-        if D.linked(a, b, D.SHARE):
+        if similar_sets.linked(a, b, D.SHARE):
             sa, sb = D.signatures([a, b], D.COORDS)
             assert (sa == sb).sum() >= D.MATCH
