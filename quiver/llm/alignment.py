@@ -17,18 +17,22 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quiver.llm.bytepair import shown_bytes
-from quiver.llm.common import saved, vocabulary
+from quiver.llm.bytepair import WordMerger, shown_bytes
+from quiver.llm.common import first_part, saved, small_batches, tidy, vocabulary
 
 HEAVY, HOT_TEXTS = 1 << 18, 1000
-TABLE_BYTES, LONG_CHUNK, ENTRY_BYTES = 64_000_000, 64, 350
+TABLE_BYTES, LONG_CHUNK, ENTRY_BYTES, SLICE_CHARS = 72_000_000, 64, 350, 2_000_000
+MARK, FOLLOWS = "▁", ",|;\n"
+UNITS = re.compile(r"( [^\W\d_]+)([!-&(-/:-@\[-`{-~]*)")  # a space and letters, then ASCII symbols other than '
 SHIFT = 20  # a pair is one number: A's id above, B's id in the lower bits
 
 
@@ -46,32 +50,9 @@ def chunks(text: str) -> list[str]:
     return out
 
 
-def overlay(a: list[int], b: list[int], size_a: list[int], size_b: list[int]) -> tuple[list[str], list[tuple[int, int]]]:
-    """Groups as text, and the links, of tokens a and b of the given byte sizes over the same bytes."""
-    groups, links = [], []
-    i = j = first_a = first_b = 0
-    end_a, end_b = size_a[0], size_b[0]
-    while True:
-        links.append((a[i], b[j]))
-        both = end_a == end_b
-        if both:
-            groups.append(f"{','.join(map(str, a[first_a:i + 1]))}|{','.join(map(str, b[first_b:j + 1]))}")
-            if i + 1 == len(a):
-                return groups, links
-            first_a, first_b = i + 1, j + 1
-        if end_a < end_b or both:
-            i += 1
-            step_a = size_a[i]
-        else:
-            step_a = 0
-        if end_b < end_a or both:
-            j += 1
-            end_b += size_b[j]
-        end_a += step_a
-
-
 class Aligner:
-    """Aligned chunks: (tokens A, tokens B, groups, groups as text, links as numbers), or None where the bytes of either side differ from the chunk's."""
+    """Aligned chunks: (tokens A, tokens B, groups, groups as text, links as numbers), or None where the bytes of B differ from the chunk's.
+    (Those of A never do: its vocabulary holds every byte.)"""
 
     def __init__(self, path_a: str, path_b: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -81,49 +62,90 @@ class Aligner:
         self.a = Tokenizer.from_file(path_a)
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
-        value = {c: x for x, c in enumerate(shown_bytes())}
+        shown = set(shown_bytes())
         vocab = self.a.get_vocab(with_added_tokens=False)
-        self.bytes_a = {i: bytes(value[c] for c in t) for t, i in vocab.items() if all(c in value for c in t)}
-        self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode()
-                        for i, p in enumerate(map(self.b.id_to_piece, range(self.b.get_piece_size())))]
-        pieces = [self.b.id_to_piece(i) for i in range(len(self.bytes_b))]
-        if len(self.bytes_b) >= 1 << SHIFT or any("▁" in p.lstrip("▁") or "\n" in p for p in pieces):
+        pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
+        if self.a.normalizer or not shown <= set(vocab):
+            raise ValueError("tokens A need not spell the text")
+        if len(pieces) >= 1 << SHIFT or any(MARK in p.lstrip(MARK) or "\n" in p for p in pieces):
             raise ValueError("this model's pieces can cross whitespace markers or line feeds")
+        self.merger = WordMerger(path_a)
+        self.size_a = np.zeros(max(vocab.values()) + 1, np.int64)
+        for t, i in vocab.items():
+            self.size_a[i] = len(t)  # one shown character a byte
+        self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
+        self.size_b = np.array([len(x) for x in self.bytes_b], np.int64)
         self.lead = len(self.b.encode("\n"))
         self.table: dict[str, tuple | None] = {}
         self.size = 0
 
-    def align(self, chunk: str, a: list[int], b: list[int]) -> tuple[int, int, int, str, bytes] | None:
-        raw = chunk.encode()
-        parts_a, parts_b = [self.bytes_a.get(i, b"") for i in a], [self.bytes_b[i] for i in b]
-        if b"".join(parts_a) != raw or b"".join(parts_b) != raw:
-            return None
-        groups, links = overlay(a, b, [len(p) for p in parts_a], [len(p) for p in parts_b])
-        return len(a), len(b), len(groups), ";".join(groups), np.array([x << SHIFT | y for x, y in links], np.int64).tobytes()
-
-    def learn(self, new: list[str]) -> dict[str, tuple | None]:
-        """Chunks not seen before. Long ones are returned instead of kept; a line feed in front keeps B's own dummy marker off the chunk."""
-        long = {}
-        found_a = self.a.encode_batch(new, add_special_tokens=False)
-        found_b = self.b.encode(["\n" + c for c in new], num_threads=1)
-        for c, a, b in zip(new, found_a, found_b):
-            x = self.align(c, a.ids, b[self.lead:])
-            if len(c) > LONG_CHUNK:
-                long[c] = x
+    def tokens_a(self, chunks: list[str]) -> list[bytes]:
+        """Ids of A as little-endian bytes. A space and Latin letters are one unit of the vocabulary, and so are plain symbols behind them;
+        such units are merged many at a time. Other chunks are left to the library."""
+        plain, other = [], []
+        for at, c in enumerate(chunks):
+            m = UNITS.fullmatch(c)
+            word = m and m.group(1)
+            if word and len(c) <= LONG_CHUNK and word[1:].isalpha() and max(word) < "\u0300":
+                plain.append((at, word.encode(), m.group(2).encode()))
             else:
-                self.table[c] = x
-                self.size += ENTRY_BYTES + len(c) + (len(x[3]) + len(x[4]) if x else 0)
-        return long
-
-    def text(self, text: str) -> tuple[int, int, int, int, str, np.ndarray, np.ndarray] | None:
-        """Tokens A and B, groups, links, digest of the groups, distinct links and their counts; None where bytes differ."""
+                other.append(at)
+        out = [b""] * len(chunks)
+        ids = self.merger.ids(list({x[1] for x in plain} | {x[2] for x in plain}))
+        for at, word, symbols in plain:
+            out[at] = ids[word] + ids[symbols]
+        for at, e in zip(other, self.a.encode_batch([chunks[at] for at in other], add_special_tokens=False)):
+            out[at] = np.array(e.ids, "<u4").tobytes()
+        return out
+
+    def align(self, chunks: list[str]) -> list[tuple | None]:
+        """All chunks laid one behind the other over their bytes, so that both sides' token ends are two ascending lists."""
+        raw = [c.encode() for c in chunks]
+        a = self.tokens_a(chunks)
+        b = [x[self.lead:] for x in self.b.encode(["\n" + c for c in chunks], num_threads=1)]  # a line feed keeps B's own dummy marker off the chunk
+        same = [b"".join(map(self.bytes_b.__getitem__, x)) == r for x, r in zip(b, raw)]
+        if not all(same):
+            some = iter(self.align([c for c, ok in zip(chunks, same) if ok]))
+            return [next(some) if ok else None for ok in same]
+        if not chunks:
+            return []
+        n_a, n_b = np.array([len(x) // 4 for x in a]), np.array([len(x) for x in b])
+        a, b = np.frombuffer(b"".join(a), "<u4").astype(np.int64), np.fromiter(chain.from_iterable(b), np.int64, n_b.sum())
+        end_a, end_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
+        first, last = np.searchsorted(end_b, end_a - self.size_a[a], "right"), np.searchsorted(end_b, end_a)
+        n = last - first + 1  # tokens of B that a token of A overlaps
+        links = np.repeat(a, n) << SHIFT | b[np.arange(n.sum()) + np.repeat(first - np.cumsum(n) + n, n)]
+        cut_a, cut_b = end_b[last] == end_a, end_a[np.searchsorted(end_a, end_b)] == end_b
+        chunk_a = np.repeat(np.arange(len(chunks)), n_a)
+        n_groups, n_links = np.bincount(chunk_a[cut_a], minlength=len(chunks)), np.bincount(chunk_a, weights=n).astype(np.int64)
+        # groups as text: the tokens of A, then those of B, of one group after another, each with what follows it
+        after_b = np.where(cut_b, 2, 0)
+        after_b[np.cumsum(n_b) - 1] = 3
+        order = np.argsort(np.concatenate([2 * (np.cumsum(cut_a) - cut_a), 2 * (np.cumsum(cut_b) - cut_b) + 1]), kind="stable")
+        ids, after = np.concatenate([a, b])[order].tolist(), np.concatenate([np.where(cut_a, 1, 0), after_b])[order].tolist()
+        text = "".join([f"{i}{FOLLOWS[k]}" for i, k in zip(ids, after)]).split("\n")
+        held, ends = links.tobytes(), (8 * np.cumsum(n_links)).tolist()
+        return [(x, y, g, t, held[e - 8 * k:e]) for x, y, g, t, k, e in zip(n_a.tolist(), n_b.tolist(), n_groups.tolist(), text, n_links.tolist(), ends)]
+
+    def texts(self, texts: list[str]) -> list[tuple | None]:
+        """Per text: tokens A and B, groups, links, digest of the groups, distinct links and their counts; None where
+        bytes differ. New chunks of all texts are learnt together; long ones are not kept."""
         if self.size > TABLE_BYTES:
-            self.table, self.size = {}, 0
-        cut = chunks(text)
+            self.table = first_part(self.table)
+            self.size = sum(entry_size(c, x) for c, x in self.table.items())
+        cut = [chunks(t) for t in texts]
         table = self.table
-        new = [c for c in set(cut) if c not in table]
-        long = self.learn(new) if new else {}
-        rows = [long[c] if c in long else table[c] for c in cut] if long else list(map(table.__getitem__, cut))
+        new = [c for c in dict.fromkeys(chain.from_iterable(cut)) if c not in table]
+        found = self.align(new)
+        long = {c: x for c, x in zip(new, found) if len(c) > LONG_CHUNK}
+        for c, x in zip(new, found):
+            if len(c) <= LONG_CHUNK:
+                table[c] = x
+                self.size += entry_size(c, x)
+        return [self.summed([long[c] if c in long else table[c] for c in t] if long else list(map(table.__getitem__, t))) for t in cut]
+
+    @staticmethod
+    def summed(rows: list[tuple | None]) -> tuple | None:
         if None in rows:
             return None
         a, b, g, strings, links = zip(*rows)
@@ -132,6 +154,24 @@ class Aligner:
         return sum(a), sum(b), sum(g), len(pairs), hashlib.sha256(";".join(strings).encode()).hexdigest(), codes, counts.astype(np.int32)
 
 
+def entry_size(chunk: str, x: tuple | None) -> int:
+    return ENTRY_BYTES + len(chunk) + (len(x[3]) + len(x[4]) if x else 0)
+
+
+def slices(texts: list[str]) -> Iterator[list[str]]:
+    """Consecutive texts of ``SLICE_CHARS`` together, or one that is longer."""
+    held: list[str] = []
+    size = 0
+    for t in texts:
+        if held and size + len(t) > SLICE_CHARS:
+            yield held
+            held, size = [], 0
+        held.append(t)
+        size += len(t)
+    if held:
+        yield held
+
+
 ALIGNED = "digest binary, copies long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, counts array<int>"
 MEASURES = ["n_a", "n_b", "n_groups", "n_links"]
 
@@ -147,9 +187,11 @@ def aligned_texts(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = Aligner(path_a, path_b)
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
-                rows = [aligner.text(t.as_py()) for t in part.column(2)]
+            at = 0
+            for texts in slices(b.column(2).to_pylist()):
+                part = b.slice(at, len(texts))
+                at += len(texts)
+                rows = aligner.texts(texts)
                 ok = [r is not None for r in rows]
                 rows = [r for r in rows if r]
                 ends = pa.array(np.cumsum([0, *(len(r[5]) for r in rows)]), pa.int32())
@@ -160,7 +202,7 @@ def aligned_texts(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
                      pa.array([r[4] for r in rows], pa.string()), *(pa.ListArray.from_arrays(ends, pa.array(f)) for f in flat)],
                     [c.split()[0] for c in ALIGNED.split(", ")])
 
-    return texts.select(digest(F.col("text")).alias("digest"), "copies", "text").mapInArrow(run, ALIGNED)
+    return texts.select(digest(F.col("text")).alias("digest"), "copies", "text").mapInArrow(tidy(run), ALIGNED)
 
 
 def pair_counts(texts: DataFrame) -> DataFrame:
@@ -178,6 +220,7 @@ def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None,
     Null and empty texts, and texts whose tokens do not spell space + text on either side, have no tokens: zeros and ''.
     Rows that repeat an id or have none are rows like all others. Other columns are ignored."""
     path_a, path_b = path_a or vocabulary("byte_bpe_50k.json"), path_b or vocabulary("piece_bpe_32k.model")
+    small_batches(docs.sparkSession)
     texts = saved(aligned_texts(docs, path_a, path_b).withColumn("uid", F.monotonically_increasing_id()), "aligned-texts")
     counts = saved(pair_counts(texts), "pair-ranks")
     total = counts.agg(F.sum("count")).first()[0] or 0

@@ -29,9 +29,9 @@ class WordMerger:
     def __init__(self, path: str):
         spec = json.load(open(path, encoding="utf-8"))
         model = spec["model"]
-        vocab, suffix = model["vocab"], model["end_of_word_suffix"]
-        if model["type"] != "BPE" or not suffix or model.get("dropout") or len(vocab) >= 1 << 16:
-            raise ValueError("not a byte-pair vocabulary with word ends")
+        vocab, suffix = model["vocab"], model["end_of_word_suffix"] or ""
+        if model["type"] != "BPE" or model.get("dropout") or len(vocab) >= 1 << 16:
+            raise ValueError("not a byte-pair vocabulary")
         shown = shown_bytes()
         self.inner = np.array([vocab[c] for c in shown], np.int32)
         self.last = np.array([vocab[c + suffix] for c in shown], np.int32)
@@ -77,7 +77,7 @@ class WordMerger:
         return out
 
     def ids(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """Little-endian 32-bit ids of lower-case words, each taken as one unit of the vocabulary."""
+        """Little-endian 32-bit ids of words (normalised as the vocabulary wants them), each taken as one unit of the vocabulary."""
         by_length: dict[int, list[bytes]] = {}
         for w in words:
             by_length.setdefault(len(w), []).append(w)
