@@ -4,7 +4,9 @@ features, train, evaluate, serve (survey section 3).
 train:    read -> conform -> bucketize -> fit (M2) -> save (S12)
 evaluate: bucketize -> predict (M3) -> scored rows (S10) -> metric report (A16)
 serve:    schema check (S11) -> predict
-"""
+
+``assembled``, ``train_slots`` and ``evaluate_slots`` run the whole feature path (hash slots, 1-D and
+2-D buckets, ratios, deltas) at any width, and can start from a saved model."""
 
 from __future__ import annotations
 
@@ -15,9 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quiver.operators.features import BUCKET_PREFIX, bucket_features_1d
+from quiver.plans import logistic as G
 from quiver.plans import model as MD
 from quiver.plans.metrics import evaluation_report
+from quiver.plans.wide import FeatureSet, assemble
 from quiver.sources.reader import Field, check_schema
+from quiver.session import cut_lineage
 from quiver.sources.sink import scored_rows
 
 
@@ -59,3 +64,27 @@ def serve(model: PipelineModel, df: DataFrame, contract: Sequence[Field], tasks:
     if problems:
         raise ValueError(f"serving contract violated: {[r.asDict() for r in problems]}")
     return MD.predict(model, df, tasks, keep=keep)
+
+
+POS_WEIGHT = 2.0    # fixed value of the reference: weight of a positive row in the cross entropy
+
+
+def assembled(df: DataFrame, features: FeatureSet, keep: Sequence[str]) -> DataFrame:
+    """``keep`` and the slots of all features (P20, P5, P6 with P10 and P12, P23), written once: fitting reads them at every step."""
+    return cut_lineage(assemble(df, features, keep))
+
+
+def train_slots(rows: DataFrame, features: FeatureSet, labels: Mapping[str, str], start: Mapping[str, G.Model] | None = None,
+                pos_weight: float = POS_WEIGHT, l2: float = 1.0, tolerance: float = 1e-6) -> dict[str, G.Model]:
+    """M2: a model per task on assembled rows, from ``start`` where it has the task."""
+    slots = features.slots()
+    return {t: G.fit(G.merged_rows(rows, slots, y, pos_weight, idx="idx"), slots, (start or {}).get(t), l2=l2, tolerance=tolerance) for t, y in labels.items()}
+
+
+def evaluate_slots(models: Mapping[str, G.Model], rows: DataFrame, raw_labels: Mapping[str, str], id_cols: Sequence[str],
+                   label_cols: Sequence[str], split: str = "eval") -> tuple[DataFrame, DataFrame]:
+    """Scored rows (S10) of a split and the evaluation report."""
+    keep = list(dict.fromkeys([*id_cols, *label_cols, *raw_labels.values()]))
+    scored = G.predict(rows, models, keep, idx="idx")
+    tasks = {t: (raw_labels[t], f"score_{t}") for t in models}
+    return scored_rows(scored, tasks, split, id_cols, label_cols, with_clock=True), evaluation_report(scored, tasks)

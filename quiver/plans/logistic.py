@@ -40,11 +40,11 @@ class Slots:
     def total(self) -> int:
         return sum(self.sizes)
 
-    def column(self, bucket_cols: Mapping[str, str] | None = None) -> Column:
+    def column(self) -> Column:
         """The slots of a row in the order of the features. A feature whose bucket is NULL or outside its size has none."""
         parts, at = [], 0
         for f, n in zip(self.features, self.sizes):
-            b = F.col((bucket_cols or {}).get(f, f)).cast("int")
+            b = F.col(f).cast("int")
             parts.append(F.when((b >= 0) & (b < n), b + at))
             at += n
         return F.filter(F.array(*parts), lambda x: x.isNotNull())
@@ -81,8 +81,8 @@ def _margins(idx: pa.Array, coef: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return np.bincount(row, weights=coef[flat], minlength=len(idx)) + coef[-1], flat, row
 
 
-def _sums(rows: DataFrame, coef: np.ndarray, l2: float, curved: bool) -> tuple[float, np.ndarray, np.ndarray | None]:
-    """Loss, gradient and curvature over all rows (idx, y, w), added up in a tree of tasks."""
+def _sums(rows: DataFrame, coef: np.ndarray, l2: float, curved: bool) -> tuple[float, np.ndarray, np.ndarray]:
+    """Loss, gradient and curvature (a matrix if ``curved``, else empty) over all rows (idx, y, w), added up in a tree of tasks."""
     shared = rows.sparkSession.sparkContext.broadcast(coef)
     d = len(coef)
     names, schema = ["loss", "grad", "curve"], "loss double, grad binary, curve binary"
@@ -124,15 +124,18 @@ def _sums(rows: DataFrame, coef: np.ndarray, l2: float, curved: bool) -> tuple[f
         sums = sums.repartition(parts).mapInArrow(add, schema)
     got = sums.collect()    # at most FAN_IN rows
     loss, grad = sum(r.loss for r in got), sum(np.frombuffer(bytes(r.grad)) for r in got)
-    curve = sum(np.frombuffer(bytes(r.curve)) for r in got).reshape(d, d) if curved else None
+    curve = sum(np.frombuffer(bytes(r.curve)) for r in got)
     ridge = np.full(d, l2)
     ridge[-1] = 0
-    return loss + float((ridge * coef * coef).sum()) / 2, grad + ridge * coef, curve + np.diag(ridge) if curved else None
+    curve = curve.reshape(d, d) + np.diag(ridge) if curved else curve
+    return loss + float((ridge * coef * coef).sum()) / 2, grad + ridge * coef, curve
 
 
-def merged_rows(df: DataFrame, slots: Slots, label: str, pos_weight: float = 1.0, bucket_cols: Mapping[str, str] | None = None) -> DataFrame:
-    """(idx, y, w): rows with the same slots and label as one, their weights added. Rows without a label take no part."""
-    src = df.filter(F.col(label).isNotNull()).select(slots.column(bucket_cols).alias("idx"), (F.col(label) > 0).cast("double").alias("y"))
+def merged_rows(df: DataFrame, slots: Slots, label: str, pos_weight: float = 1.0, idx: str | None = None) -> DataFrame:
+    """(idx, y, w): rows with the same slots and label as one, their weights added. Rows without a label take no part.
+    The slots are those of the bucket columns named like the features, or the column ``idx`` of assembled ones."""
+    own = F.col(idx) if idx else slots.column()
+    src = df.filter(F.col(label).isNotNull()).select(own.alias("idx"), (F.col(label) > 0).cast("double").alias("y"))
     n = F.count(F.lit(1)).cast("double")
     return cut_lineage(src.groupBy("idx", "y").agg((n * F.when(F.col("y") > 0, F.lit(float(pos_weight))).otherwise(1.0)).alias("w")))
 
@@ -140,8 +143,7 @@ def merged_rows(df: DataFrame, slots: Slots, label: str, pos_weight: float = 1.0
 def fit(rows: DataFrame, slots: Slots, start: Model | None = None, l2: float = 0.0, tolerance: float = 1e-10, max_steps: int = 200) -> Model:
     """The model of least loss on ``merged_rows``, from the coefficients of ``start`` where it knows a slot. Ends when no entry of the
     gradient exceeds ``tolerance`` of the total weight."""
-    known = {(f, b): c for f, b, c in start.rows()} if start else {}
-    coef = np.array([*(known.get(s, 0.0) for s in slots.names()), known.get(("", -1), 0.0)])
+    coef = aligned(start, slots).coefficients if start else np.zeros(slots.total + 1)
     weight = rows.agg(F.sum("w")).first()[0] or 0.0
     if not weight:
         return Model(slots, coef, 0, 0.0)
@@ -183,8 +185,8 @@ def _lbfgs(grad: np.ndarray, past: list[tuple[np.ndarray, np.ndarray]], weight:
     return -q
 
 
-def predict(df: DataFrame, models: Mapping[str, Model], keep: Sequence[str] = (), bucket_cols: Mapping[str, str] | None = None) -> DataFrame:
-    """M3: ``keep`` and ``score_<task>`` per model. Only the slot numbers go to Python."""
+def predict(df: DataFrame, models: Mapping[str, Model], keep: Sequence[str] = (), idx: str | None = None) -> DataFrame:
+    """M3: ``keep`` and ``score_<task>`` per model, from bucket columns or from assembled slots in ``idx``. Only the slot numbers go to Python."""
     def scorer(model: Model):
         shared = df.sparkSession.sparkContext.broadcast(model.coefficients)
 
@@ -192,11 +194,17 @@ def predict(df: DataFrame, models: Mapping[str, Model], keep: Sequence[str] = ()
         def score(idx: pa.Array) -> pa.Array:
             return pa.array(1 / (1 + np.exp(-np.clip(_margins(pa.concat_arrays([idx]), shared.value)[0], -700, 700))))
 
-        return score(model.slots.column(bucket_cols))
+        return score(F.col(idx) if idx else model.slots.column())
 
     return df.select(*keep, *[scorer(m).alias(f"score_{t}") for t, m in models.items()])
 
 
+def aligned(model: Model, slots: Slots) -> Model:
+    """The model over other slots: its coefficients where it knows them, else 0."""
+    known = {(f, b): c for f, b, c in model.rows()}
+    return Model(slots, np.array([*(known.get(s, 0.0) for s in slots.names()), known.get(("", -1), 0.0)]))
+
+
 def save(spark: SparkSession, models: Mapping[str, Model], path: str) -> None:
     """A table of (task, feature, bucket, coefficient); the intercept has no feature and bucket -1."""
     rows = [(t, *r) for t, m in models.items() for r in m.rows()]
