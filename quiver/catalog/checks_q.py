@@ -33,6 +33,27 @@ def x3(spark, d):
         F.lit(float(APPROX_LEAST)), F.col("n_entities") * APPROX_SHARE)).alias("within"))
 
 
+@query("X3_windows_from_stored_sketches", """
+SELECT DISTINCT epoch_us(ts) // 3600000000 AS hour_id, w.h AS hours, true AS within FROM events, (VALUES (24), (72)) w(h)""")
+def x3_windows(spark, d):
+    """Distinct users of the last 24 and 72 hours from a stored table of hourly sketches, within five standard errors of exact counts."""
+    ev = table(spark, d, "events").select("ts", "user_id")
+    path = f"{ensure_checkpoint_dir(spark)}/sketches-{uuid.uuid4().hex}"
+    H.entity_sketches(ev, "ts", "user_id").write.parquet(path)
+    stored = spark.read.parquet(path)
+    hour = F.floor(H.epoch_micros("ts") / F.lit(H.HOUR_US)).cast("bigint")
+    own = ev.select(hour.alias("hour_id"), "user_id").distinct()
+    out = []
+    for h in (24, 72):
+        lag = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(h - 1).cast("bigint")))
+        exact = own.withColumn("_lag", lag).select((F.col("hour_id") + F.col("_lag")).alias("hour_id"), "user_id").groupBy("hour_id").agg(
+            F.countDistinct("user_id").alias("exact"))
+        both = H.entities_in_windows(stored, h).join(exact, "hour_id")
+        out.append(both.select("hour_id", F.lit(h).alias("hours"), (F.abs(F.col("n_entities") - F.col("exact")) <= F.greatest(
+            F.lit(1.0), F.col("exact") * 5 * 0.83 / 64)).alias("within")))
+    return out[0].unionByName(out[1])
+
+
 @query("S10_sampled_by_md5", """
 SELECT c_custkey, c_name FROM customer
 WHERE ('0x' || substr(md5(concat_ws('|', c_custkey, c_name)), 1, 8))::BIGINT % 1000 < 100""")

@@ -358,3 +358,23 @@ def a18s(spark, d):
     out = FT.feature_summary(_long_bucketed(spark, d), sqrt_mean=True)
     return out.select("feature", round6(F.col("value_mean")).alias("value_mean"),
                       round6(F.col("bucket_mean")).alias("bucket_mean"), "n")
+
+
+DIST = {"roi1": ("roi1", 0.0, 8.0), "score": ("p", 0.0, 1.0), "vector_sum": ("l_quantity + l_discount + l_tax", 3.0, 40.0)}
+
+
+def _dist_sql() -> str:
+    parts = []
+    for name, (x, lo, hi) in DIST.items():
+        at = (f"CASE WHEN ({x}) < {lo} THEN -1 WHEN ({x}) >= {hi} THEN 25 WHEN ({x}) IS NOT NULL THEN "
+              f"least(floor((({x}) - {lo}::DOUBLE) / ({(hi - lo) / 25!r}::DOUBLE)), 24) END::INTEGER")
+        parts.append(f"SELECT '{name}' AS name, {at} AS bin FROM samples")
+    return S + "SELECT name, bin, count(*) AS n FROM (" + " UNION ALL ".join(parts) + ") GROUP BY ALL"
+
+
+@query("A18_distributions", _dist_sql())
+def a18d(spark, d):
+    """Histograms of a label, the score and the sum of a vector of each row."""
+    s = X.samples(spark, d).withColumn("v", F.array("l_quantity", "l_discount", "l_tax"))
+    cols = {"roi1": F.col("roi1"), "score": F.col("p"), "vector_sum": M.vector_sum("v")}
+    return M.distributions(s, {k: (cols[k], lo, hi) for k, (_, lo, hi) in DIST.items()}, bins=25)

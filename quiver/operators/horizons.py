@@ -195,6 +195,23 @@ def entities_per_hour(df: DataFrame, ts: str, entity: str, approx: bool = False)
     return df.select(hour, entity).groupBy("hour_id").agg(agg.alias("n_entities"))
 
 
+def entity_sketches(df: DataFrame, ts: str, entity: str, lg_k: int = 12) -> DataFrame:
+    """X3 to be stored: (hour_id, sketch), a mergeable distinct sketch of each hour's entities. It takes at most 2^lg_k bytes and
+    a standard error of about 0.83 / sqrt(2^lg_k), 1.3% by default. NULL entities are not counted; rows without a time have no hour and are left out."""
+    hour = F.floor(epoch_micros(ts) / F.lit(HOUR_US)).cast("bigint").alias("hour_id")
+    rows = df.select(hour, F.col(entity).cast("string").alias("_e")).filter("hour_id is not null")
+    return rows.groupBy("hour_id").agg(F.hll_sketch_agg("_e", lg_k).alias("sketch"))
+
+
+def entities_in_windows(sketches: DataFrame, hours: int, ends: DataFrame | None = None) -> DataFrame:
+    """(hour_id, n_entities): distinct entities of the ``hours`` hours up to each hour that has a sketch (or is in ``ends``), from
+    stored sketches alone: each is sent to the hours whose windows hold it and merged there, so events are not read again."""
+    lag = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(hours - 1).cast("bigint")))
+    sent = sketches.withColumn("_lag", lag).select((F.col("hour_id") + F.col("_lag")).alias("hour_id"), "sketch")
+    per = sent.groupBy("hour_id").agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("n_entities"))
+    return per.join((sketches if ends is None else ends).select("hour_id").distinct(), "hour_id", "left_semi")
+
+
 def previous_value(df: DataFrame, key: str, order: str, cols: Sequence[str],
                    suffix: str = "_last", ts: str | None = None, slice_minutes: int = 1440) -> DataFrame:
     """The key's previous value of each column (``lag``), NULL for the

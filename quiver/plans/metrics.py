@@ -390,6 +390,28 @@ REPORT_METRICS = ([f"acc_threshold_{t}" for t in SWEEP_THRESHOLDS]
                      "binary_pred_mean", "reg_label_mean", "binary_label_mean", "label_mean", "score_mean"])
 
 
+# --- A18: distributions ------------------------------------------------------
+def distributions(df: DataFrame, specs: Mapping[str, tuple[Column, float, float]], bins: int = 50) -> DataFrame:
+    """A18 for labels, scores and sums of per-row vectors: (name, bin, n) of equal-width
+    bins 0 .. bins - 1 over [lo, hi) per name of ``specs`` (column, lo, hi); bin -1 holds what lies
+    below, ``bins`` what lies at or above hi (NaN too), NULL the rows without a value, so the
+    counts of a name add up to the rows. One scan; tables of counts from several days add up by ``sum``."""
+    parts = []
+    for name, (x, lo, hi) in specs.items():
+        if not hi > lo:
+            raise ValueError(f"{name}: empty range")
+        v = _dbl(x)
+        inside = F.floor((v - F.lit(float(lo))) / F.lit((float(hi) - float(lo)) / bins)).cast("int")
+        at = F.when(v < lo, -1).when((v >= hi) | F.isnan(v), bins).when(v.isNotNull(), F.least(inside, F.lit(bins - 1)))
+        parts.append(F.struct(F.lit(name).alias("name"), at.cast("int").alias("bin")))
+    return df.select(F.explode(F.array(*parts)).alias("d")).select("d.*").groupBy("name", "bin").agg(F.count(F.lit(1)).alias("n"))
+
+
+def vector_sum(a: ColumnOrName) -> Column:
+    """The sum of a row's array; NULL slots add nothing, a NULL array has no sum."""
+    return F.aggregate(_c(a), F.lit(0.0), lambda s, v: s + F.coalesce(v.cast("double"), F.lit(0.0)))
+
+
 # --- A2, A3 -----------------------------------------------------------------
 def _listed_stats(rows: DataFrame, keys: Sequence[str], listed: DataFrame, is_listed: Column, means: Sequence[str]) -> DataFrame:
     """Means and row share per listed group in one aggregation. Rows of other

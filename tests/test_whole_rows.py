@@ -1,6 +1,7 @@
 """Rows with missing keys, late steps and second writes don't vanish, and results don't depend on bucket counts."""
 
 import random
+from datetime import datetime
 
 import numpy as np
 import pytest
@@ -8,7 +9,8 @@ from pyspark.sql import functions as F
 
 from quiver.functions.arrays import self_attention_pool
 from quiver.operators.sequence import consecutive
-from quiver.plans.metrics import concordance, evaluation_report, pairwise_auc, pairwise_auc_in_batches
+from quiver.operators.horizons import entities_in_windows, entity_sketches
+from quiver.plans.metrics import concordance, distributions, evaluation_report, pairwise_auc, pairwise_auc_in_batches, vector_sum
 from quiver.plans.prefix import running_totals, running_totals_by
 from quiver.session import ensure_checkpoint_dir
 from quiver.sources.sink import write_scored
@@ -191,3 +193,23 @@ def test_concordance_by_groups():
     rng = np.random.default_rng(3)
     p, l, w, g = rng.integers(0, 9, 500) / 9, rng.integers(0, 40, 500) / 7, rng.integers(1, 4, 500).astype(float), rng.integers(0, 6, 500)
     assert np.allclose(concordance(p, l, w, g), [concordance(p[g == k], l[g == k], w[g == k]) for k in range(6)])
+
+
+def test_distributions_hold_every_row(spark):
+    rows = [(0.0, [1.0, None]), (0.999, [2.0]), (1.0, []), (-0.1, None), (None, [0.5]), (float("nan"), [9.0])]
+    df = spark.createDataFrame(rows, "x double, v array<double>")
+    got = {(r.name, r.bin): r.n for r in distributions(df, {"x": (F.col("x"), 0, 1), "s": (vector_sum("v"), 0, 4)}, bins=4).collect()}
+    assert got == {("x", 0): 1, ("x", 3): 1, ("x", 4): 2, ("x", -1): 1, ("x", None): 1, ("s", 1): 1, ("s", 2): 1, ("s", 0): 2, ("s", None): 1, ("s", 4): 1}
+
+
+def test_sketches_of_hours_make_windows(spark):
+    rows = [(datetime(2024, 1, 1, h), u) for h in range(30) if h < 24 for u in range(h * 10, h * 10 + 40)] + [(None, 5), (datetime(2024, 1, 1, 3), None)]
+    df = spark.createDataFrame(rows, "ts timestamp_ntz, u long")
+    stored = entity_sketches(df, "ts", "u")
+    first = datetime(2024, 1, 1)
+    base = int((first - datetime(1970, 1, 1)).total_seconds() // 3600)
+    got = {r.hour_id - base: r.n_entities for r in entities_in_windows(stored, 5).collect()}
+    assert set(got) == set(range(24))
+    for h, n in got.items():
+        exact = len({u for t, u in rows if t is not None and u is not None and h - 4 <= t.hour <= h})
+        assert abs(n - exact) <= max(1, 0.07 * exact)
