@@ -45,7 +45,7 @@ def _narrowed(x: DataFrame, brackets: DataFrame, cuts: DataFrame, n_probs: int,
     cuts = cuts.select(F.col("_g").alias("_cg"), F.col("i").alias("_ci"), "cuts")
     tried = brackets.join(cuts, F.col("_g").eqNullSafe(F.col("_cg")) & (F.col("i") == F.col("_ci")), "left").select(
         *brackets.columns, F.when(lo_at >= 1, F.get("cuts", lo_at - 1)).alias("lo2"), F.when(hi_at < GRID, F.get("cuts", hi_at - 1)).alias("hi2"))
-    tried = cut_lineage(tried.withColumn("lo2", F.coalesce("lo2", "lo")).withColumn("hi2", F.coalesce("hi2", "hi")))
+    tried = tried.withColumn("lo2", F.coalesce("lo2", "lo")).withColumn("hi2", F.coalesce("hi2", "hi"))
     ends = _by_group(tried.select("_g", "i", F.col("lo2").alias("lo"), F.col("hi2").alias("hi")), few)
     rows = x.join(ends, F.col("_g").eqNullSafe(F.col("_bg")))
     v, agg = F.col("_x"), []
@@ -72,10 +72,11 @@ def exact_quantiles_by(df: DataFrame, group: str, col: str, probs: Sequence[floa
     cuts = start.select("_g", "i", "cuts")
     brackets = start.select("_g", "i", "p", "frac", "first", "last", F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"),
                             F.lit(0).cast("long").alias("below"), "inside")
-    few = start.filter("i = 0").limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
     single = F.coalesce(F.col("lo") == F.col("hi"), F.lit(False))
-    size = lambda b: b.filter(~single).agg(F.max("inside"), F.sum("inside")).first()
+    open_rows = F.when(~single, F.col("inside"))
+    size = lambda b: b.agg(F.max(open_rows), F.sum(open_rows), F.count_if(F.col("i") == 0)).first()
     now = size(brackets)
+    few = now[2] <= BROADCAST_GROUPS
     while (now[0] or 0) > keep:
         brackets = _narrowed(x, brackets, cuts, len(probs), few)
         before, now = now, size(brackets)
