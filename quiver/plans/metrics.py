@@ -244,6 +244,81 @@ def _graded_counts(g: DataFrame, cuts: Sequence[float], n: int, by: Sequence[str
     return both.groupBy(*by).agg(F.sum("conc").alias("conc"), F.sum("pairs").alias("pairs"))
 
 
+def _graded_in_batches(g: DataFrame, sizes: DataFrame, rows: int, batch_rows: int) -> DataFrame:
+    """(_batch, conc, pairs) of rows (_batch, _p, _l, _n) of large batches, counted as in ``_graded_counts``, but each
+    batch has cuts of its own, as many as its rows ask for (``sizes``: _batch, _rows; ``rows`` in all), and a task works off many ranges at once."""
+    most = default_buckets(g)
+    tasks = max(1, -(-rows // TASK_ROWS))
+    kind = g.schema["_batch"].dataType.simpleString()
+    grid = [i / most for i in range(1, most)] or [0.5]
+    every = F.ceil(F.lit(float(most)) / F.least(F.lit(float(most)), F.ceil(F.col("_rows") / F.lit(float(batch_rows)))))
+    ends = lambda x: F.percentile_approx(x, grid, max(10_000, 10 * most))
+    some = lambda q: F.array_sort(F.array_distinct(F.filter(q, lambda _, i: (i + 1) % F.col("_every") == 0)))
+    cuts = g.groupBy("_batch").agg(ends("_p").alias("_pq"), ends("_l").alias("_lq")).withColumnRenamed("_batch", "_of")
+    cuts = cuts.join(sizes.select("_batch", every.cast("int").alias("_every")), F.col("_of").eqNullSafe(F.col("_batch"))).select(
+        "_of", some(F.col("_pq")).alias("_pc"), some(F.col("_lq")).alias("_lc"))
+    # a cut is a range of its own, so a score that many rows share is alone in its range
+    below = lambda cs, x: F.size(F.filter(cs, lambda c: c <= F.col(x))) + F.size(F.filter(cs, lambda c: c < F.col(x)))
+    rows = g.join(cuts, F.col("_batch").eqNullSafe(F.col("_of"))).select(
+        "_batch", "_p", "_l", "_n", below("_pc", "_p").alias("_pb"), below("_lc", "_l").alias("_lb"), (F.size("_lc") * 2).alias("_last_lb"))
+
+    def groups(*cols):
+        import numpy as np
+        return functools.reduce(lambda a, b: np.unique(a * (int(b.max()) + 1) + b, return_inverse=True)[1], cols)
+
+    def summed(names, where, gid, conc):
+        import numpy as np
+        import pandas as pd
+        owner = np.zeros(len(conc), np.int64)
+        owner[gid] = where
+        return pd.DataFrame({"_batch": names, "conc": np.bincount(owner, weights=conc, minlength=len(names))})
+
+    def within_scores(pdf):
+        import pandas as pd
+        where, names = pd.factorize(pdf["_batch"], use_na_sentinel=False)
+        gid = groups(where, pdf["_pb"].to_numpy())
+        return summed(names, where, gid, concordance(pdf["_p"].to_numpy(), pdf["_l"].to_numpy(), pdf["_n"].to_numpy(), gid))
+
+    def within_labels(pdf):
+        import pandas as pd
+        where, names = pd.factorize(pdf["_batch"], use_na_sentinel=False)
+        p, l, w = pdf["_pb"].to_numpy(), pdf["_l"].to_numpy(), pdf["_n"].to_numpy()
+        gid = groups(where, pdf["_lb"].to_numpy())
+        cell = groups(gid, p)
+        all_pairs = summed(names, where, gid, concordance(p, l, w, gid))
+        all_pairs["conc"] -= summed(names, where, cell, concordance(p, l, w, cell))["conc"]    # pairs of one score range are not counted here
+        return all_pairs
+
+    def in_tasks(part, key, run):
+        deal = F.pmod(F.xxhash64("_batch", key), F.lit(tasks)).alias("_task")
+        return part.groupBy(deal).applyInPandas(lambda pdf: run(pdf), f"_batch {kind}, conc double")
+
+    ranged = rows.groupBy("_batch", "_pb").agg(F.min("_p").alias("_first"), F.max("_p").alias("_end")).select(
+        F.col("_batch").alias("_of"), F.col("_pb").alias("_opb"), (F.col("_first") < F.col("_end")).alias("_many"))
+    rows = rows.join(ranged, F.col("_batch").eqNullSafe(F.col("_of")) & (F.col("_pb") == F.col("_opb"))).drop("_of", "_opb")
+    many = in_tasks(rows.filter("_many").select("_batch", "_pb", "_p", "_l", "_n"), "_pb", within_scores)
+    ties = rows.filter("not _many").groupBy("_batch", "_pb", "_l").agg(F.sum("_n").alias("_n")).groupBy("_batch", "_pb").agg(
+        ((F.pow(F.sum("_n"), 2) - F.sum(F.col("_n") * F.col("_n"))) / 4).alias("conc")).select("_batch", "conc")
+    sums = rows.groupBy("_batch", "_pb", "_lb", "_l").agg(F.sum("_n").alias("_n"))
+    several = sums.groupBy("_batch", "_lb").agg(F.min("_l").alias("_lo"), F.max("_l").alias("_hi")).filter("_lo < _hi").select(
+        F.col("_batch").alias("_of"), F.col("_lb").alias("_olb"))
+    labels = in_tasks(sums.join(several, F.col("_batch").eqNullSafe(F.col("_of")) & (F.col("_lb") == F.col("_olb")), "left_semi").select(
+        "_batch", "_pb", "_lb", "_l", "_n"), "_lb", within_labels)
+    cells = rows.groupBy("_batch", "_pb", "_lb").agg(F.sum("_n").alias("_n"))
+    none = rows.select("_batch", "_pb", "_last_lb").distinct().select(
+        "_batch", "_pb", F.explode(F.sequence(F.lit(0), F.col("_last_lb"))).alias("_lb"), F.lit(0.0).alias("_n"))
+    full = cells.unionByName(none).groupBy("_batch", "_pb", "_lb").agg(F.sum("_n").alias("_n"))
+    by_label = Window.partitionBy("_batch", "_lb").orderBy("_pb").rowsBetween(Window.unboundedPreceding, -1)
+    left = full.withColumn("_left", F.coalesce(F.sum("_n").over(by_label), F.lit(0.0)))
+    under = Window.partitionBy("_batch", "_pb").orderBy("_lb").rowsBetween(Window.unboundedPreceding, -1)
+    outer = left.withColumn("_below", F.coalesce(F.sum("_left").over(under), F.lit(0.0))).select("_batch", (F.col("_n") * F.col("_below")).alias("conc"))
+    per_level = g.groupBy("_batch", "_l").agg(F.sum("_n").alias("_n"))
+    pairs = per_level.groupBy("_batch").agg(((F.pow(F.sum("_n"), 2) - F.sum(F.col("_n") * F.col("_n"))) / 2).alias("pairs"))
+    both = functools.reduce(DataFrame.unionByName, (x.select("_batch", "conc", F.lit(0.0).alias("pairs")) for x in (many, ties, labels, outer))).unionByName(
+        pairs.select("_batch", F.lit(0.0).alias("conc"), "pairs"))
+    return both.groupBy("_batch").agg(F.sum("conc").alias("conc"), F.sum("pairs").alias("pairs"))
+
+
 #: Rows of batches that a task works off together, and rows of one batch beyond which its scores are cut into ranges.
 TASK_ROWS, BATCH_ROWS = 500_000, 200_000
 
@@ -291,8 +366,8 @@ def pairwise_auc_in_batches(df: DataFrame, pred: str, label: str, batch: str, ma
         big = sizes.filter(F.col("_rows") > batch_rows).select(F.col("_batch").alias("_of"))
         own = F.col("_batch").eqNullSafe(F.col("_of"))
         large = g.join(big, own, "left_semi")
-        cuts, _ = cuts_and_totals(large, "_p", default_buckets(large))
-        res = in_tasks(g.join(big, own, "left_anti")).unionByName(_graded_counts(large, cuts, default_buckets(large), ["_batch"]))
+        counted_large = _graded_in_batches(large, sizes, total, batch_rows)
+        res = in_tasks(g.join(big, own, "left_anti")).unionByName(counted_large)
     res = res.select(F.col("_batch").alias("_of"), F.when(F.col("pairs") > 0.5, F.col("conc") / F.col("pairs")).alias("auc"))
     return batches.join(res, F.col("_batch").eqNullSafe(F.col("_of")), "left").select(
         F.col("_batch").alias(batch), F.coalesce("auc", F.lit(1.0)).alias("auc"))

@@ -213,3 +213,18 @@ def test_sketches_of_hours_make_windows(spark):
     for h, n in got.items():
         exact = len({u for t, u in rows if t is not None and u is not None and h - 4 <= t.hour <= h})
         assert abs(n - exact) <= max(1, 0.07 * exact)
+
+
+def test_large_batches_share_tasks(spark):
+    """Many batches above the limit: a task takes many ranges, a batch gets as many ranges as its rows ask for, and a score that many rows share is right."""
+    rng = random.Random(12)
+    rows = [(i // 40, rng.choice([0.5, 0.5, rng.random()]), rng.random()) for i in range(4000)]
+    df = spark.createDataFrame(rows, "k long, p double, y double").repartition(3)
+    out = pairwise_auc_in_batches(df, "p", "y", "k", batch_rows=20)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    calls = [x.split("]")[0] for x in plan.split("FlatMapGroupsInPandas [")[1:]]
+    assert calls and all(c.startswith("_task") for c in calls)
+    for r in out.collect():
+        own = [x for x in rows if x[0] == r.k]
+        pairs = [(a, b) for a in own for b in own if a[2] > b[2]]
+        assert abs(r.auc - sum((a[1] > b[1]) + 0.5 * (a[1] == b[1]) for a, b in pairs) / len(pairs)) < 1e-12
