@@ -26,6 +26,8 @@ DAY_US = 24 * HOUR_US
 
 #: Events of one key within one longest horizon above which the key is worked off in panes of a minute.
 HOT_ROWS = 4_000_000
+#: Events that a task gets at most on the average; it sorts some nine marks of each, and as many again of halo copies.
+TASK_EVENTS = 100_000
 PANE_US = 60_000_000
 
 
@@ -55,13 +57,16 @@ def multi_horizon(df: DataFrame, key: str, ts: str, horizons_hours: Sequence[int
     base = base.withColumn("_b", F.floor(F.col("_us") / F.lit(b_us)))
     if hot_rows < 1:
         raise ValueError("hot_rows must be positive")
-    full = base.groupBy("_key", "_b").agg(F.count(F.lit(1)).alias("_n")).filter((F.col("_n") > hot_rows) & F.col("_b").isNotNull())
-    full = full.select(F.col("_key").alias("_hot")).distinct()
-    if full.isEmpty():
-        out = _in_buckets(base, hs, len(value_cols), b_us)
+    sizes = base.groupBy("_key", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    is_full = (F.col("_n") > hot_rows) & F.col("_b").isNotNull()
+    events, n_full = sizes.agg(F.sum("_n"), F.count_if(is_full)).first()
+    tasks = max(1, -(-(events or 0) // TASK_EVENTS))
+    if not n_full:
+        out = _in_buckets(base, hs, len(value_cols), b_us, tasks)
     else:   # fewer keys than rows / hot_rows; the planner broadcasts them by their measured size
+        full = sizes.filter(is_full).select(F.col("_key").alias("_hot")).distinct()
         is_hot = F.col("_key").eqNullSafe(F.col("_hot")) & F.col("_us").isNotNull()
-        out = _in_buckets(base.join(full, is_hot, "left_anti"), hs, len(value_cols), b_us).unionByName(
+        out = _in_buckets(base.join(full, is_hot, "left_anti"), hs, len(value_cols), b_us, tasks).unionByName(
             _in_panes(base.join(full, is_hot, "left_semi"), hs, len(value_cols)))
     cols = []
     for i, h in enumerate(hs):
@@ -70,6 +75,13 @@ def multi_horizon(df: DataFrame, key: str, ts: str, horizons_hours: Sequence[int
     return out.select("_row.*", *cols)
 
 
+def _parallel(df: DataFrame) -> int:
+    try:
+        return df.sparkSession.sparkContext.defaultParallelism
+    except Exception:  # noqa: BLE001 -- a Spark Connect session
+        return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _marks(rows: DataFrame, hs: Sequence[int], own: Column) -> DataFrame:
     """A row per mark: the event's (_i = -1) and, for own events, one at t - h for each horizon, ahead of the events of that time."""
     mark = lambda i, t: F.struct(F.lit(i).alias("_i"), t.alias("_t"))
@@ -105,8 +117,9 @@ def _counters(hs: Sequence[int], n_values: int, upto: Callable[[str, int], Colum
     return out
 
 
-def _in_buckets(base: DataFrame, hs: Sequence[int], n_values: int, b_us: int) -> DataFrame:
-    """One shuffle: events dealt by key and bucket with their halo copies; all marks are made and totalled where they then are."""
+def _in_buckets(base: DataFrame, hs: Sequence[int], n_values: int, b_us: int, tasks: int) -> DataFrame:
+    """One shuffle: events dealt by key and bucket with their halo copies; all marks are made and totalled where they then are.
+    There are as many tasks as the counted events ask for: the planner, which merges partitions by their size before the marks are made, has no say in it."""
     parts = _parts(n_values)
     # an event at t in bucket b is history for bucket b+k while that bucket
     # starts no later than t + H: k <= floor((t + H) / B) - b
@@ -115,10 +128,11 @@ def _in_buckets(base: DataFrame, hs: Sequence[int], n_values: int, b_us: int) ->
         "_k", F.explode_outer(F.sequence(F.lit(0).cast("bigint"), last_k)))
     # rows without a time are alone in a bucket each
     copies = copies.withColumn("_pb", F.coalesce(F.col("_b") + F.col("_k"), -1 - F.col("_uid"))).withColumn(
-        "_row", F.when(F.coalesce("_k", F.lit(0)) == 0, F.col("_row"))).repartition("_key", "_pb")
+        "_row", F.when(F.coalesce("_k", F.lit(0)) == 0, F.col("_row"))).repartition(max(tasks, _parallel(base)), "_key", "_pb")
     own = F.coalesce("_k", F.lit(0)) == 0
     w = Window.partitionBy("_key", "_pb").orderBy("_t", "_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    run = _marks(copies, hs, own).select("_key", "_pb", "_uid", "_us", "_i", "_row", own.alias("_own"), *[F.sum(c).over(w).alias(p) for p, c in parts.items()])
+    # only the mark of the event itself carries the row
+    run = _marks(copies, hs, own).withColumn("_row", F.when(F.col("_i") < 0, F.col("_row"))).select("_key", "_pb", "_uid", "_us", "_i", "_row", own.alias("_own"), *[F.sum(c).over(w).alias(p) for p, c in parts.items()])
     at = lambda p, i: F.max(F.when(F.col("_i") == i, F.col(p)))
     per = run.filter("_own").groupBy("_key", "_pb", "_uid").agg(
         F.first(F.when(F.col("_i") < 0, F.col("_row")), ignorenulls=True).alias("_row"), F.max("_us").alias("_row_us"),

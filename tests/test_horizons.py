@@ -67,3 +67,13 @@ def test_no_frame_slides(spark, how):
     plan = multi_horizon(df, "k", "ts", HS, ["v"], **how)._jdf.queryExecution().executedPlan().toString()
     frames = [x.split(")")[0] for x in plan.split("specifiedwindowframe(")[1:]]
     assert frames and all("unboundedpreceding" in f for f in frames)
+
+
+def test_tasks_follow_the_events(spark, monkeypatch):
+    """A task gets a bounded number of events, whatever the planner would merge."""
+    from quiver.operators import horizons
+    monkeypatch.setattr(horizons, "TASK_EVENTS", 10)
+    df, rows = events(spark, 300)
+    out = multi_horizon(df, "k", "ts", HS, ["v"])
+    assert out.rdd.getNumPartitions() >= 30
+    assert {r.id: r.cnt_3h for r in out.collect()} == {i: w[0] for (i, h), w in brute(rows).items() if h == 3}
