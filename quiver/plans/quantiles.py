@@ -2,20 +2,21 @@
 
 A column is never sorted, and its values never change hands. A sketch brackets every
 wanted rank; one aggregation counts exactly what lies below and inside each
-bracket; then the brackets' rows alone are bracketed again, until a bracket holds
-at most ``KEEP`` rows or one value. Only those rows are counted by value
+bracket; then the brackets' rows alone are stored and bracketed again, until a bracket holds
+at most ``KEEP`` rows or one value, so the column itself is read three times whatever its length. Only those rows are counted by value
 and ordered. A round leaves about two hundredths of a bracket's rows, so three rounds take
 10^12 rows to some millions. What a sketch says is checked by the counts: a bracket that misses
 its rank is not taken."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quiver.session import cut_lineage
+from quiver.session import cut_lineage, ensure_checkpoint_dir
 
 KEEP = 16_384            # rows of a bracket that are ordered
 GRID, ACCURACY = 200, 2000   # points of a sketch, and its rank error as 1 / ACCURACY
@@ -37,8 +38,9 @@ def _by_group(brackets: DataFrame, few: bool) -> DataFrame:
     return F.broadcast(out) if few else out
 
 
-def _narrowed(x: DataFrame, brackets: DataFrame, cuts: DataFrame, n_probs: int, few: bool) -> DataFrame:
-    """The brackets with new ends from the sketches (_g, i, cuts), where these hold the wanted ranks; exact counts in either case."""
+def _narrowed(x: DataFrame, brackets: DataFrame, cuts: DataFrame, n_probs: int, few: bool, held: DataFrame | None) -> DataFrame:
+    """The brackets with new ends from the sketches (_g, i, cuts), where these hold the wanted ranks; exact counts in
+    either case, of all rows or, after the first round, of those that the open brackets hold."""
     point = lambda rank: (rank - F.col("below")) / F.col("inside") * GRID
     lo_at = (F.floor(point(F.col("first"))) - 1).cast("int")
     hi_at = (F.ceil(point(F.col("last") + 1)) + 1).cast("int")
@@ -47,17 +49,23 @@ def _narrowed(x: DataFrame, brackets: DataFrame, cuts: DataFrame, n_probs: int,
         *brackets.columns, F.when(lo_at >= 1, F.get("cuts", lo_at - 1)).alias("lo2"), F.when(hi_at < GRID, F.get("cuts", hi_at - 1)).alias("hi2"))
     tried = tried.withColumn("lo2", F.coalesce("lo2", "lo")).withColumn("hi2", F.coalesce("hi2", "hi"))
     ends = _by_group(tried.select("_g", "i", F.col("lo2").alias("lo"), F.col("hi2").alias("hi")), few)
-    rows = x.join(ends, F.col("_g").eqNullSafe(F.col("_bg")))
-    v, agg = F.col("_x"), []
-    for i in range(n_probs):
-        b = F.col("_b")[i]
-        agg += [F.count_if(v < b["lo"]).alias(f"u{i}"), F.count_if(_inside(v, b)).alias(f"n{i}")]
-    counts = rows.groupBy("_g").agg(*agg).select(F.col("_g").alias("_ng"), F.posexplode(F.array(
-        *[F.struct(F.col(f"u{i}").alias("u"), F.col(f"n{i}").alias("n")) for i in range(n_probs)])).alias("_i", "c"))
-    checked = tried.join(counts, F.col("_g").eqNullSafe(F.col("_ng")) & (F.col("i") == F.col("_i")))
-    ok = (F.col("first") >= F.col("c.u")) & (F.col("last") < F.col("c.u") + F.col("c.n"))
-    take = lambda old, new: F.when(ok, F.col(new)).otherwise(F.col(old)).alias(old)
-    return cut_lineage(checked.select("_g", "i", "p", "frac", "first", "last", take("lo", "lo2"), take("hi", "hi2"), take("below", "c.u"), take("inside", "c.n")))
+    if held is None:
+        rows = x.join(ends, F.col("_g").eqNullSafe(F.col("_bg")))
+        v, agg = F.col("_x"), []
+        for i in range(n_probs):
+            b = F.col("_b")[i]
+            agg += [F.count_if(v < b["lo"]).alias(f"u{i}"), F.count_if(_inside(v, b)).alias(f"n{i}")]
+        counts = rows.groupBy("_g").agg(*agg).select(F.col("_g").alias("_ng"), F.posexplode(F.array(
+            *[F.struct(F.col(f"u{i}").alias("u"), F.col(f"n{i}").alias("n")) for i in range(n_probs)])).alias("_i", "c"))
+    else:   # of a bracket's own rows; what lies below the bracket is counted already
+        rows = held.join(ends, F.col("_g").eqNullSafe(F.col("_bg"))).withColumn("_e", F.get("_b", F.col("i")))
+        counts = rows.groupBy("_g", "i").agg(F.struct(F.count_if(F.col("_x") < F.col("_e.lo")).alias("u"), F.count_if(_inside(F.col("_x"), F.col("_e"))).alias("n")).alias("c"))
+        counts = counts.select(F.col("_g").alias("_ng"), F.col("i").alias("_i"), F.col("c"))
+    checked = tried.join(counts, F.col("_g").eqNullSafe(F.col("_ng")) & (F.col("i") == F.col("_i")), "inner" if held is None else "left")
+    under = F.col("c.u") if held is None else F.col("below") + F.col("c.u")
+    ok = F.coalesce((F.col("first") >= under) & (F.col("last") < under + F.col("c.n")), F.lit(False))
+    take = lambda old, new: F.when(ok, new).otherwise(F.col(old)).alias(old)
+    return cut_lineage(checked.select("_g", "i", "p", "frac", "first", "last", take("lo", F.col("lo2")), take("hi", F.col("hi2")), take("below", under), take("inside", F.col("c.n"))))
 
 
 def exact_quantiles_by(df: DataFrame, group: str, col: str, probs: Sequence[float], keep: int = KEEP) -> DataFrame:
@@ -77,14 +85,19 @@ def exact_quantiles_by(df: DataFrame, group: str, col: str, probs: Sequence[floa
     size = lambda b: b.agg(F.max(open_rows), F.sum(open_rows), F.count_if(F.col("i") == 0)).first()
     now = size(brackets)
     few = now[2] <= BROADCAST_GROUPS
+    held = None
     while (now[0] or 0) > keep:
-        brackets = _narrowed(x, brackets, cuts, len(probs), few)
+        brackets = _narrowed(x, brackets, cuts, len(probs), few, held)
         before, now = now, size(brackets)
+        held = _stored(_rows_inside(x, brackets.filter(~single), few) if held is None else _still_inside(held, brackets.filter(~single), few))
         if (now[0] or 0) <= keep or now == before:
             break
-        wide = brackets.filter(~single & (F.col("inside") > keep))
-        cuts = cut_lineage(_rows_inside(x, wide, few).groupBy("_g", "i").agg(_cuts("_x").alias("cuts")))
-    found = _rows_inside(x, brackets, few).groupBy("_g", "i", "_x").agg(F.count(F.lit(1)).alias("n"))
+        wide = brackets.filter(~single & (F.col("inside") > keep)).select(F.col("_g").alias("_wg"), F.col("i").alias("_wi"))
+        cuts = held.join(F.broadcast(wide) if few else wide, F.col("_g").eqNullSafe(F.col("_wg")) & (F.col("i") == F.col("_wi")), "left_semi")
+        cuts = cut_lineage(cuts.groupBy("_g", "i").agg(_cuts("_x").alias("cuts")))
+    found = (_rows_inside(x, brackets, few) if held is None else held).groupBy("_g", "i", "_x").agg(F.count(F.lit(1)).alias("n"))
+    if held is not None:   # a bracket of one value needs no rows
+        found = found.unionByName(brackets.filter(single).select("_g", "i", (F.col("lo") + F.lit(0.0)).alias("_x"), F.col("inside").alias("n")))
     w = Window.partitionBy("_g", "i").orderBy("_x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = found.withColumn("upto", F.sum("n").over(w)).withColumnsRenamed({"_g": "_fg", "i": "_fi"}).join(
         brackets, F.col("_fg").eqNullSafe(F.col("_g")) & (F.col("_fi") == F.col("i")))
@@ -101,6 +114,19 @@ def _rows_inside(x: DataFrame, brackets: DataFrame, few: bool) -> DataFrame:
     return rows.select("_g", "_x", F.explode(F.filter("_b", lambda b: _inside(F.col("_x"), b))).alias("b")).select("_g", "b.i", "_x")
 
 
+def _still_inside(held: DataFrame, brackets: DataFrame, few: bool) -> DataFrame:
+    """Of stored rows (_g, i, _x), those that their bracket holds now."""
+    ends = brackets.select(F.col("_g").alias("_bg"), F.col("i").alias("_bi"), F.struct("lo", "hi").alias("_e"))
+    rows = held.join(F.broadcast(ends) if few else ends, F.col("_g").eqNullSafe(F.col("_bg")) & (F.col("i") == F.col("_bi")))
+    return rows.filter(_inside(F.col("_x"), F.col("_e"))).select("_g", "i", "_x")
+
+
+def _stored(rows: DataFrame) -> DataFrame:
+    path = f"{ensure_checkpoint_dir(rows.sparkSession)}/quantiles-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], keep: int = KEEP) -> DataFrame:
     """X4 of a whole column: (prob, value); no rows without values."""
     return exact_quantiles_by(df.select(F.lit(0).alias("_one"), F.col(col).alias("_v")), "_one", "_v", probs, keep).drop("_one")

@@ -60,3 +60,24 @@ def test_rows_outside_the_brackets_are_not_exchanged(spark):
     finally:
         Q._rows_inside = real
     assert counted[-1].count() <= Q.KEEP and out.count() == 1
+
+
+def test_later_rounds_read_the_stored_rows_alone(spark, monkeypatch):
+    """After the first round only rows that brackets hold are counted: exact all the same, with ties, -0.0 and NaN."""
+    import numpy as np
+
+    from quiver.plans import quantiles
+    stored = []
+    keep = quantiles._stored
+    monkeypatch.setattr(quantiles, "_stored", lambda rows: stored.append(keep(rows)) or stored[-1])
+    rng = np.random.default_rng(5)
+    a = np.where(rng.random(20_000) < 0.3, 0.25, rng.random(20_000))
+    b = np.where(rng.random(20_000) < 0.6, -0.0, rng.random(20_000))
+    df = spark.createDataFrame([(g, float(x)) for g, xs in (("a", a), ("b", b)) for x in xs] + [(None, float("nan"))] * 50, "g string, x double").repartition(3)
+    probs = (0.1, 0.5, 0.9)
+    got = {(r.g, r.prob): r.value for r in quantiles.exact_quantiles_by(df, "g", "x", probs, keep=50).collect()}
+    for g, xs in (("a", a), ("b", b)):
+        assert np.allclose([got[g, p] for p in probs], np.quantile(xs, probs), atol=1e-12)
+    assert all(np.isnan(got[None, p]) for p in probs)
+    sizes = [s.count() for s in stored]
+    assert len(sizes) > 1 and sizes[0] < 20_000 and sizes[-1] <= sizes[0]
