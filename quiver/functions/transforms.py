@@ -8,7 +8,7 @@ whole-stage codegen, array builders use higher-order functions.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -148,14 +148,20 @@ def bucket_centers_col(bounds: Column, lo: float = CENTER_RANGE[0], hi: float =
 
 
 # --- P22 ------------------------------------------------------------------
+def _once(x: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(x)`` with x computed a single time per row: a lambda that names x repeats it for every element."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
 def soft_bucket_weights(x: ColumnOrName, centers: Column, temp: float = SOFT_TEMP) -> Column:
     """softmax(-|x - center| / temp) over the centers (max-subtracted)."""
-    xv = _dbl(x)
-    logits = F.transform(centers, lambda c: -F.abs(xv - c) / F.lit(float(temp)))
-    m = F.array_max(logits)
-    ex = F.transform(logits, lambda z: F.exp(z - m))
-    tot = F.aggregate(ex, F.lit(0.0), lambda s, v: s + v)
-    return F.transform(ex, lambda e: e / tot)
+    def shares(ex: Column) -> Column:
+        return _once(F.aggregate(ex, F.lit(0.0), lambda s, v: s + v), lambda tot: F.transform(ex, lambda e: e / tot))
+
+    def softmax(logits: Column) -> Column:
+        return _once(F.array_max(logits), lambda m: _once(F.transform(logits, lambda z: F.exp(z - m)), shares))
+
+    return _once(_dbl(x), lambda xv: _once(F.transform(centers, lambda c: -F.abs(xv - c) / F.lit(float(temp))), softmax))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -171,5 +177,5 @@ def soft_bucket(x: ColumnOrName, centers: Column, table: Column, temp: float = S
 def soft_bucket_vector(x: ColumnOrName, centers: Column, table: Column, dim: int, temp: float = SOFT_TEMP) -> Column:
     """P22 with a ``dim`` wide table (array of one vector per bucket): the
     vectors' mean under the soft-bucket weights."""
-    w = soft_bucket_weights(x, centers, temp)
-    return F.transform(F.sequence(F.lit(1), F.lit(dim)), lambda j: dot(w, F.transform(table, lambda v: F.element_at(v, j))))
+    return _once(soft_bucket_weights(x, centers, temp), lambda w: F.transform(
+        F.sequence(F.lit(1), F.lit(dim)), lambda j: dot(w, F.transform(table, lambda v: F.element_at(v, j)))))

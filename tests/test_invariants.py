@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quiver.functions import transforms as T
 from quiver.plans import metrics as M
 from quiver.plans.prefix import running_totals
 from quiver.plans.quantiles import exact_quantiles
@@ -242,3 +243,15 @@ def test_fit_on_aggregated_rows_matches_row_level_fit(spark):
     for a, b in zip(agg.stages[2:], row.stages[2:]):
         assert np.allclose(a.coefficients.toArray(), b.coefficients.toArray(), atol=2e-3)
         assert abs(a.intercept - b.intercept) < 2e-3
+
+
+def test_soft_buckets_are_computed_once(spark):
+    """The weights' exponentials are taken once a row: named inside a lambda, they were taken again for every center and every element of a vector."""
+    centers = np.linspace(0.0, 70.0, 120)
+    df = spark.range(40).select((F.col("id") * 1.7).alias("x"))
+    table = F.array(*[F.array(F.lit(float(c)), F.lit(1.0)) for c in centers])
+    out = df.select("x", F.explode(F.array(T.soft_bucket_vector("x", T.bounds_literal(centers), table, 2))).alias("v"))
+    assert out._jdf.queryExecution().analyzed().toString().lower().count("exp(") == 1
+    for r in out.collect():
+        w = np.exp(-np.abs(r.x - centers) / 0.8)
+        assert np.allclose(r.v, [(w * centers).sum() / w.sum(), 1.0], rtol=1e-9)
