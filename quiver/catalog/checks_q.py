@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quiver.catalog import sqlbits as Q
@@ -15,7 +16,8 @@ from quiver.catalog.registry import query
 from quiver.operators import features as FT
 from quiver.operators import horizons as H
 from quiver.plans import model as MD
-from quiver.session import ensure_checkpoint_dir, table
+from quiver.plans.prefix import running_totals
+from quiver.session import cut_lineage, ensure_checkpoint_dir, table
 from quiver.sources import fixtures as X
 from quiver.sources.sink import sample_by_hash
 
@@ -33,6 +35,9 @@ def x3(spark, d):
         F.lit(float(APPROX_LEAST)), F.col("n_entities") * APPROX_SHARE)).alias("within"))
 
 
+WINDOWS = (24, 72)   # hours
+
+
 @query("X3_windows_from_stored_sketches", """
 SELECT DISTINCT epoch_us(ts) // 3600000000 AS hour_id, w.h AS hours, true AS within FROM events, (VALUES (24), (72)) w(h)""")
 def x3_windows(spark, d):
@@ -42,13 +47,18 @@ def x3_windows(spark, d):
     H.entity_sketches(ev, "ts", "user_id").write.parquet(path)
     stored = spark.read.parquet(path)
     hour = F.floor(H.epoch_micros("ts") / F.lit(H.HOUR_US)).cast("bigint")
-    own = ev.select(hour.alias("hour_id"), "user_id").distinct()
+    own = ev.select(hour.alias("hour_id"), "user_id").filter("hour_id is not null").distinct()
+    # a user is in the windows that end from an hour of theirs to h - 1 hours on, or to the hour before their next one: a step up and a step down
+    following = F.lead("hour_id").over(Window.partitionBy("user_id").orderBy("hour_id"))
+    step = lambda at, **by: F.struct(at.alias("hour_id"), *[F.lit(by.get(f"d{h}", 0)).cast("long").alias(f"d{h}") for h in WINDOWS])
+    ends = [step(F.least(F.col("hour_id") + h, F.col("next")), **{f"d{h}": -1}) for h in WINDOWS]
+    steps = F.when(F.col("user_id").isNull(), F.array(step(F.col("hour_id")))).otherwise(F.array(step(F.col("hour_id"), **{f"d{h}": 1 for h in WINDOWS}), *ends))
+    changes = own.withColumn("next", following).select(F.explode(steps).alias("s")).select("s.*").groupBy("hour_id").agg(
+        *[F.sum(f"d{h}").alias(f"d{h}") for h in WINDOWS])
+    exact = running_totals(cut_lineage(changes), "hour_id", [f"d{h}" for h in WINDOWS])
     out = []
-    for h in (24, 72):
-        lag = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(h - 1).cast("bigint")))
-        exact = own.withColumn("_lag", lag).select((F.col("hour_id") + F.col("_lag")).alias("hour_id"), "user_id").groupBy("hour_id").agg(
-            F.countDistinct("user_id").alias("exact"))
-        both = H.entities_in_windows(stored, h).join(exact, "hour_id")
+    for h in WINDOWS:
+        both = H.entities_in_windows(stored, h).join(exact.select("hour_id", F.col(f"cum_d{h}").alias("exact")), "hour_id")
         out.append(both.select("hour_id", F.lit(h).alias("hours"), (F.abs(F.col("n_entities") - F.col("exact")) <= F.greatest(
             F.lit(1.0), F.col("exact") * 5 * 0.83 / 64)).alias("within")))
     return out[0].unionByName(out[1])
