@@ -146,3 +146,49 @@ def test_discounts_of_few_counts():
     assert Z.discounts([0, 3, 0, 0, 0, 0, 0]) == [1 - 0.5 / r for r in range(1, Z.K + 1)]
     d = Z.discounts([0, 1000, 400, 200, 120, 80, 55])
     assert all(0 < x < 1 for x in d)
+
+
+def test_stored_tables_score_texts_they_never_counted(texts, spark):
+    """Pairs and their counts are stored, and other texts are scored by look-ups in the stored tables alone."""
+    plain = Plain(texts.collect())
+    model = Z.fit(texts, 5)
+    name = {int(Z.START): " ", int(Z.END): "\n"} | {int(Z.Words().hashes(w.encode())[0]): w for w in plain.c1 if w != "\n"}
+    found = {}
+    for r in model.pairs.collect():
+        words, run, before, code, n = Z.unpack(bytes(r.data))
+        for w, v, c in zip(np.repeat(words, run), before[code], n):
+            assert (name[int(v)], name[int(w)]) not in found
+            found[name[int(v)], name[int(w)]] = int(c)
+    assert found == dict(plain.c2)
+    new = [(7, "w1 w2 never w1 a passage that comes w299"), (10, "w5 w5 w5 unheard of"), (11, None), (12, "")]
+    got = {r.doc_id: r for r in model.score(spark.createDataFrame(new, "doc_id long, text string")).collect()}
+    assert len(got) == len(new)
+    for i, text in new:
+        t = PAT.findall(text or "") + ["\n"]
+        assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(t), sum(plain.c1[w] > 0 for w in t), plain.n)
+        assert abs(got[i].score - sum(math.log10(plain.p2(v, w)) for v, w in zip([" "] + t, t))) < 1e-9
+
+
+def test_rows_of_the_buckets_are_the_distinct_pairs_and_texts(monkeypatch):
+    """Distinct pairs and texts come out alike whether they fit one number or not."""
+    rng = np.random.default_rng(2)
+    words = rng.integers(0, 1 << 63, 40).astype(np.uint64)
+    texts = [np.append(words[rng.integers(0, 40, k)], Z.END) for k in (50, 0, 90, 3)]
+    u = Z.Unigrams(200, 40, 4, [0] * (Z.K + 2), {int(words[0]): 50})
+    for by_text, bits in ((False, Z.KEY_BITS), (True, Z.KEY_BITS), (False, 9), (True, 9)):
+        monkeypatch.setattr(Z, "KEY_BITS", bits)
+        want = Counter()
+        for i, t in enumerate(texts):
+            want.update((int(w), int(v), i if by_text else 0) for v, w in zip([Z.START, *t], t))
+        got = {}
+        for k, (uw, run, uv, code, *doc, n) in Z.occurrences(texts, u, 3, by_text):
+            for w, v, i, c in zip(np.repeat(uw, run), uv[code], doc[0] if doc else np.zeros(len(n), int), n):
+                got[int(w), int(v), int(i)] = int(c)
+        assert got == dict(want)
+
+
+def test_mostly_ascending_arrays_survive_packing():
+    rng = np.random.default_rng(5)
+    for a in (np.array([1, 700, 3, 900, 5, 66000, 70001]), np.sort(rng.integers(0, 1 << 63, 99).astype(np.uint64)), rng.integers(0, 1 << 63, 99).astype(np.uint64),
+              np.array([2**64 - 1, 0, 5, 9], np.uint64), rng.integers(0, 60000, 500), np.array([300])):
+        assert (Z.unpack(Z.pack(a))[0] == a).all()
