@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quiver.catalog import sqlbits as Q
 from quiver.catalog.registry import query
-from quiver.plans.wide import assemble
+from quiver.plans.wide import assemble, count_slots
 from quiver.session import spread, table
 from quiver.sources import wide as W
 
@@ -43,13 +43,13 @@ def _slot_sql() -> str:
     return f"SELECT feature, bucket, count(*) AS n FROM (UNPIVOT (SELECT {wide} FROM events) ON COLUMNS(*) INTO NAME feature VALUE bucket) GROUP BY ALL"
 
 
-def _wide(spark, d):
-    return W.wide_rows(spread(table(spark, d, "events").select("event_id", "user_id")))
+def _events(spark, d):
+    return W.categories(spread(table(spark, d, "events").select("event_id", "user_id")), W.NUMBERS.needs)
 
 
 @query("P23_wide_slots", _slot_sql())
 def slots(spark, d):
     """Events per feature and bucket."""
     names = spark.createDataFrame([(i, f, b) for i, (f, b) in enumerate(W.WIDE.slots().names())], "slot int, feature string, bucket long")
-    counts = assemble(_wide(spark, d), W.WIDE).select(F.explode("idx").alias("slot")).groupBy("slot").agg(F.count(F.lit(1)).alias("n"))
+    counts = count_slots(assemble(_events(spark, d), W.WIDE, in_task=W.NUMBERS), W.WIDE.slots().total)
     return counts.join(F.broadcast(names), "slot").select("feature", "bucket", "n")    # a row a slot

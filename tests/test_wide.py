@@ -8,7 +8,7 @@ import pytest
 
 from quiver.plans import logistic as G
 from quiver.plans.wide import FeatureSet, assemble, vectors_from_long
-from quiver.sources.wide import WIDE, wide_rows
+from quiver.sources.wide import ARRAYS, DENSE, NUMBERS, WIDE, categories, numbers, wide_rows
 
 
 def plain(row, fs):
@@ -90,3 +90,24 @@ def test_long_form_to_vectors(spark):
         vectors_from_long(df, ["id"], ["a", "b"]).collect()
     with pytest.raises(Exception, match="comes twice"):
         vectors_from_long(df.union(df), ["id"], ["a", "b", "c"]).collect()
+
+
+def test_columns_made_in_the_task_are_those_of_the_wide_rows(spark):
+    """The 1,017 numbers of a row by the rule in plain Python, whole-number signs and missing ids included, and slots that
+    do not depend on where the columns are made; planning a thousand columns of expressions is no part of it."""
+    ids = [(1, 3), (123_456_789, 77), (5, None), (None, 2), (None, None), (-40, 9), (7, -3)]
+    ev = spark.createDataFrame(ids, "event_id long, user_id long").coalesce(1)
+    rest = lambda x, n: x - int(math.trunc(x / n)) * n
+    for r, (e, u) in zip(wide_rows(ev, ["event_id", "user_id"]).collect(), ids):
+        u = u or 0
+        assert (r.event_id, r.fc_id0) == (e, f"0:{rest(u, 5)}")
+        for i, f in enumerate(DENSE):
+            a, b, n = numbers(i)
+            assert r[f] == (None if e is None else rest(e * a + u * b, n) - 1)
+        for i, f in enumerate(ARRAYS):
+            a, b, n = numbers(i)
+            assert r[f] == [None if e is None else rest(e * a + u * b + j * (i + 3), n) - 1 for j in range(20)]
+    plan = assemble(categories(ev, NUMBERS.needs), WIDE, ["event_id"], in_task=NUMBERS)
+    assert len(plan._jdf.queryExecution().analyzed().toString()) < 100_000
+    key = lambda r: (str(r.event_id), r.idx)
+    assert sorted(map(key, plan.collect())) == sorted(map(key, assemble(wide_rows(ev), WIDE, ["event_id"]).collect()))
