@@ -4,11 +4,12 @@ import math
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from quiver.operators.horizons import multi_horizon
 from quiver.session import ensure_checkpoint_dir
-from quiver.streaming.horizon_counters import multi_horizon_stream
+from quiver.streaming.horizon_counters import Counting, multi_horizon_stream
 from quiver.streaming.running_stats import run_to_table
 
 HS = (1, 5, 12)
@@ -68,3 +69,25 @@ def test_late_rows_are_put_out_and_count_nowhere(spark):
     assert (got[2].cnt_1h, got[2].cnt_12h) == (2, 2)
     assert not got[5].late and (got[3].cnt_1h, got[3].cnt_12h, got[5].cnt_12h) == (2, 2, 1)
     assert got[6].cnt_12h == 1 and {k for k, r in got.items() if r.late} <= {4, 7} and 8 not in got
+
+
+def test_keys_of_a_group_are_counted_together_and_apart(spark):
+    """Many keys share a group of the state; each counts its own events alone, whatever the number of groups, and calls of the
+    state follow groups and stretches instead of keys."""
+    rng = random.Random(9)
+    rows = [(i, rng.choice([None, *(f"k{j}" for j in range(60))]), T0 + timedelta(minutes=rng.randrange(40 * 60)), rng.random() * 1e6, i) for i in range(600)]
+    want = {r.id: counters(r) for r in multi_horizon(spark.createDataFrame(rows, SCHEMA), "k", "ts", HS, ["v"]).collect()}
+    for groups in (1, 7):
+        base = f"{ensure_checkpoint_dir(spark)}/test-horizons-{random.randrange(10**12)}"
+        land(spark, base, [rows[:300], rows[300:], [(None, None, T0 + timedelta(days=90), None, None)]])
+        src = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+        run_to_table(multi_horizon_stream(src, "k", "ts", HS, ["v"], "100 hours", groups=groups), f"{base}/out", f"{base}/chk")
+        got = {r.id: r for r in spark.read.parquet(f"{base}/out").collect()}
+        assert set(got) == set(want) and not any(r.late for r in got.values())
+        assert all(same(counters(got[i]), want[i]) for i in want)
+    calls = []
+    state = Counting([h for h in HS], 0, [f"c{i}" for i in range(len(HS))])
+    hour = 3_600_000_000
+    events = [f"={i}" for i in range(50)], np.arange(50) * hour // 100, np.zeros((50, 0)), [str(i) for i in range(50)]
+    state.events, state.keep = lambda k: events, lambda k, found: calls.append(k)
+    assert [len(f) for f in state.put_out({0: 0}, hour)] == [50] and calls == [0]
