@@ -58,8 +58,8 @@ class WordMerger:
             rows = np.arange(len(who))
             at = rank.argmin(axis=1) if n > 1 else np.zeros(len(who), np.int64)
             go = rank[rows, at] < NONE if n > 1 else np.zeros(len(who), bool)
-            for w, ids in zip(who[~go].tolist(), sym[~go].astype("<u4")):
-                out[w] = ids.tobytes()
+            for w, ids in zip(who[~go].tolist(), sym[~go].astype("<u4").view(f"V{4 * n}").ravel().tolist()):
+                out[w] = ids
             who, sym, rank, at = who[go], sym[go], rank[go], at[go]
             if not len(who):
                 break

@@ -62,23 +62,23 @@ class Encoder:
     def learn(self, new: list[bytes]) -> dict[bytes, bytes]:
         """Ids of new chunks: plain ones from their letters and the symbols behind these, others from the library.
         Those of long chunks are returned instead of kept."""
-        plain, other, long = [], [], {}
-        for c in new:
-            if c.isalpha() and len(c) <= LONG_CHUNK:  # ASCII letters
-                plain.append((c, c.lower(), b""))
-            elif c[:-1].isalpha() and c[-1:] in b".,!" and len(c) <= LONG_CHUNK:
-                plain.append((c, c[:-1].lower(), c[-1:]))
+        short = [c for c in new if len(c) <= LONG_CHUNK]
+        words = [c for c in short if c.isalpha()]  # ASCII letters
+        ended = [c for c in short if c[-1:] in b".,!" and c[:-1].isalpha()]
+        mixed, other, long = [], [], {}
+        for c in set(new).difference(words, ended):
+            s = c.decode().lower()
+            m = PLAIN.fullmatch(s)
+            if m and len(c) <= LONG_CHUNK and (s.isascii() or max(s) < "\u0300"):
+                mixed.append((c, m.group(1).encode(), m.group(2).encode()))
             else:
-                s = c.decode().lower()
-                m = PLAIN.fullmatch(s)
-                if m and len(c) <= LONG_CHUNK and (s.isascii() or max(s) < "\u0300"):
-                    plain.append((c, m.group(1).encode(), m.group(2).encode()))
-                else:
-                    other.append(c)
-        parts = self.merger.ids(list({x[1] for x in plain} | {x[2] for x in plain}))
-        for c, word, symbols in plain:
-            self.table[c] = x = parts[word] + parts[symbols]
-            self.size += ENTRY_BYTES + len(c) + len(x)
+                other.append(c)
+        low, stems, ends = [c.lower() for c in words], [c[:-1].lower() for c in ended], [c[-1:] for c in ended]
+        parts = self.merger.ids(list({*low, *stems, *ends, *(x[1] for x in mixed), *(x[2] for x in mixed)}))
+        found = [parts[w] for w in low] + [parts[w] + parts[x] for w, x in zip(stems, ends)] + [parts[w] + parts[x] for _, w, x in mixed]
+        learnt = words + ended + [x[0] for x in mixed]
+        self.table.update(zip(learnt, found))
+        self.size += ENTRY_BYTES * len(learnt) + sum(map(len, learnt)) + sum(map(len, found))
         for c, e in zip(other, self.tok.encode_batch([c.decode() for c in other], add_special_tokens=False)):
             x = np.array(e.ids, "<u4").tobytes()
             if len(c) <= LONG_CHUNK:
