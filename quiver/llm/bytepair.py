@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -40,26 +41,29 @@ class WordMerger:
         order = np.argsort(key)
         self.key, self.rank = key[order], order.astype(np.int32)
         self.made = np.array([vocab[a + b] for a, b in pairs], np.int32)
+        # Ranks of two bytes side by side, within a word and at its end
+        self.first = [self.ranks(np.repeat(self.inner, 256), np.tile(x, 256)) for x in (self.inner, self.last)]
 
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         k = a.astype(np.int64) << 16 | b
         at = np.minimum(np.searchsorted(self.key, k), len(self.key) - 1)
         return np.where(self.key[at] == k, self.rank[at], NONE)
 
-    def same_length(self, words: list[bytes]) -> list[bytes]:
-        raw = np.frombuffer(b"".join(words), np.uint8).reshape(len(words), -1)
+    def merged(self, raw: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Of words of one length, as rows of bytes: (row numbers, their ids as rows) of those with equally many ids, until all are given."""
         sym = self.inner[raw]
         sym[:, -1] = self.last[raw[:, -1]]
-        out: list[bytes] = [b""] * len(words)
-        who = np.arange(len(words))
-        rank = self.ranks(sym[:, :-1], sym[:, 1:])
+        who = np.arange(len(raw))
+        pair = raw[:, :-1].astype(np.int32) << 8 | raw[:, 1:]
+        rank = self.first[0][pair]
+        if raw.shape[1] > 1:
+            rank[:, -1] = self.first[1][pair[:, -1]]
         while len(who):
             n = sym.shape[1]
             rows = np.arange(len(who))
             at = rank.argmin(axis=1) if n > 1 else np.zeros(len(who), np.int64)
             go = rank[rows, at] < NONE if n > 1 else np.zeros(len(who), bool)
-            for w, ids in zip(who[~go].tolist(), sym[~go].astype("<u4").view(f"V{4 * n}").ravel().tolist()):
-                out[w] = ids
+            yield who[~go], sym[~go]
             who, sym, rank, at = who[go], sym[go], rank[go], at[go]
             if not len(who):
                 break
@@ -74,6 +78,13 @@ class WordMerger:
             rank[rows[has], at[has] - 1] = self.ranks(sym[rows[has], at[has] - 1], new[has])
             has = at < n - 2
             rank[rows[has], at[has]] = self.ranks(new[has], sym[rows[has], at[has] + 1])
+
+    def same_length(self, words: list[bytes]) -> list[bytes]:
+        raw = np.frombuffer(b"".join(words), np.uint8).reshape(len(words), -1)
+        out: list[bytes] = [b""] * len(words)
+        for who, sym in self.merged(raw):
+            for w, ids in zip(who.tolist(), sym.astype("<u4").view(f"V{4 * sym.shape[1]}").ravel().tolist()):
+                out[w] = ids
         return out
 
     def ids(self, words: list[bytes]) -> dict[bytes, bytes]:
@@ -88,3 +99,18 @@ class WordMerger:
                 part = group[at:at + (1 << 16)]
                 out.update(zip(part, self.same_length(part)))
         return out
+
+    def spans(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of words as rows of bytes, filled up with zeros: ids of all words in one array, and where in it each word's begin and how many they are."""
+        size = np.count_nonzero(words, axis=1)
+        begin, count = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        flat, at = [np.zeros(0, np.int32)], 0
+        for n in np.unique(size).tolist():
+            group = np.flatnonzero(size == n)
+            for part in np.split(group, range(1 << 16, len(group), 1 << 16)):
+                for who, sym in self.merged(words[part, :n]):
+                    begin[part[who]] = at + np.arange(len(who)) * sym.shape[1]
+                    count[part[who]] = sym.shape[1]
+                    flat.append(sym.ravel())
+                    at += sym.size
+        return np.concatenate(flat), begin, count

@@ -27,13 +27,49 @@ from quiver.llm.bytepair import PLAIN, WordMerger
 from quiver.llm.common import first_part, saved, small_batches, spread_out, tidy, vocabulary
 
 WINDOW, END_ID = 2048, 1
-TABLE_BYTES, ENTRY_BYTES, LONG_CHUNK, BATCH_TEXTS = 60_000_000, 190, 64, 512
+TABLE_BYTES, ENTRY_BYTES, LONG_CHUNK, BATCH_BYTES = 60_000_000, 190, 64, 1 << 22
 FILTER_SLOTS = 1 << 18
+#: Kinds of bytes: white space, (part of) a letter, a symbol of ``PLAIN``; a chunk with any other byte goes to ``learn`` whole.
+SPACE, LETTER, SYMBOL, OTHER = range(4)
+KIND = bytes(SPACE if b in b" \t\n\r\v\f" else LETTER if chr(b).isalpha() else SYMBOL if PLAIN.fullmatch(chr(b)) else OTHER
+             for b in range(128)) + bytes([OTHER] * 128)
+LOWER = bytes(range(256)).lower()
+#: The lead byte of U+00C0 to U+00FF, all letters but two, and the bytes a unit's key has room for.
+LATIN, NO_LETTERS, KEY_BYTES = 0xC3, (0x97, 0xB7), 16
+
+
+def units(kind: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where units of the text begin and end, and whether they are plain and fit a key. Units are runs of letters or of
+    symbols, or whole chunks with other bytes. Marks U+00C0 to U+00FF in ``kind`` as letters and lowers them in ``low``."""
+    lead = np.flatnonzero(low[:len(kind)] == LATIN)
+    lead = lead[(low[lead + 1] & 0xC0 == 0x80) & ~np.isin(low[lead + 1], NO_LETTERS)]
+    kind[lead] = kind[lead + 1] = LETTER
+    low[lead[low[lead + 1] < 0x9F] + 1] |= 0x20
+    other = np.flatnonzero(kind == OTHER)
+    if len(other):
+        space = np.flatnonzero(kind == SPACE)  # the last byte is one
+        after = np.unique(np.searchsorted(space, other))
+        inside = np.zeros(len(kind), np.int8)
+        inside[np.where(after > 0, space[after - 1] + 1, 0)] = 1
+        inside[space[after]] -= 1
+        kind[np.cumsum(inside, dtype=np.int8) > 0] = OTHER
+    cuts = np.concatenate([[0], np.flatnonzero(kind[1:] != kind[:-1]) + 1, [len(kind)]])
+    of = kind[cuts[:-1]]
+    starts, ends, of = cuts[:-1][of != SPACE], cuts[1:][of != SPACE], of[of != SPACE]
+    return starts, ends, (of != OTHER) & (ends - starts <= KEY_BYTES)
+
+
+def keys(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The bytes of each unit, filled up with zeros (which no plain unit holds)."""
+    eight = np.ndarray(len(low) - 7, "<u8", low, strides=(1,))
+    upto = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+    size = ends - starts
+    return np.stack([eight[starts + at] & upto[np.clip(size - at, 0, 8)] for at in (0, 8)], axis=1)
 
 
 class Encoder:
-    """Token ids as little-endian bytes. White space (ASCII) always ends a token of
-    this vocabulary, so each distinct chunk between it is encoded once; the table is bounded in bytes."""
+    """Token ids as little-endian bytes. White space (ASCII) always ends a token of this vocabulary, and so does the change
+    between plain letters and symbols. Other chunks are kept in a table bounded in bytes."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -49,15 +85,47 @@ class Encoder:
         self.size = sum(ENTRY_BYTES + len(c) + len(x) for c, x in self.table.items())
 
     def batch(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of each text. New chunks of all texts are learnt together, which is cheaper."""
+        """Ids of each text, of some texts at a time."""
+        out: list[bytes] = []
+        at = 0
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and (end == at or size + len(texts[end]) <= BATCH_BYTES):
+                size += len(texts[end])
+                end += 1
+            out += self.together(texts[at:end])
+            at = end
+        return out
+
+    def together(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each text. The texts' units, runs of letters or of symbols, are encoded once each, all new ones together."""
+        joined = b"\n".join([*texts, b""])
+        low = np.frombuffer(bytearray(joined.translate(LOWER) + bytes(KEY_BYTES)), np.uint8)
+        starts, ends, plain = units(np.frombuffer(bytearray(joined.translate(KIND)), np.uint8), low)
+        seen = pa.FixedSizeBinaryArray.from_buffers(
+            pa.binary(KEY_BYTES), int(plain.sum()), [None, pa.py_buffer(keys(low, starts[plain], ends[plain]))]).dictionary_encode()
+        words = np.frombuffer(b"".join(seen.dictionary.to_pylist()), np.uint8).reshape(-1, KEY_BYTES)
+        flat, begin, count = self.merger.spans(words)
+        chunks = [joined[s:e] for s, e in zip(starts[~plain].tolist(), ends[~plain].tolist())]
         if self.size > TABLE_BYTES:
             self.forget(4)
-        split = [t.split() for t in texts]
-        table = self.table
-        long = self.learn([c for c in set().union(*split) if c not in table])
-        if long:
-            return [b"".join([table[c] if c in table else long[c] for c in chunks]) for chunks in split]
-        return [b"".join(map(table.__getitem__, chunks)) for chunks in split]
+        names = {c: i for i, c in enumerate(dict.fromkeys(chunks), len(words))}
+        long = self.learn([c for c in names if c not in self.table])
+        rest = [np.frombuffer(long[c] if c in long else self.table[c], "<u4") for c in names]
+        sizes = np.array([len(x) for x in rest], np.int64)
+        begin = np.concatenate([begin, len(flat) + np.cumsum(sizes) - sizes])
+        count = np.concatenate([count, sizes])
+        flat = np.concatenate([flat, *rest]).astype("<u4")
+
+        code = np.empty(len(starts), np.int64)
+        code[plain] = seen.indices.to_numpy()
+        code[~plain] = [names[c] for c in chunks]
+        n = count[code]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        ids = flat[np.arange(upto[-1]) + np.repeat(begin[code] - upto[:-1], n)].tobytes()
+        text_ends = np.cumsum([len(t) + 1 for t in texts])
+        cuts = [0, *(4 * upto[np.searchsorted(starts, text_ends)]).tolist()]
+        return [ids[s:e] for s, e in zip(cuts[:-1], cuts[1:])]
 
     def learn(self, new: list[bytes]) -> dict[bytes, bytes]:
         """Ids of new chunks: plain ones from their letters and the symbols behind these, others from the library.
@@ -105,7 +173,7 @@ def encoded(docs: DataFrame, path: str, window: int, end_id: int) -> DataFrame:
         for b in batches:
             n, crcs, rest, left = [], [], [], []
             texts = [t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()]
-            for ids in (x + end for i in range(0, len(texts), BATCH_TEXTS) for x in enc.batch(texts[i:i + BATCH_TEXTS])):
+            for ids in (x + end for x in enc.batch(texts)):
                 size = len(ids) // 4
                 whole = size // window
                 n.append(size)
@@ -267,19 +335,19 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, end_id:
     slot = F.pmod(F.xxhash64("uid"), F.lit(FILTER_SLOTS))
     cut = placed.filter("cut")
     slots = F.broadcast(cut.select(slot.alias("slot")).distinct())
-    ids = rows.select("uid", "rest", slot.alias("slot")).join(slots, "slot", "left_semi").select("uid", "rest")
-    wide = Encoder(path).tok.get_vocab_size() > 1 << 16
-    kind = "<u4" if wide else "<u2"
+    ids = rows.select("uid", "rest", (F.col("n") % window).cast("int").alias("len"), slot.alias("slot")).join(
+        slots, "slot", "left_semi").drop("slot")
 
     def checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             r = b.to_pydict()
-            crc = [zlib.crc32(np.frombuffer(x, kind)[s:s + n].astype("<u4").tobytes()) for x, s, n in zip(r["rest"], r["start"], r["length"])]
+            crc = [zlib.crc32(np.frombuffer(x, f"<u{len(x) // m}")[s:s + n].astype("<u4").tobytes())
+                   for x, m, s, n in zip(r["rest"], r["len"], r["start"], r["length"])]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(5)), pa.array(crc, pa.int64())],
                                              ["uid", "start", "length", "sequence_id", "offset", "piece_crc"])
 
     piece = ["uid", "start", "length", "sequence_id", "offset"]
-    cut = cut.join(ids, "uid").select(*piece, "rest").mapInArrow(
+    cut = cut.join(ids, "uid").select(*piece, "rest", "len").mapInArrow(
         checksums, "uid long, start long, length long, sequence_id long, offset long, piece_crc long")
     whole_rest = placed.filter("not cut").select(*piece, F.lit(None).cast("long").alias("piece_crc"))
     rest = whole_rest.unionByName(cut).join(ranked.select("uid", "doc_id", "n", "rest_crc", "whole"), "uid").select(

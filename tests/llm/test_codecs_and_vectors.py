@@ -126,3 +126,33 @@ def test_plain_words_equal_the_library(spark):
     got = enc.batch([w.encode() for w in words])
     want = enc.tok.encode_batch(words, add_special_tokens=False)
     assert [w for w, g, e in zip(words, got, want) if g != np.array(e.ids, "<u4").tobytes()] == []
+
+
+def test_units_of_whole_texts_equal_the_library(monkeypatch):
+    """Runs of letters and symbols in any order, Latin letters of two bytes, odd chunks between plain ones, and texts without any."""
+    rng = np.random.default_rng(5)
+    parts = ["the", "Inlyin", "ÀÉÎß", "ÿ", "×", "÷", "é", "e\u0301", "x" * 15, "É" * 8, "y" * 17, "z" * 90, ".", ",.!", "(", ")", "?" * 20, "'s", "'", "_", "<",
+             "7", "12", "<|endoftext|>", "東京", "\x00", "\x1c", "\xa0", "\u2028", "Ā", "µ", " ", " ", " ", "\n", "\t", "\r\n", "\x0b", "\x0c"]
+    texts = ["".join(parts[i] for i in rng.integers(0, len(parts), rng.integers(0, 30))) for _ in range(3000)]
+    texts += ["", " ", "\n\n", *parts, "a" * 5000]
+    for size in (P.BATCH_BYTES, 100):
+        monkeypatch.setattr(P, "BATCH_BYTES", size)
+        enc = P.Encoder(vocabulary("word_bpe_49k.json"))
+        for some in (texts, [""], [" ", ""], [], ["東京"]):
+            want = [np.array(e.ids, "<u4").tobytes() for e in enc.tok.encode_batch(some, add_special_tokens=False)]
+            assert enc.batch([t.encode() for t in some]) == want
+
+
+def test_plain_texts_leave_no_chunk_in_the_table():
+    """They cost array steps alone, however many of their words are new."""
+    enc = P.Encoder(vocabulary("word_bpe_49k.json"))
+    enc.batch([b"Thonst inlyer, rethnd.\n(Is) " + "Ärger".encode()])
+    assert not enc.table and not enc.size
+
+
+def test_packing_loads_no_vocabulary_in_the_driver(spark, odd_docs, monkeypatch):
+    def fails(*_):
+        raise AssertionError("loaded in the driver")
+
+    monkeypatch.setattr(P.Encoder, "__init__", fails)
+    assert P.pack(odd_docs.select("doc_id", "text"), window=64).count() > 0
