@@ -90,5 +90,44 @@ def test_chunks_are_tokenised_as_in_the_whole_text(libraries):
             assert (*got[:4], got[4]) == (*w[:4], w[6]), repr(t)
 
 
+def agree(texts, libraries, aligner):
+    for t, w, got in zip(texts, plain(texts, libraries), aligner.texts(texts)):
+        assert (w[0] == 0) == (got is None), repr(t)
+        if got:
+            assert (*got[:4], got[4]) == (*w[:4], w[6]), repr(t)
+            assert sum(got[6].tolist()) == got[3] and got[5].tolist() == sorted(set(got[5].tolist()))
+
+
+def test_units_are_learnt_once_however_they_are_joined(libraries):
+    """Words, symbols, digits and line feeds side by side: the table grows with the units, not with their combinations."""
+    words = ["".join(x) for x in zip("abcdefghijklmno", "nopqrstuvwxyzab", "ééüaeiouaeiouaei")]
+    texts = [f"{a}{end}{b}, {b}{end}{a}" for a in words for b in words for end in (".\n", "-", "12", ")(", "/9.")]
+    aligner = alignment.Aligner(P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model"))
+    agree(texts, libraries, aligner)
+    assert len(aligner.table) <= 2 * len(words) + 10
+
+
+def test_kinds_of_characters_side_by_side(libraries):
+    """Random strings of every ASCII character, letters around the bounds of the plain ones, white space of all kinds and long runs."""
+    rng = random.Random(9)
+    chars = [chr(c) for c in range(128)] + list("\x80\x85\xa0ªµº»¿ÀÖ×Øö÷øÿĀſƀǅȿɀ̀͏ẞ\u1680\u2000\u200a\u200b\u2028\u202f\u205f\u3000あ東한👍▁")
+    common = [*"aetonES .,\n  -12'", "ing", " the", " d'", "é", "ñ"]
+    texts = ["".join(rng.choice(common if rng.random() < 0.8 else chars) for _ in range(rng.randrange(1, 40))) for _ in range(6000)]
+    texts += [" ", "  ", "\n", "\n\n", " \n", "a\n", "\na", "a ", "a\n b", "a\n\nb", "x" * 23, "x" * 24, "é" * 12, "x" * 70, "." * 30, "1" * 40, " " * 30]
+    agree(texts, libraries, alignment.Aligner(P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model")))
+
+
+def test_a_full_table_forgets(libraries, monkeypatch):
+    monkeypatch.setattr(alignment, "TABLE_BYTES", 20_000)
+    rng = random.Random(2)
+    aligner = alignment.Aligner(P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model"))
+    for _ in range(12):
+        texts = [" ".join("".join(rng.choices("abcdeé1.'", k=rng.choice([3, 9, 30, 80]))) for _ in range(8)) for _ in range(20)]
+        agree(texts, libraries, aligner)
+        assert len(aligner.strings) == len(aligner.table) == len(aligner.begin)
+        assert aligner.links.size == aligner.measures[:, 3].sum()
+    assert aligner.texts([]) == []
+
+
 def test_no_documents(spark, no_docs):
     assert alignment.align(no_docs).collect() == []
