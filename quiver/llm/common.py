@@ -35,11 +35,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{work_folder(spark)}/quiver-{name}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+def saved(df: DataFrame, name: str, path: str | None = None, **options: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back: the
     lineage ends there, and a lost executor only repeats tasks that read it."""
     path = path or new_path(df.sparkSession, name)
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    df.write.mode("overwrite").option("compression", "zstd").options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -116,6 +116,114 @@ def test_fewer_candidates_than_asked(spark):
     assert [(r.query_id, r.rank, r.vec_id) for r in N.nearest(df, F.col("vec_id") % 20 == 0).collect()] == [(0, 1, 1), (0, 2, 2)]
 
 
+@pytest.mark.parametrize("few, most, part", [(1, 1 << 36, 1), (1, 500, 1), (1 << 40, 1 << 60, 1)])
+def test_groups_of_queries_and_parts_of_candidates(spark, monkeypatch, few, most, part):
+    """Repeated ids among queries and candidates, ties across parts, vectors of mixed sizes."""
+    for name, value in (("FEWEST_PAIRS", few), ("MOST_PAIRS", most), ("LEAST_PART", part)):
+        monkeypatch.setattr(N, name, value)
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.normal(size=8) * 10.0 ** (i % 5 - 2)]) for i in range(0, 900, 3)]
+    rows += [(20 * i, rows[7][1]) for i in range(30)] + [(1000 + i, rows[9][1]) for i in range(12)]
+    pairs = sorted((qi, -float(N.exact(np.array([q]), np.array([v]))[0]), i) for qi, q in rows for i, v in rows if qi % 20 == 0 and qi != i)
+    want, seen = [], defaultdict(int)
+    for qi, s, i in pairs:
+        seen[qi] += 1
+        if seen[qi] <= 5:
+            want.append((qi, seen[qi], i, -s))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(7)
+    got = N.nearest(df, F.col("vec_id") % 20 == 0, k=5, query_block=4, candidate_block=9).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == want
+
+
+def test_no_shuffle_holds_the_candidates(spark, monkeypatch):
+    """A copy of each query block for each candidate block fills the disks of a large table."""
+    monkeypatch.setattr(N, "FEWEST_PAIRS", 1)
+    df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(200)], "vec_id long, embedding array<float>")
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "-1")
+        out = N.nearest(df, F.col("vec_id") % 20 == 0, query_block=4, candidate_block=9)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(key, before)
+    dealt = [line for line in plan.splitlines() if "Exchange" in line]
+    assert "CartesianProduct" in plan and "Join" not in plan
+    assert len(dealt) == 2 and "hashpartitioning(query_id" in dealt[0] and "rangepartitioning(block" in dealt[1]
+
+
+@pytest.mark.parametrize("dims, multiply", [(3, N.product), (64, N.product), (64, lambda _: N.float_product), (1200, lambda _: N.float_product)])
+def test_lists_against_all_pairs(monkeypatch, dims, multiply):
+    """Blocks one after another, with more ties and near copies than a merge takes at once."""
+    monkeypatch.setattr(N, "product", multiply)
+    monkeypatch.setattr(N, "MERGED", 3)
+    monkeypatch.setattr(N, "MANY", 4)
+    monkeypatch.setattr(N, "TILE", 50)
+    rng = np.random.default_rng(dims)
+    x = (rng.normal(size=(700, dims)) * 10.0 ** rng.integers(-12, 13, (700, 1))).astype(np.float32)
+    x[300:500] = x[300] * (1 + rng.normal(size=(200, dims)) * 1e-6)
+    x[500:600] = x[1]
+    ids = rng.permutation(700)
+    found = N.Nearest(ids[:90], x[:90], 7, query_block=40)
+    for at in range(0, 700, 130):
+        c = slice(at, at + 130)
+        order = np.argsort(np.abs(x[c]).max(axis=1))
+        found.meet(ids[c][order], x[c][order])
+    for q in range(90):
+        score = N.exact(np.repeat(x[q:q + 1], 700, axis=0), x)
+        best = [j for j in np.lexsort((ids, -score)) if j != q][:7]
+        assert found.found[q].tolist() == ids[best].tolist() and found.score[q].tolist() == score[best].tolist()
+    assert found.rows().num_rows == 630
+
+
+def test_what_overflows_is_kept():
+    x = np.array([[1e200, 1.0], [2.0, 1e-200], [1e-320, 3.0], [5e-324, 1e-310], [1e-200, 0.0], [-1e160, 2.0]])
+    ids = np.arange(6)
+    order = np.argsort(np.abs(x).max(axis=1))
+    found = N.Nearest(ids, x, 2)
+    found.meet(ids[order], x[order])
+    for q in range(6):
+        score = N.exact(np.repeat(x[q:q + 1], 6, axis=0), x)
+        assert found.found[q].tolist() == [j for j in np.lexsort((ids, -score)) if j != q][:2]
+
+
+def test_codes_are_multiplied_exactly(monkeypatch):
+    rng = np.random.default_rng(1)
+    for dims in (1, 7, 64, 1039, 1041):
+        a, b = (rng.choice(np.array([-127, 127], np.int8), s) for s in ((130, dims), (dims, 70)))
+        a[0] = b[:, 0] = 127
+        want = a.astype(np.int64) @ b.astype(np.int64)
+        assert (N.product(dims)(a, b) == want).all() and (N.float_product(a, b) == want).all()
+    monkeypatch.setitem(__import__("sys").modules, "onnxruntime", None)
+    N.product.cache_clear()
+    assert N.product(64) is N.float_product
+    N.product.cache_clear()
+
+
+def test_few_blocks_make_a_row_group(spark):
+    """Whatever the blocks' vectors take compressed, a reader holds the blocks of one row group as they are."""
+    import pyarrow.parquet as pq
+
+    df = spark.range(900).selectExpr("id", "array(1F, 2F) AS v").coalesce(1)
+    files = [f.removeprefix("file:") for f in N.packed(df, 10, "blocks").inputFiles()]
+    sizes = [m.row_group(i).num_rows for f in files for m in [pq.read_metadata(f)] for i in range(m.num_row_groups)]
+    assert sum(sizes) == 90 and max(sizes) <= N.ROW_GROUP
+
+
+def test_a_tile_holds_no_matrix_of_doubles():
+    """A block of queries and one of candidates, each of the usual size, in the memory of a small worker."""
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    q, c = rng.normal(size=(1024, 64)).astype(np.float32), rng.normal(size=(8192, 64)).astype(np.float32)
+    c = c[np.argsort(np.abs(c).max(axis=1))]
+    tracemalloc.start()
+    N.Nearest(np.arange(1024), q, 20).meet(np.arange(5000, 13192), c)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64e6
+
+
 def test_plain_words_equal_the_library(spark):
     """Every distinct chunk of the documents, and odd ones, against the library."""
     enc = P.Encoder(vocabulary("word_bpe_49k.json"))
